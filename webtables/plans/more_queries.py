@@ -1,0 +1 @@
+"""Further registered queries (added per build step)."""
