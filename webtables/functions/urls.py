@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from webtables.functions.text import _c
 
@@ -88,30 +86,19 @@ def json_string(s) -> Column:
     esc = F.regexp_replace(esc, '"', '\\\\"')
     for ch, rep in (("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t"), ("\b", "\\\\b"), ("\f", "\\\\f")):
         esc = F.regexp_replace(esc, ch, rep)
-    # Remaining control and non-ASCII characters become \uXXXX (UTF-16 units).
+    # Remaining control and non-ASCII characters become \uXXXX (UTF-16
+    # code units, as json.dumps writes them); only rows that need it pay.
     needs = esc.rlike(r"[^\x{20}-\x{7e}]")
-    # the Python step only sees the rare non-ASCII rows (others are null)
-    return F.concat(F.lit('"'), F.coalesce(_ascii_escape(F.when(needs, esc)), esc), F.lit('"'))
-
-
-@F.pandas_udf(T.StringType())
-def _ascii_escape(s: pd.Series) -> pd.Series:
-    def esc(x):
-        if x is None:
-            return None
-        out = []
-        for ch in x:
-            o = ord(ch)
-            if 0x20 <= o < 0x7F:
-                out.append(ch)
-            elif o > 0xFFFF:
-                v = o - 0x10000
-                out.append("\\u%04x\\u%04x" % (0xD800 + (v >> 10), 0xDC00 + (v & 0x3FF)))
-            else:
-                out.append("\\u%04x" % o)
-        return "".join(out)
-
-    return s.map(esc)
+    escaped = F.array_join(
+        F.transform(
+            F.regexp_extract_all(esc, F.lit("(?s)."), 0),
+            lambda ch: F.when(ch.rlike(r"^[\x{20}-\x{7e}]$"), ch).otherwise(
+                F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", "\\\\u$1")
+            ),
+        ),
+        "",
+    )
+    return F.concat(F.lit('"'), F.when(needs, escaped).otherwise(esc), F.lit('"'))
 
 
 def cache_key(url, headers: dict[str, str] | None = None, **params) -> Column:

@@ -1 +1,229 @@
-"""Further registered queries (added per build step)."""
+"""Registered queries over the request log, attempts and the page store."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from webtables.functions import text as TX
+from webtables.functions import urls as U
+from webtables.operators import requests as R
+from webtables.operators import store as S
+from webtables.operators.freshness import fresh_copy, hit_counts, label_fetches
+from webtables.operators.retry import number_attempts, resolve_retries
+from webtables.operators.rows import side_by_side
+from webtables.plans.queries import query
+from webtables.sources import derived as D
+
+# Fixed "now" for repeatable time-relative queries (end of the test month).
+NOW = "2024-01-31 00:00:00"
+NOW_MID = "2024-01-15 12:00:00"
+
+
+def _ntz(c):
+    return c.cast("timestamp_ntz")
+
+
+# --- request log --------------------------------------------------------------
+
+@query("s8_request_log")
+def q_request_log(spark, d):
+    log = D.request_log(spark, d)
+    return log.select("request_id", "ts", "url", "success", "status_code", "elapsed_ms", "attempts",
+                      "error", "request_type", "cache_key")
+
+
+@query("a2_counters")
+def q_counters(spark, d):
+    return R.counters(D.request_log(spark, d)).drop("success_rate", "avg_retries")
+
+
+@query("a2_counters_by_type")
+def q_counters_by_type(spark, d):
+    return R.counters(D.request_log(spark, d), ["request_type"]).drop("success_rate", "avg_retries")
+
+
+@query("a4_success_rate")
+def q_rates(spark, d):
+    return R.counters(D.request_log(spark, d), ["request_type"]).select(
+        "request_type", "success_rate", "avg_retries"
+    )
+
+
+@query("w1_recent_requests")
+def q_recent(spark, d):
+    return R.recent(D.request_log(spark, d), R.RECENT_REQUESTS).select(
+        "request_id", "url", TX.iso_format("ts").alias("timestamp"), "success", "status_code", "attempts"
+    )
+
+
+@query("w1_recent_errors")
+def q_recent_errors(spark, d):
+    return R.recent(D.request_log(spark, d), R.RECENT_ERRORS, errors_only=True).select(
+        "request_id", "url", TX.iso_format("ts").alias("timestamp"), "status_code", "error"
+    )
+
+
+@query("w1_recent_per_type")
+def q_recent_per_type(spark, d):
+    return R.recent_per_group(D.request_log(spark, d), "request_type", 5).select(
+        "request_type", "rank", "request_id"
+    )
+
+
+@query("a6_stats_report")
+def q_report(spark, d):
+    log = D.request_log(spark, d)
+    r = R.stats_report(log)
+    return r.select(
+        "total", "successful", "failed", "total_retries", "success_rate", "avg_retries",
+        F.size("recent_requests").alias("n_recent"), F.col("recent_requests")[0]["request_id"].alias("newest_id"),
+        F.size("recent_errors").alias("n_errors"), F.col("recent_errors")[0]["request_id"].alias("newest_error_id"),
+    )
+
+
+@query("p8_request_by_id")
+def q_by_id(spark, d):
+    log = D.request_log(spark, d)
+    return R.by_id(log, 4242).select("request_id", "url", "success", "status_code", "error")
+
+
+@query("a12_outcome_rollup")
+def q_rollup(spark, d):
+    return R.outcome_counts(D.request_log(spark, d))
+
+
+@query("a13_latency")
+def q_latency(spark, d):
+    return R.latency_summary(D.request_log(spark, d), exact=True)
+
+
+@query("g10_this_week")
+def q_week(spark, d):
+    log = D.request_log(spark, d)
+    return R.time_frame(log, "this_week", NOW_MID).groupBy("request_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h8_duration_text")
+def q_duration(spark, d):
+    log = D.request_log(spark, d)
+    secs = TX.elapsed_seconds(F.col("ts"), NOW)
+    return log.select("request_id", F.floor(secs).cast("long").alias("age_s"), TX.format_duration(secs).alias("age"))
+
+
+@query("h10_iso_time")
+def q_iso(spark, d):
+    return D.request_log(spark, d).select("request_id", TX.iso_format("ts").alias("timestamp"))
+
+
+@query("h6_cache_key")
+def q_key(spark, d):
+    p = D.read_table(spark, d, "pages")
+    return p.select("page_id", U.cache_key(F.col("url")).alias("cache_key"))
+
+
+@query("h7_ttl_class")
+def q_ttl(spark, d):
+    return D.request_log(spark, d).select("request_id", U.ttl_for_url(F.col("url")).alias("ttl_s"))
+
+
+# --- attempts and retries --------------------------------------------------------
+
+@query("w4_attempt_numbers")
+def q_attempt_no(spark, d):
+    return number_attempts(D.attempts(spark, d)).select("request_id", "attempt_no", "ok")
+
+
+@query("r1_retry_resolution")
+def q_retry(spark, d):
+    return resolve_retries(D.attempts(spark, d), max_retries=3)
+
+
+@query("a3_true_retries")
+def q_true_retries(spark, d):
+    r = resolve_retries(D.attempts(spark, d), max_retries=3)
+    return r.agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.sum("retries").cast("long").alias("retries"),
+        F.sum(F.col("success").cast("long")).alias("successful"),
+        F.sum("backoff_s").alias("backoff_s"),
+    )
+
+
+# --- TTL fold, store ------------------------------------------------------------
+
+@query("r2_fetch_or_served")
+def q_r2(spark, d):
+    return label_fetches(D.request_log(spark, d)).select("request_id", "label", _ntz(F.col("fetched_at")).alias("fetched_at"))
+
+
+@query("r2_hits_by_key_class")
+def q_r2_hits(spark, d):
+    lab = label_fetches(D.request_log(spark, d))
+    return lab.groupBy("ttl_s").agg(
+        F.sum((F.col("label") == "served").cast("long")).alias("hits"),
+        F.sum((F.col("label") == "fetch").cast("long")).alias("misses"),
+    )
+
+
+@query("a7_store_stats")
+def q_store_stats(spark, d):
+    store = D.page_store(spark, d)
+    hits = hit_counts(label_fetches(D.request_log(spark, d)))
+    return S.store_stats(store, hits).drop("size_mb", "utilization_percent")
+
+
+@query("s3_store_latest")
+def q_store_latest(spark, d):
+    st = D.page_store(spark, d)
+    latest = S.store_write(st.limit(0), st)
+    return latest.select("cache_key", _ntz(F.col("fetched_at")).alias("fetched_at"), "ttl_s", F.length("content").alias("chars"))
+
+
+@query("s7_store_expire")
+def q_expire(spark, d):
+    live, removed = S.store_expire(D.page_store(spark, d), NOW_MID)
+    return side_by_side(live.agg(F.count(F.lit(1)).alias("live")), removed)
+
+
+@query("s4_store_get")
+def q_get(spark, d):
+    log = D.request_log(spark, d).select("request_id", "cache_key")
+    st = D.page_store(spark, d).where(F.col("fetched_at") <= F.lit(NOW_MID).cast("timestamp_ntz"))
+    got = S.store_get(S.store_write(st.limit(0), st), log, NOW_MID, default="")
+    return got.groupBy((F.col("content") != "").alias("found")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s5_store_delete")
+def q_delete(spark, d):
+    st = D.page_store(spark, d)
+    keys = D.request_log(spark, d).where(F.col("url").contains("cdn")).select("cache_key")
+    remaining, existed = S.store_delete(st, keys)
+    return side_by_side(
+        remaining.agg(F.count(F.lit(1)).alias("remaining")),
+        existed.agg(F.sum(F.col("existed").cast("long")).alias("existed")),
+    )
+
+
+@query("j2_fresh_copy")
+def q_fresh(spark, d):
+    log = D.request_log(spark, d)
+    st = D.page_store(spark, d)
+    fc = fresh_copy(log.select("request_id", "cache_key", "ts"), st)
+    return fc.select("request_id", _ntz(F.col("fetched_at")).alias("fetched_at"))
+
+
+@query("j1_request_details")
+def q_details(spark, d):
+    log = D.request_log(spark, d)
+    st = D.page_store(spark, d)
+    live = st.where((F.col("fetched_at") <= F.lit(NOW_MID).cast("timestamp_ntz")) & S.is_live(NOW_MID))
+    det = R.details(log, live)
+    return det.select("request_id", "request_type", "cache_expired", "details_unavailable",
+                      F.length("cached_content").alias("preview_chars"), "content_truncated")
+
+
+@query("w6_retention_budget")
+def q_retain(spark, d):
+    st = D.page_store(spark, d)
+    kept = S.retain_within_budget(st, 2_000_000)
+    return kept.select("cache_key", _ntz(F.col("fetched_at")).alias("fetched_at"))
