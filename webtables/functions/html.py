@@ -44,7 +44,7 @@ IMPLIED_END = {
 P_SCOPE = frozenset("html body table td th caption button object applet marquee template".split())
 
 NODE_FIELDS = (
-    "id", "parent", "end_id", "depth", "sib", "type_sib", "kind", "tag",
+    "id", "parent", "end_id", "depth", "sib", "type_sib", "prev_sib", "kind", "tag",
     "attrs", "text", "path", "anc", "start", "stop",
 )
 
@@ -59,9 +59,9 @@ class _TreeBuilder(HTMLParser):
             self.line_starts.append(i + 1)
             i = html.find("\n", i + 1)
         self.nodes: list[list] = []
-        # open elements: [node_id, tag, child_count, {tag: count}]
+        # open elements: [node_id, tag, child_count, {tag: count}, last_child_id]
         self.stack: list[list] = []
-        self.root_counts = [0, {}]
+        self.root_counts = [0, {}, None]
 
     # -- positions -------------------------------------------------------
     def _offset(self) -> int:
@@ -76,7 +76,7 @@ class _TreeBuilder(HTMLParser):
             nid = self.stack.pop()[0]
             node = self.nodes[nid]
             node[2] = last
-            node[13] = stop
+            node[14] = stop
 
     def _find_open(self, targets, boundary) -> int:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -96,22 +96,26 @@ class _TreeBuilder(HTMLParser):
         else:
             parent = -1
             counts = None
-        sib = type_sib = None
+        sib = type_sib = prev = None
         if kind == "element":
             if counts is None:
                 self.root_counts[0] += 1
                 tc = self.root_counts[1]
                 sib = self.root_counts[0]
+                prev = self.root_counts[2]
+                self.root_counts[2] = nid
             else:
                 counts[2] += 1
                 tc = counts[3]
                 sib = counts[2]
+                prev = counts[4]
+                counts[4] = nid
             tc[tag] = tc.get(tag, 0) + 1
             type_sib = tc[tag]
         path = [s[1] for s in self.stack]
         anc = [s[0] for s in self.stack]
         self.nodes.append(
-            [nid, parent, nid, len(self.stack), sib, type_sib, kind, tag, attrs, text,
+            [nid, parent, nid, len(self.stack), sib, type_sib, prev, kind, tag, attrs, text,
              path, anc, start, stop]
         )
         return nid
@@ -136,7 +140,7 @@ class _TreeBuilder(HTMLParser):
                 amap[k] = "" if v is None else v
         nid = self._new_node("element", tag, amap, None, start, stop)
         if not (self_closing or tag in VOID_TAGS):
-            self.stack.append([nid, tag, 0, {}])
+            self.stack.append([nid, tag, 0, {}, None])
 
     def handle_starttag(self, tag, attrs):
         self._open(tag, attrs, False)

@@ -38,13 +38,16 @@ def node_text(nodes, n: Column, sep: str = "") -> Column:
     return F.array_join(F.filter(pieces, lambda s: s != ""), sep)
 
 
-def page_links(nodes, base_url=None) -> Column:
+def page_links(nodes, base_url=None, within=None) -> Column:
     """H3: every ``<a href>`` in document order, duplicates kept, as
     ``array<struct<url, text, title>>``; ``url`` resolved against
-    ``base_url`` when it is non-empty (H5)."""
+    ``base_url`` when it is non-empty (H5). ``within`` (a filtered node
+    array, e.g. selector matches) limits the anchors; text always comes
+    from the complete ``nodes`` array."""
     nodes = _c(nodes)
+    src = nodes if within is None else _c(within)
     anchors = F.filter(
-        nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")
+        src, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")
     )
     base = F.lit(None).cast("string") if base_url is None else _c(base_url)
 
@@ -60,9 +63,10 @@ def page_links(nodes, base_url=None) -> Column:
 
 
 def _title_entry(nodes: Column) -> Column:
-    title = F.filter(nodes, lambda n: n["tag"] == "title")[0]
-    kids = F.filter(subtree(nodes, title), lambda n: n["parent"] == title["id"])
-    only = kids[0]
+    title = F.get(F.filter(nodes, lambda n: n["tag"] == "title"), 0)
+    # by parent id, so this also works on filtered or concatenated arrays
+    kids = F.filter(nodes, lambda n: n["parent"] == title["id"])
+    only = F.get(kids, 0)
     value = F.when(
         (F.size(kids) == 1) & only["kind"].isin("text", "raw"), only["text"]
     ).otherwise(F.lit(""))

@@ -11,10 +11,10 @@ is split where the order stops mattering: a successful request whose
 previous success on the same key lies ``ttl`` or more in the past can never
 be served, so it always starts a new copy ("anchor"). Anchors cut each
 key's timeline into independent runs; runs are folded in parallel by an
-Arrow grouped map keyed by ``(cache_key, run)`` that takes the run as an
-iterator of batches in time order: the state is one timestamp, so a run is
-streamed, never held in memory, and each batch is labelled with a few
-binary searches (one per stored copy). The run split needs the previous
+Arrow pass over partitions hash-partitioned by ``(cache_key, run)`` and
+sorted by time: the state is one timestamp, so a run is streamed, never
+held in memory, and each batch is labelled with a few binary searches (one
+per stored copy). The run split needs the previous
 success per key: a running window on (key, ts), which streams and spills.
 Open limit: a key with uninterrupted traffic is one run, so one task.
 """
@@ -31,38 +31,55 @@ from pyspark.sql import types as T
 
 from webtables.functions.urls import ttl_for_url
 
-def _fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream one run in (ts, request_id) order; state is the live copy.
-    Input columns pass through; ``label`` and ``fetched_at_us`` are added."""
-    cur_store = None  # fetched_at of the live copy (micros)
-    cur_exp = None
+def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold a partition that holds whole (key, run) groups, sorted by
+    (key, run, ts, request_id). The state is the live copy of the current
+    group; it resets when the group changes. Input columns pass through;
+    ``label`` and ``fetched_at_us`` are added."""
+    prev_group = None
+    cur_store = cur_exp = None
     for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
         ts = batch.column("ts_us").to_numpy(zero_copy_only=False)
         ok = batch.column("success").to_numpy(zero_copy_only=False).astype(bool)
-        ttl = int(batch.column("ttl_us")[0].as_py())
-        n = len(ts)
+        ttl = batch.column("ttl_us").to_numpy(zero_copy_only=False)
+        key = np.asarray(batch.column("cache_key").to_pylist(), dtype=object)
+        run = batch.column("run").to_numpy(zero_copy_only=False)
+        change = np.ones(n, dtype=bool)
+        change[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+        if prev_group is not None and (key[0], run[0]) == prev_group:
+            change[0] = False
+        starts = list(np.flatnonzero(change)) + [n]
+        if starts[0] != 0:
+            starts.insert(0, 0)
         served = np.zeros(n, dtype=bool)
         fetched = np.zeros(n, dtype=np.int64)
         has_copy = np.zeros(n, dtype=bool)
         ok_pos = np.flatnonzero(ok)
-        i = 0
-        while i < n:
-            if cur_exp is not None and ts[i] < cur_exp:
-                j = max(int(np.searchsorted(ts, cur_exp, side="left")), i + 1)
-                served[i:j] = True
-                fetched[i:j] = cur_store
-                has_copy[i:j] = True
-                i = j
-                continue
-            cur_store = cur_exp = None
-            p = int(np.searchsorted(ok_pos, i, side="left"))
-            if p == len(ok_pos):
-                break  # the rest fail to fetch and store nothing
-            k = int(ok_pos[p])
-            fetched[k] = ts[k]
-            has_copy[k] = True
-            cur_store, cur_exp = int(ts[k]), int(ts[k]) + ttl
-            i = k + 1
+        for a, b in zip(starts[:-1], starts[1:]):
+            if change[a]:
+                cur_store = cur_exp = None
+            i = a
+            while i < b:
+                if cur_exp is not None and ts[i] < cur_exp:
+                    j = min(max(int(np.searchsorted(ts[i:b], cur_exp, side="left")) + i, i + 1), b)
+                    served[i:j] = True
+                    fetched[i:j] = cur_store
+                    has_copy[i:j] = True
+                    i = j
+                    continue
+                cur_store = cur_exp = None
+                p = int(np.searchsorted(ok_pos, i, side="left"))
+                if p == len(ok_pos) or ok_pos[p] >= b:
+                    break  # the rest of the group fails and stores nothing
+                k = int(ok_pos[p])
+                fetched[k] = ts[k]
+                has_copy[k] = True
+                cur_store, cur_exp = int(ts[k]), int(ts[k]) + int(ttl[k])
+                i = k + 1
+        prev_group = (key[-1], run[-1])
         yield pa.RecordBatch.from_arrays(
             list(batch.columns)
             + [
@@ -88,10 +105,9 @@ def label_fetches(log: DataFrame, ttl_override: int | None = None) -> DataFrame:
     w_run = Window.partitionBy("cache_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     runs = base.withColumn("anchor", anchor).withColumn("run", F.sum("anchor").over(w_run)).drop("anchor")
     # Rows before a key's first success form run 0 and are all fetches.
-    # Hash-partition by (key, run) to spread a hot key's runs over tasks, and
-    # sort by (key, run, time): the grouped map's distribution and ordering
-    # needs are then met, so no further exchange or sort is planned and each
-    # run streams in time order.
+    # Hash-partition by (key, run) to spread a hot key's runs over tasks and
+    # sort by (key, run, time); one Arrow pass per partition then streams the
+    # groups in order (one Python call per batch, not per group).
     out_schema = T.StructType(
         list(runs.schema.fields)
         + [T.StructField("label", T.StringType()), T.StructField("fetched_at_us", T.LongType())]
@@ -99,8 +115,7 @@ def label_fetches(log: DataFrame, ttl_override: int | None = None) -> DataFrame:
     folded = (
         runs.repartition("cache_key", "run")
         .sortWithinPartitions("cache_key", "run", *order)
-        .groupBy("cache_key", "run")
-        .applyInArrow(_fold, out_schema)
+        .mapInArrow(_fold_partition, out_schema)
     )
     return folded.withColumn(
         "fetched_at", F.timestamp_micros("fetched_at_us").cast(log.schema["ts"].dataType)

@@ -25,6 +25,7 @@ _ARROW_NODE_FIELDS = [
     ("depth", pa.int32()),
     ("sib", pa.int32()),
     ("type_sib", pa.int32()),
+    ("prev_sib", pa.int32()),
     ("kind", pa.string()),
     ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())),
@@ -107,7 +108,7 @@ def explode_nodes(parsed: DataFrame, keys=("page_id",)) -> DataFrame:
 
 def node_at(nodes: Column, node_id: Column) -> Column:
     """Node with the given id (0-based) from a complete node array."""
-    return F.element_at(nodes, node_id + 1)
+    return F.get(nodes, node_id)
 
 
 def subtree(nodes: Column, n: Column) -> Column:

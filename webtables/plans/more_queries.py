@@ -76,8 +76,8 @@ def q_report(spark, d):
     r = R.stats_report(log)
     return r.select(
         "total", "successful", "failed", "total_retries", "success_rate", "avg_retries",
-        F.size("recent_requests").alias("n_recent"), F.col("recent_requests")[0]["request_id"].alias("newest_id"),
-        F.size("recent_errors").alias("n_errors"), F.col("recent_errors")[0]["request_id"].alias("newest_error_id"),
+        F.size("recent_requests").alias("n_recent"), F.get("recent_requests", 0)["request_id"].alias("newest_id"),
+        F.size("recent_errors").alias("n_errors"), F.get("recent_errors", 0)["request_id"].alias("newest_error_id"),
     )
 
 

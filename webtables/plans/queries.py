@@ -102,7 +102,7 @@ def q_batch_text(spark, d):
 def q_batch_links(spark, d):
     r = P.batch_convert(pages(spark, d), "links")
     return r.select("page_id", "success", F.size("content").alias("count"),
-                    F.col("content")[0]["url"].alias("first_url"))
+                    F.get("content", 0)["url"].alias("first_url"))
 
 
 @query("a1_batch_totals")

@@ -9,7 +9,9 @@ INT = T.IntegerType()
 LONG = T.LongType()
 
 # One HTML node; ``id`` is the pre-order index (= array position) and the
-# subtree of a node is nodes[id+1 .. end_id]. ``path``/``anc`` hold the tags
+# subtree of a node is nodes[id+1 .. end_id]. ``sib``/``type_sib`` are the
+# 1-based positions among element siblings (all / same tag), ``prev_sib``
+# the id of the previous element sibling. ``path``/``anc`` hold the tags
 # and ids of the open ancestors, root first. ``start``/``stop`` are character
 # offsets of the element's outer HTML in the source page.
 NODE = T.StructType(
@@ -20,6 +22,7 @@ NODE = T.StructType(
         T.StructField("depth", INT),
         T.StructField("sib", INT),
         T.StructField("type_sib", INT),
+        T.StructField("prev_sib", INT),
         T.StructField("kind", STR),
         T.StructField("tag", STR),
         T.StructField("attrs", T.MapType(STR, STR)),
