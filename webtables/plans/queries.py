@@ -115,3 +115,91 @@ def all_queries() -> dict[str, Query]:
     from webtables.plans import more_queries  # noqa: F401
 
     return dict(REGISTRY)
+
+
+# --- selectors ------------------------------------------------------------------
+
+def _sel(spark, d, sel):
+    from webtables.operators.selectors import filter_by_selector
+
+    p = _parsed(spark, d)
+    return p.select("page_id", filter_by_selector("nodes", "html", sel).alias("r"))
+
+
+@query("p2_select_nav_links")
+def q_sel_nav(spark, d):
+    return _sel(spark, d, "nav a").select("page_id", "r.content", F.col("r.count").alias("elements_matched"))
+
+
+@query("p2_select_class")
+def q_sel_class(spark, d):
+    return _sel(spark, d, "div.ad").select("page_id", "r.content", F.col("r.count").alias("elements_matched"))
+
+
+@query("a10_elements_matched")
+def q_sel_count(spark, d):
+    return _sel(spark, d, "article p, h1").select("page_id", F.col("r.count").alias("elements_matched"))
+
+
+@query("j4_descendant_match")
+def q_desc(spark, d):
+    return _sel(spark, d, "body li a").select("page_id", F.col("r.count").alias("elements_matched"))
+
+
+@query("j5_child_sibling_match")
+def q_child(spark, d):
+    from webtables.operators.selectors import match_nodes
+
+    p = _parsed(spark, d)
+    return p.select(
+        "page_id",
+        F.size(match_nodes("nodes", "ul > li")).alias("child"),
+        F.size(match_nodes("nodes", "li + li")).alias("adjacent"),
+        F.size(match_nodes("nodes", "li ~ li")).alias("general"),
+    )
+
+
+@query("w5_sibling_positions")
+def q_typesib(spark, d):
+    from webtables.operators.parse import explode_nodes
+
+    n = explode_nodes(_parsed(spark, d))
+    return n.where(F.col("tag") == "li").select("page_id", "type_sib", "sib")
+
+
+@query("m1_batch_html_selector")
+def q_m1(spark, d):
+    from webtables.operators.selectors import filter_by_selector
+
+    parsed = _parsed(spark, d)
+    ok = is_http_url("url")
+    r = filter_by_selector("nodes", "html", "nav a")
+    return parsed.select(
+        "page_id",
+        ok.alias("success"),
+        F.when(ok, r["content"]).alias("content"),
+        F.when(ok, r["count"]).alias("elements_matched"),
+    )
+
+
+@query("g9_main_content_text")
+def q_main(spark, d):
+    from webtables.operators.selectors import selected_subtrees
+
+    p = _parsed(spark, d)
+    return p.select("page_id", P.page_text(selected_subtrees("nodes", "article, main, .content")).alias("text"))
+
+
+@query("m2_batch_markdown")
+def q_m2(spark, d):
+    r = P.batch_convert(pages(spark, d), "markdown", strip_tags=["script", "style", "noscript"])
+    return r.select("page_id", "success", F.length("content").alias("markdown_chars"),
+                    F.col("content").contains("# ").alias("has_heading"))
+
+
+@query("p12_selector_then_metadata")
+def q_p12(spark, d):
+    from webtables.operators.selectors import selected_subtrees
+
+    p = _parsed(spark, d)
+    return p.select("page_id", F.size(P.page_metadata(selected_subtrees("nodes", "article"))).alias("n_keys"))
