@@ -43,6 +43,11 @@ EXTRACT_PATTERNS = {
 }
 
 
+def _exists(arr: Column, f) -> Column:
+    """Two-valued ``exists``: a null test counts as false."""
+    return F.coalesce(F.exists(arr, lambda x: F.coalesce(f(x), F.lit(False))), F.lit(False))
+
+
 def _elements(nodes: Column, tags: list[str]) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
@@ -52,7 +57,7 @@ def _meta(nodes: Column) -> Column:
 
 
 def _has_rel(nodes: Column, rel: str) -> Column:
-    return F.exists(
+    return _exists(
         nodes,
         lambda n: (n["tag"] == "link")
         & F.coalesce(F.array_contains(F.split(F.lower(n["attrs"]["rel"]), r"[ \t\n\r\f]+"), rel), F.lit(False)),
@@ -101,7 +106,7 @@ def seo_audit(parsed: DataFrame) -> DataFrame:
         "single_h1": F.size(_elements(nodes, ["h1"])) == 1,
         "heading_order": (F.size(lv) == 0) | ((F.get(lv, 0) == 1) & (heading_skips(nodes) == 0)),
         "image_alt": F.forall(imgs, lambda i: F.coalesce(i["attrs"]["alt"], F.lit("")) != ""),
-        "internal_links": F.exists(links, lambda link: host(link["url"]) == page_host),
+        "internal_links": _exists(links, lambda link: host(link["url"]) == page_host),
         "https": scheme(F.col("url")) == "https",
         "viewport": F.map_contains_key(meta, "viewport"),
     }
@@ -222,14 +227,14 @@ def metadata_check(parsed: DataFrame) -> DataFrame:
         (F.coalesce(meta["title"], F.lit("")) != "").alias("title"),
         F.map_contains_key(meta, "description").alias("description"),
         F.map_contains_key(meta, "viewport").alias("viewport"),
-        F.exists(nodes, lambda n: (n["tag"] == "meta") & F.map_contains_key(n["attrs"], "charset")).alias("charset"),
+        _exists(nodes, lambda n: (n["tag"] == "meta") & F.map_contains_key(n["attrs"], "charset")).alias("charset"),
         F.map_contains_key(meta, "robots").alias("robots"),
         _has_rel(nodes, "canonical").alias("canonical"),
         _has_rel(nodes, "alternate").alias("alternate"),
-        F.exists(keys, lambda k: k.startswith("og:")).alias("open_graph"),
-        F.exists(keys, lambda k: k.startswith("twitter:")).alias("twitter"),
-        F.exists(scripts, lambda s: F.lower(F.coalesce(s["attrs"]["type"], F.lit(""))) == "application/ld+json").alias("json_ld"),
-        F.exists(nodes, lambda n: F.coalesce(n["attrs"]["itemtype"], F.lit("")).contains("schema.org")).alias("schema_org"),
+        _exists(keys, lambda k: k.startswith("og:")).alias("open_graph"),
+        _exists(keys, lambda k: k.startswith("twitter:")).alias("twitter"),
+        _exists(scripts, lambda s: F.lower(F.coalesce(s["attrs"]["type"], F.lit(""))) == "application/ld+json").alias("json_ld"),
+        _exists(nodes, lambda n: F.coalesce(n["attrs"]["itemtype"], F.lit("")).contains("schema.org")).alias("schema_org"),
     )
 
 
@@ -259,7 +264,7 @@ def accessibility_check(parsed: DataFrame) -> DataFrame:
     unlabeled = F.filter(
         inputs,
         lambda n: ~F.coalesce(F.array_contains(label_for, n["attrs"]["id"]), F.lit(False))
-        & ~F.exists(n["anc"], lambda i: node_at(nodes, i)["tag"] == "label")
+        & ~_exists(n["anc"], lambda i: node_at(nodes, i)["tag"] == "label")
         & ~F.map_contains_key(n["attrs"], "aria-label")
         & ~F.map_contains_key(n["attrs"], "aria-labelledby"),
     )
@@ -267,7 +272,7 @@ def accessibility_check(parsed: DataFrame) -> DataFrame:
         anchors,
         lambda a: F.lower(node_text(nodes, a, " ")).isin(*GENERIC_LINK_TEXT),
     )
-    skip = F.exists(
+    skip = _exists(
         anchors,
         lambda a: a["attrs"]["href"].startswith("#") & F.lower(node_text(nodes, a, " ")).contains("skip"),
     )
@@ -280,7 +285,7 @@ def accessibility_check(parsed: DataFrame) -> DataFrame:
         skip.alias("skip_link"),
     ]
     def has(tag):
-        return F.exists(nodes, lambda n: n["tag"] == tag)
+        return _exists(nodes, lambda n: n["tag"] == tag)
 
     cols += [has(t).alias(f"has_{t}") for t in LANDMARKS]
     return parsed.select(*cols)
