@@ -156,3 +156,8 @@ SELECT host, page_id, ref_id,
        CASE WHEN len(list_distinct(list_concat(words, rw))) = 0 THEN 1.0
             ELSE round(len(list_filter(words, lambda w: list_contains(rw, w))) / len(list_distinct(list_concat(words, rw))), 4) END AS word_jaccard
 FROM j"""
+
+ORACLES["t5_page_conversion_stream"] = f"""
+WITH t AS ({_text_sql()})
+SELECT p.page_id, t.text, CAST(len(regexp_extract_all(p.html, '<a\\s[^>]*href=')) AS INT) AS links
+FROM pages p JOIN t USING (page_id)"""

@@ -168,3 +168,17 @@ FROM rl LEFT JOIN live USING (cache_key)""",
 r AS (SELECT cache_key, fetched_at, sum(strlen(content)) OVER (ORDER BY fetched_at DESC, cache_key DESC ROWS UNBOUNDED PRECEDING) AS run FROM store)
 SELECT cache_key, fetched_at FROM r WHERE run <= 2000000""",
 }
+
+
+# --- streams (final state equals the batch operators) ---------------------------
+ORACLES["t1_running_counters"] = f"""WITH {RL}, c AS (SELECT request_type, {COUNTERS} FROM rl GROUP BY request_type)
+SELECT c.*, CASE WHEN total = 0 THEN 0.0 ELSE {R('100.0 * successful / total', 2)} END AS success_rate,
+       CASE WHEN total = 0 THEN 0.0 ELSE {R('total_retries / total', 2)} END AS avg_retries FROM c"""
+ORACLES["t2_windowed_stats"] = f"""WITH {RL}
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+       count(*) AS total, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS successful,
+       CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) AS BIGINT) AS failed,
+       CAST(sum(greatest(attempts - 1, 0)) AS BIGINT) AS total_retries
+FROM rl GROUP BY 1, 2"""
+ORACLES["t3_ttl_dedup_stream"] = ORACLES["r2_fetch_or_served"]
+ORACLES["t4_last_n_stream"] = f"""WITH {RL} SELECT request_id, ts, url, success FROM rl ORDER BY ts DESC, request_id DESC LIMIT 100"""
