@@ -17,6 +17,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    An outer expression used inside a higher-order lambda is re-evaluated
+    for every element; binding it first keeps the work linear."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def ustrip(s) -> Column:
     """Python ``str.strip()`` (Unicode whitespace)."""
     return F.regexp_replace(_c(s), f"^{WS}+|{WS}+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webtables.functions.text import _c
+from webtables.functions.text import _c, let
 
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 # scheme://[userinfo@]host[:port]
@@ -159,8 +159,20 @@ def _clean(u: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(u, r"^[\x{00}-\x{20}]+", ""), r"[\t\r\n]", "")
 
 
-def _part(u: Column, g: int) -> Column:
-    return F.regexp_extract(u, _SPLIT_RE, g)
+def url_parts(u) -> Column:
+    """``struct(scheme, has_net, net, path, query, frag)`` of a URL, parsed
+    once (scheme lower-cased, as urlsplit does)."""
+    def parts(c: Column) -> Column:
+        return F.struct(
+            F.lower(F.regexp_extract(c, _SPLIT_RE, 1)).alias("scheme"),
+            (F.regexp_extract(c, _SPLIT_RE, 2) != "").alias("has_net"),
+            F.regexp_extract(c, _SPLIT_RE, 3).alias("net"),
+            F.regexp_extract(c, _SPLIT_RE, 4).alias("path"),
+            F.regexp_extract(c, _SPLIT_RE, 6).alias("query"),
+            F.regexp_extract(c, _SPLIT_RE, 8).alias("frag"),
+        )
+
+    return let(_clean(_c(u)), parts)
 
 
 def _unsplit(sch: Column, netloc: Column, path: Column, query: Column, frag: Column) -> Column:
@@ -174,15 +186,7 @@ def _unsplit(sch: Column, netloc: Column, path: Column, query: Column, frag: Col
     )
 
 
-def _merge_paths(bpath: Column, hpath: Column) -> Column:
-    """RFC 3986 merge + dot-segment removal as urljoin does it."""
-    bparts = F.split(bpath, "/", -1)
-    bparts = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, 1, F.size(bparts) - 1)).otherwise(bparts)
-    hparts = F.split(hpath, "/", -1)
-    rel = F.concat(bparts, hparts)
-    n = F.size(rel)
-    rel = F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, n - 2), lambda s: s != ""), F.slice(rel, n, 1))
-    segs = F.when(hpath.startswith("/"), hparts).otherwise(rel)
+def _remove_dots(segs: Column) -> Column:
     out = F.aggregate(
         segs,
         F.array().cast("array<string>"),
@@ -195,20 +199,51 @@ def _merge_paths(bpath: Column, hpath: Column) -> Column:
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
 
+def _merge_paths(bpath: Column, hpath: Column) -> Column:
+    """RFC 3986 merge + dot-segment removal as urljoin does it."""
+    def merged(bp: Column) -> Column:
+        def drop_middle_empties(rel: Column) -> Column:
+            n = F.size(rel)
+            return F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, n - 2), lambda s: s != ""), F.slice(rel, n, 1))
+
+        bparts = F.when(F.element_at(bp, -1) != "", F.slice(bp, 1, F.size(bp) - 1)).otherwise(bp)
+        return _remove_dots(let(F.concat(bparts, F.split(hpath, "/", -1)), drop_middle_empties))
+
+    return F.when(hpath.startswith("/"), _remove_dots(F.split(hpath, "/", -1))).otherwise(
+        let(F.split(bpath, "/", -1), merged)
+    )
+
+
+# a plain absolute path: no "//" start, no dot segment, no control or
+# space characters, no empty "?"/"#" to drop
+_PLAIN_PATH = r"^/(?!/)(?!.*(?:^|/)\.\.?(?:/|$|[?#]))(?!.*(?:\?#|\?$|#$))[^\x{00}-\x{20}\x{7f}]*$"
+
+
+def resolve_parts(bp: Column, base: Column, href) -> Column:
+    """H5 with the base already parsed (``url_parts(base)``)."""
+    h0 = _c(href)
+
+    def full(hp: Column) -> Column:
+        sch = F.when(hp["scheme"] == "", bp["scheme"]).otherwise(hp["scheme"])
+        relative_ok = sch.isin(*USES_RELATIVE) & (sch == bp["scheme"])
+        return (
+            F.when(~relative_ok, h0)
+            .when(hp["has_net"], _unsplit(sch, hp["net"], hp["path"], hp["query"], hp["frag"]))
+            .when(hp["path"] == "", _unsplit(sch, bp["net"], bp["path"],
+                                             F.when(hp["query"] == "", bp["query"]).otherwise(hp["query"]), hp["frag"]))
+            .otherwise(_unsplit(sch, bp["net"], _merge_paths(bp["path"], hp["path"]), hp["query"], hp["frag"]))
+        )
+
+    fast = bp["scheme"].isin(*USES_RELATIVE) & (bp["scheme"] != "") & h0.rlike(_PLAIN_PATH)
+    return (
+        F.when(base.isNull() | (base == ""), h0)
+        .when(h0 == "", base)
+        .when(fast, F.concat(bp["scheme"], F.lit(":"), F.when(bp["net"] != "", F.concat(F.lit("//"), bp["net"])).otherwise(F.lit("")), h0))
+        .otherwise(let(url_parts(h0), full))
+    )
+
+
 def resolve_url(base, href) -> Column:
     """H5: ``urljoin(base, href)`` when base is non-empty, else ``href``."""
-    b0, h0 = _c(base), _c(href)
-    b, h = _clean(b0), _clean(h0)
-    bs, hs = F.lower(_part(b, 1)), F.lower(_part(h, 1))
-    b_net, b_path, b_query = _part(b, 3), _part(b, 4), _part(b, 6)
-    h_has_net = _part(h, 2) != ""
-    h_net, h_path, h_query, h_frag = _part(h, 3), _part(h, 4), _part(h, 6), _part(h, 8)
-    sch = F.when(hs == "", bs).otherwise(hs)
-    relative_ok = sch.isin(*USES_RELATIVE) & (sch == bs)
-    resolved = (
-        F.when(~relative_ok, h0)
-        .when(h_has_net, _unsplit(sch, h_net, h_path, h_query, h_frag))
-        .when(h_path == "", _unsplit(sch, b_net, b_path, F.when(h_query == "", b_query).otherwise(h_query), h_frag))
-        .otherwise(_unsplit(sch, b_net, _merge_paths(b_path, h_path), h_query, h_frag))
-    )
-    return F.when(b0.isNull() | (b0 == ""), h0).when(h0 == "", b0).otherwise(resolved)
+    b0 = _c(base)
+    return let(url_parts(b0), lambda bp: resolve_parts(bp, b0, href))

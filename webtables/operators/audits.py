@@ -68,9 +68,10 @@ def heading_levels(nodes) -> Column:
     return F.transform(_elements(_c(nodes), HEADINGS), lambda h: F.substring(h["tag"], 2, 1).cast("int"))
 
 
-def heading_skips(nodes) -> Column:
-    """Number of places where the heading level rises by more than one."""
-    lv = heading_levels(nodes)
+def heading_skips(levels) -> Column:
+    """Number of places where the heading level rises by more than one
+    (``levels`` is a column of heading levels, see ``heading_levels``)."""
+    lv = _c(levels)
     return F.size(
         F.filter(
             F.sequence(F.lit(1), F.greatest(F.size(lv) - 1, F.lit(0))),
@@ -82,14 +83,19 @@ def heading_skips(nodes) -> Column:
 def seo_audit(parsed: DataFrame) -> DataFrame:
     """G1: one row per page of boolean checks and ``score = passed/checks*100``
     (equal weights: the checklist gives none)."""
+    # heavy arrays are computed once in their own projection, then referenced
     nodes = F.col("nodes")
-    meta = _meta(nodes)
+    parsed = parsed.select(
+        "page_id", "url", "nodes",
+        _meta(nodes).alias("_meta"),
+        page_links(nodes, F.col("url")).alias("_links"),
+        heading_levels(nodes).alias("_lv"),
+        host(F.col("url")).alias("_host"),
+    )
+    meta, links, lv, page_host = F.col("_meta"), F.col("_links"), F.col("_lv"), F.col("_host")
     title = F.coalesce(meta["title"], F.lit(""))
     desc = F.coalesce(meta["description"], F.lit(""))
-    links = page_links(nodes, F.col("url"))
-    page_host = host(F.col("url"))
     imgs = _elements(nodes, ["img"])
-    lv = heading_levels(nodes)
     checks = {
         "title_present": title != "",
         "title_length_ok": F.length(title).between(*TITLE_LEN),
@@ -104,7 +110,7 @@ def seo_audit(parsed: DataFrame) -> DataFrame:
         "twitter_title": F.map_contains_key(meta, "twitter:title"),
         "twitter_description": F.map_contains_key(meta, "twitter:description"),
         "single_h1": F.size(_elements(nodes, ["h1"])) == 1,
-        "heading_order": (F.size(lv) == 0) | ((F.get(lv, 0) == 1) & (heading_skips(nodes) == 0)),
+        "heading_order": (F.size(lv) == 0) | ((F.get(lv, 0) == 1) & (heading_skips(lv) == 0)),
         "image_alt": F.forall(imgs, lambda i: F.coalesce(i["attrs"]["alt"], F.lit("")) != ""),
         "internal_links": _exists(links, lambda link: host(link["url"]) == page_host),
         "https": scheme(F.col("url")) == "https",
@@ -137,13 +143,16 @@ def link_audit(parsed: DataFrame, max_external: int = 100) -> DataFrame:
     """G2 per page: internal/external counts, links without text, nofollow
     links, and the excess-external flag (threshold is a parameter)."""
     nodes = F.col("nodes")
+    parsed = parsed.select("page_id", "nodes", page_links(nodes, F.col("url")).alias("_links"),
+                           host(F.col("url")).alias("_host"))
     anchors = F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"))
-    links = page_links(nodes, F.col("url"))
-    ph = host(F.col("url"))
+    links, ph = F.col("_links"), F.col("_host")
     internal = F.size(F.filter(links, lambda l: host(l["url"]) == ph))
     nofollow = F.size(F.filter(
         anchors, lambda a: F.coalesce(F.array_contains(F.split(F.lower(a["attrs"]["rel"]), r"[ \t\n\r\f]+"), "nofollow"), F.lit(False))
     ))
+    parsed = parsed.withColumn("_internal", internal)
+    internal = F.col("_internal")
     out = parsed.select(
         "page_id",
         F.size(links).alias("links"),
@@ -218,7 +227,8 @@ def match_host_rules(df: DataFrame, rules: DataFrame, url_col: str = "url") -> D
 def metadata_check(parsed: DataFrame) -> DataFrame:
     """Presence flags per page."""
     nodes = F.col("nodes")
-    meta = _meta(nodes)
+    parsed = parsed.select("page_id", "url", "nodes", _meta(nodes).alias("_meta"))
+    meta = F.col("_meta")
     keys = F.map_keys(meta)
     scripts = _elements(nodes, ["script"])
     return parsed.select(
@@ -250,12 +260,17 @@ def accessibility_check(parsed: DataFrame) -> DataFrame:
     """G4 (structural items only): images without alt, generic link texts,
     inputs without a label, heading skips, skip link, landmarks."""
     nodes = F.col("nodes")
+    parsed = parsed.select(
+        "page_id", "nodes",
+        F.transform(
+            F.filter(nodes, lambda n: (n["tag"] == "label") & F.map_contains_key(n["attrs"], "for")),
+            lambda n: n["attrs"]["for"],
+        ).alias("_label_for"),
+        heading_levels(nodes).alias("_lv"),
+    )
+    label_for = F.col("_label_for")
     imgs = _elements(nodes, ["img"])
     anchors = F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"))
-    label_for = F.transform(
-        F.filter(nodes, lambda n: (n["tag"] == "label") & F.map_contains_key(n["attrs"], "for")),
-        lambda n: n["attrs"]["for"],
-    )
     inputs = F.filter(
         nodes,
         lambda n: n["tag"].isin("input", "select", "textarea")
@@ -281,7 +296,7 @@ def accessibility_check(parsed: DataFrame) -> DataFrame:
         F.size(F.filter(imgs, lambda i: ~F.map_contains_key(i["attrs"], "alt"))).alias("images_without_alt"),
         F.size(generic).alias("generic_link_text"),
         F.size(unlabeled).alias("inputs_without_label"),
-        heading_skips(nodes).alias("heading_skips"),
+        heading_skips(F.col("_lv")).alias("heading_skips"),
         skip.alias("skip_link"),
     ]
     def has(tag):

@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webtables.functions.text import _c, ustrip
-from webtables.functions.urls import resolve_url
+from webtables.functions.text import _c, let, ustrip
+from webtables.functions.urls import resolve_parts, url_parts
 from webtables.operators.parse import strip_subtrees, subtree
 
 # Tags stripped by default before text extraction.
@@ -51,26 +51,38 @@ def page_links(nodes, base_url=None, within=None) -> Column:
     )
     base = F.lit(None).cast("string") if base_url is None else _c(base_url)
 
-    def one(a: Column) -> Column:
-        href = a["attrs"]["href"]
-        return F.struct(
-            resolve_url(base, href).alias("url"),
-            node_text(nodes, a).alias("text"),
-            F.coalesce(a["attrs"]["title"], F.lit("")).alias("title"),
-        )
+    def with_base(bp: Column) -> Column:
+        def one(a: Column) -> Column:
+            href = a["attrs"]["href"]
+            return F.struct(
+                resolve_parts(bp, base, href).alias("url"),
+                node_text(nodes, a).alias("text"),
+                F.coalesce(a["attrs"]["title"], F.lit("")).alias("title"),
+            )
+
+        return F.transform(anchors, one)
+
+    # the base URL is parsed once per page, not once per link
+    return let(url_parts(base), with_base)
+
+
+def _title_entry(small: Column) -> Column:
+    """``small`` holds the title/meta elements and the title's text children
+    only (see ``page_metadata``)."""
+
+    def with_title(title: Column) -> Column:
+        kids = F.filter(small, lambda n: n["parent"] == title["id"])
 
-    return F.transform(anchors, one)
+        def value_of(k: Column) -> Column:
+            only = F.get(k, 0)
+            return F.when((F.size(k) == 1) & only["kind"].isin("text", "raw"), only["text"]).otherwise(F.lit(""))
 
+        return F.when(
+            title.isNotNull(),
+            F.array(F.struct(F.lit("title").alias("key"), let(kids, value_of).alias("value"))),
+        )
 
-def _title_entry(nodes: Column) -> Column:
-    title = F.get(F.filter(nodes, lambda n: n["tag"] == "title"), 0)
-    # by parent id, so this also works on filtered or concatenated arrays
-    kids = F.filter(nodes, lambda n: n["parent"] == title["id"])
-    only = F.get(kids, 0)
-    value = F.when(
-        (F.size(kids) == 1) & only["kind"].isin("text", "raw"), only["text"]
-    ).otherwise(F.lit(""))
-    return F.when(title.isNotNull(), F.array(F.struct(F.lit("title").alias("key"), value.alias("value"))))
+    return let(F.get(F.filter(small, lambda n: n["tag"] == "title"), 0), with_title)
 
 
 def page_metadata(nodes) -> Column:
@@ -78,20 +90,32 @@ def page_metadata(nodes) -> Column:
     ''), then every meta with (name else property) and content both
     non-empty; later keys overwrite earlier ones (needs LAST_WIN)."""
     nodes = _c(nodes)
-    metas = F.filter(nodes, lambda n: n["tag"] == "meta")
-    entries = F.transform(
-        metas,
-        lambda m: F.struct(
-            F.coalesce(F.nullif(m["attrs"]["name"], F.lit("")), m["attrs"]["property"]).alias("key"),
-            m["attrs"]["content"].alias("value"),
-        ),
-    )
-    entries = F.filter(
-        entries, lambda e: (F.coalesce(e["key"], F.lit("")) != "") & (F.coalesce(e["value"], F.lit("")) != "")
+    # one pass over the page keeps what metadata needs: title and meta
+    # elements and the direct children of titles (by parent id, so this also
+    # works on filtered or concatenated arrays)
+    small = F.filter(
+        nodes,
+        lambda n: n["tag"].isin("title", "meta")
+        | (n["tag"].isNull() & (F.element_at(n["path"], -1) == "title")),
     )
-    title = _title_entry(nodes)
-    all_entries = F.concat(F.coalesce(title, F.array().cast("array<struct<key:string,value:string>>")), entries)
-    return F.map_from_entries(all_entries)
+
+    def build(sm: Column) -> Column:
+        metas = F.filter(sm, lambda n: n["tag"] == "meta")
+        entries = F.transform(
+            metas,
+            lambda m: F.struct(
+                F.coalesce(F.nullif(m["attrs"]["name"], F.lit("")), m["attrs"]["property"]).alias("key"),
+                m["attrs"]["content"].alias("value"),
+            ),
+        )
+        entries = F.filter(
+            entries,
+            lambda e: (F.coalesce(e["key"], F.lit("")) != "") & (F.coalesce(e["value"], F.lit("")) != ""),
+        )
+        empty = F.array().cast("array<struct<key:string,value:string>>")
+        return F.map_from_entries(F.concat(F.coalesce(_title_entry(sm), empty), entries))
+
+    return let(small, build)
 
 
 def content_reduction(output, html) -> Column:

@@ -85,8 +85,17 @@ def _parse_batches(html_col: str):
     return run
 
 
-def parse_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """Append ``nodes array<NODE>`` and ``parse_error string`` to every row."""
+def parse_pages(df: DataFrame, html_col: str = "html", spread: bool = True) -> DataFrame:
+    """Append ``nodes array<NODE>`` and ``parse_error string`` to every row.
+
+    Parsing is CPU work per page. When the input has fewer partitions than
+    the cluster has cores (a few large files), rows are spread round-robin
+    first so every core parses; a large crawl already has many splits and
+    is parsed where it is read, without a shuffle."""
+    if spread:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
     schema = T.StructType(
         list(df.schema.fields)
         + [T.StructField("nodes", NODES), T.StructField("parse_error", T.StringType())]
