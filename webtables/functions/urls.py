@@ -165,7 +165,7 @@ def url_parts(u) -> Column:
     def parts(c: Column) -> Column:
         return F.struct(
             F.lower(F.regexp_extract(c, _SPLIT_RE, 1)).alias("scheme"),
-            (F.regexp_extract(c, _SPLIT_RE, 2) != "").alias("has_net"),
+            (F.regexp_extract(c, _SPLIT_RE, 3) != "").alias("has_net"),
             F.regexp_extract(c, _SPLIT_RE, 3).alias("net"),
             F.regexp_extract(c, _SPLIT_RE, 4).alias("path"),
             F.regexp_extract(c, _SPLIT_RE, 6).alias("query"),
@@ -216,7 +216,7 @@ def _merge_paths(bpath: Column, hpath: Column) -> Column:
 
 # a plain absolute path: no "//" start, no dot segment, no control or
 # space characters, no empty "?"/"#" to drop
-_PLAIN_PATH = r"^/(?!/)(?!.*(?:^|/)\.\.?(?:/|$|[?#]))(?!.*(?:\?#|\?$|#$))[^\x{00}-\x{20}\x{7f}]*$"
+_PLAIN_PATH = r"^(?!//)(?!.*/\.\.?(?:/|$|[?#]))(?!.*(?:\?#|\?$|#$))/[^\x{00}-\x{20}\x{7f}]*$"
 
 
 def resolve_parts(bp: Column, base: Column, href) -> Column:
