@@ -104,4 +104,4 @@ def ratio(num, den, places: int = 2) -> Column:
 
 def request_id(url, ts) -> Column:
     """Repeatable request id (``uuid4`` is not repeatable)."""
-    return F.sha2(F.concat_ws("#", _c(url), _c(ts).cast("string")), 256)
+    return F.sha2(F.concat_ws("#", _c(url), F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss.SSSSSS")), 256)

@@ -194,7 +194,7 @@ def _remove_dots(segs: Column) -> Column:
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    out = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out)
+    out = F.when(F.try_element_at(segs, F.lit(-1)).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out)
     joined = F.array_join(out, "/")
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
@@ -206,7 +206,7 @@ def _merge_paths(bpath: Column, hpath: Column) -> Column:
             n = F.size(rel)
             return F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, n - 2), lambda s: s != ""), F.slice(rel, n, 1))
 
-        bparts = F.when(F.element_at(bp, -1) != "", F.slice(bp, 1, F.size(bp) - 1)).otherwise(bp)
+        bparts = F.when(F.try_element_at(bp, F.lit(-1)) != "", F.slice(bp, 1, F.size(bp) - 1)).otherwise(bp)
         return _remove_dots(let(F.concat(bparts, F.split(hpath, "/", -1)), drop_middle_empties))
 
     return F.when(hpath.startswith("/"), _remove_dots(F.split(hpath, "/", -1))).otherwise(

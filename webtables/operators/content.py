@@ -96,7 +96,7 @@ def page_metadata(nodes) -> Column:
     small = F.filter(
         nodes,
         lambda n: n["tag"].isin("title", "meta")
-        | (n["tag"].isNull() & (F.element_at(n["path"], -1) == "title")),
+        | (n["tag"].isNull() & (F.try_element_at(n["path"], F.lit(-1)) == "title")),
     )
 
     def build(sm: Column) -> Column:

@@ -182,3 +182,25 @@ SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1
 FROM rl GROUP BY 1, 2"""
 ORACLES["t3_ttl_dedup_stream"] = ORACLES["r2_fetch_or_served"]
 ORACLES["t4_last_n_stream"] = f"""WITH {RL} SELECT request_id, ts, url, success FROM rl ORDER BY ts DESC, request_id DESC LIMIT 100"""
+
+ORACLES["p4_clean_metadata"] = f"""WITH {RL}
+SELECT request_id, elapsed_ms, CASE WHEN attempts > 1 THEN attempts END AS attempts,
+       CASE WHEN attempts - 1 > 0 THEN attempts - 1 END AS retries, CAST(NULL AS BOOLEAN) AS from_cache,
+       'article' AS css_selector_applied, 1 AS elements_matched, true AS headers_dropped FROM rl"""
+ORACLES["p9_preview"] = """
+SELECT page_id, CAST(length(substring(html, 1, 5000)) AS INT) AS preview_chars,
+       CASE WHEN length(html) > 5000 THEN true END AS content_truncated,
+       CASE WHEN length(html) > 5000 THEN CAST(length(html) AS INT) END AS full_content_length FROM pages"""
+ORACLES["p11_metadata_view"] = f"WITH {RL} SELECT request_id, url, status_code, elapsed_ms, attempts, success, error FROM rl"
+ORACLES["s9_json_export"] = f"""WITH {RL}
+SELECT request_id, '{{"request_id":' || request_id || ',"url":"' || url || '","success":' || CASE WHEN success THEN 'true' ELSE 'false' END
+       || ',"status_code":' || status_code || ',"attempts":' || attempts
+       || CASE WHEN error IS NULL THEN '' ELSE ',"error":"' || error || '"' END || '}}' AS json FROM rl"""
+ORACLES["h12_query_url"] = """
+SELECT page_id, 'https://proxy.example/v1/?api_key=key~1&url=' || replace(url_encode(url), '%20', '+') || '&country=us' AS proxy_url
+FROM pages"""
+ORACLES["h18_request_id"] = f"WITH {RL} SELECT request_id, sha256(url || '#' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS rid FROM rl"
+ORACLES["x4_sql_views"] = """
+SELECT page_id, count(*) AS links,
+       max(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS title
+FROM (SELECT page_id, html, unnest(regexp_extract_all(html, '<a\\s[^>]*href=')) AS a FROM pages) GROUP BY page_id"""

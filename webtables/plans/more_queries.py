@@ -227,3 +227,77 @@ def q_retain(spark, d):
     st = D.page_store(spark, d)
     kept = S.retain_within_budget(st, 2_000_000)
     return kept.select("cache_key", _ntz(F.col("fetched_at")).alias("fetched_at"))
+
+
+# --- sparse metadata, previews, views, export, ids ---------------------------------
+
+@query("p4_clean_metadata")
+def q_clean_meta(spark, d):
+    from webtables.operators.pages import clean_metadata
+
+    log = D.request_log(spark, d)
+    meta = F.struct(
+        F.col("elapsed_ms").alias("elapsed_ms"), F.col("attempts").alias("attempts"),
+        (F.col("attempts") - 1).alias("retries"), F.lit(False).alias("from_cache"),
+        F.lit(False).alias("proxy_used"), F.lit(None).cast("map<string,string>").alias("proxy_config"),
+        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"),
+        F.lit(None).cast("boolean").alias("rendered_js"), F.lit(None).cast("map<string,string>").alias("page_metadata"),
+    )
+    c = clean_metadata(meta, css_selector="article", elements_matched=F.lit(1), include_headers=False)
+    return log.select("request_id", c.alias("m")).select(
+        "request_id", "m.elapsed_ms", "m.attempts", "m.retries", "m.from_cache", "m.css_selector_applied",
+        "m.elements_matched", F.col("m.headers").isNull().alias("headers_dropped"),
+    )
+
+
+@query("p9_preview")
+def q_preview(spark, d):
+    from webtables.operators.pages import preview
+
+    pv = preview(F.col("html"), 5000)
+    return pages_table(spark, d).select(
+        "page_id", F.length(pv["content"]).alias("preview_chars"), pv["content_truncated"].alias("content_truncated"),
+        pv["full_content_length"].alias("full_content_length"),
+    )
+
+
+@query("p11_metadata_view")
+def q_view(spark, d):
+    log = D.request_log(spark, d)
+    st = D.page_store(spark, d)
+    live = st.where((F.col("fetched_at") <= F.lit(NOW_MID).cast("timestamp_ntz")) & S.is_live(NOW_MID))
+    return R.reduced_view(R.details(log, live), "metadata")
+
+
+@query("s9_json_export")
+def q_json(spark, d):
+    log = D.request_log(spark, d).select("request_id", "url", "success", "status_code", "attempts", "error")
+    return R.to_json_rows(log).select(F.get_json_object("json", "$.request_id").cast("long").alias("request_id"), "json")
+
+
+@query("h12_query_url")
+def q_query_url(spark, d):
+    u = U.query_url("https://proxy.example/v1/", {"api_key": "key~1", "url": F.col("url"), "render_js": None, "country": "us"})
+    return pages_table(spark, d).select("page_id", u.alias("proxy_url"))
+
+
+@query("h18_request_id")
+def q_req_id(spark, d):
+    return D.request_log(spark, d).select("request_id", TX.request_id(F.col("url"), F.col("ts")).alias("rid"))
+
+
+@query("x4_sql_views")
+def q_sql(spark, d):
+    from webtables.plans.sql import register
+
+    register(spark, d)
+    return spark.sql(
+        "SELECT l.page_id, count(*) AS links, max(m.value) AS title "
+        "FROM links l JOIN page_meta m ON m.page_id = l.page_id AND m.key = 'title' GROUP BY l.page_id"
+    )
+
+
+def pages_table(spark, d):
+    from webtables.sources.tables import pages
+
+    return pages(spark, d)
