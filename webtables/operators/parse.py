@@ -92,7 +92,7 @@ def parse_pages(df: DataFrame, html_col: str = "html", spread: bool = True) -> D
     the cluster has cores (a few large files), rows are spread round-robin
     first so every core parses; a large crawl already has many splits and
     is parsed where it is read, without a shuffle."""
-    if spread:
+    if spread and not df.isStreaming:
         cores = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
             df = df.repartition(cores)
