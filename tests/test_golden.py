@@ -173,3 +173,12 @@ def test_metadata_after_selector_is_empty(parsed):
     # metadata comes from the filtered HTML: no head tags, no entries
     m = one(parsed, 4, page_metadata(selected_subtrees("nodes", "article")))
     assert m == {}
+
+
+def test_markdown_in_parse_pass_equals_udf(fixture_pages):
+    from webtables.operators.parse import parse_pages
+
+    for strip in ([], ["script", "style", "noscript"]):
+        p = parse_pages(fixture_pages, keep_html=False, markdown_strip=strip)
+        rows = p.select("markdown", nodes_to_markdown(F.col("nodes"), strip).alias("udf")).collect()
+        assert all(r.markdown == r.udf for r in rows)

@@ -28,8 +28,8 @@ def scan_pages(pages: DataFrame) -> DataFrame:
 
 def links_by_host(pages: DataFrame) -> DataFrame:
     """Flagship: pages and links per host (P1 -> X1 -> H3/H5 -> agg)."""
-    ok = pages.select("page_id", "url", "html").where(is_http_url("url"))
-    parsed = parse_pages(ok).select("url", page_links("nodes", "url").alias("links"))
+    ok = pages.select("url", "html").where(is_http_url("url"))
+    parsed = parse_pages(ok, keep_html=False).select("url", page_links("nodes", "url").alias("links"))
     return parsed.groupBy(host("url").alias("host")).agg(
         F.count(F.lit(1)).alias("pages"), F.sum(F.size("links")).cast("long").alias("links")
     )
@@ -77,9 +77,11 @@ def batch_convert(pages: DataFrame, mode: str, strip_tags: list[str] | None = No
 
     ``success`` is false with ``error = "{Type}: {message}"`` for a bad URL
     scheme or a page that failed to parse (P6); every other page succeeds."""
-    from webtables.operators.markdown import nodes_to_markdown
-
-    parsed = parse_pages(pages.select("page_id", "url", "html"))
+    parsed = parse_pages(
+        pages.select("page_id", "url", "html"),
+        keep_html=(mode == "html"),
+        markdown_strip=(strip_tags or []) if mode == "markdown" else None,
+    )
     bad_url = ~is_http_url("url")
     error = F.when(
         bad_url, F.format_string("ValueError: No provider supports URL: %s", F.col("url"))
@@ -98,7 +100,7 @@ def batch_convert(pages: DataFrame, mode: str, strip_tags: list[str] | None = No
     if mode == "text":
         content = page_text("nodes", strip_tags)
     elif mode == "markdown":
-        content = nodes_to_markdown(F.col("nodes"), strip_tags)
+        content = F.col("markdown")  # written in the parse pass
     elif mode == "links":
         content = page_links("nodes", "url")
     elif mode == "html":

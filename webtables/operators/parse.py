@@ -62,32 +62,59 @@ def _nodes_array(pages: list[list[list] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), struct, mask=mask)
 
 
-def _parse_batches(html_col: str):
+def _markdown_of(rows: list[list], strip_tags: list[str]) -> str:
+    from webtables.functions.html import NODE_FIELDS
+    from webtables.functions.markdown import nodes_markdown
+
+    strip = set(strip_tags)
+    ti, pi = NODE_FIELDS.index("tag"), NODE_FIELDS.index("path")
+    kept = [r for r in rows if not (strip and (r[ti] in strip or strip.intersection(r[pi])))]
+    return nodes_markdown([dict(zip(NODE_FIELDS, r)) for r in kept])
+
+
+def _parse_batches(html_col: str, keep_html: bool, markdown_strip: list[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            htmls = batch.column(batch.schema.get_field_index(html_col)).to_pylist()
-            pages, errors = [], []
+            idx = batch.schema.get_field_index(html_col)
+            htmls = batch.column(idx).to_pylist()
+            pages, errors, mds = [], [], []
             for h in htmls:
                 if h is None:
                     pages.append(None)
                     errors.append("ValueError: page has no content")
+                    mds.append(None)
                     continue
                 try:
-                    pages.append(parse_html(h))
+                    rows = parse_html(h)
+                    pages.append(rows)
                     errors.append(None)
+                    if markdown_strip is not None:
+                        mds.append(_markdown_of(rows, markdown_strip))
                 except Exception as e:  # P6: one bad page never fails the job
                     pages.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            cols = list(batch.columns) + [_nodes_array(pages), pa.array(errors, type=pa.string())]
-            names = list(batch.schema.names) + ["nodes", "parse_error"]
+                    mds.append(None)
+            keep = [i for i in range(batch.num_columns) if keep_html or i != idx]
+            cols = [batch.column(i) for i in keep] + [_nodes_array(pages), pa.array(errors, type=pa.string())]
+            names = [batch.schema.names[i] for i in keep] + ["nodes", "parse_error"]
+            if markdown_strip is not None:
+                cols.append(pa.array(mds, type=pa.string()))
+                names.append("markdown")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def parse_pages(df: DataFrame, html_col: str = "html", spread: bool = True) -> DataFrame:
+def parse_pages(df: DataFrame, html_col: str = "html", spread: bool = True, keep_html: bool = True,
+                markdown_strip: list[str] | None = None) -> DataFrame:
     """Append ``nodes array<NODE>`` and ``parse_error string`` to every row.
 
+    ``keep_html=False`` drops the raw HTML inside the Python step, so it is
+    not shipped back (only selector output needs it after the parse).
+    ``markdown_strip`` (a list, possibly empty) also writes a ``markdown``
+    column in the same pass (H2 without a selector), which saves sending
+    the node array to Python a second time.
+
     Parsing is CPU work per page. When the input has fewer partitions than
     the cluster has cores (a few large files), rows are spread round-robin
     first so every core parses; a large crawl already has many splits and
@@ -96,11 +123,11 @@ def parse_pages(df: DataFrame, html_col: str = "html", spread: bool = True) -> D
         cores = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
             df = df.repartition(cores)
-    schema = T.StructType(
-        list(df.schema.fields)
-        + [T.StructField("nodes", NODES), T.StructField("parse_error", T.StringType())]
-    )
-    return df.mapInArrow(_parse_batches(html_col), schema)
+    fields = [f for f in df.schema.fields if keep_html or f.name != html_col]
+    fields += [T.StructField("nodes", NODES), T.StructField("parse_error", T.StringType())]
+    if markdown_strip is not None:
+        fields.append(T.StructField("markdown", T.StringType()))
+    return df.mapInArrow(_parse_batches(html_col, keep_html, markdown_strip), T.StructType(fields))
 
 
 def explode_nodes(parsed: DataFrame, keys=("page_id",)) -> DataFrame:

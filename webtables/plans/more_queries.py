@@ -167,8 +167,9 @@ def q_r2_hits(spark, d):
 
 @query("a7_store_stats")
 def q_store_stats(spark, d):
-    store = D.page_store(spark, d)
-    hits = hit_counts(label_fetches(D.request_log(spark, d)))
+    labelled = label_fetches(D.request_log(spark, d))
+    store = D.page_store(spark, d, labelled=labelled)
+    hits = hit_counts(labelled)
     return S.store_stats(store, hits).drop("size_mb", "utilization_percent")
 
 

@@ -28,8 +28,8 @@ def query(name: str):
     return deco
 
 
-def _parsed(spark, sf_dir, *cols):
-    return parse_pages(pages(spark, sf_dir).select("page_id", "url", "html", *cols))
+def _parsed(spark, sf_dir, *cols, keep_html: bool = False):
+    return parse_pages(pages(spark, sf_dir).select("page_id", "url", "html", *cols), keep_html=keep_html)
 
 
 # --- pages: scan, text, links, metadata ------------------------------------
@@ -83,8 +83,8 @@ def q_meta(spark, d):
 
 @query("a14_content_reduction")
 def q_reduction(spark, d):
-    t = _parsed(spark, d).select("page_id", F.length("html").alias("html_chars"),
-                                 F.length(P.page_text("nodes")).alias("text_chars"))
+    src = pages(spark, d).select("page_id", "url", "html", F.length("html").alias("html_chars"))
+    t = parse_pages(src, keep_html=False).select("page_id", "html_chars", F.length(P.page_text("nodes")).alias("text_chars"))
     return t.select(
         "page_id", "html_chars", "text_chars",
         F.round(100 * (1 - F.col("text_chars") / F.col("html_chars")), 2).alias("reduction_pct"),
@@ -122,7 +122,7 @@ def all_queries() -> dict[str, Query]:
 def _sel(spark, d, sel):
     from webtables.operators.selectors import filter_by_selector
 
-    p = _parsed(spark, d)
+    p = _parsed(spark, d, keep_html=True)
     return p.select("page_id", filter_by_selector("nodes", "html", sel).alias("r"))
 
 
@@ -171,7 +171,7 @@ def q_typesib(spark, d):
 def q_m1(spark, d):
     from webtables.operators.selectors import filter_by_selector
 
-    parsed = _parsed(spark, d)
+    parsed = _parsed(spark, d, keep_html=True)
     ok = is_http_url("url")
     r = filter_by_selector("nodes", "html", "nav a")
     return parsed.select(

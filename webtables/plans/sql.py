@@ -41,7 +41,7 @@ def register(spark: SparkSession, sf_dir: str) -> list[str]:
     from webtables.sources.tables import pages, read_table
 
     pg = pages(spark, sf_dir)
-    parsed = parse_pages(pg)
+    parsed = parse_pages(pg, keep_html=False)
     views = {
         "pages": pg,
         "nodes": explode_nodes(parsed),

@@ -78,13 +78,15 @@ def user_of(url) -> F.Column:
     return F.regexp_extract(url, r"/u/(\d+)$", 1).cast("long")
 
 
-def page_store(spark: SparkSession, sf_dir: str, ttl_override: int | None = None) -> DataFrame:
+def page_store(spark: SparkSession, sf_dir: str, ttl_override: int | None = None,
+               labelled: DataFrame | None = None) -> DataFrame:
     """``page_store(cache_key, url, content, fetched_at, ttl_s)``: successful
-    fetches of the TTL fold (R2); content is page ``user_id % count(pages)``."""
+    fetches of the TTL fold (R2); content is page ``user_id % count(pages)``.
+    Pass ``labelled`` (the fold's output) to reuse a fold already planned."""
     from webtables.operators.freshness import label_fetches
 
-    log = request_log(spark, sf_dir)
-    labelled = label_fetches(log, ttl_override=ttl_override)
+    if labelled is None:
+        labelled = label_fetches(request_log(spark, sf_dir), ttl_override=ttl_override)
     stored = labelled.where((F.col("label") == "fetch") & F.col("success")).select(
         "cache_key", "url", F.col("ts").alias("fetched_at"), "ttl_s", user_of(F.col("url")).alias("user_id")
     )

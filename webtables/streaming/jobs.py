@@ -210,7 +210,7 @@ def page_conversion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     work = _work_dir(spark, "t5")
     pages = table_stream(spark, sf_dir, "pages").select("page_id", "url", "html")
-    conv = parse_pages(pages).select(
+    conv = parse_pages(pages, keep_html=False).select(
         "page_id", page_text("nodes").alias("text"), F.size(page_links("nodes", "url")).alias("links")
     )
     run_available(
