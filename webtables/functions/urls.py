@@ -80,15 +80,17 @@ def ttl_for_url(url, static_ttl: int = STATIC_TTL, realtime_ttl: int = REALTIME_
 
 
 def json_string(s) -> Column:
-    """``json.dumps`` of a string (ensure_ascii): quotes, escapes, \\uXXXX."""
+    """``json.dumps`` of a string (ensure_ascii): quotes, escapes, \\uXXXX.
+
+    Fast path: printable ASCII without quote or backslash (nearly every URL)
+    needs no escaping, so one pattern test decides and the rest is skipped."""
     s = _c(s)
-    esc = F.regexp_replace(s, r"\\", r"\\\\")
-    esc = F.regexp_replace(esc, '"', '\\\\"')
-    for ch, rep in (("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t"), ("\b", "\\\\b"), ("\f", "\\\\f")):
-        esc = F.regexp_replace(esc, ch, rep)
+    plain = s.rlike(r"^[\x{20}\x{21}\x{23}-\x{5b}\x{5d}-\x{7e}]*$")
+    esc = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for ch, rep in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        esc = F.replace(esc, F.lit(ch), F.lit(rep))
     # Remaining control and non-ASCII characters become \uXXXX (UTF-16
-    # code units, as json.dumps writes them); only rows that need it pay.
-    needs = esc.rlike(r"[^\x{20}-\x{7e}]")
+    # code units, as json.dumps writes them).
     escaped = F.array_join(
         F.transform(
             F.regexp_extract_all(esc, F.lit("(?s)."), 0),
@@ -98,7 +100,8 @@ def json_string(s) -> Column:
         ),
         "",
     )
-    return F.concat(F.lit('"'), F.when(needs, escaped).otherwise(esc), F.lit('"'))
+    body = F.when(plain, s).when(esc.rlike(r"^[\x{20}-\x{7e}]*$"), esc).otherwise(escaped)
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def cache_key(url, headers: dict[str, str] | None = None, **params) -> Column:

@@ -14,9 +14,10 @@ key's timeline into independent runs; runs are folded in parallel by an
 Arrow pass over partitions hash-partitioned by ``(cache_key, run)`` and
 sorted by time: the state is one timestamp, so a run is streamed, never
 held in memory, and each batch is labelled with a few binary searches (one
-per stored copy). The run split needs the previous
-success per key: a running window on (key, ts), which streams and spills.
-Open limit: a key with uninterrupted traffic is one run, so one task.
+per stored copy). The run split uses windows on
+``(key, time bucket)`` plus per-bucket aggregates, so no row-level window
+holds a whole key. Open limit: a key with uninterrupted traffic is one run,
+streamed through one task (O(1) memory, no parallelism).
 """
 
 from __future__ import annotations
@@ -93,18 +94,49 @@ def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def label_fetches(log: DataFrame, ttl_override: int | None = None) -> DataFrame:
     """R2: ``log`` + ``label`` (fetch/served), ``fetched_at`` (the copy a
     row read or wrote), ``ttl_s``. ``log`` needs ``request_id, ts, url,
-    success, cache_key``."""
+    success, cache_key``.
+
+    Every row-level window is partitioned by ``(cache_key, bucket)`` with
+    ``bucket = floor(ts / ttl)``, so a hot key is split by time. A success is
+    an anchor when no success lies within one TTL before it: that success
+    is either earlier in the same bucket or the last one of the previous
+    bucket (a per-bucket aggregate). A row's run is its latest anchor:
+    inside the bucket, or the running max over the per-bucket table, whose
+    size is bounded by time span / TTL rather than by rows."""
+    key, order = "cache_key", ["ts_us", "request_id"]
     ttl_s = F.lit(ttl_override) if ttl_override is not None else ttl_for_url(F.col("url"))
-    base = log.withColumn("ttl_s", ttl_s.cast("int")).withColumn(
-        "ts_us", F.unix_micros(F.col("ts").cast("timestamp"))
-    ).withColumn("ttl_us", F.col("ttl_s").cast("long") * 1_000_000)
-    order = ["ts_us", "request_id"]
-    w = Window.partitionBy("cache_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prev_succ = F.max(F.when(F.col("success"), F.col("ts_us"))).over(w)
-    anchor = (F.col("success") & (prev_succ.isNull() | (F.col("ts_us") >= prev_succ + F.col("ttl_us")))).cast("int")
-    w_run = Window.partitionBy("cache_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = base.withColumn("anchor", anchor).withColumn("run", F.sum("anchor").over(w_run)).drop("anchor")
-    # Rows before a key's first success form run 0 and are all fetches.
+    base = (
+        log.withColumn("ttl_s", ttl_s.cast("int"))
+        .withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+        .withColumn("ttl_us", F.greatest(F.col("ttl_s").cast("long"), F.lit(1)) * 1_000_000)
+        .withColumn("_b", F.floor(F.col("ts_us") / F.col("ttl_us")).cast("long"))
+    )
+    succ_ts = F.when(F.col("success"), F.col("ts_us"))
+    before = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    # last success of the previous bucket (per-bucket aggregate, shifted)
+    prev_bucket = base.groupBy(key, "_b").agg(F.max(succ_ts).alias("_prev_b_succ")).select(
+        key, (F.col("_b") + 1).alias("_b"), "_prev_b_succ"
+    )
+    with_prev = base.withColumn("_prev_in_b", F.max(succ_ts).over(before)).join(prev_bucket, [key, "_b"], "left")
+    prev_succ = F.coalesce(F.col("_prev_in_b"), F.col("_prev_b_succ"))
+    anchored = with_prev.withColumn(
+        "_anchor", F.col("success") & (prev_succ.isNull() | (F.col("ts_us") >= prev_succ + F.col("ttl_us")))
+    ).drop("_prev_in_b", "_prev_b_succ")
+
+    # latest anchor at or before each row: in the bucket, else from earlier buckets
+    anchor_ts = F.when(F.col("_anchor"), F.col("ts_us"))
+    per_bucket = anchored.groupBy(key, "_b").agg(F.max(anchor_ts).alias("_a"))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    prior = per_bucket.select(key, "_b", F.max("_a").over(earlier).alias("_prior_anchor"))
+    runs = (
+        anchored.withColumn("_in_b", F.max(anchor_ts).over(upto))
+        .join(prior, [key, "_b"], "left")
+        .withColumn("run", F.coalesce(F.col("_in_b"), F.col("_prior_anchor"), F.lit(-1)))
+        .drop("_in_b", "_prior_anchor", "_anchor", "_b")
+    )
+    # Rows before a key's first success form run -1 and are all fetches.
     # Hash-partition by (key, run) to spread a hot key's runs over tasks and
     # sort by (key, run, time); one Arrow pass per partition then streams the
     # groups in order (one Python call per batch, not per group).
@@ -113,8 +145,8 @@ def label_fetches(log: DataFrame, ttl_override: int | None = None) -> DataFrame:
         + [T.StructField("label", T.StringType()), T.StructField("fetched_at_us", T.LongType())]
     )
     folded = (
-        runs.repartition("cache_key", "run")
-        .sortWithinPartitions("cache_key", "run", *order)
+        runs.repartition(key, "run")
+        .sortWithinPartitions(key, "run", *order)
         .mapInArrow(_fold_partition, out_schema)
     )
     return folded.withColumn(
