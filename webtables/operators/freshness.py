@@ -14,9 +14,9 @@ key's timeline into independent runs; runs are folded in parallel by an
 Arrow pass over partitions hash-partitioned by ``(cache_key, run)`` and
 sorted by time: the state is one timestamp, so a run is streamed, never
 held in memory, and each batch is labelled with a few binary searches (one
-per stored copy). The run split uses windows on
-``(key, time bucket)`` plus per-bucket aggregates, so no row-level window
-holds a whole key. Open limit: a key with uninterrupted traffic is one run,
+per stored copy). The run split uses one
+per-(key, time bucket) aggregate and a window over that small table, so no
+row-level window holds a whole key. Open limit: a key with uninterrupted traffic is one run,
 streamed through one task (O(1) memory, no parallelism).
 """
 
@@ -96,13 +96,15 @@ def label_fetches(log: DataFrame, ttl_override: int | None = None) -> DataFrame:
     row read or wrote), ``ttl_s``. ``log`` needs ``request_id, ts, url,
     success, cache_key``.
 
-    Every row-level window is partitioned by ``(cache_key, bucket)`` with
-    ``bucket = floor(ts / ttl)``, so a hot key is split by time. A success is
-    an anchor when no success lies within one TTL before it: that success
-    is either earlier in the same bucket or the last one of the previous
-    bucket (a per-bucket aggregate). A row's run is its latest anchor:
-    inside the bucket, or the running max over the per-bucket table, whose
-    size is bounded by time span / TTL rather than by rows."""
+    Split into independent runs without any row-level window: with time
+    buckets of one TTL (``bucket = floor(ts / ttl)``), two successes in a
+    bucket are less than a TTL apart, so only the *first* success of a
+    bucket can start a run (no copy can be alive then), and it does when the
+    previous success lies a TTL or more before it. One aggregate per
+    ``(key, bucket)`` (first and last success; combined map-side) and a
+    window over that small table - its size is bounded by time span / TTL,
+    not by rows - number the runs; each row then takes its bucket's run, or
+    the run before when it precedes the bucket's first success."""
     key, order = "cache_key", ["ts_us", "request_id"]
     ttl_s = F.lit(ttl_override) if ttl_override is not None else ttl_for_url(F.col("url"))
     base = (
@@ -111,32 +113,28 @@ def label_fetches(log: DataFrame, ttl_override: int | None = None) -> DataFrame:
         .withColumn("ttl_us", F.greatest(F.col("ttl_s").cast("long"), F.lit(1)) * 1_000_000)
         .withColumn("_b", F.floor(F.col("ts_us") / F.col("ttl_us")).cast("long"))
     )
-    succ_ts = F.when(F.col("success"), F.col("ts_us"))
-    before = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-    # last success of the previous bucket (per-bucket aggregate, shifted)
-    prev_bucket = base.groupBy(key, "_b").agg(F.max(succ_ts).alias("_prev_b_succ")).select(
-        key, (F.col("_b") + 1).alias("_b"), "_prev_b_succ"
+    succ = F.col("success")
+    buckets = base.groupBy(key, "_b").agg(
+        F.min(F.when(succ, F.struct("ts_us", "request_id"))).alias("_first"),
+        F.max(F.when(succ, F.col("ts_us"))).alias("_last"),
+        F.first("ttl_us").alias("_ttl"),
     )
-    with_prev = base.withColumn("_prev_in_b", F.max(succ_ts).over(before)).join(prev_bucket, [key, "_b"], "left")
-    prev_succ = F.coalesce(F.col("_prev_in_b"), F.col("_prev_b_succ"))
-    anchored = with_prev.withColumn(
-        "_anchor", F.col("success") & (prev_succ.isNull() | (F.col("ts_us") >= prev_succ + F.col("ttl_us")))
-    ).drop("_prev_in_b", "_prev_b_succ")
-
-    # latest anchor at or before each row: in the bucket, else from earlier buckets
-    anchor_ts = F.when(F.col("_anchor"), F.col("ts_us"))
-    per_bucket = anchored.groupBy(key, "_b").agg(F.max(anchor_ts).alias("_a"))
     earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prior = per_bucket.select(key, "_b", F.max("_a").over(earlier).alias("_prior_anchor"))
-    runs = (
-        anchored.withColumn("_in_b", F.max(anchor_ts).over(upto))
-        .join(prior, [key, "_b"], "left")
-        .withColumn("run", F.coalesce(F.col("_in_b"), F.col("_prior_anchor"), F.lit(-1)))
-        .drop("_in_b", "_prior_anchor", "_anchor", "_b")
+    upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    prev_last = F.last("_last", ignorenulls=True).over(earlier)
+    starts = F.col("_first").isNotNull() & (
+        prev_last.isNull() | (F.col("_first.ts_us") >= prev_last + F.col("_ttl"))
+    )
+    runs_tbl = buckets.withColumn("_starts", starts).select(
+        key, "_b", "_first", "_starts",
+        F.sum(F.col("_starts").cast("long")).over(upto).alias("_run"),
     )
-    # Rows before a key's first success form run -1 and are all fetches.
+    row_key = F.struct("ts_us", "request_id")
+    runs = base.join(runs_tbl, [key, "_b"]).withColumn(
+        "run",
+        F.when(F.col("_starts") & (row_key < F.col("_first")), F.col("_run") - 1).otherwise(F.col("_run")),
+    ).drop("_b", "_first", "_starts", "_run")
+    # Run 0 holds a key's rows before its first success: all fetches.
     # Hash-partition by (key, run) to spread a hot key's runs over tasks and
     # sort by (key, run, time); one Arrow pass per partition then streams the
     # groups in order (one Python call per batch, not per group).

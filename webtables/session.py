@@ -20,10 +20,43 @@ RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``webtables`` importable in Python workers (once per context).
+
+    Functions sent to executors refer to this package by name, so it is
+    zipped and added with ``addPyFile`` (Spark copies it to every node)."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    d = checkpoint_dir(spark)
+    local = d[len("file:"):] if d.startswith("file:") else d
+    if "://" in local or not os.path.isdir(local):
+        local = tempfile.mkdtemp(prefix="webtables-lib-")  # driver-side upload source only
+    path = os.path.join(local, f"webtables-{app}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in RUNTIME_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
