@@ -342,8 +342,9 @@ def competitor_matrix(profile: DataFrame, sites: list[str]) -> DataFrame:
 
 
 def _words(nodes: Column) -> Column:
+    # one regex split over the page text (lines are separators anyway)
     return F.array_distinct(F.filter(
-        F.flatten(F.transform(text_lines(nodes), lambda s: F.split(F.lower(s), r"[^\p{L}\p{N}]+"))),
+        F.split(F.lower(F.array_join(text_lines(nodes), "\n")), r"[^\p{L}\p{N}]+"),
         lambda w: w != "",
     ))
 
@@ -365,12 +366,15 @@ def compare_to_reference(features: DataFrame) -> DataFrame:
     lowest page_id): shared and unshared words/links/headings and Jaccard.
     One pair per page, so the work is linear in the pages."""
     f = features.withColumn("host", host(F.col("url")))
-    ref_id = f.groupBy("host").agg(F.min("page_id").alias("ref_id"))
-    ref = f.select(
-        F.col("page_id").alias("ref_id"), F.col("words").alias("ref_words"),
-        F.col("links").alias("ref_links"), F.col("headings").alias("ref_headings"),
-    )
-    pairs = f.join(ref_id, "host").where(F.col("page_id") != F.col("ref_id")).join(ref, "ref_id")
+    # the reference page per host by an aggregate (combined map-side, so a
+    # large host never gathers in one task), then one equi-join on host
+    ref = f.groupBy("host").agg(
+        F.min_by(F.struct(
+            F.col("page_id").alias("ref_id"), F.col("words").alias("ref_words"),
+            F.col("links").alias("ref_links"), F.col("headings").alias("ref_headings"),
+        ), F.col("page_id")).alias("r")
+    ).select("host", "r.*")
+    pairs = f.join(ref, "host").where(F.col("page_id") != F.col("ref_id"))
 
     def jac(a, b):
         u = F.size(F.array_union(a, b))
