@@ -132,3 +132,16 @@ def test_text_functions(spark):
     k = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     assert [r[0] for r in k.select(TX.backoff_delay("k")).collect()] == [1.0, 2.0, 4.0]
     assert [r[0] for r in k.select(TX.total_backoff("k")).collect()] == [1.0, 3.0, 7.0]
+
+
+def test_two_stage_top_k_equals_window(spark):
+    from pyspark.sql import Window
+
+    from webtables.operators.requests import recent_per_group
+
+    rows = [(i, T0 + dt.timedelta(seconds=(i * 37) % 500), "a" if i % 3 else "b") for i in range(400)]
+    log = spark.createDataFrame(rows, "request_id long, ts timestamp_ntz, g string")
+    got = {(r.g, r.rank, r.request_id) for r in recent_per_group(log, "g", 7, salts=5).collect()}
+    w = Window.partitionBy("g").orderBy(F.col("ts").desc(), F.col("request_id").desc())
+    exp = {(r.g, r.rank, r.request_id) for r in log.withColumn("rank", F.row_number().over(w)).where("rank <= 7").collect()}
+    assert got == exp

@@ -98,7 +98,8 @@ FROM c""",
     "a12_outcome_rollup": f"WITH {RL} SELECT request_type, status_code, count(*) AS n FROM rl GROUP BY ROLLUP (request_type, status_code)",
     "a13_latency": f"""WITH {RL} SELECT request_type, count(*) AS n, {R('avg(elapsed_ms)', 3)} AS avg_ms,
        min(elapsed_ms) AS min_ms, max(elapsed_ms) AS max_ms,
-       {R('quantile_cont(elapsed_ms, 0.5)', 3)} AS p50_ms, {R('quantile_cont(elapsed_ms, 0.95)', 3)} AS p95_ms
+       {R('list_sort(list(elapsed_ms))[CAST(ceil(0.5 * count(*)) AS BIGINT)]', 3)} AS p50_ms,
+       {R('list_sort(list(elapsed_ms))[CAST(ceil(0.95 * count(*)) AS BIGINT)]', 3)} AS p95_ms
 FROM rl GROUP BY request_type""",
     "g10_this_week": f"""WITH {RL} SELECT request_type, count(*) AS n FROM rl
 WHERE ts >= date_trunc('week', {NOW_MID}) AND ts <= {NOW_MID} GROUP BY request_type""",
