@@ -161,3 +161,6 @@ ORACLES["t5_page_conversion_stream"] = f"""
 WITH t AS ({_text_sql()})
 SELECT p.page_id, t.text, CAST(len(regexp_extract_all(p.html, '<a\\s[^>]*href=')) AS INT) AS links
 FROM pages p JOIN t USING (page_id)"""
+
+ORACLES["s2_citation_positions"] = f"""WITH {ANSWERS.strip()}
+SELECT conv_id, turn, rank AS pos, url FROM cit"""

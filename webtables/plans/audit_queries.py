@@ -139,3 +139,11 @@ def q_outcomes(spark, d):
 
 
 __all__ = ["outcome_counts"]
+
+
+@query("s2_citation_positions")
+def q_positions(spark, d):
+    from webtables.sources.tables import url_array_positions
+
+    a = D.answers(spark, d).select("conv_id", "turn", "citations")
+    return url_array_positions(a, "citations")
