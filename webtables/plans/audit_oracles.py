@@ -164,3 +164,16 @@ FROM pages p JOIN t USING (page_id)"""
 
 ORACLES["s2_citation_positions"] = f"""WITH {ANSWERS.strip()}
 SELECT conv_id, turn, rank AS pos, url FROM cit"""
+
+CRAWL = f"""
+cl AS (SELECT page_id AS src_page_id, {ORIGIN.format(u='url')} || h AS dst_url
+       FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS h FROM pages))"""
+ORACLES["j3_broken_links_crawl"] = f"""WITH {CRAWL.strip()},
+pn AS (SELECT DISTINCT {NORM('url')} AS n FROM pages)
+SELECT src_page_id, 'unknown' AS reason, count(*) AS n FROM cl WHERE {NORM('dst_url')} NOT IN (SELECT n FROM pn) GROUP BY 1"""
+ORACLES["j7_orphan_pages_crawl"] = f"""WITH {CRAWL.strip()},
+t AS (SELECT DISTINCT {NORM('cl.dst_url')} AS n FROM cl JOIN pages s ON s.page_id = cl.src_page_id
+      WHERE {NORM('cl.dst_url')} <> {NORM('s.url')})
+SELECT page_id FROM pages WHERE {NORM('url')} NOT IN (SELECT n FROM t)"""
+ORACLES["a15_linked_domains_crawl"] = f"""WITH {CRAWL.strip()}
+SELECT {HOST.format(u='dst_url')} AS host, count(*) AS links, count(DISTINCT src_page_id) AS pages FROM cl GROUP BY 1"""

@@ -147,3 +147,25 @@ def q_positions(spark, d):
 
     a = D.answers(spark, d).select("conv_id", "turn", "citations")
     return url_array_positions(a, "citations")
+
+
+# --- the same link-graph jobs over the links extracted from the crawl ------------
+
+def _crawl_links(spark, d):
+    return G.link_rows(_parsed(spark, d)).select(F.col("page_id").alias("src_page_id"), F.col("url").alias("dst_url"))
+
+
+@query("j3_broken_links_crawl")
+def q_broken_crawl(spark, d):
+    b = G.broken_links(_crawl_links(spark, d), pages(spark, d))
+    return b.groupBy("src_page_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j7_orphan_pages_crawl")
+def q_orphans_crawl(spark, d):
+    return G.orphan_pages(pages(spark, d), _crawl_links(spark, d)).select("page_id")
+
+
+@query("a15_linked_domains_crawl")
+def q_domains_crawl(spark, d):
+    return G.linked_domains(_crawl_links(spark, d))
