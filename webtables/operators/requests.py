@@ -208,10 +208,19 @@ def time_frame(log: DataFrame, frame: str, now: str, recent_n: int = 100) -> Dat
     ``now`` (a parameter), or the newest ``recent_n`` for ``recent``."""
     if frame == "recent":
         return recent(log, recent_n)
-    unit = {"today": "DAY", "this_week": "WEEK", "this_month": "MONTH"}[frame]
-    start = F.date_trunc(unit, F.lit(now).cast("timestamp"))
-    ts = F.col("ts").cast("timestamp")
-    return log.where((ts >= start) & (ts <= F.lit(now).cast("timestamp")))
+    import datetime as dt
+
+    unit = {"today": "day", "this_week": "week", "this_month": "month"}[frame]
+    end = dt.datetime.fromisoformat(now)
+    start = end.replace(hour=0, minute=0, second=0, microsecond=0)
+    if unit == "week":
+        start -= dt.timedelta(days=start.weekday())
+    elif unit == "month":
+        start = start.replace(day=1)
+    # bounds are literals of the column's own type, so the filter reaches
+    # the parquet scan (and partition pruning on a date-partitioned log)
+    typ = log.schema["ts"].dataType
+    return log.where((F.col("ts") >= F.lit(start).cast(typ)) & (F.col("ts") <= F.lit(end).cast(typ)))
 
 
 def append_log(log: DataFrame, path: str) -> None:
