@@ -51,8 +51,16 @@ def request_log_from_events(events: DataFrame) -> DataFrame:
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``request_log(request_id, ts, url, success, status_code, elapsed_ms,
-    attempts, error, request_type, cache_key)`` (+ helper column ``k``)."""
-    return request_log_from_events(read_table(spark, sf_dir, "events"))
+    attempts, error, request_type, cache_key)`` (+ helper column ``k``).
+
+    A log read as fewer partitions than cores (one small file) is spread
+    round-robin first so the key hashing runs on every core; a large log
+    already has many splits and is not shuffled here."""
+    events = read_table(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        events = events.repartition(cores)
+    return request_log_from_events(events)
 
 
 def attempts_from_log(log: DataFrame) -> DataFrame:
