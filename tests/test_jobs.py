@@ -109,3 +109,32 @@ def test_contract(spark):
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert len(qs) >= 75
+
+
+def test_error_isolation_and_totals(spark):
+    from webtables.operators.pages import batch_convert, batch_totals
+
+    rows = [(0, "https://ok.example/a", "<title>A</title><p>x</p>"), (1, "ftp://bad.example/b", "<p>y</p>"),
+            (2, "https://ok.example/c", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r for r in batch_convert(df, "text").collect()}
+    assert out[0].success and out[0].content == "A\nx" and out[0].error is None
+    assert not out[1].success and out[1].error.startswith("ValueError: No provider supports URL")
+    assert not out[2].success and out[2].error.startswith("ValueError")
+    t = batch_totals(batch_convert(df, "text")).first()
+    assert (t.total, t.successful, t.failed) == (3, 1, 2)
+    empty = batch_totals(batch_convert(df.limit(0), "text")).first()
+    assert (empty.total, empty.successful, empty.failed) == (0, 0, 0)
+
+
+def test_url_list_and_helpers(spark):
+    from webtables.functions.text import comma_list
+    from webtables.sources.tables import url_list
+
+    assert url_list(spark, []).count() == 0
+    assert [(r.pos, r.url) for r in url_list(spark, ["b", "a", "b"]).collect()] == [(0, "b"), (1, "a"), (2, "b")]
+    r = spark.createDataFrame([(" a, b ,c ,, ",)], "s string").select(comma_list("s").alias("x")).first()
+    assert r.x == ["a", "b", "c", "", ""]
+    m = spark.createDataFrame([({"a": "1", "title": "x"},)], "m map<string,string>").select(
+        F.map_concat("m", F.create_map(F.lit("title"), F.lit("y"))).alias("m")).first().m
+    assert m == {"a": "1", "title": "y"}  # right wins (LAST_WIN)
