@@ -138,3 +138,17 @@ def test_url_list_and_helpers(spark):
     m = spark.createDataFrame([({"a": "1", "title": "x"},)], "m map<string,string>").select(
         F.map_concat("m", F.create_map(F.lit("title"), F.lit("y"))).alias("m")).first().m
     assert m == {"a": "1", "title": "y"}  # right wins (LAST_WIN)
+
+
+def test_parse_with_store_reuses(spark, tmp_path):
+    from webtables.operators.content import page_text
+    from webtables.operators.parse import parse_with_store
+    from webtables.sources.tables import pages
+
+    path = str(tmp_path / "nodes")
+    p = pages(spark, SF)
+    first = parse_with_store(p, path).select("page_id", page_text("nodes").alias("t"))
+    assert first.count() == 50
+    assert spark.read.parquet(path).count() == 50
+    again = parse_with_store(p, path)
+    assert again.count() == 50 and spark.read.parquet(path).count() == 50  # nothing re-parsed

@@ -163,3 +163,29 @@ def strip_subtrees(nodes: Column, tags: list[str] | None) -> Column:
             F.concat(n["path"], F.array(F.coalesce(n["tag"], F.lit("#text")))), strip
         ),
     )
+
+
+def parse_with_store(pages: DataFrame, store_path: str, html_col: str = "html") -> DataFrame:
+    """Result reuse: parse only pages whose content is not yet in the node
+    store (parquet of ``content_hash, nodes, parse_error`` under a shared
+    folder), append the new parses, and return the pages with their nodes.
+
+    Identical pages (same hash) are parsed once; a re-crawl that changed
+    few pages parses only those. The store is append-only, so a lost
+    executor can at worst leave a duplicate hash, which ``dropDuplicates``
+    on read removes."""
+    from pyspark.errors import AnalysisException
+
+    spark = pages.sparkSession
+    hashed = pages.withColumn("content_hash", F.sha2(F.col(html_col), 256))
+    try:
+        known = spark.read.parquet(store_path).select("content_hash")
+        todo = hashed.join(known, "content_hash", "left_anti")
+    except AnalysisException:  # no store yet
+        todo = hashed
+    fresh = parse_pages(
+        todo.select("content_hash", html_col).dropDuplicates(["content_hash"]), html_col=html_col, keep_html=False
+    )
+    fresh.select("content_hash", "nodes", "parse_error").write.mode("append").parquet(store_path)
+    stored = spark.read.parquet(store_path).dropDuplicates(["content_hash"])
+    return hashed.join(stored, "content_hash").drop("content_hash")
