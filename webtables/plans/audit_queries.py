@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from webtables.functions.urls import host, host_matches_rules
 from webtables.operators import audits as G
 from webtables.operators import chat as C
-from webtables.operators.requests import outcome_counts
 from webtables.plans.queries import _parsed, query
 from webtables.sources import derived as D
 from webtables.sources.tables import pages, read_table
@@ -138,8 +137,6 @@ def q_outcomes(spark, d):
     return log.groupBy("request_type", "status_class", "rate_limited").agg(F.count(F.lit(1)).alias("n"))
 
 
-__all__ = ["outcome_counts"]
-
 
 @query("s2_citation_positions")
 def q_positions(spark, d):

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtables.functions.urls import cache_key as cache_key_of
-from webtables.functions.urls import ttl_for_url
 from webtables.sources.tables import read_table
 
 # Derived-view rules (FIXTURES.md section 3).
