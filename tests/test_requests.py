@@ -145,3 +145,21 @@ def test_two_stage_top_k_equals_window(spark):
     w = Window.partitionBy("g").orderBy(F.col("ts").desc(), F.col("request_id").desc())
     exp = {(r.g, r.rank, r.request_id) for r in log.withColumn("rank", F.row_number().over(w)).where("rank <= 7").collect()}
     assert got == exp
+
+
+def test_append_log_partitioned_and_fetch_retries(spark, tmp_path):
+    from webtables.operators.requests import append_log
+
+    log = spark.createDataFrame(
+        [(1, T0, True, 3, "fetch"), (2, T0 + dt.timedelta(days=1), True, 3, "served"), (3, T0, False, 1, "fetch")],
+        "request_id long, ts timestamp_ntz, success boolean, attempts int, label string",
+    )
+    path = str(tmp_path / "log")
+    append_log(log, path)
+    append_log(log, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 6
+    day = back.where(F.col("date") == F.lit("2024-01-02").cast("date"))
+    assert day.count() == 2
+    assert counters(log).first().total_retries == 4
+    assert counters(log, retries_of_fetches_only=True).first().total_retries == 2

@@ -24,15 +24,21 @@ NO_LONGER_CACHED = "Content no longer cached"
 KEY_NOT_AVAILABLE = "Cache key not available"
 
 
-def counters(log: DataFrame, by: list[str] | None = None) -> DataFrame:
+def counters(log: DataFrame, by: list[str] | None = None, retries_of_fetches_only: bool = False) -> DataFrame:
     """A2-A5: total, successful, failed, total_retries, success_rate (percent,
     2 places, 0.0 when empty), avg_retries (2 places, 0.0 when empty).
-    ``total_retries`` is ``sum(attempts-1 where attempts>1)`` as logged."""
+    ``total_retries`` is ``sum(attempts-1 where attempts>1)`` as logged. A
+    served request re-logs the attempts of the fetch that stored its copy;
+    with ``retries_of_fetches_only`` (needs R2's ``label``) only fetches
+    count."""
+    retries = F.greatest(F.col("attempts") - 1, F.lit(0))
+    if retries_of_fetches_only:
+        retries = F.when(F.col("label") == "fetch", retries).otherwise(F.lit(0))
     aggs = [
         F.count(F.lit(1)).alias("total"),
         F.coalesce(F.sum(F.col("success").cast("long")), F.lit(0)).alias("successful"),
         F.coalesce(F.sum((~F.col("success")).cast("long")), F.lit(0)).alias("failed"),
-        F.coalesce(F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))), F.lit(0)).cast("long").alias("total_retries"),
+        F.coalesce(F.sum(retries), F.lit(0)).cast("long").alias("total_retries"),
     ]
     g = log.groupBy(*by) if by else log
     out = g.agg(*aggs)
