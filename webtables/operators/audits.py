@@ -397,7 +397,10 @@ def merge_lists(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 
 def top_sources(citations: DataFrame, k: int = 3, group: str = "topic") -> DataFrame:
     """L4: the ``k`` most cited hosts per topic (``k=None`` keeps all)."""
+    from webtables.operators.rows import top_k_per_group
+
     counts = citations.groupBy(group, host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("citations"))
-    w = Window.partitionBy(group).orderBy(F.col("citations").desc(), F.col("host"))
-    ranked = counts.withColumn("rank", F.row_number().over(w))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    order = [F.col("citations").desc(), F.col("host")]
+    if k is None:
+        return counts.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return top_k_per_group(counts, [group], order, k, "host")

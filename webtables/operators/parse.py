@@ -38,20 +38,19 @@ _ARROW_NODE_FIELDS = [
 
 
 def _nodes_array(pages: list[list[list] | None]) -> pa.Array:
-    """Columnar build of list<struct> from per-page node rows."""
-    cols: list[list] = [[] for _ in _ARROW_NODE_FIELDS]
+    """Columnar build of list<struct> from per-page node rows (one C-level
+    transpose of all rows, then one Arrow conversion per field)."""
     offsets = [0]
     valid = []
+    flat: list[list] = []
     for rows in pages:
         if rows is None:
-            offsets.append(offsets[-1])
             valid.append(False)
-            continue
-        valid.append(True)
-        for r in rows:
-            for j, v in enumerate(r):
-                cols[j].append(v)
-        offsets.append(offsets[-1] + len(rows))
+        else:
+            valid.append(True)
+            flat.extend(rows)
+        offsets.append(len(flat))
+    cols = list(zip(*flat)) if flat else [() for _ in _ARROW_NODE_FIELDS]
     children = []
     for (name, typ), vals in zip(_ARROW_NODE_FIELDS, cols):
         if name == "attrs":

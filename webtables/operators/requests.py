@@ -71,19 +71,12 @@ def recent(log: DataFrame, n: int = RECENT_REQUESTS, errors_only: bool = False)
 
 
 def recent_per_group(log: DataFrame, group: str, n: int, salts: int = 64) -> DataFrame:
-    """W1 per group: the newest ``n`` rows of each group, ranked 1..n.
-
-    Exact two-stage top-k so a large group never sits in one task: rank
-    inside ``(group, salt)`` (salt = hash of the row id) and keep ``n`` per
-    salt, then rank the at most ``salts * n`` survivors per group."""
-    from pyspark.sql import Window
+    """W1 per group: the newest ``n`` rows of each group, ranked 1..n
+    (exact two-stage top-k, see ``rows.top_k_per_group``)."""
+    from webtables.operators.rows import top_k_per_group
 
     order = [F.col("ts").desc(), F.col("request_id").desc()]
-    salted = log.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salts)))
-    w1 = Window.partitionBy(group, "_salt").orderBy(*order)
-    stage1 = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).drop("_r", "_salt")
-    w2 = Window.partitionBy(group).orderBy(*order)
-    return stage1.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
+    return top_k_per_group(log, [group], order, n, "request_id", salts)
 
 
 def _as_list(top: DataFrame, name: str, errors: bool) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Within ``max_retries + 1`` tries a request stops at its first success or at
 the first error that is not retried; otherwise it ends with the last error.
-Retried errors are timeouts, connection errors and HTTP status errors. The
-job shuffles once on ``request_id`` (the window and the aggregate share the
-partitioning); tries per request are few, so no group is large.
+Retried errors are timeouts, connection errors and HTTP status errors. Only the
+first ``max_retries + 1`` tries per request are kept (salted two-stage
+top-k), then one aggregate per request resolves the outcome.
 """
 
 from __future__ import annotations
@@ -33,7 +33,14 @@ def number_attempts(tries: DataFrame) -> DataFrame:
 
 def resolve_retries(tries: DataFrame, max_retries: int = 3, retry_delay: float = 1.0) -> DataFrame:
     """``request_id, success, attempts, retries, error, backoff_s``."""
-    numbered = number_attempts(tries).where(F.col("attempt_no") <= max_retries + 1)
+    from webtables.operators.rows import top_k_per_group
+
+    # only the first max_retries+1 tries matter: an exact salted top-k, so
+    # even a request with a huge try log is never ranked in one task
+    numbered = top_k_per_group(
+        tries, ["request_id"], [F.col("attempt_ts"), F.col("error")], max_retries + 1,
+        "attempt_ts", salts=16, rank_col="attempt_no",
+    )
     stop = F.col("ok") | ~is_retried(F.coalesce(F.col("error"), F.lit("")))
     agg = numbered.groupBy("request_id").agg(
         F.min(F.when(stop, F.col("attempt_no"))).alias("stop_no"),
