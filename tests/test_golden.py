@@ -182,3 +182,19 @@ def test_markdown_in_parse_pass_equals_udf(fixture_pages):
         p = parse_pages(fixture_pages, keep_html=False, markdown_strip=strip)
         rows = p.select("markdown", nodes_to_markdown(F.col("nodes"), strip).alias("udf")).collect()
         assert all(r.markdown == r.udf for r in rows)
+
+
+def test_markdown_rules():
+    from webtables.functions.html import NODE_FIELDS, parse_html
+    from webtables.functions.markdown import nodes_markdown
+
+    h = ('<h2>T</h2><ul><li>a<ul><li>b<ul><li>c</li></ul></li></ul></li><li>d</li></ul>'
+         '<ol><li>x</li><li>y</li></ol><p>Go <a href="http://e.com">http://e.com</a> <img src="i.png" alt="I"></p>'
+         '<table><tr><th>h1</th><th>h2</th></tr><tr><td>1</td><td>2</td></tr></table>'
+         '<blockquote>q</blockquote><hr><pre>code\n  x</pre><p>a_b*c</p>')
+    md = nodes_markdown([dict(zip(NODE_FIELDS, n)) for n in parse_html(h)])
+    assert md.startswith("## T\n\n* a\n    + b\n        - c\n* d\n\n1. x\n2. y")
+    assert "Go <http://e.com> ![I](i.png)" in md
+    assert "| h1 | h2 |\n| --- | --- |\n| 1 | 2 |" in md
+    assert "> q" in md and "\n---\n" in md and "```\ncode\n  x\n```" in md
+    assert "a\\_b\\*c" in md

@@ -1,8 +1,8 @@
 """Node rows -> markdown (the per-page helper behind ``nodes_to_markdown``).
 
 Rules: ATX headings (``# h``), ``**strong**``/``*em*``, ``[text](href
-"title")``, ``![alt](src "title")``, ``* `` / ``1. `` list items (nested
-lists indented), ``> `` quotes, fenced ``pre``, inline ``code``, ``---`` for
+"title")``, ``![alt](src "title")``, ``* `` / ``1. `` list items (bullets
+``*``, ``+``, ``-`` by depth; nested lists indented), ``> `` quotes, fenced ``pre``, inline ``code``, ``---`` for
 ``hr``, pipe tables with a header rule, ``br`` as a hard break; script and
 style content dropped; whitespace runs collapsed outside ``pre``; ``*`` and
 ``_`` in text escaped; the result trimmed.
@@ -20,6 +20,8 @@ BLOCK_TAGS = frozenset(
     "html main nav section summary details".split()
 )
 DROP_TAGS = frozenset(["script", "style", "template"])
+# List bullets by nesting depth (markdownify's default).
+BULLETS = "*+-"
 
 
 def _escape(s: str) -> str:
@@ -92,17 +94,20 @@ class _Writer:
         if tag in ("ul", "ol"):
             depth = ctx.get("list_depth", 0)
             sub = dict(ctx, list_depth=depth + 1, ordered=(tag == "ol"), counter=[0])
-            return "\n\n" + self.children(nid, sub) + "\n"
+            body = self.children(nid, sub)
+            # a nested list hugs its parent item; a top-level list is a block
+            return ("\n" + body) if depth else ("\n\n" + body + "\n")
         if tag == "li":
             depth = ctx.get("list_depth", 1)
             if ctx.get("ordered"):
                 ctx["counter"][0] += 1
                 bullet = f"{ctx['counter'][0]}. "
             else:
-                bullet = "* "
-            inner = self.children(nid, ctx).strip("\n ")
-            inner = inner.replace("\n", "\n" + "    ")
-            return "    " * (depth - 1) + bullet + inner + "\n"
+                bullet = BULLETS[(depth - 1) % len(BULLETS)] + " "
+            inner = re.sub(r"\n\s*\n", "\n", self.children(nid, ctx).strip("\n "))
+            lines = inner.split("\n")
+            inner = "\n".join([lines[0]] + [("    " + ln) if ln.strip() else "" for ln in lines[1:]])
+            return bullet + inner + "\n"
         if tag == "blockquote":
             inner = self.children(nid, ctx).strip()
             return "\n\n" + "\n".join("> " + ln if ln else ">" for ln in inner.split("\n")) + "\n\n"
