@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webtables.functions.html import parse_html
+from webtables.session import few_partitions
 from webtables.schema import NODES
 
 _ARROW_NODE_FIELDS = [
@@ -118,10 +119,8 @@ def parse_pages(df: DataFrame, html_col: str = "html", spread: bool = True, keep
     the cluster has cores (a few large files), rows are spread round-robin
     first so every core parses; a large crawl already has many splits and
     is parsed where it is read, without a shuffle."""
-    if spread and not df.isStreaming:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+    if spread and few_partitions(df):
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     fields = [f for f in df.schema.fields if keep_html or f.name != html_col]
     fields += [T.StructField("nodes", NODES), T.StructField("parse_error", T.StringType())]
     if markdown_strip is not None:

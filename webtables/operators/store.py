@@ -87,7 +87,20 @@ def store_stats(store: DataFrame, hits: DataFrame | None = None, size_limit: int
         F.count(F.lit(1)).alias("entry_count"),
         F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("size_bytes"),
     )
+    if hits is None:
+        return stats_from_totals(s, size_limit)
+    from webtables.operators.rows import side_by_side
+
+    return stats_from_totals(side_by_side(s, hits), size_limit)
+
+
+def stats_from_totals(totals: DataFrame, size_limit: int = SIZE_LIMIT) -> DataFrame:
+    """A7/A8 columns from a one-row frame of ``entry_count, size_bytes`` and,
+    when present, ``hits, misses``."""
+    s = totals
+    has_hits = "hits" in s.columns
     s = s.select(
+        *(["hits", "misses"] if has_hits else []),
         "entry_count",
         "size_bytes",
         F.round(F.col("size_bytes") / (1024 * 1024), 2).alias("size_mb"),
@@ -96,16 +109,13 @@ def store_stats(store: DataFrame, hits: DataFrame | None = None, size_limit: int
         F.round(F.col("size_bytes") / F.lit(size_limit) * 100, 2).alias("utilization_percent"),
         (F.col("size_bytes") >= F.lit(WARNING_THRESHOLD * size_limit // SIZE_LIMIT)).alias("size_warning"),
     )
-    if hits is None:
+    if not has_hits:
         return s
-    h = hits.select(
-        "hits", "misses",
+    return s.withColumn(
+        "hit_rate",
         F.when(F.col("hits") + F.col("misses") > 0, F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 4))
-        .otherwise(F.lit(0.0)).alias("hit_rate"),
+        .otherwise(F.lit(0.0)),
     )
-    from webtables.operators.rows import side_by_side
-
-    return side_by_side(s, h)
 
 
 def retain_within_budget(store: DataFrame, budget_bytes: int, order_col: str = "fetched_at",

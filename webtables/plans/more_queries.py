@@ -8,7 +8,7 @@ from webtables.functions import text as TX
 from webtables.functions import urls as U
 from webtables.operators import requests as R
 from webtables.operators import store as S
-from webtables.operators.freshness import fresh_copy, hit_counts, label_fetches
+from webtables.operators.freshness import fresh_copy, label_fetches
 from webtables.operators.retry import number_attempts, resolve_retries
 from webtables.operators.rows import side_by_side
 from webtables.plans.queries import query
@@ -168,9 +168,7 @@ def q_r2_hits(spark, d):
 @query("a7_store_stats")
 def q_store_stats(spark, d):
     labelled = label_fetches(D.request_log(spark, d))
-    store = D.page_store(spark, d, labelled=labelled)
-    hits = hit_counts(labelled)
-    return S.store_stats(store, hits).drop("size_mb", "utilization_percent")
+    return S.stats_from_totals(D.store_totals(spark, d, labelled)).drop("size_mb", "utilization_percent")
 
 
 @query("s3_store_latest")

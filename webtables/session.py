@@ -31,7 +31,10 @@ def ship_package(spark: SparkSession) -> None:
     import os
     import zipfile
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: ship with spark.addArtifacts instead
+        return
     app = sc.applicationId
     if app in _SHIPPED:
         return
@@ -67,7 +70,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset (local tests, the driver's smoke run) a private
     folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context; use the configured folder
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return d
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="webtables-ckpt-")
@@ -76,6 +85,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def few_partitions(df) -> bool:
+    """True when a (batch) frame has fewer partitions than the cluster has
+    cores, i.e. its input is a few small files; False when unknown."""
+    try:
+        if df.isStreaming:
+            return False
+        return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect or similar: leave the plan as it is
+        return False
+
+
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench (local mode only)."""
     spark = (

@@ -55,10 +55,11 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     A log read as fewer partitions than cores (one small file) is spread
     round-robin first so the key hashing runs on every core; a large log
     already has many splits and is not shuffled here."""
+    from webtables.session import few_partitions
+
     events = read_table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores)
+    if few_partitions(events):
+        events = events.repartition(spark.sparkContext.defaultParallelism)
     return request_log_from_events(events)
 
 
@@ -107,6 +108,26 @@ def page_store(spark: SparkSession, sf_dir: str, ttl_override: int | None = None
     )
 
 
+def store_totals(spark: SparkSession, sf_dir: str, labelled: DataFrame) -> DataFrame:
+    """One pass over the labelled log: store entries and bytes (successful
+    fetches, sized by their page) with hits and misses, in one aggregate."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("_bytes"))
+    n_pages = pages.agg(F.count(F.lit(1)).alias("n_pages")).withColumn("_one", F.lit(1))
+    stored = (F.col("label") == "fetch") & F.col("success")
+    j = (
+        labelled.select("url", "label", "success")
+        .join(F.broadcast(n_pages), F.lit(1) == F.col("_one"))
+        .withColumn("page_id", F.when(stored, user_of(F.col("url")) % F.col("n_pages")))
+        .join(pages, "page_id", "left")
+    )
+    return j.agg(
+        F.coalesce(F.sum(stored.cast("long")), F.lit(0)).alias("entry_count"),
+        F.coalesce(F.sum(F.when(stored, F.col("_bytes"))), F.lit(0)).cast("long").alias("size_bytes"),
+        F.coalesce(F.sum((F.col("label") == "served").cast("long")), F.lit(0)).alias("hits"),
+        F.coalesce(F.sum((F.col("label") == "fetch").cast("long")), F.lit(0)).alias("misses"),
+    )
+
+
 def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``graph_links(src_page_id, dst_url)``: page p links to the URL of page
     (7p+3) % N unless p % 3 = 0, and to a gone URL when p % 5 = 0."""
