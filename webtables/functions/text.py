@@ -81,9 +81,13 @@ def total_backoff(retries, retry_delay: float = 1.0) -> Column:
     return F.lit(float(retry_delay)) * (F.pow(F.lit(2.0), _c(retries)) - 1)
 
 
+# The log URL format of an answer-service call.
+ANSWER_LOG_URL = 'perplexity://%s  "%s"'
+
+
 def answer_log_url(model, prompt) -> Column:
     """The synthetic log URL of an answer-service call."""
-    return F.format_string('perplexity://%s  "%s"', _c(model), _c(prompt))
+    return F.format_string(ANSWER_LOG_URL, _c(model), _c(prompt))
 
 
 def comma_list(s) -> Column:

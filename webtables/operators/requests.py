@@ -18,6 +18,10 @@ from webtables.operators.pages import preview
 RECENT_REQUESTS = 100
 RECENT_ERRORS = 50
 PREVIEW_CHARS = 5000
+# Answer-service error prefixes and their status codes.
+RATE_LIMITED = "Rate limit exceeded"
+BAD_REQUEST = "Bad request"
+UNAVAILABLE = "service not available"
 # Detail texts.
 NOT_CAPTURED = "Perplexity response data not captured"
 NO_LONGER_CACHED = "Content no longer cached"
@@ -172,9 +176,9 @@ def outcome_class(error: Column) -> Column:
     """Error text prefix -> status code of the answer service."""
     return (
         F.when(error.isNull(), F.lit(200))
-        .when(error.startswith("Rate limit exceeded"), F.lit(429))
-        .when(error.startswith("Bad request"), F.lit(400))
-        .when(error.contains("service not available"), F.lit(503))
+        .when(error.startswith(RATE_LIMITED), F.lit(429))
+        .when(error.startswith(BAD_REQUEST), F.lit(400))
+        .when(error.contains(UNAVAILABLE), F.lit(503))
         .otherwise(F.lit(500))
     )
 

@@ -18,6 +18,8 @@ from webtables.sources.tables import read_table
 HOST_BY_TYPE = {"signup": "api", "view": "cdn", "purchase": "live"}
 OTHER_HOST = "www"
 ANSWER_TYPE = "purchase"
+PAGE_REQUEST = "scraper"
+ANSWER_REQUEST = "answer"
 HOST_RULES = [".example.org", "example.net", "spam-farm.example.org"]
 GONE_URL = "https://gone.example.com/"
 
@@ -41,7 +43,7 @@ def request_log_from_events(events: DataFrame) -> DataFrame:
             F.col("value").alias("elapsed_ms"),
             F.when(success, 1 + F.col("k") % 4).otherwise(F.lit(1)).alias("attempts"),
             F.when(~success, F.concat(F.lit("Timeout: "), F.col("k").cast("string"))).alias("error"),
-            F.when(et == ANSWER_TYPE, F.lit("answer")).otherwise(F.lit("scraper")).alias("request_type"),
+            F.when(et == ANSWER_TYPE, F.lit(ANSWER_REQUEST)).otherwise(F.lit(PAGE_REQUEST)).alias("request_type"),
             F.col("k"),
         )
         .withColumn("cache_key", cache_key_of(F.col("url")))
