@@ -17,7 +17,11 @@ from webtables.operators.parse import strip_subtrees
 
 @F.arrow_udf(T.StringType())
 def _markdown_udf(nodes: pa.Array) -> pa.Array:
-    return pa.array([nodes_markdown(v) for v in nodes.to_pylist()], type=pa.string())
+    # convert to Python objects 64 pages at a time to bound worker memory
+    out: list[str | None] = []
+    for i in range(0, len(nodes), 64):
+        out.extend(nodes_markdown(v) for v in nodes.slice(i, 64).to_pylist())
+    return pa.array(out, type=pa.string())
 
 
 def nodes_to_markdown(nodes: Column, strip_tags: list[str] | None = None) -> Column:

@@ -72,9 +72,20 @@ def _markdown_of(rows: list[list], strip_tags: list[str]) -> str:
     return nodes_markdown([dict(zip(NODE_FIELDS, r)) for r in kept])
 
 
+# pages parsed per output batch: bounds the Python worker's memory even
+# when an input Arrow batch holds thousands of large pages
+SLICE_PAGES = 64
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_PAGES):
+            yield batch.slice(i, SLICE_PAGES)
+
+
 def _parse_batches(html_col: str, keep_html: bool, markdown_strip: list[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             idx = batch.schema.get_field_index(html_col)
             htmls = batch.column(idx).to_pylist()
             pages, errors, mds = [], [], []

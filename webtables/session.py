@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches to Python workers: pages are large, so fewer per batch
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
 
 
