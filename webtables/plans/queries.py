@@ -203,3 +203,15 @@ def q_p12(spark, d):
 
     p = _parsed(spark, d)
     return p.select("page_id", F.size(P.page_metadata(selected_subtrees("nodes", "article"))).alias("n_keys"))
+
+
+@query("m2_markdown_structure")
+def q_m2_structure(spark, d):
+    r = P.batch_convert(pages(spark, d), "markdown", strip_tags=["script", "style", "noscript"])
+    md = F.col("content")
+    return r.select(
+        "page_id",
+        "success",
+        F.size(F.regexp_extract_all(md, F.lit("(?m)^# "), 0)).alias("h1_lines"),
+        (F.size(F.split(md, r"\]\(")) - 1).alias("link_refs"),
+    )
