@@ -29,9 +29,11 @@ def scan_pages(pages: DataFrame) -> DataFrame:
 def links_by_host(pages: DataFrame) -> DataFrame:
     """Flagship: pages and links per host (P1 -> X1 -> H3/H5 -> agg)."""
     ok = pages.select("url", "html").where(is_http_url("url"))
-    parsed = parse_pages(ok, keep_html=False).select("url", page_links("nodes", "url").alias("links"))
+    # counting needs no URL resolution: count the <a href> elements (H3's rows)
+    n_links = F.size(F.filter("nodes", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href")))
+    parsed = parse_pages(ok, keep_html=False).select("url", n_links.alias("n_links"))
     return parsed.groupBy(host("url").alias("host")).agg(
-        F.count(F.lit(1)).alias("pages"), F.sum(F.size("links")).cast("long").alias("links")
+        F.count(F.lit(1)).alias("pages"), F.sum("n_links").cast("long").alias("links")
     )
 
 
