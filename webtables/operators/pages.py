@@ -12,6 +12,10 @@ from webtables.operators.content import content_reduction, page_links, page_meta
 from webtables.operators.parse import parse_pages
 
 
+# Error text of a URL no provider supports.
+UNSUPPORTED_URL = "ValueError: No provider supports URL: %s"
+
+
 def scan_pages(pages: DataFrame) -> DataFrame:
     """Fetched pages as ``(url, content, status_code, content_type)``.
 
@@ -79,15 +83,14 @@ def batch_convert(pages: DataFrame, mode: str, strip_tags: list[str] | None = No
 
     ``success`` is false with ``error = "{Type}: {message}"`` for a bad URL
     scheme or a page that failed to parse (P6); every other page succeeds."""
+    # rows with an unsupported URL fail before any work: their HTML is not parsed
+    ok = is_http_url("url")
     parsed = parse_pages(
-        pages.select("page_id", "url", "html"),
+        pages.select("page_id", "url", F.when(ok, F.col("html")).alias("html")),
         keep_html=(mode == "html"),
         markdown_strip=(strip_tags or []) if mode == "markdown" else None,
     )
-    bad_url = ~is_http_url("url")
-    error = F.when(
-        bad_url, F.format_string("ValueError: No provider supports URL: %s", F.col("url"))
-    ).otherwise(F.col("parse_error"))
+    error = F.when(~ok, F.format_string(UNSUPPORTED_URL, F.col("url"))).otherwise(F.col("parse_error"))
     meta = F.struct(
         F.lit(None).cast("double").alias("elapsed_ms"),
         F.lit(None).cast("int").alias("attempts"),
