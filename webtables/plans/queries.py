@@ -112,7 +112,7 @@ def q_totals(spark, d):
 
 def all_queries() -> dict[str, Query]:
     # importing the modules registers their queries
-    from webtables.plans import audit_queries, more_queries, stream_queries  # noqa: F401
+    from webtables.plans import audit_queries, request_queries, stream_queries  # noqa: F401
 
     return dict(REGISTRY)
 
