@@ -35,7 +35,7 @@ IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu", "table"}),
     "dt": ({"dt", "dd"}, {"dl", "table"}),
     "dd": ({"dt", "dd"}, {"dl", "table"}),
-    "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}),
+    "tr": ({"tr"}, {"table", "thead", "tbody", "tfoot"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
