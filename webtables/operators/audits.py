@@ -88,7 +88,7 @@ def seo_audit(parsed: DataFrame) -> DataFrame:
     parsed = parsed.select(
         "page_id", "url", "nodes",
         _meta(nodes).alias("_meta"),
-        page_links(nodes, F.col("url")).alias("_links"),
+        page_links("nodes", "url").alias("_links"),
         heading_levels(nodes).alias("_lv"),
         host(F.col("url")).alias("_host"),
     )
@@ -129,7 +129,7 @@ def link_rows(parsed: DataFrame) -> DataFrame:
     nodes = F.col("nodes")
     anchors = F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"))
     rels = F.transform(anchors, lambda a: F.coalesce(F.lower(a["attrs"]["rel"]), F.lit("")))
-    z = F.arrays_zip(page_links(nodes, F.col("url")).alias("l"), rels.alias("r"))
+    z = F.arrays_zip(page_links("nodes", "url").alias("l"), rels.alias("r"))
     rows = parsed.select("page_id", "url", F.posexplode(z).alias("pos", "z"))
     return rows.select(
         "page_id", "pos",
@@ -143,7 +143,7 @@ def link_audit(parsed: DataFrame, max_external: int = 100) -> DataFrame:
     """G2 per page: internal/external counts, links without text, nofollow
     links, and the excess-external flag (threshold is a parameter)."""
     nodes = F.col("nodes")
-    parsed = parsed.select("page_id", "nodes", page_links(nodes, F.col("url")).alias("_links"),
+    parsed = parsed.select("page_id", "nodes", page_links("nodes", "url").alias("_links"),
                            host(F.col("url")).alias("_host"))
     anchors = F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"))
     links, ph = F.col("_links"), F.col("_host")
@@ -356,7 +356,7 @@ def page_features(parsed: DataFrame) -> DataFrame:
         "page_id",
         "url",
         _words(nodes).alias("words"),
-        F.array_distinct(F.transform(page_links(nodes, F.col("url")), lambda l: l["url"])).alias("links"),
+        F.array_distinct(F.transform(page_links("nodes", "url"), lambda l: l["url"])).alias("links"),
         F.array_distinct(F.transform(_elements(nodes, HEADINGS), lambda h: node_text(nodes, h, " "))).alias("headings"),
     )
 

@@ -44,6 +44,10 @@ def page_links(nodes, base_url=None, within=None) -> Column:
     ``base_url`` when it is non-empty (H5). ``within`` (a filtered node
     array, e.g. selector matches) limits the anchors; text always comes
     from the complete ``nodes`` array."""
+    if isinstance(nodes, str) and (base_url is None or isinstance(base_url, str)) and within is None:
+        from webtables.functions import urlsql  # one SQL text instead of a Column tree
+
+        return F.expr(urlsql.page_links(urlsql.name(nodes), None if base_url is None else urlsql.name(base_url)))
     nodes = _c(nodes)
     src = nodes if within is None else _c(within)
     anchors = F.filter(
