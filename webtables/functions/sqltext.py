@@ -127,3 +127,41 @@ def page_links(nodes: str, base: str | None, within: str | None = None) -> str:
                 f"'title', coalesce({a}.attrs['title'], '')))")
 
     return let(url_parts(base), with_base)
+
+
+def page_text(nodes: str, strip_tags: list[str]) -> str:
+    """H1 over a column name (``strip_tags`` already defaulted)."""
+    n, k, l1, l2 = _v("n"), _v("k"), _v("l"), _v("l")
+    src = nodes
+    if strip_tags:
+        tags = ", ".join("'" + t.lower().replace("'", "''") + "'" for t in strip_tags)
+        src = (f"filter({nodes}, {n} -> NOT arrays_overlap(concat({n}.path, array(coalesce({n}.tag, '#text'))), "
+               f"array({tags})))")
+    kept = f"filter({src}, {k} -> {k}.kind = 'text')"
+    lines = f"flatten(transform({kept}, {k} -> split({k}.text, r'\\n')))"
+    return f"array_join(filter(transform({lines}, {l1} -> {ustrip(l1)}), {l2} -> {l2} <> ''), char(10))"
+
+
+def page_metadata(nodes: str) -> str:
+    """H4 over a column name (see ``operators.content.page_metadata``)."""
+    n = _v("n")
+    small = (f"filter({nodes}, {n} -> {n}.tag IN ('title', 'meta') "
+             f"OR ({n}.tag IS NULL AND try_element_at({n}.path, -1) = 'title'))")
+
+    def build(sm: str) -> str:
+        m, e, t, k = _v("m"), _v("e"), _v("t"), _v("k")
+        entries = (f"filter(transform(filter({sm}, {m} -> {m}.tag = 'meta'), {m} -> named_struct("
+                   f"'key', coalesce(nullif({m}.attrs['name'], ''), {m}.attrs['property']), 'value', {m}.attrs['content'])), "
+                   f"{e} -> coalesce({e}.key, '') <> '' AND coalesce({e}.value, '') <> '')")
+
+        def with_title(tv: str) -> str:
+            value = let(f"filter({sm}, {k} -> {k}.parent = {tv}.id)",
+                        lambda kids: f"CASE WHEN size({kids}) = 1 AND get({kids}, 0).kind IN ('text', 'raw') "
+                                     f"THEN get({kids}, 0).text ELSE '' END")
+            return f"CASE WHEN {tv} IS NOT NULL THEN array(named_struct('key', 'title', 'value', {value})) END"
+
+        title = let(f"get(filter({sm}, {t} -> {t}.tag = 'title'), 0)", with_title)
+        empty = "cast(array() as array<struct<key:string,value:string>>)"
+        return f"map_from_entries(concat(coalesce({title}, {empty}), {entries}))"
+
+    return let(small, build)

@@ -250,7 +250,7 @@ def resolve_parts(bp: Column, base: Column, href) -> Column:
 def resolve_url(base, href) -> Column:
     """H5: ``urljoin(base, href)`` when base is non-empty, else ``href``."""
     if isinstance(base, str) and isinstance(href, str):
-        from webtables.functions import urlsql
+        from webtables.functions import sqltext as urlsql
 
         return F.expr(urlsql.resolve_url(urlsql.name(base), urlsql.name(href)))
     b0 = _c(base)

@@ -29,6 +29,11 @@ def text_lines(nodes, strip_tags: list[str] | None = None) -> Column:
 
 def page_text(nodes, strip_tags: list[str] | None = None) -> Column:
     """H1: html_to_text. ``None`` strips the default tags, ``[]`` nothing."""
+    if isinstance(nodes, str):
+        from webtables.functions import sqltext
+
+        tags = DEFAULT_TEXT_STRIP if strip_tags is None else strip_tags
+        return F.expr(sqltext.page_text(sqltext.name(nodes), tags))
     return F.array_join(text_lines(nodes, strip_tags), "\n")
 
 
@@ -45,7 +50,7 @@ def page_links(nodes, base_url=None, within=None) -> Column:
     array, e.g. selector matches) limits the anchors; text always comes
     from the complete ``nodes`` array."""
     if isinstance(nodes, str) and (base_url is None or isinstance(base_url, str)) and within is None:
-        from webtables.functions import urlsql  # one SQL text instead of a Column tree
+        from webtables.functions import sqltext as urlsql  # one SQL text, not a Column tree
 
         return F.expr(urlsql.page_links(urlsql.name(nodes), None if base_url is None else urlsql.name(base_url)))
     nodes = _c(nodes)
@@ -93,6 +98,10 @@ def page_metadata(nodes) -> Column:
     """H4: ``map<string,string>``: title (first title's single string or
     ''), then every meta with (name else property) and content both
     non-empty; later keys overwrite earlier ones (needs LAST_WIN)."""
+    if isinstance(nodes, str):
+        from webtables.functions import sqltext
+
+        return F.expr(sqltext.page_metadata(sqltext.name(nodes)))
     nodes = _c(nodes)
     # one pass over the page keeps what metadata needs: title and meta
     # elements and the direct children of titles (by parent id, so this also
