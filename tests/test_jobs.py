@@ -152,3 +152,15 @@ def test_parse_with_store_reuses(spark, tmp_path):
     assert spark.read.parquet(path).count() == 50
     again = parse_with_store(p, path)
     assert again.count() == 50 and spark.read.parquet(path).count() == 50  # nothing re-parsed
+
+
+def test_windowed_stream_stats(spark):
+    from webtables.streaming import jobs as S
+
+    tumbling = {r.window_start: r.total for r in S.windowed_stats(spark, SF, "1 day").collect()}
+    assert sum(tumbling.values()) == 1000
+    sliding = S.windowed_stats(spark, SF, "2 days", slide="1 day").agg(F.sum("total")).first()[0]
+    assert sliding == 2000  # every event falls in exactly two windows
+    closed = {r.window_start: r.total for r in S.windowed_stats(spark, SF, "1 day", mode="append").collect()}
+    assert 0 < len(closed) < len(tumbling)  # append emits closed windows only
+    assert all(tumbling[k] == v for k, v in closed.items())
