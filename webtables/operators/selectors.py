@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webtables.functions.text import _c
+from webtables.functions.text import _c, let
 from webtables.operators.parse import node_at
 
 _IDENT = r"-?(?:[_a-zA-Z]|[^\x00-\x7f]|\\.)(?:[-_a-zA-Z0-9]|[^\x00-\x7f]|\\.)*"
@@ -210,14 +210,15 @@ def _compound_pred(c: Compound, n: Column) -> Column:
     return p
 
 
-def _complex_pred(cx: Complex, nodes: Column, n: Column, idx: int | None = None) -> Column:
+def _complex_pred(cx: Complex, nodes: Column, n: Column, idx: int | None = None,
+                  first_left: dict | None = None) -> Column:
     if idx is None:
         idx = len(cx.steps) - 1
     comb, comp = cx.steps[idx]
     p = _compound_pred(comp, n)
     if idx == 0:
         return p
-    left = lambda m: _complex_pred(cx, nodes, m, idx - 1)
+    left = lambda m: _complex_pred(cx, nodes, m, idx - 1, first_left)
     comb = cx.steps[idx][0]
     if comb == " ":
         rel = F.exists(n["anc"], lambda i: left(node_at(nodes, i)))
@@ -225,6 +226,9 @@ def _complex_pred(cx: Complex, nodes: Column, n: Column, idx: int | None = None)
         rel = (n["parent"] >= 0) & left(node_at(nodes, n["parent"]))
     elif comb == "+":
         rel = n["prev_sib"].isNotNull() & left(node_at(nodes, n["prev_sib"]))
+    elif first_left is not None and idx in first_left:
+        # "~" with a per-page map: parent id -> first child matching the left side
+        rel = n["id"] > F.try_element_at(first_left[idx], n["parent"])
     else:  # "~": earlier element children of the same parent
         start = F.when(n["parent"] >= 0, n["parent"] + 2).otherwise(F.lit(1))
         earlier = F.slice(nodes, start, n["id"] - start + 1)
@@ -253,11 +257,42 @@ def compile_selector(selector: str):
     return pred
 
 
+def _first_left_map(cx: Complex, nodes: Column, idx: int) -> Column:
+    """``map<parent id, first child id>`` over the children matching the left
+    side of the ``~`` at step ``idx`` (one pass over the page; the reversed
+    order lets the first child win under LAST_WIN)."""
+    matches = F.filter(nodes, lambda m: (m["kind"] == "element") & _complex_pred(cx, nodes, m, idx - 1))
+    return F.map_from_entries(F.transform(F.reverse(matches), lambda m: F.struct(m["parent"], m["id"])))
+
+
 def match_nodes(nodes, selector: str) -> Column:
-    """Matched elements in document order (each once)."""
+    """Matched elements in document order (each once).
+
+    A ``~`` step whose left side has no ``~`` itself uses a per-page map
+    built in one pass and bound once, so each candidate's test is O(1)."""
     nodes = _c(nodes)
     pred = compile_selector(selector)
-    return F.filter(nodes, lambda n: pred(nodes, n))
+    tree = parse_selector(selector)
+    steps = [
+        (ci, i) for ci, cx in enumerate(tree) for i, (comb, _) in enumerate(cx.steps)
+        if comb == "~" and all(c != "~" for c, _ in cx.steps[:i])
+    ]
+    if not steps:
+        return F.filter(nodes, lambda n: pred(nodes, n))
+    maps = F.array(*[_first_left_map(tree[ci], nodes, i) for ci, i in steps])
+
+    def run(ms: Column) -> Column:
+        def one(n: Column) -> Column:
+            out = None
+            for ci, cx in enumerate(tree):
+                fl = {i: F.get(ms, k) for k, (cj, i) in enumerate(steps) if cj == ci}
+                q = _complex_pred(cx, nodes, n, first_left=fl)
+                out = q if out is None else out | q
+            return out
+
+        return F.filter(nodes, one)
+
+    return let(maps, run)
 
 
 def outer_html(html, matched: Column) -> Column:
