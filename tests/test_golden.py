@@ -220,6 +220,9 @@ MORE = [
     ("span ~ p", ["b"]),
     ("p + span", ["s"]),
     ("* > span", ["s"]),
+    ("li ~ li.y", ["4"]),
+    ("li ~ li ~ li", ["3", "4", "5"]),
+    ("p ~ span, li ~ li", ["2", "3", "4", "5", "s"]),
 ]
 
 
