@@ -177,3 +177,14 @@ t AS (SELECT DISTINCT {NORM('cl.dst_url')} AS n FROM cl JOIN pages s ON s.page_i
 SELECT page_id FROM pages WHERE {NORM('url')} NOT IN (SELECT n FROM t)"""
 ORACLES["a15_linked_domains_crawl"] = f"""WITH {CRAWL.strip()}
 SELECT {HOST.format(u='dst_url')} AS host, count(*) AS links, count(DISTINCT src_page_id) AS pages FROM cl GROUP BY 1"""
+
+ORACLES["g5_extract_pages"] = f"""
+WITH t AS ({_text_sql()}),
+p(type, pat) AS (VALUES
+  ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'),
+  ('phone', '\\+?[0-9][0-9 ().-]{{7,}}[0-9]'),
+  ('price', '[$€£] ?[0-9]+(?:[.,][0-9]{{2}})?'),
+  ('date', '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}'),
+  ('number', '[0-9]+(?:[.,][0-9]+)?%?')),
+m AS (SELECT page_id, type, unnest(regexp_extract_all(text, pat)) AS value FROM t, p)
+SELECT page_id, type, value, count(*) AS count FROM m GROUP BY ALL"""

@@ -166,3 +166,11 @@ def q_orphans_crawl(spark, d):
 @query("a15_linked_domains_crawl")
 def q_domains_crawl(spark, d):
     return G.linked_domains(_crawl_links(spark, d))
+
+
+@query("g5_extract_pages")
+def q_extract_pages(spark, d):
+    from webtables.operators.content import page_text
+
+    text = _parsed(spark, d).select("page_id", page_text("nodes").alias("text"))
+    return G.extract_data(text, "text", key="page_id")
