@@ -164,3 +164,16 @@ def test_windowed_stream_stats(spark):
     closed = {r.window_start: r.total for r in S.windowed_stats(spark, SF, "1 day", mode="append").collect()}
     assert 0 < len(closed) < len(tumbling)  # append emits closed windows only
     assert all(tumbling[k] == v for k, v in closed.items())
+
+
+def test_parse_with_store_dedupes_identical_pages(spark, tmp_path):
+    from webtables.operators.content import page_text
+    from webtables.operators.parse import parse_with_store
+
+    rows = [(1, "https://a.example/x", "<p>same</p>"), (2, "https://b.example/y", "<p>same</p>"),
+            (3, "https://c.example/z", "<p>other</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "nodes")
+    out = {r.page_id: r.t for r in parse_with_store(df, path).select("page_id", page_text("nodes").alias("t")).collect()}
+    assert out == {1: "same", 2: "same", 3: "other"}
+    assert spark.read.parquet(path).count() == 2  # identical content parsed once
