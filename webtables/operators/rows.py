@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     """Put the columns of several one-row aggregates into one row.
 
-    Each input is a global aggregate (exactly one row, a proven size
-    bound), so the equi-joins on a constant key are broadcast and pair
-    single rows only."""
-    out = one_row_frames[0].withColumn("_one", F.lit(1))
+    Each later input is a global aggregate (exactly one row), read as a
+    scalar subquery: no join is planned at all."""
+    base = one_row_frames[0]
+    cols = [F.col(c) for c in base.columns]
     for f in one_row_frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), "_one")
-    return out.drop("_one")
+        s = f.select(F.struct(*f.columns).alias("s")).scalar()
+        cols += [s[c].alias(c) for c in f.columns]
+    return base.select(*cols)
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, salt_col: str,

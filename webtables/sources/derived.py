@@ -101,10 +101,9 @@ def page_store(spark: SparkSession, sf_dir: str, ttl_override: int | None = None
         "cache_key", "url", F.col("ts").alias("fetched_at"), "ttl_s", user_of(F.col("url")).alias("user_id")
     )
     pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
-    # one-row aggregate, broadcast by construction (size bound: 1 row)
-    n_pages = pages.agg(F.count(F.lit(1)).alias("n_pages"))
-    keyed = stored.join(F.broadcast(n_pages.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    keyed = keyed.withColumn("page_id", F.col("user_id") % F.col("n_pages"))
+    # the page count is a scalar subquery (one value), not a join
+    n_pages = pages.agg(F.count(F.lit(1))).scalar()
+    keyed = stored.withColumn("page_id", F.col("user_id") % n_pages)
     return keyed.join(pages, "page_id").select(
         "cache_key", "url", F.col("html").alias("content"), "fetched_at", "ttl_s"
     )
@@ -114,12 +113,11 @@ def store_totals(spark: SparkSession, sf_dir: str, labelled: DataFrame) -> DataF
     """One pass over the labelled log: store entries and bytes (successful
     fetches, sized by their page) with hits and misses, in one aggregate."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("_bytes"))
-    n_pages = pages.agg(F.count(F.lit(1)).alias("n_pages")).withColumn("_one", F.lit(1))
+    n_pages = pages.agg(F.count(F.lit(1))).scalar()
     stored = (F.col("label") == "fetch") & F.col("success")
     j = (
         labelled.select("url", "label", "success")
-        .join(F.broadcast(n_pages), F.lit(1) == F.col("_one"))
-        .withColumn("page_id", F.when(stored, user_of(F.col("url")) % F.col("n_pages")))
+        .withColumn("page_id", F.when(stored, user_of(F.col("url")) % n_pages))
         .join(pages, "page_id", "left")
     )
     return j.agg(
@@ -134,8 +132,7 @@ def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``graph_links(src_page_id, dst_url)``: page p links to the URL of page
     (7p+3) % N unless p % 3 = 0, and to a gone URL when p % 5 = 0."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    n = pages.agg(F.count(F.lit(1)).alias("n_pages")).withColumn("_one", F.lit(1))
-    src = pages.select("page_id").join(F.broadcast(n), F.lit(1) == F.col("_one"))
+    src = pages.select("page_id").withColumn("n_pages", pages.agg(F.count(F.lit(1))).scalar())
     to_page = src.where(F.col("page_id") % 3 != 0).select(
         F.col("page_id").alias("src_page_id"), ((7 * F.col("page_id") + 3) % F.col("n_pages")).alias("dst_page_id")
     )
@@ -165,10 +162,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    n = pages.agg(F.count(F.lit(1)).alias("n_pages")).withColumn("_one", F.lit(1))
     w = Window.partitionBy("conv_id").orderBy("turn")
     turns = conv.withColumn("prev_words", F.lag(word_count(F.col("text"))).over(w))
-    asst = turns.where(F.col("role") == "assistant").join(F.broadcast(n), F.lit(1) == F.col("_one"))
+    asst = turns.where(F.col("role") == "assistant").withColumn("n_pages", pages.agg(F.count(F.lit(1))).scalar())
     cited = asst.select(
         "conv_id", "turn", "text", "prev_words", F.posexplode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("rank", "i"), "n_pages"
     ).withColumn("page_id", (F.col("conv_id") + F.col("turn") + F.col("i")) % F.col("n_pages"))
