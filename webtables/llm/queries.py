@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, exact_dedup, packing, substring_dedup, url_filter
+from . import bpe, dac, exact_dedup, ngram_join, packing, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -50,6 +58,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_toxicity": op3_toxicity,
+        "op4_ngram_join": op4_ngram_join,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_token_files": op8_token_files,

@@ -20,6 +20,8 @@ _INVERSE = {int(b): np.uint64(pow(int(b), -1, 1 << 64)) for b in (_BASE, _WORD_B
 #: The white space of the contracts.
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+#: All ASCII but letters and digits: words without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
@@ -54,11 +56,11 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a column of texts (null: none).
 
     ``first[d]`` to ``first[d + 1]`` are the words of text d; ``start`` and ``end`` are
-    their bytes in ``data``."""
+    their bytes in ``data``. ``blank``: other bytes that part words."""
 
-    def __init__(self, col: pa.Array, lower: bool = False):
+    def __init__(self, col: pa.Array, lower: bool = False, blank: np.ndarray = _BLANK):
         self.data, off = raw(col)
-        solid = ~_BLANK[self.data]
+        solid = ~blank[self.data]
         if lower:
             self.hashed = _LOWER[self.data]
         else:
