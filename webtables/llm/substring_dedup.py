@@ -113,7 +113,8 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, n_slices: int) -> DataFr
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cut_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_removed, intervals (array of
     struct(start, stop) of word numbers), kept_sha256; with ``cut_text`` also
-    ``kept_text``, the kept words joined by one space.
+    ``kept_text``, the kept words joined by one space, where words go, and the whole
+    text's ``text_sha256``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A window of ``window`` words goes if the same
     words also start in a document with a smaller id; windows are judged on the input.
@@ -157,7 +158,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         earlier = np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpack_hashes(x.as_buffer()) for x in told["hashes"]]]))
         known, least = _earliest(group, window)
         ids, none = _ids(group["id"])
-        out: dict[str, list] = {"n_words": [], "n_removed": [], "starts": [], "stops": [], "sha": [], "kept": []}
+        out: dict[str, list] = {"n_words": [], "n_removed": [], "starts": [], "stops": [], "sha": [], "kept": [], "whole": []}
         for at, texts in _steps(group["text"]):
             words = Words(texts)
             h, inside = words.windows(window)
@@ -169,7 +170,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             if len(known):
                 seen |= least[np.minimum(np.searchsorted(known, x), len(known) - 1)] < ids[of[w]]
             gone = _cover(w[seen], len(h), window)
-            data = words.data.tobytes()
+            data, bounds = words.data.tobytes(), words.bounds.tolist()
             for d in range(len(texts)):
                 a, z = int(words.first[d]), int(words.first[d + 1])
                 g = gone[a:z]
@@ -185,18 +186,35 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 out["starts"].append(edge[::2])
                 out["stops"].append(edge[1::2])
                 out["sha"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept.decode() if cut_text else None)
+                out["kept"].append(kept.decode() if cut_text and removed else None)
+                out["whole"].append(hashlib.sha256(data[bounds[d] : bounds[d + 1]]).hexdigest() if cut_text and removed else None)
         sizes = np.cumsum([0] + [len(x) for x in out["starts"]]).astype(np.int32)
         flat = lambda k: pa.array(np.concatenate([np.zeros(0, np.int64), *out[k]]).astype(np.int64))
         spans = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays([flat("starts"), flat("stops")], ["start", "stop"]))
-        cols = [group["id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), spans, pa.array(out["sha"], pa.string()), pa.array(out["kept"], pa.string())]
-        return pa.table(cols, names=["id", "n_words", "n_removed", "intervals", "kept_sha256", "kept_text"])
+        cols = [group["id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), spans, pa.array(out["sha"], pa.string()), pa.array(out["kept"], pa.string()), pa.array(out["whole"], pa.string())]
+        return pa.table(cols, names=["id", "n_words", "n_removed", "intervals", "kept_sha256", "kept_text", "text_sha256"])
 
     sent = dealt.groupBy("slice").applyInArrow(send, "slice int, bucket int, hashes binary")
     told = sent.groupBy("bucket").applyInArrow(meet, "slice int, hashes binary")
-    schema = "id long, n_words long, n_removed long, intervals array<struct<start:long,stop:long>>, kept_sha256 string, kept_text string"
+    schema = "id long, n_words long, n_removed long, intervals array<struct<start:long,stop:long>>, kept_sha256 string, kept_text string, text_sha256 string"
     done = dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(take_out, schema)
-    return done.withColumnRenamed("id", id_col) if cut_text else done.drop("kept_text").withColumnRenamed("id", id_col)
+    return done.withColumnRenamed("id", id_col) if cut_text else done.drop("kept_text", "text_sha256").withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the words that :func:`removals` finds: a text that loses words
+    becomes its kept words joined by one space (and ``length_col`` their code points);
+    all other rows and columns stay as they are.
+
+    Rows that share an id are matched by their text's SHA-256 too."""
+    changed = removals(docs, id_col, text_col, window, cut_text=True).where("n_removed > 0")
+    changed = changed.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept_text").alias("__kept")).distinct()
+    rows = docs.withColumns({"__id": docs[id_col].cast("long"), "__sha": F.sha2(docs[text_col].cast("string"), 256)})
+    both = rows.join(changed, ["__id", "__sha"], "left")
+    new = {text_col: F.coalesce("__kept", docs[text_col])}
+    if length_col:
+        new[length_col] = F.when(F.col("__kept").isNull(), docs[length_col]).otherwise(F.length("__kept").cast(docs.schema[length_col].dataType))
+    return both.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -60,6 +60,7 @@ class Words:
 
     def __init__(self, col: pa.Array, lower: bool = False, blank: np.ndarray = _BLANK):
         self.data, off = raw(col)
+        self.bounds = off  # of the texts' bytes
         solid = ~blank[self.data]
         if lower:
             self.hashed = _LOWER[self.data]
