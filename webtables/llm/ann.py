@@ -92,23 +92,27 @@ def build(rows: DataFrame, seed: int = 11) -> Index | None:
 
 
 def scan(x: np.ndarray, q: np.ndarray, k: int, width: float = WIDTH, columns: int = COLUMNS) -> np.ndarray:
-    """Rows of ``x`` that may be among the ``k`` nearest to ``q``: those that no test dropped."""
+    """Rows of ``x`` that may be among the ``k`` nearest to ``q``: those that no test dropped.
+
+    Rows come in growing chunks; each chunk is tested against the k-th least distance of
+    the chunks before it."""
     n, dims = x.shape
-    first = min(n, 2 * k)
-    near = ((x[:first] - q) ** 2).sum(1)
-    if n == first:
-        return np.arange(n)
-    bound = np.partition(near, k - 1)[k - 1]
-    alive, part = np.arange(n), np.zeros(n)
-    for at in range(0, dims, columns):
-        to = min(at + columns, dims)
-        part += ((x[alive, at:to] - q[at:to]) ** 2).sum(1)
-        if to == dims:
-            keep = part <= bound * (1 + 1e-9) + 1e-12
-        else:  # the partial distance's share is to / dims, give or take its standard error
-            keep = part * (dims / to) <= bound * (1 + width / to**0.5) ** 2 + 1e-12
-        alive, part = alive[keep], part[keep]
-    return alive
+    to = min(n, 2 * k)
+    rows = np.arange(to)
+    near = ((x[:to] - q) ** 2).sum(1)
+    while to < n:
+        bound = np.partition(near, k - 1)[k - 1]
+        alive = np.arange(to, min(n, 3 * to))
+        to, part = alive[-1] + 1, np.zeros(len(alive))
+        for at in range(0, dims, columns):
+            seen = min(at + columns, dims)
+            part += ((x[alive, at:seen] - q[at:seen]) ** 2).sum(1)
+            # so far, a share seen / dims of the distance, give or take its standard error
+            most = bound * (1 + (width / seen**0.5 if seen < dims else 1e-9)) ** 2 * (seen / dims) + 1e-12
+            keep = part <= most
+            alive, part = alive[keep], part[keep]
+        rows, near = np.r_[rows, alive], np.r_[near, part]
+    return rows[near <= np.partition(near, k - 1)[k - 1] * (1 + 1e-9) + 1e-12] if n > k else rows
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probed: float = PROBED) -> DataFrame:

@@ -121,10 +121,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(key(F.col(id_col)).alias("__key"), F.col("text_sha256").alias("__own"), F.lit(1).alias("__kept"))
-    chars = F.length(text_or_empty(docs[text_col]))
-    rows = docs.withColumns({"__key": key(docs[id_col]), "__own": F.sha2(normalised(docs[text_col]), 256), "__chars": chars})
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(key(F.col(id_col)).alias("key"), F.col("text_sha256").alias("own"))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        key(docs[id_col]).alias("key"),
+        F.sha2(normalised(docs[text_col]), 256).alias("own"),
+        F.length(text_or_empty(docs[text_col])).alias("chars"),
+    )
     # repeated rows (one id, equal texts) are told apart by nothing: the longest stays
-    order = Window.partitionBy("__key", "__own").orderBy(F.desc("__chars"))
-    both = rows.join(kept, ["__key", "__own"]).withColumn("__nth", F.row_number().over(order))
-    return both.where("__nth = 1").select(*docs.columns)
+    order = Window.partitionBy("key", "own").orderBy(F.desc("chars"))
+    both = rows.join(kept, ["key", "own"]).withColumn("nth", F.row_number().over(order))
+    return both.where("nth = 1").select("row.*")

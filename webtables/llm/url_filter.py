@@ -59,7 +59,7 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     redirect = F.transform(pick("meta", refresh), lambda t: F.nullif(F.trim(F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)", 1)), F.lit("")))
     tagged = pages.select(pages[url_col].alias("url"), pages[html_col].alias("html")).where(html.rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
     targets = tagged.select("url", F.explode(F.concat(F.slice(canonical, 1, 1), F.slice(redirect, 1, 1))).alias("to")).where("to IS NOT NULL")
-    return targets.select(node_of(F.col("url")).alias("a"), node_of(resolve_url(F.col("to"), F.col("url"))).alias("b"))
+    return targets.select(node_of(F.col("url")).alias("a"), node_of(resolve_url(F.col("url"), F.col("to"))).alias("b"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
