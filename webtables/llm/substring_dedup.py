@@ -23,7 +23,7 @@ from .words import Words
 
 WINDOW = 50
 #: Slices and hash ranges for each shuffle partition.
-SPREAD = 4
+SPREAD = 2
 #: Text bytes of a slice that are hashed at a time.
 STEP = 16 << 20
 
@@ -208,13 +208,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that share an id are matched by their text's SHA-256 too."""
     changed = removals(docs, id_col, text_col, window, cut_text=True).where("n_removed > 0")
-    changed = changed.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept_text").alias("__kept")).distinct()
-    rows = docs.withColumns({"__id": docs[id_col].cast("long"), "__sha": F.sha2(docs[text_col].cast("string"), 256)})
-    both = rows.join(changed, ["__id", "__sha"], "left")
-    new = {text_col: F.coalesce("__kept", docs[text_col])}
+    changed = changed.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept_text").distinct()
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(row.alias("row"), docs[id_col].cast("long").alias("id"), F.sha2(docs[text_col].cast("string"), 256).alias("sha"))
+    both = rows.join(changed, ["id", "sha"], "left")
+    new = {text_col: F.coalesce("kept_text", F.col("row")[text_col])}
     if length_col:
-        new[length_col] = F.when(F.col("__kept").isNull(), docs[length_col]).otherwise(F.length("__kept").cast(docs.schema[length_col].dataType))
-    return both.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+        counted = F.length("kept_text").cast(docs.schema[length_col].dataType)
+        new[length_col] = F.when(F.col("kept_text").isNull(), F.col("row")[length_col]).otherwise(counted)
+    return both.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
