@@ -9,7 +9,9 @@ keeps an open-element stack and applies a few stated rules:
   no open match is ignored;
 * a block start closes an open ``p``; ``li``/``dt``/``dd``/``tr``/``td``/
   ``th``/``option`` close an open sibling of the same family;
-* the document end closes everything.
+* the document end closes everything;
+* elements nested deeper than ``MAX_DEPTH`` hang from the element at that depth;
+* text that the tokenizer hands out in pieces (around a stray ``<``) is one node.
 
 Nodes come out in pre-order, so ``id`` equals the array position and the
 subtree of node ``i`` is exactly ``nodes[i+1 .. end_id]``.
@@ -49,6 +51,12 @@ NODE_FIELDS = (
 )
 
 
+# Levels of nesting that are kept: bounds what a broken page of unclosed tags makes.
+MAX_DEPTH = 128
+# Elements whose content is raw text (HTML Living Standard).
+RAW_TAGS = frozenset(["script", "style"])
+
+
 class _TreeBuilder(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -59,7 +67,8 @@ class _TreeBuilder(HTMLParser):
             self.line_starts.append(i + 1)
             i = html.find("\n", i + 1)
         self.nodes: list[list] = []
-        # open elements: [node_id, tag, child_count, {tag: count}, last_child_id]
+        # open elements: [node_id, tag, child_count, {tag: count}, last_child_id,
+        # ancestors' and own tags, ancestors' and own ids]
         self.stack: list[list] = []
         self.root_counts = [0, {}, None]
 
@@ -79,6 +88,8 @@ class _TreeBuilder(HTMLParser):
             node[14] = stop
 
     def _find_open(self, targets, boundary) -> int:
+        if not self.stack or targets.isdisjoint(self.stack[-1][5]):
+            return -1
         for i in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[i][1]
             if tag in targets:
@@ -112,8 +123,7 @@ class _TreeBuilder(HTMLParser):
                 counts[4] = nid
             tc[tag] = tc.get(tag, 0) + 1
             type_sib = tc[tag]
-        path = [s[1] for s in self.stack]
-        anc = [s[0] for s in self.stack]
+        path, anc = (self.stack[-1][5], self.stack[-1][6]) if self.stack else ([], [])
         self.nodes.append(
             [nid, parent, nid, len(self.stack), sib, type_sib, prev, kind, tag, attrs, text,
              path, anc, start, stop]
@@ -138,9 +148,13 @@ class _TreeBuilder(HTMLParser):
         for k, v in attrs:
             if k not in amap:
                 amap[k] = "" if v is None else v
+        if len(self.stack) >= MAX_DEPTH:
+            self._pop_to(MAX_DEPTH - 1, start)
         nid = self._new_node("element", tag, amap, None, start, stop)
         if not (self_closing or tag in VOID_TAGS):
-            self.stack.append([nid, tag, 0, {}, None])
+            node = self.nodes[nid]
+            path = [t for t in node[11] if t != tag] + [tag]
+            self.stack.append([nid, tag, 0, {}, None, path, [*node[12], nid]])
 
     def handle_starttag(self, tag, attrs):
         self._open(tag, attrs, False)
@@ -155,12 +169,18 @@ class _TreeBuilder(HTMLParser):
             if self.stack[i][1] == tag:
                 start = self._offset()
                 end = self.html.find(">", start)
+                self._pop_to(i + 1, start)  # what the end tag closes on its way ends before it
                 self._pop_to(i, len(self.html) if end < 0 else end + 1)
                 return
 
     def handle_data(self, data):
         start = self._offset()
-        kind = "raw" if self.cdata_elem is not None else "text"
+        kind = "raw" if self.stack and self.stack[-1][1] in RAW_TAGS else "text"
+        last = self.nodes[-1] if self.nodes else None
+        if last is not None and last[7] == kind and last[1] == (self.stack[-1][0] if self.stack else -1):
+            last[10] += data
+            last[14] = start + len(data)
+            return
         self._new_node(kind, None, None, data, start, start + len(data))
 
     def handle_comment(self, data):

@@ -50,7 +50,9 @@ class _Writer:
         kind = n["kind"]
         if kind == "text":
             t = n["text"] or ""
-            return t if ctx.get("pre") else _escape(_WS.sub(" ", t))
+            if ctx.get("pre"):
+                return t
+            return _WS.sub(" ", t) if ctx.get("code") else _escape(_WS.sub(" ", t))
         if kind != "element":
             return ""
         tag = n["tag"]
@@ -71,7 +73,7 @@ class _Writer:
             inner = self.children(nid, ctx).strip()
             return f"*{inner}*" if inner else ""
         if tag == "code" and not ctx.get("pre"):
-            inner = self.children(nid, ctx)
+            inner = self.children(nid, dict(ctx, code=True))
             return f"`{inner}`" if inner else ""
         if tag == "a":
             inner = self.children(nid, ctx).strip()

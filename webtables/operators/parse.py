@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webtables.functions.html import parse_html
-from webtables.session import few_partitions
+from webtables.session import spread as deal
 from webtables.schema import NODES
 
 _ARROW_NODE_FIELDS = [
@@ -95,16 +95,16 @@ def _parse_batches(html_col: str, keep_html: bool, markdown_strip: list[str] | N
                     errors.append("ValueError: page has no content")
                     mds.append(None)
                     continue
+                rows = md = error = None
                 try:
                     rows = parse_html(h)
-                    pages.append(rows)
-                    errors.append(None)
                     if markdown_strip is not None:
-                        mds.append(_markdown_of(rows, markdown_strip))
+                        md = _markdown_of(rows, markdown_strip)
                 except Exception as e:  # P6: one bad page never fails the job
-                    pages.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-                    mds.append(None)
+                    rows, md, error = None, None, f"{type(e).__name__}: {e}"
+                pages.append(rows)
+                errors.append(error)
+                mds.append(md)
             keep = [i for i in range(batch.num_columns) if keep_html or i != idx]
             cols = [batch.column(i) for i in keep] + [_nodes_array(pages), pa.array(errors, type=pa.string())]
             names = [batch.schema.names[i] for i in keep] + ["nodes", "parse_error"]
@@ -116,7 +116,7 @@ def _parse_batches(html_col: str, keep_html: bool, markdown_strip: list[str] | N
     return run
 
 
-def parse_pages(df: DataFrame, html_col: str = "html", spread: bool = True, keep_html: bool = True,
+def parse_pages(df: DataFrame, html_col: str = "html", spread: int | None = None, keep_html: bool = True,
                 markdown_strip: list[str] | None = None) -> DataFrame:
     """Append ``nodes array<NODE>`` and ``parse_error string`` to every row.
 
@@ -126,12 +126,10 @@ def parse_pages(df: DataFrame, html_col: str = "html", spread: bool = True, keep
     column in the same pass (H2 without a selector), which saves sending
     the node array to Python a second time.
 
-    Parsing is CPU work per page. When the input has fewer partitions than
-    the cluster has cores (a few large files), rows are spread round-robin
-    first so every core parses; a large crawl already has many splits and
-    is parsed where it is read, without a shuffle."""
-    if spread and few_partitions(df):
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    Parsing is CPU work per page. ``spread`` (or ``spark.webtables.spread``)
+    deals the rows of a few large files over that many tasks first; without
+    it a crawl is parsed where it is read, without a shuffle."""
+    df = deal(df, spread)
     fields = [f for f in df.schema.fields if keep_html or f.name != html_col]
     fields += [T.StructField("nodes", NODES), T.StructField("parse_error", T.StringType())]
     if markdown_strip is not None:
@@ -178,20 +176,20 @@ def parse_with_store(pages: DataFrame, store_path: str, html_col: str = "html")
     """Result reuse: parse only pages whose content is not yet in the node
     store (parquet of ``content_hash, nodes, parse_error`` under a shared
     folder), append the new parses, and return the pages with their nodes.
+    Pages without content stay, with null nodes and the parser's error.
 
     Identical pages (same hash) are parsed once; a re-crawl that changed
     few pages parses only those. The store is append-only, so a lost
     executor can at worst leave a duplicate hash, which ``dropDuplicates``
     on read removes."""
-    from pyspark.errors import AnalysisException
-
     spark = pages.sparkSession
-    hashed = pages.withColumn("content_hash", F.sha2(F.col(html_col), 256))
-    try:
+    # a page without content has a key of its own, which no digest equals
+    hashed = pages.withColumn("content_hash", F.coalesce(F.sha2(F.col(html_col), 256), F.lit("")))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store_path)
+    todo = hashed
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         known = spark.read.parquet(store_path).select("content_hash")
         todo = hashed.join(known, "content_hash", "left_anti")
-    except AnalysisException:  # no store yet
-        todo = hashed
     fresh = parse_pages(
         todo.select("content_hash", html_col).dropDuplicates(["content_hash"]), html_col=html_col, keep_html=False
     )

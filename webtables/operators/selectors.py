@@ -180,7 +180,7 @@ def _compound_pred(c: Compound, n: Column) -> Column:
     for part in c.parts:
         kind = part[0]
         if kind == "id":
-            p = p & (attrs["id"] == part[1])
+            p = p & F.coalesce(attrs["id"] == part[1], F.lit(False))
         elif kind == "class":
             p = p & F.coalesce(F.array_contains(F.split(attrs["class"], r"[ \t\n\r\f]+"), part[1]), F.lit(False))
         elif kind == "attr":

@@ -11,8 +11,8 @@ LONG = T.LongType()
 # One HTML node; ``id`` is the pre-order index (= array position) and the
 # subtree of a node is nodes[id+1 .. end_id]. ``sib``/``type_sib`` are the
 # 1-based positions among element siblings (all / same tag), ``prev_sib``
-# the id of the previous element sibling. ``path``/``anc`` hold the tags
-# and ids of the open ancestors, root first. ``start``/``stop`` are character
+# the id of the previous element sibling. ``path`` holds the distinct
+# tags of the open ancestors, the parent's last, and ``anc`` their ids, root first. ``start``/``stop`` are character
 # offsets of the element's outer HTML in the source page.
 NODE = T.StructType(
     [

@@ -69,8 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and is read, never replaced.
-    Only when it is unset (local tests, the driver's smoke run) a private
-    folder is created and registered.
+    Only when it is unset and Spark runs in one local process (tests, a smoke
+    run) a private folder is created and registered; elsewhere it has to be set.
     """
     try:
         sc = spark.sparkContext
@@ -81,21 +81,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="webtables-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
     return d
 
 
-def few_partitions(df) -> bool:
-    """True when a (batch) frame has fewer partitions than the cluster has
-    cores, i.e. its input is a few small files; False when unknown."""
-    try:
-        if df.isStreaming:
-            return False
-        return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # Spark Connect or similar: leave the plan as it is
-        return False
+def spread(df, partitions: int | None = None):
+    """``df`` dealt round-robin over ``partitions`` tasks, for CPU-heavy work on input
+    that Spark reads as a few splits. The number comes from the caller or from the
+    setting ``spark.webtables.spread``; without either the input's splits decide and
+    nothing is shuffled."""
+    n = partitions or int(df.sparkSession.conf.get("spark.webtables.spread", None) or 0)
+    return df.repartition(n) if n and not df.isStreaming else df
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:

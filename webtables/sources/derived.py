@@ -54,15 +54,10 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``request_log(request_id, ts, url, success, status_code, elapsed_ms,
     attempts, error, request_type, cache_key)`` (+ helper column ``k``).
 
-    A log read as fewer partitions than cores (one small file) is spread
-    round-robin first so the key hashing runs on every core; a large log
-    already has many splits and is not shuffled here."""
-    from webtables.session import few_partitions
-
-    events = read_table(spark, sf_dir, "events")
-    if few_partitions(events):
-        events = events.repartition(spark.sparkContext.defaultParallelism)
-    return request_log_from_events(events)
+    ``spark.webtables.spread`` spreads a log of few splits over more tasks."""
+    from webtables.session import spread
+
+    return request_log_from_events(spread(read_table(spark, sf_dir, "events")))
 
 
 def attempts_from_log(log: DataFrame) -> DataFrame:
