@@ -4,7 +4,8 @@ Sources are file streams over a directory (one table's files picked by
 ``pathGlobFilter``); results go to parquet sinks or ``foreachBatch``
 overwrites under the shared checkpoint folder, never to the driver-memory
 sink. ``run_available`` drives a query with ``trigger(availableNow=True)``
-so a test or a scheduled job processes everything present and stops.
+so a test or a scheduled job processes everything present and stops. With the
+same ``work`` folder a later run resumes: only new files are read.
 
 * T1 running counters per request type (complete state, rewritten per batch)
 * T2 windowed request stats with a watermark (late rows dropped)
@@ -32,16 +33,18 @@ from webtables.session import checkpoint_dir, configure
 from webtables.sources.derived import request_log_from_events
 
 
-def _work_dir(spark: SparkSession, name: str) -> str:
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+def _work_dir(spark: SparkSession, name: str, work: str | None) -> str:
+    """The folder of a job's state and result: the caller's, with which a later run goes
+    on where the last one ended, or a new one in the shared checkpoint folder."""
+    return work or os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A file stream of one driver table (schema taken from the files)."""
+    """A file stream of one table: ``name.parquet`` and files that arrive later as
+    ``name-*.parquet`` (schema taken from the first)."""
     configure(spark)
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(sf_dir)
@@ -54,13 +57,16 @@ def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(writer, timeout_s: int = 600) -> None:
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-    if q.exception() is not None:
-        raise q.exception()
+def run_available(writer) -> None:
+    """Run until all input that is there has been processed; errors are raised."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(spark: SparkSession, folder: str, prefix: str) -> str:
+    """The last folder by name under ``folder`` that begins with ``prefix``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return max(str(f.getPath()) for f in found if f.getPath().getName().startswith(prefix))
 
 
 def _overwrite_sink(path: str):
@@ -70,9 +76,9 @@ def _overwrite_sink(path: str):
     return write
 
 
-def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def running_counters(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
     """Counters per request type over the whole stream."""
-    work = _work_dir(spark, "t1")
+    work = _work_dir(spark, "t1", work)
     agg = counters(request_stream(spark, sf_dir), ["request_type"])
     run_available(
         agg.writeStream.outputMode("complete")
@@ -83,10 +89,10 @@ def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windowed_stats(spark: SparkSession, sf_dir: str, size: str = "1 day", slide: str | None = None,
-                   watermark: str = "1 day", mode: str = "complete") -> DataFrame:
+                   watermark: str = "1 day", mode: str = "complete", work: str | None = None) -> DataFrame:
     """Request stats per event-time window (tumbling, or sliding when
     ``slide`` is set). ``append`` emits closed windows only."""
-    work = _work_dir(spark, "t2")
+    work = _work_dir(spark, "t2", work)
     s = request_stream(spark, sf_dir).withWatermark("ts", watermark)
     win = F.window("ts", size, slide) if slide else F.window("ts", size)
     agg = s.groupBy(win.alias("w")).agg(
@@ -149,12 +155,12 @@ def _ttl_dedup(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     })
 
 
-def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day") -> DataFrame:
+def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day", work: str | None = None) -> DataFrame:
     """Label each request ``fetch`` or ``served`` per cache key as the
     stream arrives. Each key's state is one (fetched_at, expiry) pair; the
     event-time timeout removes it once the watermark passes the expiry, so
     state stays bounded by the keys live within one TTL."""
-    work = _work_dir(spark, "t3")
+    work = _work_dir(spark, "t3", work)
     s = request_stream(spark, sf_dir).withWatermark("ts", watermark)
     s = s.select(
         "request_id", "cache_key", "success",
@@ -173,42 +179,34 @@ def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day")
     return res.withColumn("fetched_at", F.timestamp_micros("fetched_at_us").cast("timestamp_ntz")).drop("fetched_at_us")
 
 
-def last_n_stream(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
+def last_n_stream(spark: SparkSession, sf_dir: str, n: int = 100, work: str | None = None) -> DataFrame:
     """T4: the newest ``n`` requests kept across micro-batches: each batch is
     merged with the previous top-n and cut back to n (bounded state). Batch
     k writes generation k and reads generation k-1, so a replayed batch
     gives the same result."""
-    work = _work_dir(spark, "t4")
-    last = {"path": None}
-
+    work = _work_dir(spark, "t4", work)
     def gen(k: int) -> str:
         return os.path.join(work, f"gen-{k:012d}")
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        from pyspark.errors import AnalysisException
-
-        sp = batch.sparkSession
         top = batch.select("request_id", "ts", "url", "success")
-        try:
-            top = sp.read.parquet(gen(epoch_id - 1)).unionByName(top)
-        except AnalysisException:  # first batch: no earlier generation
-            pass
+        if epoch_id > 0:  # batches are numbered from 0 in a work folder
+            top = batch.sparkSession.read.parquet(gen(epoch_id - 1)).unionByName(top)
         top.orderBy(F.col("ts").desc(), F.col("request_id").desc()).limit(n).write.mode("overwrite").parquet(gen(epoch_id))
-        last["path"] = gen(epoch_id)
 
     run_available(
         request_stream(spark, sf_dir).writeStream.option("checkpointLocation", os.path.join(work, "ckpt"))
         .foreachBatch(merge)
     )
-    return spark.read.parquet(last["path"])
+    return spark.read.parquet(newest(spark, work, "gen-"))
 
 
-def page_conversion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_conversion_stream(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
     """T5: new page files -> text and link counts, stateless append."""
     from webtables.operators.content import page_links, page_text
     from webtables.operators.parse import parse_pages
 
-    work = _work_dir(spark, "t5")
+    work = _work_dir(spark, "t5", work)
     pages = table_stream(spark, sf_dir, "pages").select("page_id", "url", "html")
     conv = parse_pages(pages, keep_html=False).select(
         "page_id", page_text("nodes").alias("text"), F.size(page_links("nodes", "url")).alias("links")
