@@ -37,10 +37,12 @@ NO_LABEL_TYPES = ["hidden", "submit", "button", "image", "reset"]
 EXTRACT_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\+?[0-9][0-9 ().-]{7,}[0-9]",
-    "price": r"[$€£] ?[0-9]+(?:[.,][0-9]{2})?",
+    "price": r"[$€£] ?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.,][0-9]{1,2})?",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}",
-    "number": r"[0-9]+(?:[.,][0-9]+)?%?",
+    "number": r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?%?",
 }
+# What a match of a pattern must not look like: a date is no phone number.
+EXTRACT_EXCEPT = {"phone": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"}
 
 
 def _exists(arr: Column, f) -> Column:
@@ -147,7 +149,8 @@ def link_audit(parsed: DataFrame, max_external: int = 100) -> DataFrame:
                            host(F.col("url")).alias("_host"))
     anchors = F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"))
     links, ph = F.col("_links"), F.col("_host")
-    internal = F.size(F.filter(links, lambda l: host(l["url"]) == ph))
+    web = F.size(F.filter(links, lambda l: is_http_link(l["url"])))
+    internal = F.size(F.filter(links, lambda l: is_http_link(l["url"]) & (host(l["url"]) == ph)))
     nofollow = F.size(F.filter(
         anchors, lambda a: F.coalesce(F.array_contains(F.split(F.lower(a["attrs"]["rel"]), r"[ \t\n\r\f]+"), "nofollow"), F.lit(False))
     ))
@@ -157,33 +160,39 @@ def link_audit(parsed: DataFrame, max_external: int = 100) -> DataFrame:
         "page_id",
         F.size(links).alias("links"),
         internal.alias("internal"),
-        (F.size(links) - internal).alias("external"),
+        (web - internal).alias("external"),
         F.size(F.filter(links, lambda l: l["text"] == "")).alias("missing_text"),
         nofollow.alias("nofollow"),
     )
     return out.withColumn("excessive_external", F.col("external") > max_external)
 
 
+def is_http_link(u) -> Column:
+    """Links that can name a page: ``mailto:``, ``javascript:`` and the like cannot."""
+    return F.coalesce(scheme(_c(u)).isin("http", "https"), F.lit(False))
+
+
 def normalize_url(u) -> Column:
-    """Lower-case scheme and host, drop the fragment and a trailing slash."""
+    """Lower-case scheme and host, drop the fragment and a slash that ends the path; a
+    port and the query stay."""
     u = _c(u)
     nofrag = F.regexp_replace(u, "#.*$", "")
+    port = F.regexp_extract(nofrag, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*?(:[0-9]+)?(?:[/?]|$)", 1)
     rest = F.regexp_replace(nofrag, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    rest = F.regexp_replace(rest, r"/(\?|$)", "$1")
-    return F.concat(scheme(u), F.lit("://"), host(u), rest)
+    rest = F.regexp_replace(rest, r"^([^?]*?)/(\?|$)", "$1$2")
+    return F.concat(scheme(u), F.lit("://"), host(u), port, rest)
 
 
 def broken_links(links: DataFrame, pages: DataFrame, bad_status: int = 400) -> DataFrame:
-    """Links whose target is unknown (``left_anti``) or a known page with
-    a bad status (inner join + filter); both on the normalised URL."""
-    lk = links.withColumn("_n", normalize_url("dst_url"))
+    """http(s) links whose target is unknown or a known page with a bad status, by
+    one left join on the normalised URL. Of several pages with one URL the best status
+    counts. Links that cannot name a page (``mailto:``) are none."""
+    lk = links.where(is_http_link("dst_url")).withColumn("_n", normalize_url("dst_url"))
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
-    pg = pages.select(normalize_url("url").alias("_n"), status.alias("status_code")).dropDuplicates(["_n"])
-    unknown = lk.join(pg, "_n", "left_anti").withColumn("reason", F.lit("unknown")).withColumn(
-        "status_code", F.lit(None).cast("int")
-    )
-    bad = lk.join(pg.where(F.col("status_code") >= bad_status), "_n").withColumn("reason", F.lit("bad_status"))
-    return unknown.unionByName(bad).drop("_n")
+    pg = pages.select(normalize_url("url").alias("_n"), status.cast("int").alias("_status"))
+    pg = pg.groupBy("_n").agg(F.min("_status").alias("status_code"), F.lit(True).alias("_known"))
+    reason = F.when(F.col("_known").isNull(), "unknown").when(F.col("status_code") >= bad_status, "bad_status")
+    return lk.join(pg, "_n", "left").withColumn("reason", reason).where("reason IS NOT NULL").drop("_n", "_known")
 
 
 def orphan_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -201,8 +210,12 @@ def orphan_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_domains(links: DataFrame, approx: bool = False) -> DataFrame:
-    """Target hosts with link counts and distinct linking pages."""
+    """Hosts that http(s) links lead to, with link counts and distinct linking
+    pages; links that stay on the page's own host (``src_url``, if given) do not count."""
     cd = F.approx_count_distinct("src_page_id") if approx else F.countDistinct("src_page_id")
+    links = links.where(is_http_link("dst_url"))
+    if "src_url" in links.columns:
+        links = links.where(~host(F.col("dst_url")).eqNullSafe(host(F.col("src_url"))))
     return links.groupBy(host(F.col("dst_url")).alias("host")).agg(
         F.count(F.lit(1)).alias("links"), cd.alias("pages")
     )
@@ -311,10 +324,12 @@ def extract_data(df: DataFrame, text_col: str, key: str = "page_id",
     """``(key, type, value, count)`` of contact, pricing, date and number
     matches in the text."""
     kinds = types or list(EXTRACT_PATTERNS)
-    found = F.array(*[
-        F.struct(F.lit(k).alias("type"), F.regexp_extract_all(F.col(text_col), F.lit(EXTRACT_PATTERNS[k]), 0).alias("vals"))
-        for k in kinds
-    ])
+
+    def values(kind: str) -> Column:
+        vals = F.regexp_extract_all(F.col(text_col), F.lit(EXTRACT_PATTERNS[kind]), 0)
+        return F.filter(vals, lambda v: ~v.rlike(EXTRACT_EXCEPT[kind])) if kind in EXTRACT_EXCEPT else vals
+
+    found = F.array(*[F.struct(F.lit(k).alias("type"), values(k).alias("vals")) for k in kinds])
     rows = df.select(key, F.inline(found)).select(key, "type", F.explode("vals").alias("value"))
     return rows.groupBy(key, "type", "value").agg(F.count(F.lit(1)).alias("count"))
 
@@ -330,15 +345,16 @@ def page_profile(parsed: DataFrame) -> DataFrame:
 
 def competitor_matrix(profile: DataFrame, sites: list[str]) -> DataFrame:
     """Aspects as rows, sites as columns (site = registrable domain, the
-    last two host labels; the site list is given, which bounds the columns)."""
+    last two host labels; the site list is given, which bounds the columns). Pages of
+    all other sites count in the column ``other``."""
     aspects = list(PROFILE_GROUPS)
     site = F.regexp_extract(host(F.col("url")), r"([^.]+\.[^.]+)$", 1)
     stacked = profile.select(
-        site.alias("site"),
+        F.when(site.isin(*sites), site).otherwise("other").alias("site"),
         F.expr("stack({n}, {pairs}) as (aspect, value)".format(
             n=len(aspects), pairs=", ".join(f"'{a}', {a}" for a in aspects))),
     )
-    return stacked.groupBy("aspect").pivot("site", sites).agg(F.sum("value").cast("long"))
+    return stacked.groupBy("aspect").pivot("site", [*sites, "other"]).agg(F.sum("value").cast("long"))
 
 
 def _words(nodes: Column) -> Column:

@@ -32,6 +32,10 @@ from pyspark.sql import types as T
 
 from webtables.functions.urls import ttl_for_url
 
+# Bucket widths of the freshness join: 1 s to 2**30 s; the next number stands for "never expires".
+WIDTHS = 31
+
+
 def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold a partition that holds whole (key, run) groups, sorted by
     (key, run, ts, request_id). The state is the live copy of the current
@@ -160,32 +164,34 @@ def hit_counts(labelled: DataFrame) -> DataFrame:
     )
 
 
-def fresh_copy(requests: DataFrame, store: DataFrame) -> DataFrame:
+def fresh_copy(requests: DataFrame, store: DataFrame, content: bool = False) -> DataFrame:
     """For each request, the stored copy valid at its time
-    (``fetched_at <= ts < fetched_at + ttl_s``), newest if several.
-
-    Range join made linear by time buckets: a copy valid over
-    ``[fetched_at, fetched_at + ttl)`` touches at most the buckets it spans
-    (bucket width = ``bucket_s``), so the equi-join on ``(cache_key,
-    bucket)`` only pairs a request with copies alive in its bucket, and the
-    shuffle splits a hot key by time."""
-    bucket_s = 3600
-    req = requests.select("request_id", "cache_key", "ts").withColumn(
-        "bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket_s * 1_000_000)).cast("long")
-    )
+    (``fetched_at <= ts < fetched_at + ttl_s``; a null ``ttl_s`` never
+    expires), newest if several; ``content`` attaches the copy's content.
+
+    Range join made linear by time buckets: a copy of TTL ``t`` is put in
+    buckets of the power of two at or above ``t`` seconds, so it touches two
+    of them at most, and a request looks into one bucket of each width that
+    the store has (at most ``WIDTHS`` of them). The joins carry keys and
+    times only; content is looked up once per answered request."""
+    second = 1_000_000
     f_us = F.unix_micros(F.col("fetched_at").cast("timestamp"))
-    e_us = f_us + F.col("ttl_s").cast("long") * 1_000_000
-    copies = store.select(
-        "cache_key", "fetched_at", "ttl_s", "content",
-        F.explode(F.sequence(F.floor(f_us / (bucket_s * 1_000_000)).cast("long"),
-                             F.floor((e_us - 1) / (bucket_s * 1_000_000)).cast("long"))).alias("bucket"),
-    )
-    j = req.join(copies, ["cache_key", "bucket"]).where(
-        (F.col("fetched_at") <= F.col("ts"))
-        & (F.unix_micros(F.col("ts").cast("timestamp")) < F.unix_micros(F.col("fetched_at").cast("timestamp")) + F.col("ttl_s").cast("long") * 1_000_000)
-    )
-    best = j.groupBy("request_id").agg(
-        F.max("fetched_at").alias("fetched_at"),
-        F.max_by("content", "fetched_at").alias("content"),
-    )
-    return requests.join(best, "request_id", "left")
+    ttl = F.col("ttl_s").cast("long")
+    level = F.when(ttl.isNull(), F.lit(WIDTHS)).otherwise(F.least(F.ceil(F.log2(F.greatest(ttl, F.lit(1)))).cast("int"), F.lit(WIDTHS - 1)))
+    copies = store.select("cache_key", "fetched_at", f_us.alias("f_us"), (f_us + ttl * second).alias("e_us"), level.alias("level"))
+    copies = copies.where("e_us IS NULL OR e_us > f_us")
+    width = (F.pow(F.lit(2.0), F.col("level")) * second).cast("long")
+    first, last = F.floor(F.col("f_us") / width), F.floor((F.col("e_us") - 1) / width)
+    copies = copies.withColumn("bucket", F.explode(F.when(F.col("e_us").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first.cast("long"), last.cast("long")))))
+    levels = store.select(level.alias("level")).distinct()
+    held = F.lit(sorted(r["level"] for r in levels.collect()) or [0]).cast("array<int>")  # at most WIDTHS + 1 numbers
+    ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    req = requests.select("request_id", "cache_key", ts_us.alias("ts_us"), F.explode(held).alias("level"))
+    req = req.withColumn("bucket", F.when(F.col("level") == WIDTHS, F.lit(0).cast("long")).otherwise(F.floor(F.col("ts_us") / width).cast("long")))
+    live = req.join(copies, ["cache_key", "level", "bucket"]).where("f_us <= ts_us AND (e_us IS NULL OR ts_us < e_us)")
+    best = live.groupBy("request_id").agg(F.max("fetched_at").alias("fetched_at"))
+    out = requests.join(best, "request_id", "left")
+    if content:
+        one = store.groupBy("cache_key", "fetched_at").agg(F.max("content").alias("content"))
+        out = out.join(one, ["cache_key", "fetched_at"], "left")
+    return out

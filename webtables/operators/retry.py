@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from webtables.functions.text import total_backoff
 
 # Error prefixes that are retried.
-RETRIED_PREFIXES = ["Timeout", "ConnectionError", "Connection", "HTTPError", "HTTP"]
+RETRIED_PREFIXES = ["Timeout", "ConnectionError", "HTTPError"]
 
 
 def is_retried(error: Column) -> Column:

@@ -29,13 +29,15 @@ def is_live(now) -> Column:
 
 
 def store_write(store: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """S3: last write per key wins (by ``fetched_at``)."""
+    """S3: last write per key wins (by ``fetched_at``; on a tie the new row, and of
+    several new rows the one whose content sorts last). The winner is chosen by times and
+    a digest; contents pass through one join."""
     cols = store.columns
-    both = store.unionByName(new_rows.select(*cols))
-    latest = both.groupBy("cache_key").agg(
-        F.max_by(F.struct(*[c for c in cols if c != "cache_key"]), "fetched_at").alias("v")
-    )
-    return latest.select("cache_key", "v.*")
+    side = lambda df, new: df.select(*cols).withColumn("_new", F.lit(new))
+    both = side(store, 0).unionByName(side(new_rows, 1))
+    both = both.withColumn("_o", F.struct("fetched_at", "_new", F.sha2(F.coalesce(F.col("content"), F.lit("")), 256).alias("h")))
+    best = both.groupBy("cache_key").agg(F.max("_o").alias("_o"))
+    return both.join(best, ["cache_key", "_o"], "left_semi").select(*cols).dropDuplicates(["cache_key"])
 
 
 def store_get(store: DataFrame, keys: DataFrame, now, default: str | None = None) -> DataFrame:

@@ -117,11 +117,12 @@ ORACLES["g5_extract_documents"] = """
 WITH p(type, pat) AS (VALUES
   ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'),
   ('phone', '\\+?[0-9][0-9 ().-]{7,}[0-9]'),
-  ('price', '[$€£] ?[0-9]+(?:[.,][0-9]{2})?'),
+  ('price', '[$€£] ?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.,][0-9]{1,2})?'),
   ('date', '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}'),
-  ('number', '[0-9]+(?:[.,][0-9]+)?%?')),
+  ('number', '(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?%?')),
 m AS (SELECT doc_id, type, unnest(regexp_extract_all(text, pat)) AS value FROM documents, p)
-SELECT doc_id, type, value, count(*) AS count FROM m GROUP BY ALL"""
+SELECT doc_id, type, value, count(*) AS count FROM m
+WHERE NOT (type = 'phone' AND regexp_matches(value, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')) GROUP BY ALL"""
 ORACLES["c2_answer_outcomes"] = """
 WITH e AS (SELECT event_type FROM events)
 SELECT CASE WHEN event_type = 'purchase' THEN 'answer' ELSE 'scraper' END AS request_type,
@@ -137,7 +138,8 @@ u AS (UNPIVOT s ON main_content, navigation, metadata, media, forms INTO NAME as
 SELECT aspect,
        CAST(sum(value) FILTER (WHERE site = 'example.com') AS BIGINT) AS example_com,
        CAST(sum(value) FILTER (WHERE site = 'example.net') AS BIGINT) AS example_net,
-       CAST(sum(value) FILTER (WHERE site = 'example.org') AS BIGINT) AS example_org
+       CAST(sum(value) FILTER (WHERE site = 'example.org') AS BIGINT) AS example_org,
+       CAST(sum(value) FILTER (WHERE site NOT IN ('example.com', 'example.net', 'example.org')) AS BIGINT) AS other
 FROM u GROUP BY aspect"""
 ORACLES["j8_compare_to_reference"] = f"""
 WITH t AS ({_text_sql()}),
@@ -183,8 +185,9 @@ WITH t AS ({_text_sql()}),
 p(type, pat) AS (VALUES
   ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'),
   ('phone', '\\+?[0-9][0-9 ().-]{{7,}}[0-9]'),
-  ('price', '[$€£] ?[0-9]+(?:[.,][0-9]{{2}})?'),
+  ('price', '[$€£] ?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:[.,][0-9]{{1,2}})?'),
   ('date', '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}'),
-  ('number', '[0-9]+(?:[.,][0-9]+)?%?')),
+  ('number', '(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:[.,][0-9]+)?%?')),
 m AS (SELECT page_id, type, unnest(regexp_extract_all(text, pat)) AS value FROM t, p)
-SELECT page_id, type, value, count(*) AS count FROM m GROUP BY ALL"""
+SELECT page_id, type, value, count(*) AS count FROM m
+WHERE NOT (type = 'phone' AND regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) GROUP BY ALL"""
