@@ -18,15 +18,7 @@ def spark():
 def fixture_pages(spark):
     from tests import fixtures as fx
 
-    rows = [
-        (0, "https://example.com/sample", fx.SAMPLE_HTML),
-        (1, "https://example.com/simple", fx.SIMPLE_HTML),
-        (2, "https://example.com/page/test", fx.LINKS_HTML),
-        (3, "https://example.com/meta", fx.METADATA_HTML),
-        (4, "https://example.com/structured", fx.STRUCTURED_HTML),
-        (5, "https://example.com/empty", fx.EMPTY_HTML),
-    ]
-    return spark.createDataFrame(rows, "page_id long, url string, html string")
+    return spark.createDataFrame(fx.PAGES, "page_id long, url string, html string")
 
 
 @pytest.fixture(scope="session")

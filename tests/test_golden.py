@@ -1,178 +1,127 @@
-"""Golden tests: the reference's fixture assertions (FIXTURES.md section 1)."""
+"""Whole results on our own pages (tests/fixtures.py), worked out by hand."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests import fixtures as fx
 from webtables.operators.content import page_links, page_metadata, page_text
 from webtables.operators.markdown import nodes_to_markdown
 from webtables.operators.selectors import filter_by_selector, selected_subtrees
 
+SHOP, TIMETABLE, RECIPE, BLANK = range(4)
+
 
 def one(parsed, page_id, col):
     return parsed.where(F.col("page_id") == page_id).select(col.alias("v")).first().v
 
 
-# --- H1 text -------------------------------------------------------------------
-
-def test_text_simple(parsed):
-    t = one(parsed, 1, page_text("nodes"))
-    assert "Simple Page" in t and "Hello World" in t and "This is a simple test." in t
-    assert "<html>" not in t and "<body>" not in t
-    assert all(line.strip() for line in t.split("\n"))
-
-
-def test_text_default_strip(parsed):
-    t = one(parsed, 0, page_text("nodes"))
-    assert "console.log" not in t and ".test { color: red; }" not in t
-    assert "No JavaScript content" not in t
-    assert "Main Heading" in t and "sample" in t and "paragraph" in t
-    assert "<strong>" not in t and "formatting" in t
-
-
-def test_text_custom_strip(parsed):
-    t = one(parsed, 0, page_text("nodes", ["script", "style", "ul"]))
-    assert "console.log" not in t and "Example Link" not in t and "Main Heading" in t
-
-
-def test_text_inline_tags_split_lines(spark):
-    from webtables.operators.parse import parse_pages
-
-    df = parse_pages(spark.createDataFrame([(1, "<p>a <b>b</b> c</p>")], "page_id long, html string"))
-    assert df.select(page_text("nodes").alias("t")).first().t == "a\nb\nc"
-
+TEXT = {
+    SHOP: ["Seeds & Bulbs, A < B", "Cart", "Call", "Kind", "Price", "Queen of Night", "$1,299.00 a sack", "Apeldoorn", "€5",
+           "3 < 4 and 5 > 2,", "sale", "ends 2031-05-17", "or ring +44 (1632) 960-001", "Second", "shop", "next", "door"],
+    TIMETABLE: ["One", "Stops", "Two", "Line 2", "Harbour", "Mill", "Depot", "Print", "Desk", "Nowhere", "Stop", "Mon", "Tue"],
+    RECIPE: ["Soup", "For six", "Salt late.", "2 leeks", "1 l stock", "or water", "simmer", "20 min", "n*m", "bowls, see", "/soups", "and", "taste", "_often_"],
+    BLANK: [],
+}
 
-def test_text_empty_strip_list_keeps_everything(parsed):
-    t = one(parsed, 0, page_text("nodes", []))
-    assert "No JavaScript content" in t  # noscript kept; script/style are never text
-    assert "console.log" not in t
 
+@pytest.mark.parametrize("page", TEXT)
+def test_text(parsed, page):
+    """A stray ``<`` does not part a line; scripts, styles and noscript are no text."""
+    assert one(parsed, page, page_text("nodes")).split("\n") == (TEXT[page] or [""])
 
-# --- H2 markdown -----------------------------------------------------------------
 
-def test_markdown_basic(parsed):
-    md = one(parsed, 1, nodes_to_markdown(F.col("nodes")))
-    assert "# Hello World" in md and "This is a simple test." in md
+def test_text_strip_list(parsed):
+    assert one(parsed, TIMETABLE, page_text("nodes", ["nav", "main", "form"])) == "Scripts are off"
+    assert one(parsed, TIMETABLE, page_text("nodes", [])).endswith("Tue\nScripts are off")
 
 
-def test_markdown_strip_and_format(parsed):
-    md = one(parsed, 0, nodes_to_markdown(F.col("nodes"), ["script", "style", "noscript"]))
-    assert "console.log" not in md and ".test { color: red; }" not in md
-    assert "No JavaScript content" not in md and "Main Heading" in md
-    md2 = one(parsed, 0, nodes_to_markdown(F.col("nodes")))
-    assert "**sample**" in md2 and "*formatting*" in md2
+def test_markdown(parsed):
+    assert one(parsed, RECIPE, nodes_to_markdown(F.col("nodes"))) == (
+        "# Soup\n\n### For six\n\n> Salt late.\n\n* 2 leeks\n* 1 l stock\n    + or water\n\n```\nsimmer\n  20 min\n```\n\n---\n\n"
+        " ![A pot](pot.png)![](spoon.png)\n\n`n*m` bowls, see </soups> and *taste*\\_often\\_"
+    )
+    shop = one(parsed, SHOP, nodes_to_markdown(F.col("nodes"), ["head", "table", "div"]))
+    assert shop == (
+        "3 < 4 and 5 > 2, **sale** ends 2031-05-17  \nor ring +44 (1632) 960-001\n\n"
+        'Second [shop *next* door](https://Other.example:8443/Tulips/?x=/#frag "Elsewhere")'
+    )
+    assert one(parsed, BLANK, nodes_to_markdown(F.col("nodes"))) == ""
 
 
-def test_markdown_links(parsed):
-    md = one(parsed, 2, nodes_to_markdown(F.col("nodes")))
-    assert "https://example.com" in md and "External Link" in md
-    assert "[Titled external](https://example.com/page \"Page Title\")" in md
+LINKS = {
+    SHOP: [("/cart", "Cart", ""), ("tel:+441632960000", "Call", ""), ("https://Other.example:8443/Tulips/?x=/#frag", "shopnextdoor", "Elsewhere")],
+    TIMETABLE: [("1", "One", ""), ("1/stops", "Stops", ""), ("2", "Two", ""), ("javascript:print()", "Print", ""), ("mailto:desk@bus.example", "Desk", ""), ("", "", "")],
+    RECIPE: [("/soups", "/soups", "")],
+    BLANK: [],
+}
 
 
-# --- H3 links -------------------------------------------------------------------------
-
-def test_links_basic(parsed):
-    links = one(parsed, 2, page_links("nodes"))
-    assert len(links) == 5
-    urls = [x.url for x in links]
-    assert "https://example.com" in urls and "/relative/path" in urls
-    texts = [x.text for x in links]
-    assert "External Link" in texts and "Relative Link" in texts
-    titled = [x for x in links if x.title == "Page Title"]
-    assert titled and titled[0].url == "https://example.com/page"
-    anchor = [x for x in links if x.url == "#section"]
-    assert anchor and anchor[0].text == "Anchor Link"
-    assert all(x.url for x in links)
+@pytest.mark.parametrize("page", LINKS)
+def test_links(parsed, page):
+    assert [(x.url, x.text, x.title or "") for x in one(parsed, page, page_links("nodes"))] == LINKS[page]
 
 
 def test_links_resolved(parsed):
-    links = one(parsed, 2, page_links("nodes", F.lit("https://example.com/page/test")))
-    rel = [x for x in links if "relative/path" in x.url]
-    assert rel[0].url == "https://example.com/relative/path"
-
-
-def test_no_links(parsed):
-    assert one(parsed, 5, F.size(page_links("nodes"))) == 0
-
-
-# --- H4 metadata ----------------------------------------------------------------------
-
-def test_metadata(parsed):
-    m = one(parsed, 3, page_metadata("nodes"))
-    assert m["title"] == "Metadata Test Page"
-    assert m["description"] == "Test description"
-    assert m["keywords"] == "test, metadata, html"
-    assert m["og:title"] == "OG Title" and m["og:description"] == "OG Description"
-    assert m["og:image"] == "https://example.com/image.jpg"
-    assert m["twitter:card"] == "summary"
+    assert [x.url for x in one(parsed, TIMETABLE, page_links("nodes", F.col("url")))] == [
+        "http://bus.example/1", "http://bus.example/1/stops", "http://bus.example/2", "javascript:print()", "mailto:desk@bus.example", "http://bus.example/"]
 
 
-def test_metadata_simple_and_empty(parsed):
-    assert one(parsed, 1, page_metadata("nodes")) == {"title": "Simple Page"}
-    m = one(parsed, 5, page_metadata("nodes"))
-    assert "title" not in m or m["title"] == ""
+@pytest.mark.parametrize("page, want", [
+    (SHOP, {"title": "Seeds & Bulbs, A < B", "description": "Later one wins", "og:type": "shop", "og:locale": "en_GB"}),
+    (TIMETABLE, {"title": ""}), (RECIPE, {}), (BLANK, {}),
+])
+def test_metadata(parsed, page, want):
+    assert one(parsed, page, page_metadata("nodes")) == want
 
 
-# --- P2 selectors ------------------------------------------------------------------------
-
+# selector, page, matched sources (in page order)
 CASES = [
-    ("meta", 3, ["<meta"], ["<article"]),
-    ("h1, p", 3, ["<h1>", "<p>"], ["<meta"]),
-    (".main-content", 1, ["Article Title"], ["Footer content"]),
-    ('meta[property^="og:"]', 2, ['property="og:title"', 'property="og:image"'], ['name="description"']),
-    ("article a", 1, ['href="/related"'], ['href="/home"', 'href="/about"']),
-    ("img, video", 2, ["<img", "<video"], []),
-    ("nav a", 2, ['href="/home"', 'href="/about"'], ['href="/ad"']),
-    ("article", 1, ["<h1>Article Title</h1>", "<p>", "<img", "<video"], []),
-    ("article.main-content p", 1, ["Article paragraph"], ["Footer content"]),
-    ("nav > a", 2, ['href="/home"'], []),
-    ("h1 + p", 1, ["Article paragraph"], []),
-    ("h1 ~ video", 1, ["<video"], []),
-    ("a:not([href^='/a'])", 2, ['href="/home"', 'href="/related"'], ['href="/about"', 'href="/ad"']),
-    ("nav a:nth-of-type(2)", 1, ['href="/about"'], ['href="/home"']),
-    ("#nothing, .nonexistent", 0, [], []),
+    ("div:not(#m)", SHOP, ['<div id="top" class="bar wide"><a href="/cart" rel="nofollow">Cart</a><a href="tel:+441632960000">Call</a></div>']),
+    ("#top.bar > a:not([rel])", SHOP, ['<a href="tel:+441632960000">Call</a>']),
+    ("th + th", SHOP, ["<th>Price\n"]),
+    ("tr:nth-child(2) td:first-of-type", SHOP, ["<td>Queen of Night"]),
+    ("[name='description']", SHOP, ['<meta name="description" content="Forty kinds of tulip">', '<meta name="description" content="Later one wins">']),
+    ("a[href^='mailto:'], label input", TIMETABLE, ['<a href="mailto:desk@bus.example">Desk</a>', '<input name="s">']),
+    ("li.now a", TIMETABLE, ['<a href="2">Two</a>']),
+    ("h2 ~ ol > li:nth-of-type(2)", TIMETABLE, ["<li>Mill"]),
+    ("nav li li", TIMETABLE, ['<li><a href="1/stops">Stops</a>']),
+    ("h1 ~ ul > li li", RECIPE, ["<li>or water</li>"]),
+    ("img:not([alt])", RECIPE, ['<img src="spoon.png">']),
+    ("h4, .none", RECIPE, []),
+    ("p", BLANK, []),
 ]
 
 
-@pytest.mark.parametrize("sel,count,has,lacks", CASES)
-def test_selector(parsed, sel, count, has, lacks):
-    r = one(parsed, 4, filter_by_selector("nodes", "html", sel))
-    assert r["count"] == count
-    for h in has:
-        assert h in r.content
-    for x in lacks:
-        assert x not in r.content
-    if count == 0:
-        assert r.content == ""
-
-
-def test_selector_empty_page(parsed):
-    r = one(parsed, 5, filter_by_selector("nodes", "html", "div"))
-    assert r["count"] == 0 and r.content == ""
+@pytest.mark.parametrize("sel, page, want", CASES)
+def test_selector(parsed, sel, page, want):
+    r = one(parsed, page, filter_by_selector("nodes", "html", sel))
+    assert (r["count"], r.content) == (len(want), "\n".join(want))
 
 
 def test_selector_invalid(parsed):
-    r = one(parsed, 4, filter_by_selector("nodes", "html", "<<<invalid>>>"))
+    r = one(parsed, SHOP, filter_by_selector("nodes", "html", "a >> b["))
     assert r.content is None and "Invalid CSS selector" in r.error
     with pytest.raises(ValueError, match="Invalid CSS selector"):
-        filter_by_selector("nodes", "html", "<<<invalid>>>", on_error="raise")
+        filter_by_selector("nodes", "html", "a >> b[", on_error="raise")
 
 
-def test_links_within_selector(parsed):
-    sub = selected_subtrees("nodes", "nav")
-    links = one(parsed, 4, page_links("nodes", None, within=sub))
-    assert [x.text for x in links] == ["Home", "About"]
+def test_within_a_selector(parsed):
+    nav = selected_subtrees("nodes", "nav")
+    assert [x.text for x in one(parsed, TIMETABLE, page_links("nodes", None, within=nav))] == ["One", "Stops", "Two"]
+    assert one(parsed, RECIPE, nodes_to_markdown(selected_subtrees("nodes", "blockquote, h3"), ["h3"])) == "> Salt late."
+    assert one(parsed, SHOP, page_metadata(selected_subtrees("nodes", "body"))) == {}
 
 
-def test_selector_then_strip(parsed):
-    sub = selected_subtrees("nodes", "article")
-    md = one(parsed, 4, nodes_to_markdown(sub, ["img", "video"]))
-    assert "Article Title" in md and "article-image.jpg" not in md
-
+def test_a_bad_page_stays_alone(spark):
+    """100,000 nested tags, no content, and a stray ``<`` beside a good page."""
+    from webtables.operators.parse import parse_pages
 
-def test_metadata_after_selector_is_empty(parsed):
-    # metadata comes from the filtered HTML: no head tags, no entries
-    m = one(parsed, 4, page_metadata(selected_subtrees("nodes", "article")))
-    assert m == {}
+    rows = [(1, fx.DEEP), (2, None), (3, "<p>x < y</p>")]
+    df = parse_pages(spark.createDataFrame(rows, "page_id long, html string"), markdown_strip=[])
+    got = {r.page_id: r for r in df.select("page_id", "parse_error", "markdown", page_text("nodes").alias("text"), F.array_max(F.transform("nodes", lambda n: n["depth"])).alias("deep")).collect()}
+    assert (got[1].text, got[1].markdown, got[1].parse_error) == ("bottom", "bottom", None) and got[1].deep <= 128
+    assert got[2].text is None and "no content" in got[2].parse_error
+    assert (got[3].text, got[3].markdown) == ("x < y", "x < y")
 
 
 def test_markdown_in_parse_pass_equals_udf(fixture_pages):
@@ -245,14 +194,31 @@ def test_selector_unsupported_is_invalid(bad):
         compile_selector(bad)
 
 
-def test_extraction_patterns(spark):
+def test_extraction(parsed):
+    """Thousands stay in one price and number; a date is no phone number."""
     from webtables.operators.audits import extract_data
 
-    text = ("Mail info@example.com or call +1 (555) 123-4567. Price $19.99 or €5. "
-            "Due 2024-03-01 and 3/4/2024; growth 12.5% of 300 units.")
-    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    got = {(r.type, r.value) for r in extract_data(df, "text", key="doc_id").collect()}
-    assert ("email", "info@example.com") in got and ("phone", "+1 (555) 123-4567") in got
-    assert ("price", "$19.99") in got and ("price", "€5") in got
-    assert ("date", "2024-03-01") in got and ("date", "3/4/2024") in got
-    assert ("number", "12.5%") in got and ("number", "300") in got
+    text = parsed.where("page_id = 0").select("page_id", page_text("nodes").alias("text"))
+    got = {}
+    for r in extract_data(text, "text").collect():
+        got.setdefault(r.type, set()).add(r.value)
+    assert got["price"] == {"$1,299.00", "€5"} and got["date"] == {"2031-05-17"} and got["phone"] == {"+44 (1632) 960-001"}
+    assert "1,299.00" in got["number"] and "email" not in got
+
+
+def test_links_that_name_no_page(parsed):
+    """``mailto:``, ``tel:`` and ``javascript:`` links are neither external nor broken."""
+    from webtables.operators.audits import broken_links, link_audit, link_rows, linked_domains, normalize_url
+
+    got = {r.page_id: (r.links, r.internal, r.external, r.missing_text, r.nofollow) for r in link_audit(parsed).collect()}
+    assert got == {SHOP: (3, 1, 1, 0, 1), TIMETABLE: (6, 4, 0, 1, 0), RECIPE: (1, 1, 0, 0, 0), BLANK: (0, 0, 0, 0, 0)}
+    pages = parsed.select("page_id", F.col("url").alias("src_url"))
+    links = link_rows(parsed).withColumnRenamed("url", "dst_url").join(pages, "page_id").withColumnRenamed("page_id", "src_page_id")
+    assert [(r.host, r.links, r.pages) for r in linked_domains(links).collect()] == [("other.example", 1, 1)]
+    status = parsed.sparkSession.createDataFrame([("http://bus.example/1/", 200), ("http://bus.example/1", 500), ("http://bus.example/2", 404)], "url string, status_code int")
+    broken = {(r.dst_url, r.reason, r.status_code) for r in broken_links(links, status).collect()}
+    assert broken == {
+        ("http://bus.example/1/stops", "unknown", None), ("http://bus.example/2", "bad_status", 404), ("http://bus.example/", "unknown", None),
+        ("https://seeds.example/cart", "unknown", None), ("https://Other.example:8443/Tulips/?x=/#frag", "unknown", None), ("https://seeds.example/soups", "unknown", None),
+    }
+    assert links.select(normalize_url("dst_url").alias("n")).where("n LIKE '%tulips%' OR n LIKE '%Tulips%'").first().n == "https://other.example:8443/Tulips?x=/"

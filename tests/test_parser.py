@@ -28,7 +28,7 @@ def test_implied_ends():
 
 
 def test_unmatched_end_ignored_and_end_closes_children():
-    assert tree("<div>a</span>b</div>") == [("div", 0), ("#a", 1), ("#b", 1)]
+    assert tree("<div>a</span>b</div>") == [("div", 0), ("#ab", 1)]
     assert tree("<div><span>a</div>b") == [("div", 0), ("span", 1), ("#a", 2), ("#b", 0)]
 
 
