@@ -31,7 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), size=4, percent=85).drop("class_size")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,5 +101,59 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' '))
+                                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+FROM reach r JOIN documents d ON d.doc_id = r.a LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50
+), k AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS win FROM p),
+f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM k JOIN f USING (win) WHERE first < doc_id
+), g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_transform(
+         list_filter(range(1, len(words) + 1), lambda j: NOT list_contains(gone, j)), lambda j: words[j]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+#: Rules on the page's own URL, else the verdict of its aliases by canonical links.
+OP10_SQL = r"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+edges AS (
+  SELECT regexp_extract(url, '^[^#]*') AS a, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical[^>]*>'), '(?i)href\s*=\s*["'']([^"''#]*)', 1) AS b FROM pages
+), links AS (SELECT a, b FROM edges WHERE b LIKE '%://%' AND a <> b),
+twoway AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, a AS b FROM twoway UNION SELECT r.a, t.b FROM reach r JOIN twoway t ON t.a = r.b),
+urls AS (SELECT url AS u FROM pages UNION SELECT b FROM twoway),
+parts AS (
+  SELECT u, lower(regexp_extract(coalesce(u, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host,
+         regexp_extract(coalesce(u, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls
+), ruled AS (
+  SELECT u, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
+), alias AS (SELECT r.a, min(x.verdict) AS verdict FROM reach r JOIN ruled x ON x.u = r.b GROUP BY r.a)
+SELECT page_id, host, path, x.rule, coalesce(x.verdict, alias.verdict, 'allow') AS verdict
+FROM pages JOIN ruled x ON x.u IS NOT DISTINCT FROM url LEFT JOIN alias ON alias.a = regexp_extract(url, '^[^#]*')
+"""
+
+
 def llm_oracles():
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
