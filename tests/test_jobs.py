@@ -229,3 +229,17 @@ def test_competitor_sites_and_retried_errors(spark):
     errors = ["Timeout: 1", "ConnectionError: x", "HTTPError: 500", "HTTP version", "Connection pool", "ValueError"]
     df = spark.createDataFrame([(e,) for e in errors], "e string")
     assert [r.e for r in df.where(is_retried(F.col("e"))).collect()] == errors[:3]
+
+
+def test_sql_function_and_markdown_view(spark):
+    from urllib.parse import urljoin
+
+    from webtables.plans.sql import register
+
+    register(spark, "/root/testdata/sf0.001")
+    cases = [("http://a.example/b/c?x", "../d"), ("http://a.example/b/c", "//h.example/y"), ("https://a.example/", "?q=1"), ("http://a.example/b/", "c/./d/../e#f"), ("http://a.example/x", "mailto:me@x.example")]
+    df = spark.createDataFrame(cases, "base string, href string")
+    df.createOrReplaceTempView("link_cases")
+    got = [tuple(r) for r in spark.sql("SELECT base, href, url_join(base, href) FROM link_cases").collect()]
+    assert got == [(b, h, urljoin(b, h)) for b, h in cases]
+    assert spark.sql("SELECT count(*) FROM page_markdown WHERE length(markdown) > 0").first()[0] == 50

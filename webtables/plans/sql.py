@@ -1,39 +1,17 @@
-"""The library for SQL users: temp views for every table and SQL
-functions for the two operations that need Python (markdown, urljoin)."""
+"""The library for SQL users: temp views for every table, page markdown among
+them, and ``url_join`` as a SQL function of built-in expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from webtables.functions.html import parse_html
-from webtables.functions.markdown import nodes_markdown
-from webtables.functions.html import NODE_FIELDS
-
-
-@F.pandas_udf(T.StringType())
-def _sql_markdown(html: pd.Series) -> pd.Series:
-    def one(h):
-        if h is None:
-            return None
-        return nodes_markdown([dict(zip(NODE_FIELDS, n)) for n in parse_html(h)])
-
-    return html.map(one)
-
-
-@F.pandas_udf(T.StringType())
-def _sql_urljoin(base: pd.Series, href: pd.Series) -> pd.Series:
-    from urllib.parse import urljoin
-
-    return pd.Series([None if h is None else (urljoin(b, h) if b else h) for b, h in zip(base, href)], dtype=object)
 
 
 def register(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Create temp views ``pages, nodes, links, page_meta, request_log,
-    attempts, page_store, messages`` and SQL functions ``html_to_markdown``
-    and ``url_join``. Views are lazy: nothing runs until queried."""
+    """Create temp views ``pages, nodes, links, page_meta, page_markdown,
+    request_log, attempts, page_store, messages`` and the SQL function
+    ``url_join(base, href)``. Views are lazy: nothing runs until queried."""
+    from webtables.functions import sqltext
     from webtables.operators.audits import link_rows
     from webtables.operators.content import page_metadata
     from webtables.operators.parse import explode_nodes, parse_pages
@@ -47,6 +25,7 @@ def register(spark: SparkSession, sf_dir: str) -> list[str]:
         "nodes": explode_nodes(parsed),
         "links": link_rows(parsed),
         "page_meta": parsed.select("page_id", F.explode(page_metadata("nodes")).alias("key", "value")),
+        "page_markdown": parse_pages(pg, keep_html=False, markdown_strip=[]).select("page_id", "markdown", "parse_error"),
         "request_log": D.request_log(spark, sf_dir).drop("k"),
         "attempts": D.attempts(spark, sf_dir),
         "page_store": D.page_store(spark, sf_dir),
@@ -54,6 +33,6 @@ def register(spark: SparkSession, sf_dir: str) -> list[str]:
     }
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    spark.udf.register("html_to_markdown", _sql_markdown)
-    spark.udf.register("url_join", _sql_urljoin)
+    joined = sqltext.resolve_url("base", "href")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION url_join(base STRING, href STRING) RETURNS STRING RETURN {joined}")
     return list(views)
