@@ -25,9 +25,8 @@ def scheme(url) -> Column:
 
 
 def is_http_url(url) -> Column:
-    """True only for http/https; malformed, empty or null is false."""
-    u = _c(url)
-    return F.coalesce(scheme(u).isin("http", "https") & (F.length(host(u)) > 0), F.lit(False))
+    """True only for the schemes http and https; malformed, empty or null is false."""
+    return F.coalesce(scheme(_c(url)).isin("http", "https"), F.lit(False))
 
 
 def host(url) -> Column:

@@ -226,7 +226,11 @@ def match_host_rules(df: DataFrame, rules: DataFrame, url_col: str = "url") -> D
     with a leading dot matches proper subdomains only. Hosts are exploded
     into their suffixes and equi-joined with the rules (no theta join)."""
     h = df.withColumn("_host", host(F.col(url_col)))
+    labels = F.size(F.split(F.regexp_replace("rule", r"^\.", ""), r"\."))
+    # suffixes of the lengths that rules have: a host does not meet all others at its top level
+    held = [x["n"] for x in rules.where("rule <> ''").select(labels.alias("n")).distinct().collect()]
     sfx = h.select("*", F.posexplode(host_suffixes(F.col("_host"))).alias("_i", "_sfx"))
+    sfx = sfx.where(F.size(F.split("_sfx", r"\.")).isin(*held)) if held else sfx.limit(0)
     r = rules.where(F.col("rule") != "").select(
         "rule",
         F.regexp_replace("rule", r"^\.", "").alias("_sfx"),

@@ -58,9 +58,11 @@ def token_usage(answers: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def citation_table(answers: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per (answer, rank, url), joined to pages by URL (left:
-    citations of pages not crawled keep a null page_id)."""
+    citations of pages not crawled keep a null page_id; of several pages with
+    one URL the least id counts)."""
     cited = answers.select("conv_id", "turn", F.posexplode("citations").alias("rank", "url"))
-    return cited.join(pages.select("url", "page_id"), "url", "left").withColumn("host", host(F.col("url")))
+    pages = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return cited.join(pages, "url", "left").withColumn("host", host(F.col("url")))
 
 
 def urls_in_text(messages: DataFrame) -> DataFrame:

@@ -120,20 +120,18 @@ def details(log: DataFrame, live_store: DataFrame, answers: DataFrame | None = N
     """Request details. Answer requests carry their payload (or
     "not captured"); page requests show the stored content preview, or
     "no longer cached" with ``cache_expired``, or "key not available"."""
-    store = live_store.select(
-        "cache_key",
-        F.col("url").alias("stored_url"),
-        F.col("content").alias("stored_content"),
-    )
+    # pages are cut to the preview before they meet the log
+    cut = F.when(F.col("content").isNotNull(), preview(F.col("content"), PREVIEW_CHARS))
+    store = live_store.select("cache_key", F.col("url").alias("stored_url"), cut.alias("stored"))
     j = log.join(store, "cache_key", "left")
     if answers is not None:
         j = j.join(answers, "request_id", "left")
     else:
         j = j.withColumn("answer", F.lit(None).cast("struct<content:string>"))
     is_answer = F.col("request_type") == "answer"
-    pv = preview(F.col("stored_content"), PREVIEW_CHARS)
+    pv = F.col("stored")
     has_key = F.col("cache_key").isNotNull()
-    hit = F.col("stored_content").isNotNull()
+    hit = pv.isNotNull()
     unavailable = (
         F.when(is_answer, F.when(F.col("answer").isNull(), F.lit(NOT_CAPTURED)))
         .when(~has_key, F.lit(KEY_NOT_AVAILABLE))
