@@ -3,8 +3,9 @@
 Two documents can only link if they share a token among the first few of each, in any
 global order of the shingles. One order makes the candidates with an equi-join; the
 other orders, held with each document, must agree before a text is fetched; only then
-the sets are compared. All orders put frequent shingles last, by counts over all
-documents in a sketch of fixed size, so common lines make no long lists.
+the sets are compared. Counts over all documents in a sketch of fixed size order the
+shingles: the first order goes from rare to frequent, the others are random but for
+frequent shingles, which come last. So common lines and phrases make no long lists.
 
 Equal sets are one class. In a list of documents that share a prefix token each is
 compared with one pivot, not with each other: what links to the pivot is connected.
@@ -32,6 +33,8 @@ SIZE = 4
 PERCENT = 85
 #: The count sketch: 2**CELL_BITS cells in blocks of 2**BLOCK_BITS.
 CELL_BITS, BLOCK_BITS = 20, 14
+#: Levels of cells: the mean's, and the one from which a cell's shingles count as frequent.
+LOW_LEVEL, FREQUENT = 8, 16
 #: One number for each global order, and one for the sketch's cells.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 CELLS = 0x082EFA98EC4E6C89
@@ -99,30 +102,33 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["block", "counts"])
 
 
-def heavy_cells(seen: DataFrame) -> np.ndarray:
-    """A bit for each cell whose count stands out (2**CELL_BITS counts reach the driver)."""
+def cell_levels(seen: DataFrame) -> np.ndarray:
+    """How far each cell's count lies above the mean, in half standard deviations from
+    LOW_LEVEL on (2**CELL_BITS counts reach the driver)."""
     blocks = seen.where("block IS NOT NULL").select("block", "counts").repartition(1 << (CELL_BITS - BLOCK_BITS), "block")
     counts = np.zeros(1 << CELL_BITS, np.uint64)
     for r in blocks.mapInArrow(_sum_blocks, "block int, counts binary").collect():
         counts[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] += np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u8")
     mean = float(counts.mean())
-    return counts > mean + 8 * mean**0.5 + 32
+    return np.clip(2 * (counts - mean) / max(mean, 1.0) ** 0.5 + LOW_LEVEL, 0, 63).astype(np.uint8)
 
 
-def _prefixes(size: int, percent: int, heavy):
+def _prefixes(size: int, percent: int, levels):
     """Per row: id, n, its prefix in the first order (whole keys) and in the others (32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.where(heavy.value, np.uint64(1 << 63), np.uint64(0))
+        rarity = levels.value.astype(np.uint64) << np.uint64(57)
+        late = np.where(levels.value >= FREQUENT, np.uint64(1 << 63), np.uint64(0))
         for b in slices(batches, "text"):
             h, off = shingle_sets(b.column(1), size)
-            late = last[_cells(h)]
+            cells = _cells(h)
             n = np.diff(off)
             take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             ends = np.r_[0, np.cumsum(take)].astype(np.int32)
             cols = [b.column(0), pa.array(n)]
             for nth, seed in enumerate(ORDERS):
-                keys = mix(h ^ np.uint64(seed)) >> np.uint64(1) | late
+                keys = mix(h ^ np.uint64(seed))
+                keys = keys >> np.uint64(7) | rarity[cells] if nth == 0 else keys >> np.uint64(1) | late[cells]
                 out = np.empty(int(ends[-1]), np.uint64)
                 for a, z, k, to in zip(off[:-1].tolist(), off[1:].tolist(), take.tolist(), ends[:-1].tolist(), strict=True):
                     if k:
@@ -171,10 +177,10 @@ class _Join:
         self.spark = texts.sparkSession
 
     def agreed(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """The pairs whose sizes and whose prefixes in every other order allow a link."""
-        a = prefixes.select(F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(f"p{k}").alias(f"a{k}") for k in range(1, len(ORDERS))])
-        b = prefixes.select(F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(f"p{k}").alias(f"b{k}") for k in range(1, len(ORDERS))])
-        both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+        """The pairs whose prefixes in every other order allow a link."""
+        a = prefixes.select(F.col("id").alias("a"), *[F.col(f"p{k}").alias(f"a{k}") for k in range(1, len(ORDERS))])
+        b = prefixes.select(F.col("id").alias("b"), *[F.col(f"p{k}").alias(f"b{k}") for k in range(1, len(ORDERS))])
+        both = pairs.join(a, "a").join(b, "b")
         for k in range(1, len(ORDERS)):
             both = both.where(F.arrays_overlap(f"a{k}", f"b{k}"))
         return cut(both.select("a", "b").distinct())
@@ -210,17 +216,19 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = ready(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     seen = cut(texts.mapInArrow(_digests(size), "id long, n long, set binary, block int, counts binary"))
-    heavy = spark.sparkContext.broadcast(heavy_cells(seen))
+    levels = spark.sparkContext.broadcast(cell_levels(seen))
     rows = seen.where("block IS NULL").select("id", "n", "set")
     classes = cut(rows.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n")))
     reps = classes.where("n > 0 AND rep IS NOT NULL").select(F.col("rep").alias("id")).distinct()
 
     others = "".join(f", p{k} array<int>" for k in range(1, len(ORDERS)))
-    found = texts.mapInArrow(_prefixes(size, percent, heavy), f"id long, n long, p0 array<long>{others}")
+    found = texts.mapInArrow(_prefixes(size, percent, levels), f"id long, n long, p0 array<long>{others}")
     prefixes = cut(found.join(reps, "id", "left_semi"))
-    posted = prefixes.select("id", F.explode("p0").alias("token"))
-    shared = posted.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("token", "pivot")
-    lists = cut(posted.join(shared, "token"))  # (token, id, pivot) of tokens that several hold
+    posted = prefixes.select("id", F.col("n").cast("int").alias("n"), F.explode("p0").alias("token"))
+    first = F.min(F.struct("id", "n")).alias("first")
+    shared = posted.groupBy("token").agg(first, F.max("id").alias("most")).where("first.id < most").select("token", F.col("first.id").alias("pivot"), F.col("first.n").alias("pn"))
+    lists = cut(posted.join(shared, "token"))  # of the tokens that several documents hold
+    near = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"  # else the sizes alone rule a link out
 
     join = _Join(texts, size, percent)
     links = None
@@ -231,7 +239,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # members of a list that are not connected yet; those who were compared with every
             # pivot so far stay in it until they are
             labels = label.select(F.col("node").alias("id"), "component")  # noqa: F821
-            apart = lists.drop("pivot").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            apart = lists.drop("pivot", "pn").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             many = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
             apart = cut(apart.join(many, "token", "left_semi"))
             by = apart.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
@@ -240,14 +248,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             listed = done == PIVOT_ROUNDS or sums["pairs"] <= 4 * sums["rows"]
             # the pivot changes from round to round: the least in another order of the ids
-            first = F.struct(F.xxhash64("id", F.lit(done)).alias("o"), F.col("id").alias("id"), F.col("component").alias("c"))
-            pivots = apart.groupBy("token").agg(F.min(first).alias("p")).select("token", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"))
+            first = F.struct(F.xxhash64("id", F.lit(done)).alias("o"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("component").alias("c"))
+            pivots = apart.groupBy("token").agg(F.min(first).alias("p")).select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"))
             left = apart if listed else apart.join(pivots, "token").where("component != pc")
         if listed:
-            other = left.select("token", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = left.select("token", F.col("id").alias("a"), "component").join(other, "token").where("a < b AND component != cb").select("a", "b")
+            other = left.select("token", F.col("id").alias("b"), F.col("n").alias("pn"), F.col("component").alias("cb"))
+            pairs = left.select("token", F.col("id").alias("a"), "n", "component").join(other, "token").where(f"a < b AND component != cb AND {near}").select("a", "b")
         else:
-            pairs = left.where("id != pivot").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
+            pairs = left.where(f"id != pivot AND {near}").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
         more = join.linked(join.agreed(pairs.distinct(), prefixes))
         links = more if links is None else cut(links.union(more).distinct())
         label = components(links)
