@@ -140,10 +140,14 @@ def test_search_small_and_empty(spark):
 def test_scan_drops_far_rows_and_keeps_near_ones():
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(0, 0.1, (50, 64)), rng.normal(3, 0.1, (5000, 64))][rng.permutation(5050)]
-    q = np.zeros(64)
-    left = ann.scan(x, q, 20)
-    best = np.argsort(((x - q) ** 2).sum(1))[:20]
-    assert set(best) <= set(left.tolist()) and len(left) < 200
+    q = np.r_[np.zeros((1, 64)), np.full((1, 64), 3.0)]
+    d = ((x[None] - q[:, None]) ** 2).sum(2)
+    bound = np.sort(d, axis=1)[:, 19]
+    asked, rows = ann.scan(x, q, bound)
+    for k in (0, 1):
+        left = rows[asked == k]
+        assert set(np.argsort(d[k])[:20].tolist()) <= set(left.tolist()) and (d[k][left] <= bound[k] * 1.01).all()
+    assert (asked == 0).sum() == 20
 
 
 PAGES = [

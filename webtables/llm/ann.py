@@ -22,22 +22,26 @@ from .common import cut, ready
 
 #: Rows that the centroids are fitted on at most, and centroids at most.
 SAMPLE_ROWS, MOST_LISTS = 20_000, 4096
-#: Rows a list should hold; lists with more rows than BLOCK_ROWS are searched in blocks.
-LIST_ROWS, BLOCK_ROWS = 250, 32_768
+#: Rows of the sample that bounds queries; lists with more rows than BLOCK_ROWS are
+#: searched in blocks; pairs of a query and a row that a task tests at a time.
+BOUND_ROWS, BLOCK_ROWS, PAIRS = 8192, 32_768, 1 << 20
 #: The share of the lists that a query probes, and the lists it probes at least. Set for
 #: vectors that fill all their dimensions evenly, the hardest case; clustered ones need less.
-PROBED, LEAST_PROBED = 0.75, 8
+PROBED, LEAST_PROBED = 0.6, 8
 #: Columns of a block, and the test's width in standard errors.
 COLUMNS, WIDTH = 16, 3.0
 
 
 @dataclass
 class Index:
-    """What every task needs: a rotation, the largest norm, centroids, and list sizes."""
+    """What every task needs: a rotation, the largest norm, centroids, the bounding sample
+    (ids and rotated vectors), and list sizes."""
 
     rotation: np.ndarray
     scale: float
     centroids: np.ndarray
+    ids: np.ndarray | None = None
+    sample: np.ndarray | None = None
     sizes: np.ndarray | None = None
 
     def turned(self, x: np.ndarray, query: bool) -> np.ndarray:
@@ -45,6 +49,16 @@ class Index:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
         return np.c_[x, more] @ self.rotation
 
+    def bounds(self, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least each query's k-th least distance, which is its k-th least in the sample,
+        and the lists that hold those k, so that as many are found."""
+        d = (self.sample**2).sum(1) - 2 * q @ self.sample.T + (q * q).sum(1)[:, None]
+        d[ids[:, None] == self.ids] = np.inf
+        if d.shape[1] <= k:
+            return np.full(len(q), np.inf), np.zeros((len(q), 0), np.int64)
+        best = np.argpartition(d, k - 1, axis=1)[:, :k]
+        return np.take_along_axis(d, best, 1).max(1) * (1 + 1e-9) + 1e-9, self.distances(self.sample).argmin(1)[best]
+
     def distances(self, x: np.ndarray) -> np.ndarray:
         return (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
 
@@ -85,34 +99,37 @@ def build(rows: DataFrame, seed: int = 11) -> Index | None:
     rng = np.random.default_rng(seed)
     rotation, _ = np.linalg.qr(rng.standard_normal((total["d"] + 1, total["d"] + 1)))
     index = Index(rotation, float(total["m"]) * (1 + 1e-9), np.zeros((1, total["d"] + 1)))
-    sample = index.turned(_matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()["v"]), False)
-    lists = int(min(MOST_LISTS, max(1, total["n"] // LIST_ROWS), max(1, len(sample) // 8)))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("id", "v").toArrow()
+    sample = index.turned(_matrix(chosen["v"]), False)
+    index.ids, index.sample = chosen["id"].to_numpy()[:BOUND_ROWS], sample[:BOUND_ROWS]
+    lists = int(min(MOST_LISTS, max(1, total["n"] ** 0.5 / 2.5), max(1, len(sample) // 8)))
     index.centroids = _kmeans(sample, lists, rng)
     return index
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int, width: float = WIDTH, columns: int = COLUMNS) -> np.ndarray:
-    """Rows of ``x`` that may be among the ``k`` nearest to ``q``: those that no test dropped.
-
-    Rows come in growing chunks; each chunk is tested against the k-th least distance of
-    the chunks before it."""
-    n, dims = x.shape
-    to = min(n, 2 * k)
-    rows = np.arange(to)
-    near = ((x[:to] - q) ** 2).sum(1)
-    while to < n:
-        bound = np.partition(near, k - 1)[k - 1]
-        alive = np.arange(to, min(n, 3 * to))
-        to, part = alive[-1] + 1, np.zeros(len(alive))
-        for at in range(0, dims, columns):
-            seen = min(at + columns, dims)
-            part += ((x[alive, at:seen] - q[at:seen]) ** 2).sum(1)
-            # so far, a share seen / dims of the distance, give or take its standard error
-            most = bound * (1 + (width / seen**0.5 if seen < dims else 1e-9)) ** 2 * (seen / dims) + 1e-12
-            keep = part <= most
-            alive, part = alive[keep], part[keep]
-        rows, near = np.r_[rows, alive], np.r_[near, part]
-    return rows[near <= np.partition(near, k - 1)[k - 1] * (1 + 1e-9) + 1e-12] if n > k else rows
+def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, width: float = WIDTH, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs whose squared distance no test put beyond the query's ``bound``.
+
+    The first column block is one matrix product for all pairs; each later block is
+    computed for the pairs that are left."""
+    dims = x.shape[1]
+    a, b = x[:, :columns], q[:, :columns]
+    part = (b * b).sum(1)[:, None] - 2 * b @ a.T + (a * a).sum(1)
+    at = min(columns, dims)
+
+    def most(limit: np.ndarray) -> np.ndarray:
+        # the part seen is a share at / dims of the distance, give or take its standard error
+        return limit * (1 + (width / at**0.5 if at < dims else 1e-9)) ** 2 * (at / dims) + 1e-9
+
+    asked, rows = np.nonzero(part <= most(bound)[:, None])
+    part = part[asked, rows]
+    while at < dims and len(rows):
+        to = min(at + columns, dims)
+        part += ((x[rows, at:to] - q[asked, at:to]) ** 2).sum(1)
+        at = to
+        keep = part <= most(bound[asked])
+        asked, rows, part = asked[keep], rows[keep], part[keep]
+    return asked, rows
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probed: float = PROBED) -> DataFrame:
@@ -159,37 +176,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         for b in batches:
             if not b.num_rows:
                 continue
-            order = ix.distances(ix.turned(_matrix(b.column(1)), True)).argsort(1, kind="stable")
+            turned = ix.turned(_matrix(b.column(1)), True)
+            ids = b.column(0).to_numpy()
+            parts = [ix.bounds(turned[i : i + 128], ids[i : i + 128], k) for i in range(0, len(ids), 128)]
+            bound, holding = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = ix.distances(turned).argsort(1, kind="stable")
             near = ix.sizes[order].cumsum(1)
             n = np.maximum(most, (near < 2 * k + 1).sum(1) + 1)  # lists with enough rows
             row, at, blk = [], [], []
             for i, m in enumerate(np.minimum(n, len(ix.sizes)).tolist()):
-                for j in order[i, :m].tolist():
-                    parts = 1 + int(ix.sizes[j]) // BLOCK_ROWS
-                    row += [i] * parts
-                    at += [j] * parts
-                    blk += range(parts)
+                for j in {*order[i, :m].tolist(), *holding[i].tolist()}:
+                    blocks = 1 + int(ix.sizes[j]) // BLOCK_ROWS
+                    row += [i] * blocks
+                    at += [j] * blocks
+                    blk += range(blocks)
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blk, pa.int32()), b.column(0).take(take), b.column(1).take(take)], names=["list", "block", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blk, pa.int32()), b.column(0).take(take), pa.array(bound).take(take), b.column(1).take(take)], names=["list", "block", "id", "bound", "v"])
 
-    sent_queries = asked.mapInArrow(probe, "list int, block int, id long, v array<double>")
+    sent_queries = asked.mapInArrow(probe, "list int, block int, id long, bound double, v array<double>")
 
     def look(data: pa.Table, ask: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
         if len(data) and len(ask):
             raw, ids = _matrix(data["v"]), data["id"].to_numpy()
             x = told.value.turned(raw, False)
-            wants = _matrix(ask["v"])
-            for q, turned, me in zip(wants, told.value.turned(wants, True), ask["id"].to_pylist(), strict=True):
-                left = scan(x, turned, min(k + 1, len(x)))
-                left = left[ids[left] != me]
-                s = raw[left] @ q
-                best = np.lexsort((ids[left], -s))[:k]
-                out[0].append(np.full(len(best), me))
-                out[1].append(ids[left[best]])
-                out[2].append((raw[left[best]] * q).sum(1))
-        join = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-        return pa.table([join(out[0], np.int64), join(out[1], np.int64), join(out[2], np.float64)], names=["query_id", "vec", "score"])
+            wants, asks, bound = _matrix(ask["v"]), ask["id"].to_numpy(), ask["bound"].to_numpy()
+            turned = told.value.turned(wants, True)
+            step = max(1, PAIRS // len(x))
+            for at in range(0, len(asks), step):
+                q, row = scan(x, turned[at : at + step], bound[at : at + step])
+                q += at
+                other = ids[row] != asks[q]
+                q, row = q[other], row[other]
+                s = np.concatenate([np.zeros(0), *((raw[row[i : i + PAIRS]] * wants[q[i : i + PAIRS]]).sum(1) for i in range(0, len(q), PAIRS))])
+                order = np.lexsort((ids[row], -s, q))
+                q, row, s = q[order], row[order], s[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                for k_th, v in enumerate((asks[q], ids[row], s)):
+                    out[k_th].append(v[nth < k])
+        return pa.table([pa.array(np.concatenate(v)) for v in out], names=["query_id", "vec", "score"])
 
     found = dealt.groupBy("list", "block").cogroup(sent_queries.groupBy("list", "block")).applyInArrow(look, "query_id long, vec long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec")
