@@ -2,9 +2,10 @@
 
 Both public vocabularies cut a text at white space before any merge, so the ids of
 a text are the ids of its space-separated parts in a row. Each Python worker keeps
-the parts it has met in a dictionary of bounded size and asks the library only for
-new ones. Texts for which cutting at spaces is not exact (rare white space, special
-tokens) go to the library whole.
+the parts it has met in a dictionary of bounded size; a new part is cut once more,
+before closing punctuation, where the vocabularies' patterns always cut too, and the
+library is asked only for pieces that are new. Texts for which cutting at spaces is
+not exact (rare white space, special tokens) go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ import re
 import numpy as np
 
 #: Parts that a worker remembers; beyond it the dictionary starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 280_000
 #: White space that the library or Python's split() counts differently or that merges across spaces.
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Letters (Latin, whose classes and cases no Unicode version changes) and a closing
+#: punctuation run; no ``<``, with which special tokens begin.
+_CLOSED = re.compile("([\\x21-;=-\u024f]*[^\\W_])([.,|!?$%&*#;:]*)\\Z")
 _MADE: dict = {}
 
 
@@ -45,24 +49,52 @@ class WordIds:
         #: True: white space never reaches the merges; False: one space belongs to the next word.
         self.drops_space = bool(spec["model"].get("end_of_word_suffix"))
         self.known: dict[str, bytes] = {}
+        self.pieces_known: dict[str, bytes] = {}
         self.remembered = remembered
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts without white space (a space goes before each where it counts)."""
+    def _pieces(self, part: str) -> tuple[str, ...]:
+        """What a part without white space is cut into; with its space where that counts."""
+        if self.drops_space:
+            m = _CLOSED.match(part)
+            return (part,) if not m else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
+        lines = part.split("\n")
+        out = []
+        if "" in lines:  # lines that are empty join with the white space around them
+            return (" " + part,)
+        for k, line in enumerate(lines):
+            m = _CLOSED.match(line)
+            out += ["\n"] * (k > 0) + [(" " if k == 0 else "") + (m[1] if m else line)]
+            if m and m[2]:
+                out.append(m[2])
+        return tuple(out)
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each on its own, by the library."""
         if not self.drops_space:
-            got = self.library.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
+            got = self.library.encode_batch_fast(pieces, add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in got]
-        e = self.library.encode("\n".join(parts), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(p) + 1 for p in parts])
+        e = self.library.encode("\n".join(pieces), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(p) + 1 for p in pieces])
         ids = np.array(e.ids, "<u4")
         of = np.searchsorted(starts, [a for a, _ in e.offsets], side="right") - 1 if len(ids) else np.zeros(0, int)
-        ends = np.searchsorted(of, np.arange(len(parts)), side="right") * 4
+        ends = np.searchsorted(of, np.arange(len(pieces)), side="right") * 4
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts (a space goes before each where it counts)."""
+        if len(self.pieces_known) > self.remembered:
+            self.pieces_known.clear()
+        known = self.pieces_known
+        cut = [self._pieces(p) for p in parts]
+        new = list(dict.fromkeys(x for c in cut for x in c if x not in known))
+        if new:
+            known.update(zip(new, self._ids(new), strict=True))
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
     def _cut(self, text: str) -> list[str] | None:
         """The text's parts, or None where it has to be encoded whole."""
         if self.drops_space:
