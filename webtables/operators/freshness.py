@@ -164,7 +164,7 @@ def hit_counts(labelled: DataFrame) -> DataFrame:
     )
 
 
-def fresh_copy(requests: DataFrame, store: DataFrame, content: bool = False) -> DataFrame:
+def fresh_copy(requests: DataFrame, store: DataFrame, content: bool = False, ttls: list[int | None] | None = None) -> DataFrame:
     """For each request, the stored copy valid at its time
     (``fetched_at <= ts < fetched_at + ttl_s``; a null ``ttl_s`` never
     expires), newest if several; ``content`` attaches the copy's content.
@@ -173,7 +173,9 @@ def fresh_copy(requests: DataFrame, store: DataFrame, content: bool = False) ->
     buckets of the power of two at or above ``t`` seconds, so it touches two
     of them at most, and a request looks into one bucket of each width that
     the store has (at most ``WIDTHS`` of them). The joins carry keys and
-    times only; content is looked up once per answered request."""
+    times only; content is looked up once per answered request. ``ttls`` names
+    the values that ``ttl_s`` takes, which saves a pass over the store; a copy
+    with another one is an error."""
     second = 1_000_000
     f_us = F.unix_micros(F.col("fetched_at").cast("timestamp"))
     ttl = F.col("ttl_s").cast("long")
@@ -183,8 +185,13 @@ def fresh_copy(requests: DataFrame, store: DataFrame, content: bool = False) ->
     width = (F.pow(F.lit(2.0), F.col("level")) * second).cast("long")
     first, last = F.floor(F.col("f_us") / width), F.floor((F.col("e_us") - 1) / width)
     copies = copies.withColumn("bucket", F.explode(F.when(F.col("e_us").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first.cast("long"), last.cast("long")))))
-    levels = store.select(level.alias("level")).distinct()
-    held = F.lit(sorted(r["level"] for r in levels.collect()) or [0]).cast("array<int>")  # at most WIDTHS + 1 numbers
+    if ttls is None:
+        found = [r["level"] for r in store.select(level.alias("level")).distinct().collect()]  # at most WIDTHS + 1 numbers
+    else:
+        found = [WIDTHS if t is None else min((max(t, 1) - 1).bit_length(), WIDTHS - 1) for t in ttls]
+        wrong = F.raise_error(F.concat(F.lit("fresh_copy: ttls does not name the TTL of key "), F.col("cache_key")))
+        copies = copies.withColumn("level", F.when(F.col("level").isin(*found), F.col("level")).otherwise(wrong.cast("int")))
+    held = F.lit(sorted(set(found)) or [0]).cast("array<int>")
     ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
     req = requests.select("request_id", "cache_key", ts_us.alias("ts_us"), F.explode(held).alias("level"))
     req = req.withColumn("bucket", F.when(F.col("level") == WIDTHS, F.lit(0).cast("long")).otherwise(F.floor(F.col("ts_us") / width).cast("long")))
