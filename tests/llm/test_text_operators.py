@@ -124,6 +124,36 @@ def test_ngram_join_links_chains_in_later_rounds(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_ngram_join_gives_every_link(spark, monkeypatch):
+    """Families of near copies over several blocks: all pairs, also those without the family's first text."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    rng = random.Random(21)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(60)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, t) for k, t in enumerate([rows[0][1], rows[3][1], None, "", "one", "one"])] + [(None, rows[0][1])]
+    sets = {i: shingles(t, 4) for i, t in rows if i is not None}
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and 100 * len(x & y) >= 85 * len(x | y)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, members = (x.collect() for x in ngram_join.join_links(docs))
+    of = {}
+    for r in members:
+        if r.class_id is not None:
+            of.setdefault(r.class_id, []).append(r.doc_id)
+    got = [(min(x, y), max(x, y)) for r in pairs for x in of[r.a] for y in of[r.b]]
+    got += [(x, y) for ids in of.values() for x in ids for y in ids if x < y]
+    assert sorted(got) == sorted(want)
+    assert all((r.shared, r.n_either) == (len(sets[r.a] & sets[r.b]), len(sets[r.a] | sets[r.b])) for r in pairs)
+    counts = {r.doc_id: r.n_links for r in ngram_join.join_components(docs).collect()}
+    assert counts.pop(None) is None
+    assert counts == {i: sum(i in p for p in want) for i in sets}
+
+
 def brute_removals(rows, window):
     first = {}
     for i, t in rows:

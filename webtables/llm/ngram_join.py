@@ -1,16 +1,16 @@
 """N-gram Jaccard join with prefix filters under several global orders (operator 4).
 
 Two documents can only link if they share a token among the first few of each, in any
-global order of the shingles. One order makes the candidates with an equi-join; the
-other orders, held with each document, must agree before a text is fetched; only then
-the sets are compared. Counts over all documents in a sketch of fixed size order the
-shingles: the first order goes from rare to frequent, the others are random but for
+global order of the shingles. Counts over all documents in a sketch of fixed size order
+the shingles: the first order goes from rare to frequent, the others are random but for
 frequent shingles, which come last. So common lines and phrases make no long lists.
 
-Equal sets are one class. In a list of documents that share a prefix token each is
-compared with one pivot, not with each other: what links to the pivot is connected.
-Pairs that are still apart are then compared one by one, so no link is lost; a large
-family whose members lie close to each other costs one comparison a member.
+Equal sets are one class, and one text stands for each. A class's home is the longest
+list it is in; a home is cut into blocks of bounded size. Two blocks meet in a group if
+a list has members of both, and a group's task compares all of its sets, block against
+block: first their prefixes in two other orders, which must meet too, then, of what is
+left, the whole sets. So each pair that may link is compared once and in full, and a
+family of near copies sends a set once for each block it meets, not once for each pair.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready, slices
+from .common import cut, partitions, ready, slices
 from .components import components
 from .words import Words, mix
 
@@ -38,8 +38,10 @@ LOW_LEVEL, FREQUENT = 8, 16
 #: One number for each global order, and one for the sketch's cells.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 CELLS = 0x082EFA98EC4E6C89
-#: Rounds of pivots before the pairs that are left are listed.
-PIVOT_ROUNDS = 4
+#: Sets and shingles of a block, about.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
+#: Columns of shingles that a group's task multiplies at a time.
+COLUMNS = 4096
 #: Bits of the filter that spares most texts the shuffle (exact joins follow).
 FILTER_BITS = 1 << 23
 
@@ -113,21 +115,22 @@ def cell_levels(seen: DataFrame) -> np.ndarray:
     return np.clip(2 * (counts - mean) / max(mean, 1.0) ** 0.5 + LOW_LEVEL, 0, 63).astype(np.uint8)
 
 
-def _prefixes(size: int, percent: int, levels):
-    """Per row: id, n, its prefix in the first order (whole keys) and in the others (32 bits)."""
+def _prefixes(size: int, percent: int, levels, orders: list[int], wanted=None):
+    """Per row (with ``wanted``: whose bit is in that filter): id, n and its prefix in each of
+    ``orders``: whole keys in the first order, 32 bits in the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = levels.value.astype(np.uint64) << np.uint64(57)
         late = np.where(levels.value >= FREQUENT, np.uint64(1 << 63), np.uint64(0))
-        for b in slices(batches, "text"):
-            h, off = shingle_sets(b.column(1), size)
+        for b in slices(_wanted(batches, wanted), "text"):
+            h, off = shingle_sets(b.column(b.num_columns - 1), size)
             cells = _cells(h)
             n = np.diff(off)
             take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             ends = np.r_[0, np.cumsum(take)].astype(np.int32)
             cols = [b.column(0), pa.array(n)]
-            for nth, seed in enumerate(ORDERS):
-                keys = mix(h ^ np.uint64(seed))
+            for nth in orders:
+                keys = mix(h ^ np.uint64(ORDERS[nth]))
                 keys = keys >> np.uint64(7) | rarity[cells] if nth == 0 else keys >> np.uint64(1) | late[cells]
                 out = np.empty(int(ends[-1]), np.uint64)
                 for a, z, k, to in zip(off[:-1].tolist(), off[1:].tolist(), take.tolist(), ends[:-1].tolist(), strict=True):
@@ -135,26 +138,126 @@ def _prefixes(size: int, percent: int, levels):
                         out[to : to + k] = np.partition(keys[a:z], k - 1)[:k] if k < z - a else keys[a:z]
                 flat = pa.array(out.view(np.int64)) if nth == 0 else pa.array(out.astype(np.uint32).view(np.int32))
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), flat))
-            keep = pa.array(n > 0)
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", *[f"p{k}" for k in range(len(ORDERS))]]).filter(keep)
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", *[f"p{k}" for k in orders]]).filter(pa.array(n > 0))
 
     return run
 
 
-def _links(size: int, percent: int):
-    """Of pairs with both texts: those whose sets link."""
+def _wanted(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """The rows (id, bit, text) whose bit is in the filter, or all rows without one."""
+    words = None if wanted is None else wanted.value
+    for b in batches:
+        if words is not None:
+            bit = b.column(1).to_numpy()
+            b = b.filter(pa.array((words[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)))
+        yield b
+
+
+def _sets(size: int, wanted):
+    """Of the rows whose bit is in the filter ``wanted``: id, the set's digest and the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text_a"):
-            a, at = shingle_sets(b.column(2), size)
-            texts = b.column(3).dictionary_encode()  # a pivot's text comes many times
-            c, to = shingle_sets(texts.dictionary, size)
-            ok = []
-            for k, j in enumerate(texts.indices.to_pylist()):
-                x, y = a[at[k] : at[k + 1]], c[to[j] : to[j + 1]]
-                both = int(np.isin(x, y, assume_unique=True).sum()) if len(x) and len(y) else 0
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for b in slices(_wanted(batches, wanted), "text"):
+            h, off = shingle_sets(b.column(2), size)
+            data = [h[a:z].tobytes() for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in data]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["id", "set", "hashes"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[list]]]:
+    """lo, hi and the other columns of each group, from rows sorted by (lo, hi)."""
+    key, held = None, []
+    for b in batches:
+        lo, hi = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = np.nonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[0].tolist() if len(lo) else []
+        for a, z in zip(new, [*new[1:], len(lo)], strict=True):
+            if key != (now := (int(lo[a]), int(hi[a]))):
+                if key is not None:
+                    yield *key, held
+                key, held = now, [[] for _ in range(b.num_columns - 2)]
+            for to, col in zip(held, b.columns[2:], strict=True):
+                to += col.slice(a, z - a).to_pylist()
+    if key is not None:
+        yield *key, held
+
+
+def _may_meet(lo: int, hi: int, side: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which pairs a group is for: those of two documents, one of either side if it has two."""
+    pairs = ids[:, None] != ids[None, :]
+    return pairs if lo == hi else pairs & (side[:, None] != side[None, :])
+
+
+def _agree(percent: int):
+    """Rows of groups: lo, hi, side, id, n and the prefixes in the other orders. The rows (lo,
+    hi, side, id) that by sizes and prefixes may link with another of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lo, hi, (side, ids, n, *prefixes) in _groups(batches):
+            side, ids, n = np.array(side, bool), np.array(ids, np.int64), np.array(n, np.int64)
+            may = _may_meet(lo, hi, side, ids)
+            may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+            for p in prefixes:
+                if may.any():
+                    may &= shared_counts([np.unique(np.array(x, np.int32)) for x in p]) > 0
+            if len(at := np.nonzero(may.any(axis=1))[0]):
+                cols = [np.full(len(at), lo), np.full(len(at), hi), side[at], ids[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["lo", "hi", "side", "id"])
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of any two of the sets."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    often = np.bincount(column, minlength=len(values)) > 1
+    keep = often[column]
+    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    counts = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(often.sum()), COLUMNS):
+        a, z = np.searchsorted(column, [at, at + COLUMNS])
+        held = np.zeros((len(sets), int(column[z - 1]) - at + 1), np.float32)
+        held[owner[a:z], column[a:z] - at] = 1
+        counts += (held @ held.T).astype(np.int64)
+    return counts
+
+
+def _compare(percent: int, listed: bool):
+    """Rows of groups: lo, hi, side, id, held, hashes. With ``listed`` the pairs that link: a, b,
+    shared, n_either. Else, of each set that links in a group: id, the least id that it is
+    connected to in the group, and the number of documents of the sets it links with."""
+    names = ["a", "b", "shared", "n_either"] if listed else ["id", "root", "links"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lo, hi, (side, ids, held, data) in _groups(batches):
+            rows: dict = {}  # a row that is there twice counts once
+            for k, key in enumerate(zip(ids, data, strict=True)):
+                if key not in rows or held[k] > held[rows[key]]:
+                    rows[key] = k
+            at = np.array(list(rows.values()))
+            side, ids, held = np.array(side, bool)[at], np.array(ids, np.int64)[at], np.array(held, np.int64)[at]
+            sets = [np.frombuffer(data[k], np.uint64) for k in at.tolist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            both = shared_counts(sets)
+            either = n[:, None] + n[None, :] - both
+            link = _may_meet(lo, hi, side, ids) & (both > 0) & (100 * both >= percent * either)
+            if not link.any():
+                continue
+            if listed:
+                x, y = np.nonzero(np.triu(link))
+                cols = [np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), both[x, y], either[x, y]]
+            else:
+                root, before = ids, None
+                while before is None or (root != before).any():
+                    before = root
+                    root = np.minimum(root, np.where(link, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+                some = link.any(axis=1)
+                cols = [ids[some], root[some], (link @ held)[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return run
 
@@ -170,104 +273,113 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
 
 
 class _Join:
-    """The steps of one join over ``texts`` (id, text)."""
-
-    def __init__(self, texts: DataFrame, size: int, percent: int):
-        self.texts, self.size, self.percent = texts, size, percent
-        self.spark = texts.sparkSession
-
-    def agreed(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """The pairs whose prefixes in every other order allow a link."""
-        a = prefixes.select(F.col("id").alias("a"), *[F.col(f"p{k}").alias(f"a{k}") for k in range(1, len(ORDERS))])
-        b = prefixes.select(F.col("id").alias("b"), *[F.col(f"p{k}").alias(f"b{k}") for k in range(1, len(ORDERS))])
-        both = pairs.join(a, "a").join(b, "b")
-        for k in range(1, len(ORDERS)):
-            both = both.where(F.arrays_overlap(f"a{k}", f"b{k}"))
-        return cut(both.select("a", "b").distinct())
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their whole sets."""
-        wanted = self.spark.sparkContext.broadcast(_id_filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
-
-        def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = wanted.value
-            for b in batches:
-                bit = b.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["id", "text"]).filter(pa.array((words[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)))
-
-        few = self.texts.select("id", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"), "text").mapInArrow(may, "id long, text string")
-        left = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        whole = left.join(few.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return cut(whole.mapInArrow(_links(self.size, self.percent), "a long, b long").distinct())
+    """The steps of one join over ``docs``."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
+        self.spark, self.size, self.percent = ready(docs.sparkSession), size, percent
+        self.texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+        seen = cut(self.texts.mapInArrow(_digests(size), "id long, n long, set binary, block int, counts binary"))
+        self.levels = self.spark.sparkContext.broadcast(cell_levels(seen))
+        self.rows = seen.where("block IS NULL").select("id", "n", "set")
+        held = F.count("id").alias("held")  # documents: rows without an id take no part
+        self.classes = cut(self.rows.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"), held, F.max("n").alias("n")))
+
+    def groups(self) -> DataFrame:
+        """Which sets may link in which group: lo, hi, side, id."""
+        reps = self.classes.where("n > 0 AND rep IS NOT NULL").select(F.col("rep").alias("id")).distinct()
+        found = self.texts.mapInArrow(_prefixes(self.size, self.percent, self.levels, [0]), "id long, n long, p0 array<long>")
+        prefixes = cut(found.join(reps, "id", "left_semi"))
+        posted = prefixes.select("id", F.col("n").cast("int").alias("n"), F.explode("p0").alias("token"))
+        shared = posted.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
+        lists = cut(posted.join(shared, "token"))  # of the tokens that several documents hold
+        home = lists.groupBy("id").agg(F.max(F.struct("m", "token")).alias("h"), F.max("n").alias("n")).select("id", "n", F.col("h.token").alias("home"))
+        home = cut(home)
+        chunks = F.ceil(F.greatest(F.col("k") / BLOCK_SETS, F.col("mass") / BLOCK_SHINGLES)).cast("int")
+        homes = home.groupBy("home").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("mass")).select("home", "k", chunks.alias("chunks"))
+        part = F.expr("CAST(pmod(xxhash64(id), chunks) AS int)").alias("part")
+        placed = cut(home.join(homes, "home").select("id", "home", "k", "chunks", part))
+        block = F.xxhash64("home", "part").alias("block")
+        # the members of one home all share its token: each block meets each
+        own = placed.where("k > 1").select("id", "home", block, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
+        own = own.select("id", "block", F.xxhash64("home", "part").alias("other"))
+        # in other lists, blocks of different homes
+        spots = lists.select("token", "id").join(placed.select("id", "home", block), "id")
+        others = spots.select("token", F.col("home").alias("their"), F.col("block").alias("other")).distinct()
+        far = spots.join(others, "token").where("home != their").select("id", "block", "other").distinct()
+        meet = own.union(far).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.expr("block > other").alias("side"), "id")
+        return self.agreed(cut(meet), self.few(home.select("id")))
+
+    def few(self, ids: DataFrame) -> tuple[DataFrame, object]:
+        """The texts (id, bit, text) and a filter of those with one of ``ids``."""
+        bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")
+        return self.texts.where("id IS NOT NULL").select("id", bit, "text"), self.spark.sparkContext.broadcast(_id_filter(ids))
+
+    def dealt(self, meet: DataFrame, rows: DataFrame) -> DataFrame:
+        """The groups' rows, one group after another."""
+        whole = meet.join(rows, "id").repartition(partitions(self.spark), "lo", "hi").sortWithinPartitions("lo", "hi")
+        return whole.select("lo", "hi", "side", "id", *[c for c in rows.columns if c != "id"])
+
+    def agreed(self, meet: DataFrame, few: tuple[DataFrame, object]) -> DataFrame:
+        """The groups' rows that the sizes and the prefixes in every other order leave."""
+        texts, wanted = few
+        orders = list(range(1, len(ORDERS)))
+        run = _prefixes(self.size, self.percent, self.levels, orders, wanted)
+        rows = texts.mapInArrow(run, "id long, n long" + "".join(f", p{k} array<int>" for k in orders))
+        return cut(self.dealt(meet, rows).mapInArrow(_agree(self.percent), "lo long, hi long, side boolean, id long").distinct())
+
+    def compared(self, listed: bool) -> DataFrame:
+        """What the groups' tasks find (see ``_compare``)."""
+        meet = self.groups()
+        texts, wanted = self.few(meet.select("id").distinct())
+        sets = texts.mapInArrow(_sets(self.size, wanted), "id long, set binary, hashes binary")
+        # of rows that share an id only the text that stands for its class counts documents
+        known = self.classes.where("n > 0").select(F.col("rep").alias("id"), F.col("set").alias("own"), "held")
+        held = F.when(F.col("set") == F.col("own"), F.col("held")).otherwise(F.lit(0)).alias("held")
+        rows = sets.join(known, "id").select("id", held, "hashes")
+        out = "a long, b long, shared long, n_either long" if listed else "id long, root long, links long"
+        return cut(self.dealt(meet, rows).mapInArrow(_compare(self.percent, listed), out))
+
+
+def join_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links, as two tables. ``pairs``: a, b, shared, n_either, a row for any two sets that
+    link (a < b: the smallest ids of their documents; the sizes of intersection and union).
+    ``members``: id_col, class_id, class_size, a row per row of ``docs``; documents of one
+    class have equal sets and link with each other and with those of each linked class. Rows
+    without shingles or without an id link with nothing: their class_id is null.
+
+    See ``join_components`` for words and links."""
+    join = _Join(docs, id_col, text_col, size, percent)
+    of_class = join.classes.select("set", "rep", "class_size")
+    rep = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("class_id")
+    members = join.rows.join(of_class, "set").select(F.col("id").alias(id_col), rep, "class_size")
+    return join.compared(listed=True).distinct(), members
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_shingles, component_id, class_size.
+    """One row per row of ``docs``: id_col, n_shingles, component_id, class_size, n_links.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Two documents link when
     100 * intersection >= percent * union of their sets of ``size``-word shingles; a
     text with fewer words has one shingle, a null or empty one has none and links with
     nothing. component_id is the smallest id reachable by links; class_size counts the
-    rows with the same set. A row with a null id takes no part: its component is null.
-    Rows that share an id are one document. Other columns are not read. An empty table
-    gives no rows.
+    rows with the same set; n_links counts the other documents that the document links
+    with, those with the same set too. A row with a null id takes no part: its component
+    and links are null. Rows that share an id are one document. Other columns are not
+    read. An empty table gives no rows.
 
     Shingles are told apart by 64-bit hashes, equal sets by a 128-bit digest."""
-    spark = ready(docs.sparkSession)
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    seen = cut(texts.mapInArrow(_digests(size), "id long, n long, set binary, block int, counts binary"))
-    levels = spark.sparkContext.broadcast(cell_levels(seen))
-    rows = seen.where("block IS NULL").select("id", "n", "set")
-    classes = cut(rows.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n")))
-    reps = classes.where("n > 0 AND rep IS NOT NULL").select(F.col("rep").alias("id")).distinct()
-
-    others = "".join(f", p{k} array<int>" for k in range(1, len(ORDERS)))
-    found = texts.mapInArrow(_prefixes(size, percent, levels), f"id long, n long, p0 array<long>{others}")
-    prefixes = cut(found.join(reps, "id", "left_semi"))
-    posted = prefixes.select("id", F.col("n").cast("int").alias("n"), F.explode("p0").alias("token"))
-    first = F.min(F.struct("id", "n")).alias("first")
-    shared = posted.groupBy("token").agg(first, F.max("id").alias("most")).where("first.id < most").select("token", F.col("first.id").alias("pivot"), F.col("first.n").alias("pn"))
-    lists = cut(posted.join(shared, "token"))  # of the tokens that several documents hold
-    near = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"  # else the sizes alone rule a link out
-
-    join = _Join(texts, size, percent)
-    links = None
-    for done in range(PIVOT_ROUNDS + 1):
-        if done == 0:
-            left, listed = lists, False
-        else:
-            # members of a list that are not connected yet; those who were compared with every
-            # pivot so far stay in it until they are
-            labels = label.select(F.col("node").alias("id"), "component")  # noqa: F821
-            apart = lists.drop("pivot", "pn").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            many = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-            apart = cut(apart.join(many, "token", "left_semi"))
-            by = apart.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            sums = by.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-            if not sums["rows"]:
-                break
-            listed = done == PIVOT_ROUNDS or sums["pairs"] <= 4 * sums["rows"]
-            # the pivot changes from round to round: the least in another order of the ids
-            first = F.struct(F.xxhash64("id", F.lit(done)).alias("o"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("component").alias("c"))
-            pivots = apart.groupBy("token").agg(F.min(first).alias("p")).select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"))
-            left = apart if listed else apart.join(pivots, "token").where("component != pc")
-        if listed:
-            other = left.select("token", F.col("id").alias("b"), F.col("n").alias("pn"), F.col("component").alias("cb"))
-            pairs = left.select("token", F.col("id").alias("a"), "n", "component").join(other, "token").where(f"a < b AND component != cb AND {near}").select("a", "b")
-        else:
-            pairs = left.where(f"id != pivot AND {near}").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
-        more = join.linked(join.agreed(pairs.distinct(), prefixes))
-        links = more if links is None else cut(links.union(more).distinct())
-        label = components(links)
-        if listed:
-            break
-    label = label.select(F.col("node").alias("rep"), "component")
-    of_class = classes.join(label, "rep", "left").select("set", "class_size", F.coalesce("component", "rep").alias("component"))
-    return rows.join(of_class, "set").select(
+    join = _Join(docs, id_col, text_col, size, percent)
+    found = join.compared(listed=False)
+    label = components(found, "id", "root").select(F.col("node").alias("rep"), "component")
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    of_class = join.classes.join(label, "rep", "left").join(links, "rep", "left").select("set", "class_size", "held", "links", F.coalesce("component", "rep").alias("component"))
+    alone = F.col("id").isNull() | (F.col("n") == 0)
+    return join.rows.join(of_class, "set").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"),
         "class_size",
+        F.when(alone, F.col("id") * 0).otherwise(F.col("held") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
 
 
