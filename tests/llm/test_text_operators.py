@@ -298,3 +298,14 @@ def test_word_caches_match_the_library(name):
     want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in mixed]
     assert WordIds(content, remembered=500).encode(mixed) == want
     assert bpe.PrefixWordIds(content, bpe.tables(content), remembered=500).encode(mixed) == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_caches_leave_a_closing_sigma_to_the_library(name):
+    """Python lower-cases a sigma by its place in the word, the library does not."""
+    from webtables.llm.wordcache import WordIds, read_tokenizer
+
+    content, tok = read_tokenizer(tokenizer_path(name)), library(name)
+    words = ["a\u03a3", "a\u03a3.", "AB\u03a3,", "x a\u03a3; y", "a\u03a3\u03a3:", "\u03a3", "\u03a3.", "1\u03a3", "é\u03a3!"]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in words]
+    assert WordIds(content).encode(words) == want

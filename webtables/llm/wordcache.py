@@ -20,9 +20,10 @@ REMEMBERED = 280_000
 #: White space that the library or Python's split() counts differently or that merges across spaces.
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Letters (Latin, whose classes and cases no Unicode version changes) and a closing
-#: punctuation run; no ``<``, with which special tokens begin.
-_CLOSED = re.compile("([\\x21-;=-\u024f]*[^\\W_])([.,|!?$%&*#;:]*)\\Z")
+#: Letters (Latin to the last, whose classes and cases no Unicode version changes and no
+#: place in a word, as a closing sigma's) and a closing punctuation run; no ``<``, with
+#: which special tokens begin.
+_CLOSED = re.compile("([\\x21-;=-\u024f]*(?=[\\x21-\u024f])[^\\W_])([.,|!?$%&*#;:]*)\\Z")
 _MADE: dict = {}
 
 
