@@ -206,6 +206,16 @@ def test_extraction(parsed):
     assert "1,299.00" in got["number"] and "email" not in got
 
 
+def test_a_phone_number_after_a_date(spark):
+    """Dates are passed over; the number after one is found, and no part of a date is."""
+    from webtables.operators.audits import extract_data
+
+    rows = [(1, "2024-03-01 555 123 4567"), (2, "Posted 2024-03-01. 030 1234567"), (3, "2024-03-01 2024-03-02"), (4, "2024-03-01-555-123-4567"), (5, "555 123 4567")]
+    got = extract_data(spark.createDataFrame(rows, "page_id long, text string"), "text", types=["phone"]).collect()
+    assert sorted((r.page_id, r.value, r["count"]) for r in got) == [
+        (1, "555 123 4567", 1), (2, "030 1234567", 1), (4, "555-123-4567", 1), (5, "555 123 4567", 1)]
+
+
 def test_links_that_name_no_page(parsed):
     """``mailto:``, ``tel:`` and ``javascript:`` links are neither external nor broken."""
     from webtables.operators.audits import broken_links, link_audit, link_rows, linked_domains, normalize_url

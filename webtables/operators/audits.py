@@ -36,13 +36,14 @@ NO_LABEL_TYPES = ["hidden", "submit", "button", "image", "reset"]
 # Extraction patterns (contact, pricing, dates, numbers).
 EXTRACT_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?[0-9][0-9 ().-]{7,}[0-9]",
+    "phone": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|\+?[0-9][0-9 ().-]{7,}[0-9]",
     "price": r"[$€£] ?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.,][0-9]{1,2})?",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}",
     "number": r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?%?",
 }
-# What a match of a pattern must not look like: a date is no phone number.
-EXTRACT_EXCEPT = {"phone": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"}
+# What a match of a pattern must not look like: a date is no phone number. The phone
+# pattern takes a date by itself, so that a number after it is a match of its own.
+EXTRACT_EXCEPT = {"phone": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"}
 
 
 def _exists(arr: Column, f) -> Column:
