@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, dac, exact_dedup, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
+from . import ann, bpe, dac, exact_dedup, merkle, ngram_join, packing, quality, simhash, substring_dedup, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +94,9 @@ def llm_queries():
         "op8_token_files": op8_token_files,
         "op9_bpe": op9_bpe,
         "op10_url_filter": op10_url_filter,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_whitening": op12_whitening,
+        "op13_simhash": op13_simhash,
         "pipeline": pipeline,
     }
 
