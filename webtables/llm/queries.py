@@ -170,5 +170,53 @@ FROM pages JOIN ruled x ON x.u IS NOT DISTINCT FROM url LEFT JOIN alias ON alias
 """
 
 
+#: Leaves, the levels of each source's tree and of the tree of subroots, then each leaf's
+#: runs of siblings, joined to its proof and folded. crc32 is spelled out bit by bit.
+OP11_SQL = r"""
+WITH RECURSIVE heads AS (
+  SELECT doc_id, source, text, list_aggregate(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+         lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END), 'string_agg', '') AS head FROM documents
+), hashed AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS changed,
+         xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 5 = 0 AS hit
+  FROM heads
+), leaves AS MATERIALIZED (
+  SELECT *, coalesce('=' || source, '') AS tree, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM hashed
+), low AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM low WHERE n > 1 GROUP BY tree, level, pos // 16
+), subroots AS MATERIALIZED (
+  SELECT tree, digest, level AS height, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS level, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM high WHERE n > 1 GROUP BY level, pos // 16
+), runs AS MATERIALIZED (
+  SELECT tree, level, pos // 16 AS run, list(digest ORDER BY pos) AS digests
+  FROM (SELECT * FROM low UNION ALL SELECT 'top', * FROM high) WHERE n > 1 GROUP BY ALL
+), way AS (
+  SELECT l.tree, l.pos, r.level AS step, r.digests, CAST((l.pos // CAST(16 ** r.level AS BIGINT)) % 16 AS INTEGER) AS j
+  FROM leaves l JOIN runs r ON r.tree = l.tree AND r.run = l.pos // CAST(16 ** (r.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT l.tree, l.pos, s.height + r.level, r.digests, CAST((s.pos // CAST(16 ** r.level AS BIGINT)) % 16 AS INTEGER)
+  FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN runs r ON r.tree = 'top' AND r.run = s.pos // CAST(16 ** (r.level + 1) AS BIGINT)
+), paths AS (
+  SELECT tree, pos, string_agg(array_to_string(digests[1 : j] || digests[j + 2 :], ''), '' ORDER BY step) AS proof,
+         list(array_to_string(digests[1 : j], '') || '.' || array_to_string(digests[j + 2 :], '') ORDER BY step) AS steps
+  FROM way GROUP BY tree, pos
+), folded AS (
+  SELECT doc_id, leaf, s.digest AS subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce([CASE WHEN hit THEN changed ELSE leaf END] || coalesce(steps, []), lambda c, s: sha256(split_part(s, '.', 1) || c || split_part(s, '.', 2))) AS folded_root
+  FROM leaves l JOIN subroots s USING (tree) LEFT JOIN paths p ON p.tree = l.tree AND p.pos = l.pos
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
 def llm_oracles():
-    return {"op1_exact_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_filter": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
