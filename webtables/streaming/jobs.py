@@ -9,8 +9,8 @@ same ``work`` folder a later run resumes: only new files are read.
 
 * T1 running counters per request type (complete state, rewritten per batch)
 * T2 windowed request stats with a watermark (late rows dropped)
-* T3 TTL-bounded dedup per cache key with ``applyInPandasWithState``; the
-  state is the live copy's expiry and is dropped by an event-time timeout
+* T3 TTL-bounded dedup per cache key with ``transformWithStateInPandas``: rows wait
+  in list state for the watermark and leave in time order by event-time timers
 * T4 last-N requests kept across batches
 * T5 page conversion (parse -> text, links) as a stateless append stream
 """
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from webtables.functions.urls import ttl_for_url
 from webtables.operators.requests import counters
@@ -50,10 +50,10 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(sf_dir)
 
 
-def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """The request log as a stream; ``ts`` becomes TIMESTAMP (UTC session)
     because watermarks refuse TIMESTAMP_NTZ."""
-    log = request_log_from_events(table_stream(spark, sf_dir, "events"))
+    log = request_log_from_events(table_stream(spark, sf_dir, "events", max_files))
     return log.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -117,65 +117,140 @@ def windowed_stats(spark: SparkSession, sf_dir: str, size: str = "1 day", slide:
 
 
 _T3_OUT = "request_id long, cache_key string, label string, fetched_at_us long"
-_T3_STATE = "store_us long, exp_us long"
-
-
-def _ttl_dedup(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    store, exp = (state.get if state.exists else (None, None))
-    parts = [p for p in pdfs if len(p)]
-    if not parts:
-        return
-    pdf = pd.concat(parts).sort_values(["ts_us", "request_id"], kind="stable")
-    labels, fetched = [], []
-    for ts, ok, ttl in zip(pdf["ts_us"].to_numpy(), pdf["success"].to_numpy(), pdf["ttl_us"].to_numpy()):
-        if exp is not None and ts < exp:
-            labels.append("served")
-            fetched.append(store)
+# past any request, and within what pandas can hold
+_FAR = "2261-01-01 00:00:00"
+
+
+def fold_times(ts: np.ndarray, ok: np.ndarray, ttl: np.ndarray, live: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int] | None]:
+    """R2 over one key's rows in order, from the live copy (stored, expiry): which rows are
+    served, the copy each one read or wrote, whether there is one, and the copy left."""
+    served, fetched, has = np.zeros(len(ts), bool), np.zeros(len(ts), np.int64), np.zeros(len(ts), bool)
+    good, i = np.flatnonzero(ok), 0
+    while i < len(ts):
+        if live is not None and ts[i] < live[1]:
+            j = i + int(np.searchsorted(ts[i:], live[1], side="left"))
+            served[i:j], fetched[i:j], has[i:j], i = True, live[0], True, j
             continue
-        labels.append("fetch")
-        if ok:
-            store, exp = int(ts), int(ts) + int(ttl)
-            fetched.append(store)
+        k = int(np.searchsorted(good, i))
+        if k == len(good):
+            break
+        i = int(good[k])
+        live = (int(ts[i]), int(ts[i]) + int(ttl[i]))
+        fetched[i], has[i], i = ts[i], True, i + 1
+    return served, fetched, has, live
+
+
+class TtlDedup(StatefulProcessor):
+    """T3 for one key. Rows wait in list state until the watermark has passed them, so that
+    no earlier one can still come, and leave in time order through the fold. One event-time
+    timer stands at the first waiting row, or at the live copy's expiry, when it and the
+    key's state end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "request_id long, success boolean, ts_us long, ttl_us long")
+        self.live = handle.getValueState("live", "stored_us long, expiry_us long")
+
+    def _wake(self, at_us: int) -> None:
+        """Set the key's one timer, unless it stands earlier."""
+        at, set_for = -(-at_us // 1000), list(self.handle.listTimers())
+        if not set_for or at < min(set_for):
+            for t in set_for:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = []
+        for pdf in rows:
+            pdf = pdf[pdf["request_id"].notna()]  # the end marker is no request
+            if len(pdf):
+                self.waiting.appendList([(int(r), bool(o), int(t), int(w)) for r, o, t, w in zip(pdf["request_id"], pdf["success"], pdf["ts_us"], pdf["ttl_us"], strict=True)])
+                first.append(int(pdf["ts_us"].min()))
+        if first:
+            self._wake(min(first))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: (r[2], r[0])) if self.waiting.exists() else []
+        n = int(np.searchsorted(np.array([r[2] for r in rows], np.int64), passed, side="right"))
+        live = tuple(self.live.get()) if self.live.exists() else None
+        if n:
+            ids, ok, ts, ttl = (np.array(c) for c in zip(*rows[:n], strict=True))
+            served, fetched, has, live = fold_times(ts, ok, ttl, live)
+            yield pd.DataFrame({
+                "request_id": ids,
+                "cache_key": [key[0]] * n,
+                "label": np.where(served, "served", "fetch"),
+                "fetched_at_us": pd.Series(pd.array(fetched, dtype="Int64")).mask(~has),
+            })
+        if n == len(rows):
+            self.waiting.clear()
+        elif n:
+            self.waiting.put([tuple(r) for r in rows[n:]])
+        if live is not None and live[1] > passed:
+            self.live.update(live)
         else:
-            store = exp = None
-            fetched.append(None)
-    if exp is not None and exp // 1000 > state.getCurrentWatermarkMs():
-        state.update((store, exp))
-        state.setTimeoutTimestamp(int(exp // 1000))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame({
-        "request_id": pdf["request_id"].to_numpy(),
-        "cache_key": pdf["cache_key"].to_numpy(),
-        "label": labels,
-        "fetched_at_us": pd.array([np.nan if f is None else f for f in fetched], dtype="Int64"),
-    })
-
-
-def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day", work: str | None = None) -> DataFrame:
-    """Label each request ``fetch`` or ``served`` per cache key as the
-    stream arrives. Each key's state is one (fetched_at, expiry) pair; the
-    event-time timeout removes it once the watermark passes the expiry, so
-    state stays bounded by the keys live within one TTL."""
+            live = None
+            self.live.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if n < len(rows):
+            self._wake(rows[n][2])
+        elif live is not None:
+            self._wake(live[1])
+
+    def close(self) -> None:
+        pass
+
+
+def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day", work: str | None = None,
+                     max_files: int | None = None, close: bool | None = None) -> DataFrame:
+    """Label each request ``fetch`` or ``served`` per cache key, as R2 does, over a
+    stream whose rows come up to ``watermark`` out of order (later ones are dropped, as
+    Spark does). A row's label comes out when the watermark has passed it. State per key:
+    the rows that still wait and one live copy; both end by timer.
+
+    ``close`` ends the stream: a marker far in the future lets the last rows go, and what
+    comes later is late. Without it (the default with a ``work`` folder) they wait in the
+    state for the next run."""
+    close = work is None if close is None else close
     work = _work_dir(spark, "t3", work)
-    s = request_stream(spark, sf_dir).withWatermark("ts", watermark)
-    s = s.select(
+    s = request_stream(spark, sf_dir, max_files).select(
         "request_id", "cache_key", "success",
         F.unix_micros("ts").alias("ts_us"),
         (ttl_for_url(F.col("url")).cast("long") * 1_000_000).alias("ttl_us"),
         "ts",
     )
-    out = s.groupBy("cache_key").applyInPandasWithState(
-        _ttl_dedup, _T3_OUT, _T3_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    ends = os.path.join(work, "end")
+    none = spark.createDataFrame([], s.schema)
+    none.write.mode("append").parquet(ends)
+    both = s.unionByName(spark.readStream.schema(s.schema).parquet(ends)).withWatermark("ts", watermark)
+    out = both.groupBy("cache_key").transformWithStateInPandas(
+        TtlDedup(), outputStructType=_T3_OUT, outputMode="append", timeMode="eventTime"
     )
-    run_available(
-        out.writeStream.outputMode("append").format("parquet")
-        .option("checkpointLocation", os.path.join(work, "ckpt")).option("path", os.path.join(work, "out"))
-    )
-    res = spark.read.parquet(os.path.join(work, "out"))
+
+    def go() -> None:
+        run_available(
+            out.writeStream.outputMode("append").format("parquet")
+            .option("checkpointLocation", os.path.join(work, "ckpt")).option("path", os.path.join(work, "out"))
+        )
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        go()
+        if close:
+            mark = spark.range(1).select(
+                F.lit(None).cast("long").alias("request_id"), F.lit("").alias("cache_key"), F.lit(False).alias("success"),
+                F.lit(0).cast("long").alias("ts_us"), F.lit(0).cast("long").alias("ttl_us"), F.lit(_FAR).cast("timestamp").alias("ts"),
+            )
+            mark.select(*s.columns).write.mode("append").parquet(ends)
+            go()
+    finally:
+        spark.conf.set(provider, before)
+    res = spark.read.schema(_T3_OUT).parquet(os.path.join(work, "out"))
     return res.withColumn("fetched_at", F.timestamp_micros("fetched_at_us").cast("timestamp_ntz")).drop("fetched_at_us")
 
 
