@@ -1,6 +1,7 @@
 """The tree builder's stated repair rules (pure Python, no Spark)."""
 
-from webtables.functions.html import NODE_FIELDS, parse_html
+from webtables.functions.html import NESTING_TAGS, NODE_FIELDS, parse_html, tag_masks
+from webtables.functions.markdown import nodes_markdown
 
 F = {n: i for i, n in enumerate(NODE_FIELDS)}
 
@@ -55,12 +56,46 @@ def test_preorder_ids_and_subtree_slices():
     for n in nodes:
         assert nodes[n[F["id"]]] is n
         sub = nodes[n[F["id"]] + 1 : n[F["end_id"]] + 1]
-        assert all(n[F["id"]] in s[F["anc"]] for s in sub)
-        assert [nodes[i][F["tag"]] for i in n[F["anc"]]] == n[F["path"]]
+        inside = [s for s in nodes if s is not n and n[F["id"]] in ancestors(nodes, s)]
+        assert sub == inside
         if n[F["kind"]] == "element":
             assert html[n[F["start"]] : n[F["stop"]]].startswith("<" + n[F["tag"]])
 
 
+def ancestors(nodes, n):
+    out = []
+    while n[F["parent"]] >= 0:
+        n = nodes[n[F["parent"]]]
+        out.append(n[F["id"]])
+    return out
+
+
+def test_sets_of_ancestors_and_counts():
+    html = "<div><p>a<b>c<!-- x --></b></p><p></p><my-tag><i>d</i><p>e</p></my-tag></div><hr><div></div>"
+    nodes = parse_html(html)
+    for n in nodes:
+        above = {nodes[i][F["tag"]] for i in ancestors(nodes, n)}
+        for tag in ("div", "p", "b", "i", "table"):
+            m0, m1 = tag_masks([tag])
+            assert bool(n[F["up0"]] & m0 or n[F["up1"]] & m1) == (tag in above)
+        same = [s for s in nodes if s[F["parent"]] == n[F["parent"]] and s[F["kind"]] == "element"]
+        if n[F["kind"]] == "element":
+            assert n[F["n_sib"]] == len(same) and n[F["n_type"]] == sum(s[F["tag"]] == n[F["tag"]] for s in same)
+            kids = [s for s in nodes if s[F["parent"]] == n[F["id"]] and s[F["kind"]] != "comment"]
+            assert n[F["kids"]] == len(kids)
+    assert tag_masks(["my-tag"]) is None and tag_masks(["br"]) == (0, 0)
+    assert len(set(NESTING_TAGS)) == len(NESTING_TAGS) <= 2 * 62
+
+
+def test_any_depth():
+    n = 100_000
+    nodes = parse_html("<div>" * n + "bottom")
+    assert len(nodes) == n + 1 and nodes[-1][F["depth"]] == n and nodes[0][F["end_id"]] == n
+    late = parse_html("<p><table>" + "<font>" * 20_000 + "<div>" * 20_000 + "x</table>y")
+    assert late[-1][F["text"]] == "y" and late[-1][F["depth"]] == 0
+    assert nodes_markdown([dict(zip(NODE_FIELDS, r)) for r in parse_html("<b>" * 3000 + "x")]).count("x") == 1
+
+
 def test_sibling_positions():
     nodes = parse_html("<div><p>a</p><span>s</span><p>b</p></div>")
     els = [(n[F["tag"]], n[F["sib"]], n[F["type_sib"]], n[F["prev_sib"]]) for n in nodes if n[F["kind"]] == "element"]

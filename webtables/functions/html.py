@@ -10,11 +10,12 @@ keeps an open-element stack and applies a few stated rules:
 * a block start closes an open ``p``; ``li``/``dt``/``dd``/``tr``/``td``/
   ``th``/``option`` close an open sibling of the same family;
 * the document end closes everything;
-* elements nested deeper than ``MAX_DEPTH`` hang from the element at that depth;
 * text that the tokenizer hands out in pieces (around a stray ``<``) is one node.
 
 Nodes come out in pre-order, so ``id`` equals the array position and the
-subtree of node ``i`` is exactly ``nodes[i+1 .. end_id]``.
+subtree of node ``i`` is exactly ``nodes[i+1 .. end_id]``. A node holds numbers only
+about its place (parent, end, the set of its ancestors' tags as two bit sets), so a page
+takes memory and time linear in its size however deep it nests.
 """
 
 from __future__ import annotations
@@ -46,13 +47,40 @@ IMPLIED_END = {
 P_SCOPE = frozenset("html body table td th caption button object applet marquee template".split())
 
 NODE_FIELDS = (
-    "id", "parent", "end_id", "depth", "sib", "type_sib", "prev_sib", "kind", "tag",
-    "attrs", "text", "path", "anc", "start", "stop",
+    "id", "parent", "end_id", "depth", "sib", "type_sib", "n_sib", "n_type", "prev_sib", "kids",
+    "kind", "tag", "attrs", "text", "up0", "up1", "start", "stop",
 )
+_END, _NSIB, _NTYPE, _KIDS, _KIND, _TAG, _TEXT, _STOP = (NODE_FIELDS.index(f) for f in ("end_id", "n_sib", "n_type", "kids", "kind", "tag", "text", "stop"))
+
+# Elements that can hold others (HTML Living Standard and its obsolete ones);
+# a tag's place is its bit in the sets of ancestors' tags.
+NESTING_TAGS = (
+    "a abbr acronym address applet article aside audio b bdi bdo big blink blockquote body "
+    "button canvas caption center cite code colgroup data datalist dd del details dfn dialog "
+    "dir div dl dt em fieldset figcaption figure font footer form frameset h1 h2 h3 h4 h5 h6 "
+    "head header hgroup html i iframe ins kbd label legend li main map mark marquee math menu "
+    "meter nav nobr noframes noscript object ol optgroup option output p picture pre progress "
+    "q rp rt ruby s samp script search section select slot small span strike strong style sub "
+    "summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var "
+    "video"
+).split()
+WORD_BITS = 62
+TAG_BIT = {t: (i // WORD_BITS, 1 << i % WORD_BITS) for i, t in enumerate(NESTING_TAGS)}
+
+
+def tag_masks(tags) -> tuple[int, int] | None:
+    """The bits of ``tags`` in ``up0`` and ``up1``; None if a set of ancestors cannot tell
+    (a tag that is neither known nor void, as of a custom element)."""
+    masks = [0, 0]
+    for t in tags:
+        if t in TAG_BIT:
+            word, bit = TAG_BIT[t]
+            masks[word] |= bit
+        elif t not in VOID_TAGS:
+            return None
+    return masks[0], masks[1]
 
 
-# Levels of nesting that are kept: bounds what a broken page of unclosed tags makes.
-MAX_DEPTH = 128
 # Elements whose content is raw text (HTML Living Standard).
 RAW_TAGS = frozenset(["script", "style"])
 
@@ -68,9 +96,10 @@ class _TreeBuilder(HTMLParser):
             i = html.find("\n", i + 1)
         self.nodes: list[list] = []
         # open elements: [node_id, tag, child_count, {tag: count}, last_child_id,
-        # ancestors' and own tags, ancestors' and own ids]
+        # tags of the ancestors and itself (two bit sets), element children's ids]
         self.stack: list[list] = []
-        self.root_counts = [0, {}, None]
+        self.root = [-1, None, 0, {}, None, 0, 0, []]
+        self.open_at: dict[str, list[int]] = {}  # where in the stack each tag is open
 
     # -- positions -------------------------------------------------------
     def _offset(self) -> int:
@@ -78,55 +107,46 @@ class _TreeBuilder(HTMLParser):
         return self.line_starts[line - 1] + col
 
     # -- stack helpers ---------------------------------------------------
+    def _close(self, entry: list) -> None:
+        """Tell the element children of a closed element how many they are."""
+        for c in entry[7]:
+            node = self.nodes[c]
+            node[_NSIB] = entry[2]
+            node[_NTYPE] = entry[3][node[_TAG]]
+
     def _pop_to(self, depth: int, stop: int) -> None:
         """Close every open element at stack depth >= ``depth``."""
         last = len(self.nodes) - 1
         while len(self.stack) > depth:
-            nid = self.stack.pop()[0]
-            node = self.nodes[nid]
-            node[2] = last
-            node[14] = stop
+            entry = self.stack.pop()
+            self.open_at[entry[1]].pop()
+            node = self.nodes[entry[0]]
+            node[_END] = last
+            node[_STOP] = stop
+            self._close(entry)
+
+    def _last_open(self, tags) -> int:
+        return max((self.open_at[t][-1] for t in tags if self.open_at.get(t)), default=-1)
 
     def _find_open(self, targets, boundary) -> int:
-        if not self.stack or targets.isdisjoint(self.stack[-1][5]):
-            return -1
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][1]
-            if tag in targets:
-                return i
-            if tag in boundary:
-                return -1
-        return -1
+        at = self._last_open(targets)
+        return at if at > self._last_open(boundary - targets) else -1
 
     def _new_node(self, kind, tag, attrs, text, start, stop) -> int:
         nid = len(self.nodes)
-        if self.stack:
-            top = self.stack[-1]
-            parent = top[0]
-            counts = top
-        else:
-            parent = -1
-            counts = None
+        top = self.stack[-1] if self.stack else self.root
         sib = type_sib = prev = None
         if kind == "element":
-            if counts is None:
-                self.root_counts[0] += 1
-                tc = self.root_counts[1]
-                sib = self.root_counts[0]
-                prev = self.root_counts[2]
-                self.root_counts[2] = nid
-            else:
-                counts[2] += 1
-                tc = counts[3]
-                sib = counts[2]
-                prev = counts[4]
-                counts[4] = nid
-            tc[tag] = tc.get(tag, 0) + 1
-            type_sib = tc[tag]
-        path, anc = (self.stack[-1][5], self.stack[-1][6]) if self.stack else ([], [])
+            top[2] += 1
+            sib, prev = top[2], top[4]
+            top[4] = nid
+            type_sib = top[3][tag] = top[3].get(tag, 0) + 1
+            top[7].append(nid)
+        if kind != "comment" and self.stack:
+            self.nodes[top[0]][_KIDS] += 1
         self.nodes.append(
-            [nid, parent, nid, len(self.stack), sib, type_sib, prev, kind, tag, attrs, text,
-             path, anc, start, stop]
+            [nid, top[0], nid, len(self.stack), sib, type_sib, None, None, prev, 0, kind, tag, attrs, text,
+             top[5], top[6], start, stop]
         )
         return nid
 
@@ -148,13 +168,15 @@ class _TreeBuilder(HTMLParser):
         for k, v in attrs:
             if k not in amap:
                 amap[k] = "" if v is None else v
-        if len(self.stack) >= MAX_DEPTH:
-            self._pop_to(MAX_DEPTH - 1, start)
         nid = self._new_node("element", tag, amap, None, start, stop)
         if not (self_closing or tag in VOID_TAGS):
-            node = self.nodes[nid]
-            path = [t for t in node[11] if t != tag] + [tag]
-            self.stack.append([nid, tag, 0, {}, None, path, [*node[12], nid]])
+            top = self.stack[-1] if self.stack else self.root
+            up = [top[5], top[6]]
+            if tag in TAG_BIT:
+                word, bit = TAG_BIT[tag]
+                up[word] |= bit
+            self.open_at.setdefault(tag, []).append(len(self.stack))
+            self.stack.append([nid, tag, 0, {}, None, up[0], up[1], []])
 
     def handle_starttag(self, tag, attrs):
         self._open(tag, attrs, False)
@@ -165,21 +187,20 @@ class _TreeBuilder(HTMLParser):
     def handle_endtag(self, tag):
         if tag in VOID_TAGS:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][1] == tag:
-                start = self._offset()
-                end = self.html.find(">", start)
-                self._pop_to(i + 1, start)  # what the end tag closes on its way ends before it
-                self._pop_to(i, len(self.html) if end < 0 else end + 1)
-                return
+        i = self._last_open([tag])
+        if i >= 0:
+            start = self._offset()
+            end = self.html.find(">", start)
+            self._pop_to(i + 1, start)  # what the end tag closes on its way ends before it
+            self._pop_to(i, len(self.html) if end < 0 else end + 1)
 
     def handle_data(self, data):
         start = self._offset()
         kind = "raw" if self.stack and self.stack[-1][1] in RAW_TAGS else "text"
         last = self.nodes[-1] if self.nodes else None
-        if last is not None and last[7] == kind and last[1] == (self.stack[-1][0] if self.stack else -1):
-            last[10] += data
-            last[14] = start + len(data)
+        if last is not None and last[_KIND] == kind and last[1] == (self.stack[-1][0] if self.stack else -1):
+            last[_TEXT] += data
+            last[_STOP] = start + len(data)
             return
         self._new_node(kind, None, None, data, start, start + len(data))
 
@@ -190,6 +211,7 @@ class _TreeBuilder(HTMLParser):
     def finish(self) -> list[list]:
         self.close()
         self._pop_to(0, len(self.html))
+        self._close(self.root)
         return self.nodes
 
 
@@ -200,4 +222,4 @@ def parse_html(html: str) -> list[list]:
     return b.finish()
 
 
-__all__ = ["parse_html", "NODE_FIELDS", "VOID_TAGS"]
+__all__ = ["parse_html", "tag_masks", "NESTING_TAGS", "NODE_FIELDS", "VOID_TAGS"]

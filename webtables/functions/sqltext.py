@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 
+from webtables.functions.html import TAG_BIT, tag_masks
 from webtables.functions.urls import USES_RELATIVE
 
 _ids = itertools.count()
@@ -130,13 +131,15 @@ def page_links(nodes: str, base: str | None, within: str | None = None) -> str:
 
 
 def page_text(nodes: str, strip_tags: list[str]) -> str:
-    """H1 over a column name (``strip_tags`` already defaulted)."""
+    """H1 over a column name of whole pages (``strip_tags`` already defaulted, known tags)."""
     n, k, l1, l2 = _v("n"), _v("k"), _v("l"), _v("l")
     src = nodes
     if strip_tags:
-        tags = ", ".join("'" + t.lower().replace("'", "''") + "'" for t in strip_tags)
-        src = (f"filter({nodes}, {n} -> NOT arrays_overlap(concat({n}.path, array(coalesce({n}.tag, '#text'))), "
-               f"array({tags})))")
+        low = [t.lower() for t in strip_tags]
+        m0, m1 = tag_masks(low)
+        tags = ", ".join("'" + t.replace("'", "''") + "'" for t in low)
+        src = (f"filter({nodes}, {n} -> NOT (coalesce({n}.tag IN ({tags}), false) "
+               f"OR ({n}.up0 & {m0}L) <> 0 OR ({n}.up1 & {m1}L) <> 0))")
     kept = f"filter({src}, {k} -> {k}.kind = 'text')"
     lines = f"flatten(transform({kept}, {k} -> split({k}.text, r'\\n')))"
     return f"array_join(filter(transform({lines}, {l1} -> {ustrip(l1)}), {l2} -> {l2} <> ''), char(10))"
@@ -145,8 +148,9 @@ def page_text(nodes: str, strip_tags: list[str]) -> str:
 def page_metadata(nodes: str) -> str:
     """H4 over a column name (see ``operators.content.page_metadata``)."""
     n = _v("n")
+    word, bit = TAG_BIT["title"]
     small = (f"filter({nodes}, {n} -> {n}.tag IN ('title', 'meta') "
-             f"OR ({n}.tag IS NULL AND try_element_at({n}.path, -1) = 'title'))")
+             f"OR ({n}.tag IS NULL AND ({n}.up{word} & {bit}L) <> 0))")
 
     def build(sm: str) -> str:
         m, e, t, k = _v("m"), _v("e"), _v("t"), _v("k")

@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webtables.functions.html import tag_masks
 from webtables.functions.text import _c, let, ustrip
 from webtables.functions.urls import resolve_parts, url_parts
-from webtables.operators.parse import strip_subtrees, subtree
+from webtables.operators.parse import has_ancestor, strip_subtrees, subtree
 
 # Tags stripped by default before text extraction.
 DEFAULT_TEXT_STRIP = ["script", "style", "meta", "link", "noscript"]
@@ -28,11 +29,12 @@ def text_lines(nodes, strip_tags: list[str] | None = None) -> Column:
 
 
 def page_text(nodes, strip_tags: list[str] | None = None) -> Column:
-    """H1: html_to_text. ``None`` strips the default tags, ``[]`` nothing."""
-    if isinstance(nodes, str):
+    """H1: html_to_text of a whole page. ``None`` strips the default tags, ``[]`` nothing
+    (for parts of a page, which ``selected_subtrees`` strips)."""
+    tags = DEFAULT_TEXT_STRIP if strip_tags is None else strip_tags
+    if isinstance(nodes, str) and tag_masks([t.lower() for t in tags]) is not None:
         from webtables.functions import sqltext
 
-        tags = DEFAULT_TEXT_STRIP if strip_tags is None else strip_tags
         return F.expr(sqltext.page_text(sqltext.name(nodes), tags))
     return F.array_join(text_lines(nodes, strip_tags), "\n")
 
@@ -109,7 +111,7 @@ def page_metadata(nodes) -> Column:
     small = F.filter(
         nodes,
         lambda n: n["tag"].isin("title", "meta")
-        | (n["tag"].isNull() & (F.try_element_at(n["path"], F.lit(-1)) == "title")),
+        | (n["tag"].isNull() & has_ancestor(n, ["title"])),
     )
 
     def build(sm: Column) -> Column:

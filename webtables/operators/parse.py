@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webtables.functions.html import parse_html
+from webtables.functions import structure
+from webtables.functions.html import parse_html, tag_masks
+from webtables.functions.text import let
 from webtables.session import spread as deal
 from webtables.schema import NODES
 
@@ -26,13 +28,16 @@ _ARROW_NODE_FIELDS = [
     ("depth", pa.int32()),
     ("sib", pa.int32()),
     ("type_sib", pa.int32()),
+    ("n_sib", pa.int32()),
+    ("n_type", pa.int32()),
     ("prev_sib", pa.int32()),
+    ("kids", pa.int32()),
     ("kind", pa.string()),
     ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())),
     ("text", pa.string()),
-    ("path", pa.list_(pa.string())),
-    ("anc", pa.list_(pa.int32())),
+    ("up0", pa.int64()),
+    ("up1", pa.int64()),
     ("start", pa.int32()),
     ("stop", pa.int32()),
 ]
@@ -64,12 +69,9 @@ def _nodes_array(pages: list[list[list] | None]) -> pa.Array:
 
 def _markdown_of(rows: list[list], strip_tags: list[str]) -> str:
     from webtables.functions.html import NODE_FIELDS
-    from webtables.functions.markdown import nodes_markdown
+    from webtables.functions.markdown import nodes_markdown, without_subtrees
 
-    strip = set(strip_tags)
-    ti, pi = NODE_FIELDS.index("tag"), NODE_FIELDS.index("path")
-    kept = [r for r in rows if not (strip and (r[ti] in strip or strip.intersection(r[pi])))]
-    return nodes_markdown([dict(zip(NODE_FIELDS, r)) for r in kept])
+    return nodes_markdown(without_subtrees([dict(zip(NODE_FIELDS, r)) for r in rows], strip_tags))
 
 
 # pages parsed per output batch: bounds the Python worker's memory even
@@ -159,17 +161,41 @@ def subtree(nodes: Column, n: Column) -> Column:
     return F.slice(nodes, n["id"] + 2, n["end_id"] - n["id"])
 
 
+def has_ancestor(n: Column, tags: list[str]) -> Column | None:
+    """Whether one of ``n``'s ancestors has one of ``tags``, from its set of ancestors'
+    tags; None if the set does not hold one of them (custom elements)."""
+    masks = tag_masks(tags)
+    if masks is None:
+        return None
+    return (n["up0"].bitwiseAND(masks[0]) != 0) | (n["up1"].bitwiseAND(masks[1]) != 0)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _nearest_udf(parents: pa.Array, marks: pa.Array) -> pa.Array:
+    return structure.nearest_lists(parents, marks)
+
+
+def nearest_above(nodes: Column, mark) -> Column:
+    """For each node of a whole page the id of the nearest node above it that ``mark``
+    selects, -1 without one: a structural join of the page with itself, at any depth."""
+    return _nearest_udf(F.transform(nodes, lambda n: n["parent"]), F.transform(nodes, lambda n: F.coalesce(mark(n), F.lit(False))))
+
+
+def has_tag(n: Column, tags: list[str]) -> Column:
+    return F.coalesce(n["tag"].isin(*tags), F.lit(False))
+
+
 def strip_subtrees(nodes: Column, tags: list[str] | None) -> Column:
-    """Drop the named elements and everything inside them."""
+    """Drop the named elements and everything inside them, from a whole page. Known
+    tags are looked up in each node's set of ancestors' tags; custom ones take the
+    structural join."""
     if not tags:
         return nodes
-    strip = F.array(*[F.lit(t.lower()) for t in tags])
-    return F.filter(
-        nodes,
-        lambda n: ~F.arrays_overlap(
-            F.concat(n["path"], F.array(F.coalesce(n["tag"], F.lit("#text")))), strip
-        ),
-    )
+    tags = [t.lower() for t in tags]
+    if tag_masks(tags) is not None:
+        return F.filter(nodes, lambda n: ~(has_tag(n, tags) | has_ancestor(n, tags)))
+    above = nearest_above(nodes, lambda n: has_tag(n, tags))
+    return let(above, lambda near: F.filter(nodes, lambda n, i: ~has_tag(n, tags) & (F.get(near, i) < 0)))
 
 
 def parse_with_store(pages: DataFrame, store_path: str, html_col: str = "html") -> DataFrame:

@@ -1,20 +1,22 @@
 """P2/P12/P13/A10 (+ J4, J5, W5): CSS selectors over the node array.
 
-A selector is compiled once on the driver into a Column predicate over one
-node; matching a page is ``filter(nodes, predicate)``, which keeps document
-order and counts every element once. Combinators never pair nodes:
-
-* descendant (J4): ``exists(n.anc, i -> left(nodes[i]))`` - the ancestor ids
-  are on the node, so the test is O(depth);
-* child (J5): ``left(nodes[n.parent])``;
-* adjacent sibling (J5): ``left(nodes[n.prev_sib])``;
-* general sibling: the earlier children of the same parent.
-
-Supported: type and ``*``, ``#id``, ``.class``, ``[a]``, ``[a=v]``,
-``[a~=v]``, ``[a|=v]``, ``[a^=v]``, ``[a$=v]``, ``[a*=v]``, ``:nth-child``,
-``:nth-of-type`` (``an+b``, odd, even), ``:first-child``, ``:first-of-type``,
-``:not(compound)``, comma lists and the four combinators. Anything else is an
-invalid selector (``ValueError: Invalid CSS selector '...': ...``).
+A selector is compiled once on the driver; every compound becomes a Column predicate over
+one node, and matches come out in document order, each once. Combinators never pair nodes
+and never walk up a tree:
+
+* child and adjacent sibling (J5) look up one node by its index;
+* a descendant of a bare type (``nav a``) reads the node's set of ancestors' tags;
+* all other descendant (J4) and general sibling steps are structural joins of the page
+  with itself, one pass each over the nodes' intervals (``functions.structure``).
+
+So matching is linear in the page at any depth. Supported: type and ``*``, ``#id``,
+``.class``, ``[a]``, ``[a=v]``, ``[a~=v]``, ``[a|=v]``, ``[a^=v]``, ``[a$=v]``, ``[a*=v]``
+(with ``i`` or ``s`` for the value's case), ``:nth-child``, ``:nth-last-child``,
+``:nth-of-type``, ``:nth-last-of-type`` (``an+b``, odd, even), ``:first-child``,
+``:last-child``, ``:only-child`` and the ``-of-type`` forms, ``:empty``, ``:root``,
+``:not()``, ``:is()`` and ``:where()`` of compound lists, comma lists and the four
+combinators. Anything else is an invalid selector (``ValueError: Invalid CSS selector
+'...': ...``).
 """
 
 from __future__ import annotations
@@ -22,11 +24,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from webtables.functions import structure
+from webtables.functions.html import tag_masks
 from webtables.functions.text import _c, let
-from webtables.operators.parse import node_at
+from webtables.operators.parse import has_ancestor, has_tag, nearest_above, node_at
 
 _IDENT = r"-?(?:[_a-zA-Z]|[^\x00-\x7f]|\\.)(?:[-_a-zA-Z0-9]|[^\x00-\x7f]|\\.)*"
 _TOKEN = re.compile(
@@ -38,7 +44,7 @@ _TOKEN = re.compile(
   | (?P<type>{_IDENT})
   | \#(?P<id>{_IDENT})
   | \.(?P<cls>{_IDENT})
-  | \[\s*(?P<attr>{_IDENT})\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>{_IDENT})))?\s*\]
+  | \[\s*(?P<attr>{_IDENT})\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>{_IDENT}))\s*(?P<case>[iIsS])?)?\s*\]
   | :(?P<pseudo>{_IDENT})(?:\((?P<arg>[^()]*(?:\([^()]*\))?[^()]*)\))?
     """,
     re.VERBOSE,
@@ -81,6 +87,17 @@ def _nth(arg: str) -> tuple[int, int]:
     raise SelectorError(f"bad nth argument {arg!r}")
 
 
+_NTH = ("nth-child", "nth-last-child", "nth-of-type", "nth-last-of-type")
+_SHORT = {
+    "first-child": [("nth-child", 0, 1)],
+    "last-child": [("nth-last-child", 0, 1)],
+    "only-child": [("nth-child", 0, 1), ("nth-last-child", 0, 1)],
+    "first-of-type": [("nth-of-type", 0, 1)],
+    "last-of-type": [("nth-last-of-type", 0, 1)],
+    "only-of-type": [("nth-of-type", 0, 1), ("nth-last-of-type", 0, 1)],
+}
+
+
 def parse_selector(text: str) -> list[Complex]:
     """Parse a selector list; raises SelectorError on anything unsupported."""
     if text is None or not text.strip():
@@ -103,7 +120,7 @@ def parse_selector(text: str) -> list[Complex]:
             raise SelectorError(f"unexpected {text[pos:pos + 10]!r} at position {pos}")
         pos = m.end()
         kind = m.lastgroup
-        if kind in ("dq", "sq", "bare", "op"):
+        if kind in ("dq", "sq", "bare", "op", "case"):
             kind = "attr"
         if kind == "arg":
             kind = "pseudo"
@@ -140,18 +157,21 @@ def parse_selector(text: str) -> list[Complex]:
             comp.parts.append(("class", _unescape(m.group("cls"))))
         elif kind == "attr":
             val = m.group("dq") if m.group("dq") is not None else m.group("sq") if m.group("sq") is not None else m.group("bare")
-            comp.parts.append(("attr", _unescape(m.group("attr")).lower(), m.group("op"), None if val is None else _unescape(val)))
+            fold = (m.group("case") or "s").lower() == "i"
+            comp.parts.append(("attr", _unescape(m.group("attr")).lower(), m.group("op"), None if val is None else _unescape(val), fold))
         elif kind == "pseudo":
             name, arg = m.group("pseudo").lower(), m.group("arg")
-            if name in ("nth-child", "nth-of-type"):
+            if name in _NTH and arg is not None:
                 comp.parts.append((name, *_nth(arg)))
-            elif name in ("first-child", "first-of-type") and arg is None:
-                comp.parts.append(("nth-child" if name == "first-child" else "nth-of-type", 0, 1))
-            elif name == "not" and arg:
+            elif name in _SHORT and arg is None:
+                comp.parts += _SHORT[name]
+            elif name in ("empty", "root") and arg is None:
+                comp.parts.append((name,))
+            elif name in ("not", "is", "where") and arg:
                 inner = parse_selector(arg)
-                if len(inner) != 1 or len(inner[0].steps) != 1:
-                    raise SelectorError(":not() takes one compound selector")
-                comp.parts.append(("not", inner[0].steps[0][1]))
+                if any(len(cx.steps) != 1 for cx in inner):
+                    raise SelectorError(f":{name}() takes compound selectors")
+                comp.parts.append(("not" if name == "not" else "is", [cx.steps[0][1] for cx in inner]))
             else:
                 raise SelectorError(f"unsupported pseudo-class :{name}")
     close()
@@ -184,14 +204,15 @@ def _compound_pred(c: Compound, n: Column) -> Column:
         elif kind == "class":
             p = p & F.coalesce(F.array_contains(F.split(attrs["class"], r"[ \t\n\r\f]+"), part[1]), F.lit(False))
         elif kind == "attr":
-            _, name, op, val = part
-            v = attrs[name]
+            _, name, op, val, fold = part
+            v = F.lower(attrs[name]) if fold else attrs[name]
+            val = val.lower() if fold and val else val
             if op is None:
                 q = F.map_contains_key(attrs, name)
             elif op == "=":
                 q = v == val
             elif op == "~=":
-                q = F.array_contains(F.split(v, r"[ \t\n\r\f]+"), val) if val and " " not in val else F.lit(False)
+                q = F.array_contains(F.split(v, r"[ \t\n\r\f]+"), val) if val and not re.search(r"[ \t\n\r\f]", val) else F.lit(False)
             elif op == "|=":
                 q = (v == val) | v.startswith(val + "-")
             elif op == "^=":
@@ -205,94 +226,122 @@ def _compound_pred(c: Compound, n: Column) -> Column:
             p = p & _pos_match(n["sib"], part[1], part[2])
         elif kind == "nth-of-type":
             p = p & _pos_match(n["type_sib"], part[1], part[2])
-        elif kind == "not":
-            p = p & ~_compound_pred(part[1], n)
+        elif kind == "nth-last-child":
+            p = p & _pos_match(n["n_sib"] - n["sib"] + 1, part[1], part[2])
+        elif kind == "nth-last-of-type":
+            p = p & _pos_match(n["n_type"] - n["type_sib"] + 1, part[1], part[2])
+        elif kind == "empty":
+            p = p & (n["kids"] == 0)
+        elif kind == "root":
+            p = p & (n["parent"] < 0)
+        elif kind in ("not", "is"):
+            one = None
+            for c in part[1]:
+                q = _compound_pred(c, n)
+                one = q if one is None else one | q
+            p = p & (~one if kind == "not" else one)
     return p
 
 
-def _complex_pred(cx: Complex, nodes: Column, n: Column, idx: int | None = None,
-                  first_left: dict | None = None) -> Column:
-    if idx is None:
-        idx = len(cx.steps) - 1
+def _native(cx: Complex) -> bool:
+    """Whether node lookups and sets of ancestors' tags decide the selector: no general
+    sibling, and a descendant step only after one bare, known type."""
+    for i, (comb, _) in enumerate(cx.steps):
+        if comb == "~":
+            return False
+        if comb == " ":
+            left = cx.steps[0][1]
+            if i != 1 or left.parts or left.tag in (None, "*") or tag_masks([left.tag]) is None:
+                return False
+    return True
+
+
+def _complex_pred(cx: Complex, nodes: Column, n: Column, idx: int | None = None) -> Column:
+    """A selector that :func:`_native` accepts, as a predicate of one node."""
+    idx = len(cx.steps) - 1 if idx is None else idx
     comb, comp = cx.steps[idx]
     p = _compound_pred(comp, n)
     if idx == 0:
         return p
-    left = lambda m: _complex_pred(cx, nodes, m, idx - 1, first_left)
-    comb = cx.steps[idx][0]
+    left = lambda m: _complex_pred(cx, nodes, m, idx - 1)
     if comb == " ":
-        rel = F.exists(n["anc"], lambda i: left(node_at(nodes, i)))
+        rel = has_ancestor(n, [cx.steps[0][1].tag])
     elif comb == ">":
         rel = (n["parent"] >= 0) & left(node_at(nodes, n["parent"]))
-    elif comb == "+":
+    else:  # "+"
         rel = n["prev_sib"].isNotNull() & left(node_at(nodes, n["prev_sib"]))
-    elif first_left is not None and idx in first_left:
-        # "~" with a per-page map: parent id -> first child matching the left side
-        rel = n["id"] > F.try_element_at(first_left[idx], n["parent"])
-    else:  # "~": earlier element children of the same parent
-        start = F.when(n["parent"] >= 0, n["parent"] + 2).otherwise(F.lit(1))
-        earlier = F.slice(nodes, start, n["id"] - start + 1)
-        rel = F.exists(
-            earlier,
-            lambda s: (s["parent"] == n["parent"]) & (s["kind"] == "element") & left(s),
-        )
     return p & F.coalesce(rel, F.lit(False))
 
 
-def compile_selector(selector: str):
-    """Return ``pred(nodes, n) -> Column``; raises ValueError with the
-    reference's message for an invalid selector."""
+def compile_selector(selector: str) -> list[Complex]:
+    """The parsed selector list; raises ValueError with the reference's message for an
+    invalid selector."""
     try:
-        tree = parse_selector(selector)
+        return parse_selector(selector)
     except SelectorError as e:
         raise ValueError(f"Invalid CSS selector '{selector}': {e}") from e
 
-    def pred(nodes: Column, n: Column) -> Column:
+
+#: Compounds that one set of flags holds.
+_MOST_COMPOUNDS = 62
+
+
+def selection(nodes: Column, selector: str) -> tuple[Column, list]:
+    """A selector as numbers: for each node the bits of the compounds that it meets, and for
+    each selector of the list its steps (combinator, bit), see ``functions.structure``."""
+    tree = compile_selector(selector)
+    compounds = [comp for cx in tree for _, comp in cx.steps]
+    if len(compounds) > _MOST_COMPOUNDS:
+        raise ValueError(f"Invalid CSS selector '{selector}': more than {_MOST_COMPOUNDS} steps")
+    program, bit = [], 0
+    for cx in tree:
+        program.append([(comb, bit + i) for i, (comb, _) in enumerate(cx.steps)])
+        bit += len(cx.steps)
+
+    def flags(n: Column) -> Column:
+        out = None
+        for i, comp in enumerate(compounds):
+            q = F.when(F.coalesce(_compound_pred(comp, n), F.lit(False)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+            out = q if out is None else out + q
+        return out
+
+    return F.transform(nodes, flags), program
+
+
+def _hits(nodes: Column, selector: str) -> Column:
+    """A boolean for each node of the page, by passes over the page's intervals."""
+    flags, program = selection(nodes, selector)
+
+    @F.arrow_udf(T.ArrayType(T.BooleanType()))
+    def select(flags: pa.Array, parents: pa.Array, ends: pa.Array, prevs: pa.Array) -> pa.Array:
+        return structure.select_lists(flags, parents, ends, prevs, program)
+
+    return select(flags, F.transform(nodes, lambda n: n["parent"]), F.transform(nodes, lambda n: n["end_id"]), F.transform(nodes, lambda n: n["prev_sib"]))
+
+
+def _matches(nodes: Column, selector: str) -> Column | None:
+    """The matched elements by lookups alone; None where it takes a structural join."""
+    tree = compile_selector(selector)
+    if not all(_native(cx) for cx in tree):
+        return None
+
+    def one(n: Column) -> Column:
         out = None
         for cx in tree:
             q = _complex_pred(cx, nodes, n)
             out = q if out is None else out | q
         return out
 
-    return pred
-
-
-def _first_left_map(cx: Complex, nodes: Column, idx: int) -> Column:
-    """``map<parent id, first child id>`` over the children matching the left
-    side of the ``~`` at step ``idx`` (one pass over the page; the reversed
-    order lets the first child win under LAST_WIN)."""
-    matches = F.filter(nodes, lambda m: (m["kind"] == "element") & _complex_pred(cx, nodes, m, idx - 1))
-    return F.map_from_entries(F.transform(F.reverse(matches), lambda m: F.struct(m["parent"], m["id"])))
+    return F.filter(nodes, one)
 
 
 def match_nodes(nodes, selector: str) -> Column:
-    """Matched elements in document order (each once).
-
-    A ``~`` step whose left side has no ``~`` itself uses a per-page map
-    built in one pass and bound once, so each candidate's test is O(1)."""
+    """Matched elements of a whole page in document order (each once)."""
     nodes = _c(nodes)
-    pred = compile_selector(selector)
-    tree = parse_selector(selector)
-    steps = [
-        (ci, i) for ci, cx in enumerate(tree) for i, (comb, _) in enumerate(cx.steps)
-        if comb == "~" and all(c != "~" for c, _ in cx.steps[:i])
-    ]
-    if not steps:
-        return F.filter(nodes, lambda n: pred(nodes, n))
-    maps = F.array(*[_first_left_map(tree[ci], nodes, i) for ci, i in steps])
-
-    def run(ms: Column) -> Column:
-        def one(n: Column) -> Column:
-            out = None
-            for ci, cx in enumerate(tree):
-                fl = {i: F.get(ms, k) for k, (cj, i) in enumerate(steps) if cj == ci}
-                q = _complex_pred(cx, nodes, n, first_left=fl)
-                out = q if out is None else out | q
-            return out
-
-        return F.filter(nodes, one)
-
-    return let(maps, run)
+    found = _matches(nodes, selector)
+    if found is not None:
+        return found
+    return let(_hits(nodes, selector), lambda hit: F.filter(nodes, lambda n, i: F.get(hit, i)))
 
 
 def outer_html(html, matched: Column) -> Column:
@@ -322,10 +371,31 @@ def filter_by_selector(nodes, html, selector: str | None, on_error: str = "row")
     )
 
 
-def selected_subtrees(nodes, selector: str) -> Column:
-    """The nodes of every matched subtree, concatenated (a nested match
-    appears twice, as in the re-parsed filtered HTML). Conversions after a
-    selector (text, metadata, markdown) run on this array."""
-    nodes = _c(nodes)
-    m = match_nodes(nodes, selector)
-    return F.flatten(F.transform(m, lambda e: F.slice(nodes, e["id"] + 1, e["end_id"] - e["id"] + 1)))
+def selected_subtrees(nodes, selector: str, strip_tags: list[str] | None = None) -> Column:
+    """The nodes of every matched subtree, concatenated (a nested match appears twice,
+    as in the re-parsed filtered HTML), without the elements of ``strip_tags`` and what is
+    inside them. Conversions after a selector (text, metadata) run on this array.
+
+    What is stripped is decided inside each match: a node goes if the nearest stripped
+    element above it is the match itself or lies inside it, which one pass over the page
+    tells for all matches."""
+    nodes, strip = _c(nodes), [t.lower() for t in strip_tags or []]
+    found = _matches(nodes, selector)
+    # all that Python computes is bound at once: functions of rows cannot be nested
+    bound = F.struct(
+        (F.lit(None).cast("array<boolean>") if found is not None else _hits(nodes, selector)).alias("hit"),
+        (nearest_above(nodes, lambda n: has_tag(n, strip)) if strip else F.lit(None).cast("array<int>")).alias("near"),
+    )
+
+    def parts(t: Column) -> Column:
+        hits = found if found is not None else F.filter(nodes, lambda n, i: F.get(t["hit"], i))
+
+        def part(e: Column) -> Column:
+            whole = F.slice(nodes, e["id"] + 1, e["end_id"] - e["id"] + 1)
+            if not strip:
+                return whole
+            return F.filter(whole, lambda n, i: ~has_tag(n, strip) & (F.get(t["near"], e["id"] + i) < e["id"]))
+
+        return F.flatten(F.transform(hits, part))
+
+    return let(bound, parts)

@@ -11,9 +11,11 @@ LONG = T.LongType()
 # One HTML node; ``id`` is the pre-order index (= array position) and the
 # subtree of a node is nodes[id+1 .. end_id]. ``sib``/``type_sib`` are the
 # 1-based positions among element siblings (all / same tag), ``prev_sib``
-# the id of the previous element sibling. ``path`` holds the distinct
-# tags of the open ancestors, the parent's last, and ``anc`` their ids, root first. ``start``/``stop`` are character
-# offsets of the element's outer HTML in the source page.
+# the id of the previous element sibling, ``n_sib``/``n_type`` how many
+# siblings there are with the node itself. ``kids`` counts its children but comments.
+# ``up0``/``up1`` are the set of the ancestors' tags, a bit for each tag of
+# ``functions.html.NESTING_TAGS``. ``start``/``stop`` are character offsets of the
+# element's outer HTML in the source page.
 NODE = T.StructType(
     [
         T.StructField("id", INT),
@@ -22,13 +24,16 @@ NODE = T.StructType(
         T.StructField("depth", INT),
         T.StructField("sib", INT),
         T.StructField("type_sib", INT),
+        T.StructField("n_sib", INT),
+        T.StructField("n_type", INT),
         T.StructField("prev_sib", INT),
+        T.StructField("kids", INT),
         T.StructField("kind", STR),
         T.StructField("tag", STR),
         T.StructField("attrs", T.MapType(STR, STR)),
         T.StructField("text", STR),
-        T.StructField("path", T.ArrayType(STR)),
-        T.StructField("anc", T.ArrayType(INT)),
+        T.StructField("up0", LONG),
+        T.StructField("up1", LONG),
         T.StructField("start", INT),
         T.StructField("stop", INT),
     ]
