@@ -98,6 +98,102 @@ def test_streams_match_batch(spark):
     assert sum(c.values()) == 1000
 
 
+def test_ttl_stream_takes_rows_out_of_order(spark, tmp_path):
+    """Rows up to a day out of order, over several files and two runs, get the labels that
+    the batch fold gives them."""
+    from webtables.operators.freshness import label_fetches
+    from webtables.sources.derived import request_log, request_log_from_events
+    from webtables.streaming import jobs as S
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    rows = sorted(ev.collect(), key=lambda r: (r.ts.timestamp() + (hash(r.event_id * 7919) % 80_000), r.event_id))
+    assert [r.event_id for r in rows] != [r.event_id for r in sorted(rows, key=lambda r: r.ts)]
+    src, work = tmp_path / "in", str(tmp_path / "work")
+    src.mkdir()
+    step = len(rows) // 5 + 1
+
+    def add(k):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        part = rows[k * step : (k + 1) * step]
+        name = "events.parquet" if k == 0 else f"events-{k}.parquet"
+        pq.write_table(spark.createDataFrame(part, ev.schema).toArrow().cast(pa.schema(spark.read.parquet(f"{SF}/events.parquet").limit(1).toArrow().schema)), str(src / name))
+
+    for k in range(3):
+        add(k)
+    some = S.ttl_dedup_stream(spark, str(src), work=work, max_files=1).collect()
+    for k in range(3, 5):
+        add(k)
+    done = S.ttl_dedup_stream(spark, str(src), work=work, max_files=1, close=True).collect()
+    want = {(r.request_id, r.label, r.fetched_at) for r in label_fetches(request_log(spark, SF)).collect()}
+    assert 0 < len(some) < len(done) and len(done) == len(rows)
+    assert {(r.request_id, r.label, r.fetched_at) for r in done} == want
+    assert request_log_from_events(ev).count() == len(rows)
+
+
+def test_similar_pages_equal_brute_force(spark):
+    """Links of classes with a similarity of 0.5 or more within a host; equal pages and an
+    empty one beside them."""
+    import random
+
+    from webtables.operators.audits import page_features, similar_pages
+    from webtables.operators.parse import parse_pages
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    texts, base = [], rng.sample(words, 30)
+    for k in range(60):
+        w = list(base) if k % 2 else rng.sample(words, 30)
+        for _ in range(k % 13):
+            w[rng.randrange(30)] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [texts[3], texts[3], "", ""]
+    rows = [(k, f"https://{'a' if k % 3 else 'b'}.example/{k}", f"<p>{t}</p>") for k, t in enumerate(texts)]
+    f = page_features(parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).cache()
+    sets = {r.page_id: (r.url[8], frozenset(r.words)) for r in f.collect()}
+    classes = {}
+    for k in sorted(sets):
+        classes.setdefault(sets[k], k)
+    want = set()
+    for (ga, a), i in classes.items():
+        for (gb, b), j in classes.items():
+            if ga == gb and i < j and a | b and 2 * len(a & b) >= len(a | b):
+                want.add((i, j, len(a & b), int(len(a & b) / len(a | b) * 10_000 + 0.5) / 10_000))
+    links, members = similar_pages(f, 0.5, bands=64, rows=2)
+    assert {(r.class_a, r.class_b, r.shared, r.jaccard) for r in links.collect()} == want and len(want) > 50
+    assert {r.page_id: r.class_id for r in members.collect()} == {k: classes[s] for k, s in sets.items()}
+    found = {(r.class_a, r.class_b) for r in similar_pages(f, 0.5)[0].collect()}
+    assert len(found) >= 0.95 * len(want) and found <= {w[:2] for w in want}
+
+
+def test_similar_pages_of_a_large_group(spark):
+    """100,000 pages of one host, a third of them alike: candidates stay few."""
+    from webtables.operators.audits import similar_pages
+
+    n = 100_000
+    word = lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.when(F.col("page_id") % 3 == 0, F.lit(0)).otherwise(F.col("page_id")), F.lit(k)), F.lit(50_000)).cast("string"))
+    f = spark.range(n).withColumnRenamed("id", "page_id").select("page_id", F.lit("https://a.example/").alias("url"), F.array_distinct(F.array(*[word(k) for k in range(12)])).alias("words"))
+    links, members = similar_pages(f, 0.5, bands=8)
+    assert members.where("page_id <> class_id").count() == (n - 1) // 3 and links.count() == 0
+
+
+def test_a_list_of_urls(spark):
+    from webtables.operators.audits import compare_list, compare_pairs
+
+    rows = [(1, "https://a.example/", "<h1>Tea</h1><p>green tea <a href='/x'>leaf</a></p>"), (2, "https://b.example/", "<h1>Tea</h1><p>black tea</p>"),
+            (3, "https://a.example/", "<p>mint</p>"), (4, "https://c.example/", ""), (5, "https://d.example/", "<p>green</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    urls = ["https://b.example/", "https://a.example/", "https://b.example/", "https://gone.example/", "https://c.example/"]
+    got = {(r.kind, r.item): (r.pages, r.on_all) for r in compare_list(pages, urls).collect()}
+    assert got == {("word", "tea"): ([0, 1], False), ("word", "green"): ([1], False), ("word", "leaf"): ([1], False), ("word", "black"): ([0], False),
+                   ("word", "mint"): ([1], False), ("link", "https://a.example/x"): ([1], False), ("heading", "Tea"): ([0, 1], False)}
+    assert {(r.kind, r.item) for r in compare_list(pages, urls[:2]).where("on_all").collect()} == {("word", "tea"), ("heading", "Tea")}
+    pairs = {(r.kind, r.a, r.b): (r.shared, r.only_a, r.only_b, r.jaccard) for r in compare_pairs(pages, urls).collect()}
+    assert pairs[("word", 0, 1)] == (1, 1, 3, 0.2) and pairs[("heading", 0, 1)] == (1, 0, 0, 1.0) and pairs[("link", 0, 1)] == (0, 0, 1, 0.0)
+    assert pairs[("word", 0, 3)] == (0, 2, 0, 0.0) and pairs[("link", 0, 3)] == (0, 0, 0, 1.0) and len(pairs) == 9
+
+
 def test_contract(spark):
     import __spark_entry__ as E
 

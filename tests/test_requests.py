@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from webtables.functions import text as TX
@@ -83,6 +85,43 @@ def test_fold_matches_brute_force(spark):
     assert got == exp
 
 
+@pytest.mark.parametrize("segment_rows", [1, 7, 50, 10**6])
+def test_steady_traffic_is_cut_into_segments(spark, segment_rows):
+    """One key whose copies follow each other without a gap, bursts and equal times among
+    them: the labels are those of the fold however the run is cut."""
+    import random
+
+    rnd = random.Random(11)
+    rows, t = [], 0
+    for i in range(1500):
+        t += rnd.choice([0, 0, 1, 7, 40, 300, 1100])
+        rows.append((i if i % 9 else 10_000 - i, t, rnd.random() > 0.2))
+    data = [(rid, T0 + dt.timedelta(seconds=x), "https://www.example.com/u/1", ok, "k") for rid, x, ok in rows]
+    log = spark.createDataFrame(data, "request_id long, ts timestamp_ntz, url string, success boolean, cache_key string")
+    labelled = label_fetches(log, segment_rows=segment_rows).collect()
+    assert {r.request_id: r.label for r in labelled} == python_fold(rows, 3600)
+    at, stored = {rid: x for rid, x, _ in rows}, None
+    for r in sorted(labelled, key=lambda r: (at[r.request_id], r.request_id)):
+        if r.label == "fetch":
+            stored = r.ts if r.success else None
+        assert r.fetched_at == stored
+
+
+def test_step_function_of_a_segment():
+    import numpy as np
+
+    from webtables.operators.freshness import step_function, walk
+
+    rnd = np.random.default_rng(5)
+    for _ in range(50):
+        ts = np.unique(rnd.integers(100, 400, rnd.integers(1, 60)))
+        bounds, stores = step_function(ts, 30, 130)
+        for e in range(90, 130):
+            found = walk(ts, np.full(len(ts), 30), np.array([0]), np.array([e]))
+            j = int(np.searchsorted(bounds, e))
+            assert (ts[found[-1]] if len(found) else None) == (stores[j] if j < len(bounds) else None)
+
+
 def test_expiry_edge_and_store_ops(spark, tmp_path):
     st = spark.createDataFrame(
         [("a", "u", "A", T0, 1), ("b", "u", "B", T0, None), ("a", "u", "A2", T0 - dt.timedelta(seconds=5), 1)],
@@ -120,6 +159,28 @@ def test_retention_budget_matches_running_sum(spark):
     assert kept == exp
 
 
+def test_retention_when_one_hour_holds_everything(spark):
+    """Equal times go by key, rows equal in both stay or go together, odd budgets."""
+    rows = [(f"k{i % 180:03d}", "x" * (i % 7), T0 + dt.timedelta(microseconds=i % 60)) for i in range(200)]
+    rows += [("n", None, T0), (None, "xy", T0), ("old", "x", None), ("late", "x" * 5, T0 + dt.timedelta(hours=2))]
+    st = spark.createDataFrame(rows, "cache_key string, content string, fetched_at timestamp_ntz").repartition(4)
+    early = dt.datetime(1, 1, 1)
+    groups = {}
+    for k, c, f in rows:
+        groups.setdefault((f or early, k or ""), []).append((k, c, f))
+    key = lambda r: tuple(map(str, r))
+    for budget in (-1, 0, 4, 5, 6, 100, 333, 10**6):
+        run, want = 0, []
+        for g in sorted(groups, reverse=True):
+            run += sum(len(c or "") for _, c, _ in groups[g])
+            if run > budget:
+                break
+            want += groups[g]
+        got = [(r.cache_key, r.content, r.fetched_at) for r in S.retain_within_budget(st, budget).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    assert S.retain_within_budget(st.limit(0), 5).collect() == []
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(5.0,), (65.0,), (3725.0,), (90061.0,)], "s double")
     assert [r[0] for r in df.select(TX.format_duration("s")).collect()] == ["5s", "1m 5s", "1h 2m", "1d 1h"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from webtables.functions.text import _c
 from webtables.functions.urls import host, host_suffixes, scheme
 from webtables.operators.content import node_text, page_links, page_metadata, text_lines
-from webtables.operators.parse import node_at
+from webtables.operators.parse import has_ancestor, parse_pages
 
 # SEO length windows (characters), link-text phrases that say
 # nothing, landmark tags, and the profile tag groups.
@@ -297,7 +297,7 @@ def accessibility_check(parsed: DataFrame) -> DataFrame:
     unlabeled = F.filter(
         inputs,
         lambda n: ~F.coalesce(F.array_contains(label_for, n["attrs"]["id"]), F.lit(False))
-        & ~_exists(n["anc"], lambda i: node_at(nodes, i)["tag"] == "label")
+        & ~has_ancestor(n, ["label"])
         & ~F.map_contains_key(n["attrs"], "aria-label")
         & ~F.map_contains_key(n["attrs"], "aria-labelledby"),
     )
@@ -382,35 +382,131 @@ def page_features(parsed: DataFrame) -> DataFrame:
     )
 
 
-def compare_to_reference(features: DataFrame) -> DataFrame:
-    """Each page against the reference page of its host (the
-    lowest page_id): shared and unshared words/links/headings and Jaccard.
-    One pair per page, so the work is linear in the pages."""
-    f = features.withColumn("host", host(F.col("url")))
-    # the reference page per host by an aggregate (combined map-side, so a
-    # large host never gathers in one task), then one equi-join on host
-    ref = f.groupBy("host").agg(
-        F.min_by(F.struct(
-            F.col("page_id").alias("ref_id"), F.col("words").alias("ref_words"),
-            F.col("links").alias("ref_links"), F.col("headings").alias("ref_headings"),
-        ), F.col("page_id")).alias("r")
-    ).select("host", "r.*")
-    pairs = f.join(ref, "host").where(F.col("page_id") != F.col("ref_id"))
-
-    def jac(a, b):
-        u = F.size(F.array_union(a, b))
-        return F.when(u == 0, F.lit(1.0)).otherwise(F.round(F.size(F.array_intersect(a, b)) / u, 4))
-
+def _jaccard(a, b) -> Column:
+    a, b = _c(a), _c(b)
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared  # the lists are distinct
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.round(shared / union, 4))
+
+
+def compare_to_reference(pages: DataFrame) -> DataFrame:
+    """Each page against the reference page of its host (the lowest page_id): shared
+    and own words, links and headings, and the Jaccard similarity of the words. One pair
+    per page, so the work is linear in the pages. The reference pages are chosen by URL
+    before anything is parsed, so no page's words travel to be compared for that."""
+    hosted = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    chosen = hosted.groupBy("host").agg(F.min("page_id").alias("ref_id"))
+    features = page_features(parse_pages(hosted.select("page_id", "url", "html"), keep_html=False))
+    features = features.withColumn("host", host(F.col("url")))
+    first = hosted.join(chosen, (hosted["host"] == chosen["host"]) & (hosted["page_id"] == chosen["ref_id"]), "left_semi")
+    ref = page_features(parse_pages(first.select("page_id", "url", "html"), keep_html=False)).select(
+        host(F.col("url")).alias("host"), F.col("page_id").alias("ref_id"),
+        F.col("words").alias("ref_words"), F.col("links").alias("ref_links"), F.col("headings").alias("ref_headings"),
+    )
+    pairs = features.join(ref, "host").where(F.col("page_id") != F.col("ref_id"))
     return pairs.select(
         "host", "page_id", "ref_id",
         F.size(F.array_intersect("words", "ref_words")).alias("shared_words"),
         F.size(F.array_except("words", "ref_words")).alias("own_words"),
         F.size(F.array_intersect("links", "ref_links")).alias("shared_links"),
         F.size(F.array_except("headings", "ref_headings")).alias("own_headings"),
-        jac(F.col("words"), F.col("ref_words")).alias("word_jaccard"),
+        _jaccard("words", "ref_words").alias("word_jaccard"),
+    )
+
+
+def page_items(features: DataFrame) -> DataFrame:
+    """The words, links and headings of pages as rows (page_id, url, kind, item)."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}s").alias("items")) for k in ("word", "link", "heading")])
+    return features.select("page_id", "url", F.inline(kinds)).select("page_id", "url", "kind", F.explode("items").alias("item"))
+
+
+def url_places(pages: DataFrame, urls) -> DataFrame:
+    """A list of URLs as (url, place), places from 0 and each URL once; a frame with these
+    columns is taken as it is."""
+    if isinstance(urls, DataFrame):
+        return urls.select("url", "place")
+    rows = [(u, i) for i, u in enumerate(dict.fromkeys(urls))]
+    return pages.sparkSession.createDataFrame(rows, "url string, place int")
+
+
+def compare_list(pages: DataFrame, urls) -> DataFrame:
+    """What the pages of a list of URLs share, as rows: (kind, item, n_pages, pages,
+    on_all), one for each distinct word, link or heading, with the places in ``urls`` of the
+    pages that have it. ``n_pages`` 1 means that only that page has it; ``on_all`` that
+    every page of the list that was found has it. Pages are picked before they are parsed;
+    several stored pages of one URL count as one. The row of an item is as long as the
+    list, so items met by many pages make no pairs."""
+    wanted = url_places(pages, urls)
+    picked = pages.select("page_id", "url", "html").join(wanted, "url", "left_semi")
+    items = page_items(page_features(parse_pages(picked, keep_html=False))).join(wanted, "url")
+    found = pages.select("url").join(wanted, "url").agg(F.count_distinct("place")).scalar()
+    return items.groupBy("kind", "item").agg(F.array_sort(F.collect_set("place")).alias("pages")).select(
+        "kind", "item", F.size("pages").alias("n_pages"), "pages", (F.size("pages") == found).alias("on_all")
     )
 
 
+def compare_pairs(pages: DataFrame, urls) -> DataFrame:
+    """Every two pages of a list of URLs (places ``a`` < ``b``): per kind of item how
+    many they share, how many only one has, and the Jaccard similarity. The pairs are those
+    of the list; counts come from the items' rows by one aggregation."""
+    items = compare_list(pages, urls).select("kind", "pages")
+    sizes = items.select("kind", F.explode("pages").alias("place")).groupBy("kind", "place").agg(F.count(F.lit(1)).alias("n"))
+    places = pages.select("url").join(url_places(pages, urls), "url").select("place").distinct()
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("word", "link", "heading")])).alias("kind")
+    every = places.select("place", kinds).join(sizes, ["kind", "place"], "left").na.fill(0, ["n"])
+    left = every.select("kind", F.col("place").alias("a"), F.col("n").alias("n_a"))
+    pairs = left.join(every.select("kind", F.col("place").alias("b"), F.col("n").alias("n_b")), "kind").where("a < b")
+    first = items.select("kind", "pages", F.explode("pages").alias("a"))
+    both = first.select("kind", "a", F.explode(F.filter("pages", lambda x: x > F.col("a"))).alias("b"))
+    shared = both.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    out = pairs.join(shared, ["kind", "a", "b"], "left").na.fill(0, ["shared"])
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
+    return out.select(
+        "kind", "a", "b", "shared", (F.col("n_a") - F.col("shared")).alias("only_a"), (F.col("n_b") - F.col("shared")).alias("only_b"),
+        F.when(union == 0, F.lit(1.0)).otherwise(F.round(F.col("shared") / union, 4)).alias("jaccard"),
+    )
+
+
+#: MinHash bands and the rows of each: of two sets with similarity 0.5 or more, 99.9 in a
+#: hundred share a band.
+BANDS, BAND_ROWS = 32, 3
+
+
+def similar_pages(features: DataFrame, at_least: float = 0.5, group: Column | None = None,
+                  bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
+    """G7 over large groups: pages of one ``group`` (default: the host) whose words have a
+    Jaccard similarity of ``at_least`` or more, as (links, members).
+
+    Pages with equal words are one class: ``members`` has (page_id, class_id), the least
+    page_id. ``links`` has (group, class_a, class_b, shared, jaccard) of two classes. The
+    candidates are classes that agree in a whole band of MinHash values, met once each (in
+    the first band that they share) and then compared exactly, so no link is wrong, and one
+    is missed with probability (1 - s^rows)^bands at similarity s. Work grows with the
+    pages and with the pairs that share a band, not with the pairs of a group. Pages
+    without words are alike."""
+    key = host(F.col("url")) if group is None else group
+    one = features.select("page_id", key.alias("group"), F.array_sort("words").alias("words"))
+    one = one.withColumn("digest", F.sha2(F.array_join("words", " "), 256))
+    classes = one.groupBy("group", "digest").agg(F.min("page_id").alias("class_id"), F.first("words").alias("words"))
+    members = one.join(classes.select("group", "digest", "class_id"), ["group", "digest"]).select("page_id", "class_id")
+    value = lambda k: F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(k))))
+    band = [F.xxhash64("group", F.lit(b), *[value(b * rows + r) for r in range(rows)]) for b in range(bands)]
+    signed = classes.where(F.size("words") > 0).withColumn("bands", F.array(*band))
+    dealt = signed.select("group", "class_id", "bands", F.posexplode("bands").alias("nth", "band"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    met = a.join(b, (F.col("a.nth") == F.col("b.nth")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.class_id") < F.col("b.class_id")))
+    same = F.zip_with("a.bands", "b.bands", lambda x, y: x == y)
+    met = met.where((F.array_position(same, True) == F.col("a.nth") + 1) & (F.col("a.group").eqNullSafe(F.col("b.group"))))
+    met = met.select(F.col("a.group").alias("group"), F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b"))
+    words = classes.select("class_id", "words")
+    both = met.join(words.select(F.col("class_id").alias("class_a"), F.col("words").alias("_a")), "class_a")
+    both = both.join(words.select(F.col("class_id").alias("class_b"), F.col("words").alias("_b")), "class_b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    union = F.size("_a") + F.size("_b") - shared
+    links = both.withColumn("shared", shared).where(shared >= F.lit(at_least) * union)
+    return links.select("group", "class_a", "class_b", "shared", _jaccard("_a", "_b").alias("jaccard")), members
+
+
 def merge_lists(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     """Union of two lists without duplicates."""
     return a.select(col).union(b.select(col)).distinct()

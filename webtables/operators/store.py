@@ -8,9 +8,16 @@ is reduced before the shuffle) instead of a window over the key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webtables.session import checkpoint_dir
+
 # Store size limit, warning threshold (bytes).
 SIZE_LIMIT = 1024 * 1024 * 1024
 WARNING_THRESHOLD = 900 * 1024 * 1024
@@ -120,26 +127,50 @@ def stats_from_totals(totals: DataFrame, size_limit: int = SIZE_LIMIT) -> DataFr
     )
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running byte totals of one partition, in its order."""
+    part, total = TaskContext.get().partitionId(), 0
+    for b in batches:
+        sums = total + np.cumsum(b.column("_bytes").to_numpy(zero_copy_only=False))
+        if len(sums):
+            total = int(sums[-1])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("_at"), b.column("cache_key"), pa.array(sums, pa.int64()), pa.array(np.full(b.num_rows, part, np.int32))],
+            names=["_at", "cache_key", "_sum", "_part"],
+        )
+
+
 def retain_within_budget(store: DataFrame, budget_bytes: int, order_col: str = "fetched_at",
                          bucket: str = "HOUR") -> DataFrame:
-    """Keep the newest entries whose running byte total stays within
-    the budget. A global ordered window would run on one task, so: sum
-    bytes per time bucket (map-side combine), run the cumulative sum over
-    the small bucket table, keep whole buckets that fit, and run the exact
-    window only inside the single bucket that straddles the budget."""
-    sized = store.withColumn("_bytes", F.octet_length("content").cast("long")).withColumn(
-        "_bucket", F.date_trunc(bucket, F.col(order_col).cast("timestamp"))
-    )
-    per = sized.groupBy("_bucket").agg(F.sum("_bytes").alias("_bb"))
-    w = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumn("_cum", F.sum("_bb").over(w)).withColumn("_before", F.col("_cum") - F.col("_bb"))
-    j = sized.join(cum.select("_bucket", "_cum", "_before"), "_bucket")
-    whole = j.where(F.col("_cum") <= budget_bytes)
-    edge = j.where((F.col("_before") <= budget_bytes) & (F.col("_cum") > budget_bytes))
-    we = Window.partitionBy("_bucket").orderBy(F.col(order_col).desc(), F.col("cache_key").desc()).rowsBetween(
-        Window.unboundedPreceding, 0
+    """Keep the newest entries whose running byte total stays within the budget
+    (on equal times the greater key first; entries equal in both stay or go together;
+    entries without a time come last, null content counts as empty).
+
+    What is kept is the beginning of one order, so only its end is looked for, with times,
+    keys and sizes alone: bytes per time bucket name the one bucket that straddles the
+    budget; its entries are range-partitioned by the order, each partition adds up its own,
+    and the totals of the partitions before (a row each) are added. A bucket that holds
+    everything is spread over all tasks. The store itself is filtered by that end, without
+    a join or a shuffle."""
+    at = F.coalesce(F.col(order_col).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    sized = store.select(at.alias("_at"), F.coalesce("cache_key", F.lit("")).alias("cache_key"), size.alias("_bytes"))
+    checkpoint_dir(store.sparkSession)
+    sized = sized.checkpoint().withColumn("_bucket", F.date_trunc(bucket, "_at"))  # times, keys and sizes, read twice
+    per = sized.groupBy("_bucket").agg(F.sum("_bytes").alias("_all"))
+    newest = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    over = per.withColumn("_sum", F.sum("_all").over(newest)).where(F.col("_sum") > budget_bytes)
+    edge = over.agg(F.max(F.struct("_bucket", (F.col("_sum") - F.col("_all")).alias("before"))).alias("e")).scalar()
+    there = sized.where(F.col("_bucket") == edge["_bucket"]).groupBy("_at", "cache_key").agg(F.sum("_bytes").alias("_bytes"))
+    order = [F.desc("_at"), F.desc("cache_key")]
+    local = there.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_running, "_at timestamp, cache_key string, _sum long, _part int")
+    parts = local.groupBy("_part").agg(F.max("_sum").alias("_all"))  # a row for each partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    kept = local.join(parts, "_part").where(F.col("_sum") + F.col("_before") + edge["before"] <= budget_bytes)
+    last = kept.agg(F.min(F.struct("_at", "cache_key")).alias("c")).scalar()
+    here = F.struct(at.alias("_at"), F.coalesce("cache_key", F.lit("")).alias("cache_key"))
+    inside = F.date_trunc(bucket, at)
+    return store.where(
+        edge.isNull() | (inside > edge["_bucket"]) | ((inside == edge["_bucket"]) & F.coalesce(here >= last, F.lit(False)))
     )
-    edge_kept = edge.withColumn("_run", F.col("_before") + F.sum("_bytes").over(we)).where(
-        F.col("_run") <= budget_bytes
-    ).drop("_run")
-    return whole.unionByName(edge_kept).drop("_bytes", "_bucket", "_cum", "_before")
