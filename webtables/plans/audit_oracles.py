@@ -11,10 +11,10 @@ NA = "len(regexp_extract_all(html, '<a\\s[^>]*href='))"
 GRAPH = """
 np AS (SELECT count(*) AS n FROM pages),
 gl AS (
-  SELECT s.page_id AS src_page_id, d.url AS dst_url FROM pages s, np, pages d
+  SELECT s.page_id AS src_page_id, s.url AS src_url, d.url AS dst_url FROM pages s, np, pages d
   WHERE s.page_id % 3 <> 0 AND d.page_id = (7 * s.page_id + 3) % np.n
   UNION ALL
-  SELECT page_id, 'https://gone.example.com/' || page_id FROM pages WHERE page_id % 5 = 0)"""
+  SELECT page_id, url, 'https://gone.example.com/' || page_id FROM pages WHERE page_id % 5 = 0)"""
 
 
 def NORM(u: str) -> str:
@@ -57,7 +57,8 @@ t AS (SELECT DISTINCT {NORM('gl.dst_url')} AS n FROM gl JOIN pages s ON s.page_i
       WHERE {NORM('gl.dst_url')} <> {NORM('s.url')})
 SELECT page_id FROM pages WHERE {NORM('url')} NOT IN (SELECT n FROM t)""",
     "a15_linked_domains": f"""WITH {GRAPH.strip()}
-SELECT {HOST.format(u='dst_url')} AS host, count(*) AS links, count(DISTINCT src_page_id) AS pages FROM gl GROUP BY 1""",
+SELECT {HOST.format(u='dst_url')} AS host, count(*) AS links, count(DISTINCT src_page_id) AS pages
+FROM gl WHERE {HOST.format(u='dst_url')} <> {HOST.format(u='src_url')} GROUP BY 1""",
     "j6_host_rule_join": f"""
 WITH r(rule) AS (VALUES ('.example.org'), ('example.net'), ('spam-farm.example.org')),
 h AS (SELECT page_id, {HOST.format(u='url')} AS host FROM pages)
@@ -116,7 +117,7 @@ ORACLES["h13_answer_log_url"] = ("WITH w AS (" + ORACLES["w2_prompt_preview"] +
 ORACLES["g5_extract_documents"] = """
 WITH p(type, pat) AS (VALUES
   ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'),
-  ('phone', '\\+?[0-9][0-9 ().-]{7,}[0-9]'),
+  ('phone', '[0-9]{4}-[0-9]{2}-[0-9]{2}([^0-9]|$)|\\+?[0-9][0-9 ().-]{7,}[0-9]'),
   ('price', '[$€£] ?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.,][0-9]{1,2})?'),
   ('date', '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}'),
   ('number', '(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?%?')),
@@ -159,6 +160,34 @@ SELECT host, page_id, ref_id,
             ELSE round(len(list_filter(words, lambda w: list_contains(rw, w))) / len(list_distinct(list_concat(words, rw))), 4) END AS word_jaccard
 FROM j"""
 
+FEATURES = f"""
+t AS ({_text_sql()}),
+f AS (SELECT p.page_id, p.url, {WORDS} AS words,
+             list_distinct(list_transform(regexp_extract_all(p.html, '<a\\s[^>]*href="([^"]*)"', 1), lambda h: {ORIGIN.format(u='p.url')} || h)) AS links,
+             list_distinct(list_transform(regexp_extract_all(p.html, '<h1>([^<]*)</h1>', 1), lambda h: trim({DECODE.format(x='h')}))) AS headings
+      FROM pages p JOIN t USING (page_id)),
+listed AS (SELECT f.*, l.page_id AS place FROM f JOIN (SELECT url, page_id FROM pages WHERE page_id < 10) l USING (url)),
+items AS (SELECT DISTINCT place, 'word' AS kind, unnest(words) AS item FROM listed
+          UNION SELECT place, 'link', unnest(links) FROM listed UNION SELECT place, 'heading', unnest(headings) FROM listed)"""
+ORACLES["j8_compare_list"] = f"""WITH {FEATURES.strip()}
+SELECT kind, item, CAST(count(*) AS INT) AS n_pages, CAST(min(place) AS INT) AS first_place,
+       count(*) = (SELECT count(DISTINCT place) FROM listed) AS on_all FROM items GROUP BY kind, item"""
+ORACLES["g7_compare_pairs"] = f"""WITH {FEATURES.strip()},
+n AS (SELECT p.place, k.kind, count(i.item) AS n FROM (SELECT DISTINCT place FROM listed) p CROSS JOIN (VALUES ('word'), ('link'), ('heading')) k(kind)
+      LEFT JOIN items i ON i.place = p.place AND i.kind = k.kind GROUP BY ALL),
+s AS (SELECT x.kind, x.place AS a, y.place AS b, count(*) AS shared FROM items x JOIN items y ON x.kind = y.kind AND x.item = y.item AND x.place < y.place GROUP BY ALL),
+j AS (SELECT x.kind, x.place AS a, y.place AS b, coalesce(s.shared, 0) AS shared, x.n AS na, y.n AS nb
+      FROM n x JOIN n y ON x.kind = y.kind AND x.place < y.place LEFT JOIN s ON s.kind = x.kind AND s.a = x.place AND s.b = y.place)
+SELECT kind, CAST(a AS INT) AS a, CAST(b AS INT) AS b, shared, na - shared AS only_a, nb - shared AS only_b,
+       CASE WHEN na + nb - shared = 0 THEN 1.0 ELSE round(shared / (na + nb - shared), 4) END AS jaccard FROM j"""
+ORACLES["g7_similar_pages"] = f"""WITH {FEATURES.strip()},
+g AS (SELECT page_id, regexp_extract({HOST.format(u='url')}, '([^.]+\\.[^.]+)$', 1) AS site, list_sort(words) AS words FROM f),
+c AS (SELECT site, words, min(page_id) AS id FROM g WHERE len(words) > 0 GROUP BY ALL),
+p AS (SELECT a.id AS class_a, b.id AS class_b, len(list_intersect(a.words, b.words)) AS shared, len(a.words) AS na, len(b.words) AS nb
+      FROM c a JOIN c b ON a.site = b.site AND a.id < b.id)
+SELECT class_a, class_b, CAST(shared AS INT) AS shared, round(shared / (na + nb - shared), 4) AS jaccard
+FROM p WHERE shared >= 0.5 * (na + nb - shared)"""
+
 ORACLES["t5_page_conversion_stream"] = f"""
 WITH t AS ({_text_sql()})
 SELECT p.page_id, t.text, CAST(len(regexp_extract_all(p.html, '<a\\s[^>]*href=')) AS INT) AS links
@@ -168,7 +197,7 @@ ORACLES["s2_citation_positions"] = f"""WITH {ANSWERS.strip()}
 SELECT conv_id, turn, rank AS pos, url FROM cit"""
 
 CRAWL = f"""
-cl AS (SELECT page_id AS src_page_id, {ORIGIN.format(u='url')} || h AS dst_url
+cl AS (SELECT page_id AS src_page_id, url AS src_url, {ORIGIN.format(u='url')} || h AS dst_url
        FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS h FROM pages))"""
 ORACLES["j3_broken_links_crawl"] = f"""WITH {CRAWL.strip()},
 pn AS (SELECT DISTINCT {NORM('url')} AS n FROM pages)
@@ -178,7 +207,8 @@ t AS (SELECT DISTINCT {NORM('cl.dst_url')} AS n FROM cl JOIN pages s ON s.page_i
       WHERE {NORM('cl.dst_url')} <> {NORM('s.url')})
 SELECT page_id FROM pages WHERE {NORM('url')} NOT IN (SELECT n FROM t)"""
 ORACLES["a15_linked_domains_crawl"] = f"""WITH {CRAWL.strip()}
-SELECT {HOST.format(u='dst_url')} AS host, count(*) AS links, count(DISTINCT src_page_id) AS pages FROM cl GROUP BY 1"""
+SELECT {HOST.format(u='dst_url')} AS host, count(*) AS links, count(DISTINCT src_page_id) AS pages
+FROM cl WHERE {HOST.format(u='dst_url')} <> {HOST.format(u='src_url')} GROUP BY 1"""
 
 ORACLES["g5_extract_pages"] = f"""
 WITH t AS ({_text_sql()}),

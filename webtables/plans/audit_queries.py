@@ -91,7 +91,31 @@ def q_matrix(spark, d):
 
 @query("j8_compare_to_reference")
 def q_compare(spark, d):
-    return G.compare_to_reference(G.page_features(_parsed(spark, d)))
+    return G.compare_to_reference(pages(spark, d))
+
+
+
+def _url_list(spark, d):
+    """The URL list of the comparison queries: the stored pages 0 to 9."""
+    return pages(spark, d).where("page_id < 10").select("url", F.col("page_id").cast("int").alias("place"))
+
+
+@query("j8_compare_list")
+def q_compare_list(spark, d):
+    return G.compare_list(pages(spark, d), _url_list(spark, d)).select("kind", "item", "n_pages", F.get("pages", 0).alias("first_place"), "on_all")
+
+
+@query("g7_compare_pairs")
+def q_compare_pairs(spark, d):
+    return G.compare_pairs(pages(spark, d), _url_list(spark, d))
+
+
+@query("g7_similar_pages")
+def q_similar(spark, d):
+    """Pages of one registrable domain with half of their words in common or more; at that
+    similarity 64 bands of two values miss one pair in 10^8."""
+    site = F.regexp_extract(host(F.col("url")), r"([^.]+\.[^.]+)$", 1)
+    return G.similar_pages(G.page_features(_parsed(spark, d)), 0.5, group=site, bands=64, rows=2)[0].select("class_a", "class_b", "shared", "jaccard")
 
 
 @query("l4_top_sources")
@@ -149,7 +173,8 @@ def q_positions(spark, d):
 # --- the same link-graph jobs over the links extracted from the crawl ------------
 
 def _crawl_links(spark, d):
-    return G.link_rows(_parsed(spark, d)).select(F.col("page_id").alias("src_page_id"), F.col("url").alias("dst_url"))
+    own = pages(spark, d).select("page_id", F.col("url").alias("src_url"))
+    return G.link_rows(_parsed(spark, d)).join(own, "page_id").select(F.col("page_id").alias("src_page_id"), "src_url", F.col("url").alias("dst_url"))
 
 
 @query("j3_broken_links_crawl")

@@ -6,6 +6,7 @@ full; names carry the SURVEY inventory id they implement.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from webtables.functions.urls import is_http_url
 from webtables.operators import pages as P
+from webtables.operators.content import DEFAULT_TEXT_STRIP
 from webtables.operators.parse import parse_pages
+from webtables.sources import derived as D
 from webtables.sources.tables import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +44,9 @@ def q_links_by_host(spark, d):
 
 @query("s1_page_scan")
 def q_page_scan(spark, d):
-    return P.scan_pages(pages(spark, d)).select(
-        "page_id", "url", F.length("content").alias("content_chars"), "status_code", "content_type"
+    return P.scan_pages(D.fetch_results(spark, d)).select(
+        "page_id", "url", F.length("content").alias("content_chars"), "status_code", "content_type",
+        "metadata.elapsed_ms", "metadata.attempts", "metadata.final_url", F.col("metadata.headers")["x-k"].alias("x_k"),
     )
 
 
@@ -167,19 +171,90 @@ def q_typesib(spark, d):
     return n.where(F.col("tag") == "li").select("page_id", "type_sib", "sib")
 
 
+def _batch(spark, d, mode, selector=None, **named):
+    """A batch over the URL list (all pages, the last first, and two URLs that have no
+    stored fetch) with what was fetched for each."""
+    got = D.fetch_results(spark, d).withColumn("n_pages", pages(spark, d).agg(F.count(F.lit(1))).scalar())
+    # the list as it is asked for: positions count down the pages
+    urls = got.select("page_id", (F.col("n_pages") - 1 - F.col("page_id")).alias("position"), "url")
+    lost = urls.where("page_id < 2").select(F.lit(None).cast("long").alias("page_id"), (F.col("position") + 2).alias("position"),
+                                            F.when(F.col("page_id") == 0, F.lit("https://lost.example.com/")).otherwise(F.lit("ftp://old.example.com/")).alias("url"))
+    known = urls.join(got.drop("url", "n_pages"), "page_id")
+    rows = known.unionByName(P.requested(lost.select("position", "url"), got.drop("n_pages")), allowMissingColumns=True)
+    return P.batch_convert(rows, mode, css_selector=selector, **named)
+
+
+@query("m1_batch_html")
+def q_m1_whole(spark, d):
+    r = _batch(spark, d, "html", include_headers=True)
+    return r.select("position", "url", "success", "error", "status_code", "content_type", F.length("content").alias("chars"),
+                    F.col("metadata.headers")["x-k"].alias("x_k"), "metadata.attempts", "metadata.retries", "metadata.from_cache", "final_url")
+
+
 @query("m1_batch_html_selector")
 def q_m1(spark, d):
-    from webtables.operators.selectors import filter_by_selector
+    r = _batch(spark, d, "html", "nav a")
+    return r.select("position", "success", "error", "content", "metadata.elements_matched", "metadata.css_selector_applied",
+                    F.col("metadata.headers").isNull().alias("no_headers"), "metadata.proxy_used", F.col("metadata.proxy_config")["country"].alias("country"))
 
-    parsed = _parsed(spark, d, keep_html=True)
-    ok = is_http_url("url")
-    r = filter_by_selector("nodes", "html", "nav a")
-    return parsed.select(
-        "page_id",
-        ok.alias("success"),
-        F.when(ok, r["content"]).alias("content"),
-        F.when(ok, r["count"]).alias("elements_matched"),
-    )
+
+@query("m2_batch_markdown_selector")
+def q_m2_selector(spark, d):
+    r = _batch(spark, d, "markdown", "h1, nav li")
+    md = F.col("content")
+    return r.select("position", "success", F.size(F.regexp_extract_all(md, F.lit("(?m)^# "), 0)).alias("h1_lines"),
+                    (F.size(F.split(md, r"\]\(")) - 1).alias("link_refs"), "metadata.elements_matched")
+
+
+@query("m3_batch_text_selector")
+def q_m3_selector(spark, d):
+    r = _batch(spark, d, "text", "article, .content")
+    return r.select("position", "final_url", "success", "error", F.col("content").alias("text"), "metadata.rendered_js",
+                    F.size("metadata.page_metadata").alias("n_keys"))
+
+
+@query("m4_batch_links_selector")
+def q_m4_selector(spark, d):
+    r = _batch(spark, d, "links", "li:nth-last-child(-n+2)")
+    return r.select("position", "success", F.size("content").alias("count"), F.get("content", 0)["url"].alias("first_url"))
+
+
+@query("p13_invalid_selector")
+def q_p13(spark, d):
+    return _batch(spark, d, "text", "nav >").select("position", "success", "error", F.col("content").isNull().alias("no_content"))
+
+
+@query("l2_results_in_order")
+def q_l2(spark, d):
+    """The results that succeeded, sorted as they were asked for."""
+    r = P.in_order(_batch(spark, d, "links")).select("position", "url", "success")
+    return r.where("success").select("position", "url")
+
+
+@query("a1_totals_while_writing")
+def q_a1_observed(spark, d):
+    from webtables.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/batch-{uuid.uuid4().hex}"
+    totals = P.write_batch(_batch(spark, d, "text"), path)
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written"))
+    return written.select("written", *[F.lit(totals[k]).cast("long").alias(k) for k in ("total", "successful", "failed")])
+
+
+@query("p5_headers")
+def q_p5(spark, d):
+    got = D.fetch_results(spark, d)
+    m = P.full_metadata(F.col("metadata"), got.schema["metadata"].dataType.fieldNames())
+    kept, cut = P.clean_metadata(m, include_headers=True), P.clean_metadata(m)
+    return got.select("page_id", F.to_json(kept["headers"]).alias("headers"), P.clean_metadata(m, include_headers=False)["headers"].isNull().alias("dropped"), cut["attempts"].alias("attempts"))
+
+
+@query("h17_dict_merge")
+def q_h17(spark, d):
+    got = D.fetch_results(spark, d)
+    more = F.create_map(F.lit("x-k"), F.concat(F.lit("page "), F.col("page_id").cast("string")), F.lit("etag"), F.col("url"))
+    m = P.merge_maps(F.col("metadata.headers"), F.when(F.col("page_id") % 4 != 0, more))
+    return got.select("page_id", F.size(m).alias("n"), m["x-k"].alias("x_k"), m["etag"].alias("etag"), m["content-type"].alias("kind"))
 
 
 @query("g9_main_content_text")
@@ -187,7 +262,7 @@ def q_main(spark, d):
     from webtables.operators.selectors import selected_subtrees
 
     p = _parsed(spark, d)
-    return p.select("page_id", P.page_text(selected_subtrees("nodes", "article, main, .content")).alias("text"))
+    return p.select("page_id", P.page_text(selected_subtrees("nodes", "article, main, .content", DEFAULT_TEXT_STRIP), []).alias("text"))
 
 
 @query("m2_batch_markdown")

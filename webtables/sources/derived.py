@@ -104,6 +104,39 @@ def page_store(spark: SparkSession, sf_dir: str, ttl_override: int | None = None
     )
 
 
+def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fetch_results(page_id, url, html, status_code, content_type, error, metadata)``: a
+    page with the record of its fetch, which is the event of the same number (k: its ``k``).
+    A fetch whose event is an error failed and has no page; metadata holds the sparse fields
+    of ``schema.FETCH_META``."""
+    k = F.col("k")
+    ev = read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("page_id"), "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k")
+    )
+    ok = F.coalesce(F.col("event_type") != "error", F.lit(True))
+    kind = F.when(k % 3 == 0, F.lit("application/xhtml+xml")).otherwise(F.lit("text/html; charset=utf-8"))
+    meta = F.struct(
+        F.col("value").alias("elapsed_ms"),
+        (1 + k % 4).alias("attempts"),
+        (k % 4).alias("retries"),
+        (k % 5 == 0).alias("from_cache"),
+        (k % 7 == 0).alias("proxy_used"),
+        F.when(k % 7 == 0, F.create_map(F.lit("country"), F.lit("us"))).alias("proxy_config"),
+        F.create_map(F.lit("content-type"), kind, F.lit("x-k"), k.cast("string")).alias("headers"),
+        (k % 6 == 0).alias("rendered_js"),
+        F.when(k % 11 == 0, F.concat("url", F.lit("/moved"))).alias("final_url"),
+    )
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.join(ev, "page_id", "left").select(
+        "page_id", "url",
+        F.when(ok, F.col("html")).alias("html"),
+        F.when(ok, F.lit(200)).when(k % 2 == 0, F.lit(429)).otherwise(F.lit(500)).alias("status_code"),
+        F.when(ok, kind).alias("content_type"),
+        F.when(~ok, F.concat(F.lit("Timeout: "), k.cast("string"))).alias("error"),
+        F.when(k.isNotNull(), meta).alias("metadata"),
+    )
+
+
 def store_totals(spark: SparkSession, sf_dir: str, labelled: DataFrame) -> DataFrame:
     """One pass over the labelled log: store entries and bytes (successful
     fetches, sized by their page) with hits and misses, in one aggregate."""
@@ -124,7 +157,7 @@ def store_totals(spark: SparkSession, sf_dir: str, labelled: DataFrame) -> DataF
 
 
 def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``graph_links(src_page_id, dst_url)``: page p links to the URL of page
+    """``graph_links(src_page_id, src_url, dst_url)``: page p links to the URL of page
     (7p+3) % N unless p % 3 = 0, and to a gone URL when p % 5 = 0."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     src = pages.select("page_id").withColumn("n_pages", pages.agg(F.count(F.lit(1))).scalar())
@@ -137,7 +170,8 @@ def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = src.where(F.col("page_id") % 5 == 0).select(
         F.col("page_id").alias("src_page_id"), F.concat(F.lit(GONE_URL), F.col("page_id").cast("string")).alias("dst_url")
     )
-    return internal.unionByName(gone)
+    both = internal.unionByName(gone)
+    return both.join(pages.select(F.col("page_id").alias("src_page_id"), F.col("url").alias("src_url")), "src_page_id").select("src_page_id", "src_url", "dst_url")
 
 
 def host_rules(spark: SparkSession) -> DataFrame:
