@@ -195,6 +195,36 @@ def test_text_functions(spark):
     assert [r[0] for r in k.select(TX.total_backoff("k")).collect()] == [1.0, 3.0, 7.0]
 
 
+def test_day_rollups_merge_over_any_window(spark, tmp_path):
+    """A window merged from day rows equals the log's own figures, estimates within their
+    stated errors; a late day is rewritten alone."""
+    from webtables.operators import rollups as RU
+
+    rows = [(i, T0 + dt.timedelta(minutes=37 * i), f"https://a.example/{i % 700}", i % 5 > 0, float(i * 7919 % 1000), 1 + i % 3, "x" if i % 4 else "y") for i in range(2000)]
+    rows += [(5000, None, "u", True, 1.0, 1, "x"), (5001, T0, None, False, None, 2, "z")]
+    log = spark.createDataFrame(rows, "request_id long, ts timestamp_ntz, url string, success boolean, elapsed_ms double, attempts int, request_type string")
+    path = str(tmp_path / "rollup")
+    RU.update_rollup(log.where("request_id % 2 = 0"), path)
+    days = [T0.date() + dt.timedelta(days=k) for k in range(60)]
+    RU.update_rollup(log, path, days[:30])
+    RU.update_rollup(log, path, days[30:])
+    for a, b in ((0, 60), (3, 17), (40, 41)):
+        got = {r.request_type: r for r in RU.window_figures(spark.read.parquet(path), days[a], days[b] if b < 60 else "2030-01-01").collect()}
+        inside = [r for r in rows if r[1] and days[a] <= r[1].date() and (b == 60 or r[1].date() < days[b])]
+        assert set(got) == {r[6] for r in inside}
+        for kind, g in got.items():
+            mine = [r for r in inside if r[6] == kind]
+            times = sorted(r[4] for r in mine if r[4] is not None)
+            assert (g.n, g.successful, g.retries) == (len(mine), sum(r[3] for r in mine), sum(r[5] - 1 for r in mine))
+            assert (g.min_ms, g.max_ms) == ((times[0], times[-1]) if times else (None, None))
+            urls = len({r[2] for r in mine if r[2]})
+            assert abs(g.urls - urls) <= max(1, 0.05 * urls)
+            if len(times) > 20:
+                assert abs(sum(t <= g.p50_ms for t in times) / len(times) - 0.5) < 0.05
+            elif not times:
+                assert g.p50_ms is None
+
+
 def test_two_stage_top_k_equals_window(spark):
     from pyspark.sql import Window
 

@@ -223,23 +223,21 @@ def linked_domains(links: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def match_host_rules(df: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """Rows whose URL host matches a rule: equal, or a dot-suffix. A rule
-    with a leading dot matches proper subdomains only. Hosts are exploded
-    into their suffixes and equi-joined with the rules (no theta join)."""
-    h = df.withColumn("_host", host(F.col(url_col)))
-    labels = F.size(F.split(F.regexp_replace("rule", r"^\.", ""), r"\."))
-    # suffixes of the lengths that rules have: a host does not meet all others at its top level
-    held = [x["n"] for x in rules.where("rule <> ''").select(labels.alias("n")).distinct().collect()]
-    sfx = h.select("*", F.posexplode(host_suffixes(F.col("_host"))).alias("_i", "_sfx"))
-    sfx = sfx.where(F.size(F.split("_sfx", r"\.")).isin(*held)) if held else sfx.limit(0)
-    r = rules.where(F.col("rule") != "").select(
-        "rule",
-        F.regexp_replace("rule", r"^\.", "").alias("_sfx"),
-        F.col("rule").startswith(".").alias("_dotted"),
-    )
-    j = sfx.join(r, "_sfx").where((F.col("_i") > 0) | ~F.col("_dotted"))
+    """Rows whose URL host matches a rule: equal, or a dot-suffix. A rule with a leading
+    dot matches proper subdomains only; empty rules match nothing.
+
+    Rules meet the distinct hosts, not the rows: each host's suffixes are equi-joined with
+    the rules' names, what fits is put together per host, and the rows take their host's
+    rules by one join. A rule as wide as ``com`` meets each host once, whatever the number
+    of pages; no theta join, and no job while planning."""
+    keyed = df.withColumn("_host", host(F.col(url_col)))
+    hosts = keyed.select("_host").where(F.col("_host").isNotNull()).distinct()
+    suffixes = hosts.select("_host", F.posexplode(host_suffixes(F.col("_host"))).alias("_i", "_sfx"))
+    named = rules.where(F.col("rule") != "").select("rule", F.regexp_replace("rule", r"^\.", "").alias("_sfx"), F.col("rule").startswith(".").alias("_dotted"))
+    fits = suffixes.join(named, "_sfx").where((F.col("_i") > 0) | ~F.col("_dotted"))
+    of_host = fits.groupBy("_host").agg(F.collect_list("rule").alias("_rules"))  # at most the rules of a name's labels
     # one row per (input row, matching rule)
-    return j.drop("_i", "_sfx", "_dotted", "_host")
+    return keyed.join(of_host, "_host").select(*df.columns, F.explode("_rules").alias("rule"))
 
 
 def metadata_check(parsed: DataFrame) -> DataFrame:

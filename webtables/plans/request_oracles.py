@@ -101,6 +101,10 @@ FROM c""",
        {R('list_sort(list(elapsed_ms))[CAST(ceil(0.5 * count(*)) AS BIGINT)]', 3)} AS p50_ms,
        {R('list_sort(list(elapsed_ms))[CAST(ceil(0.95 * count(*)) AS BIGINT)]', 3)} AS p95_ms
 FROM rl GROUP BY request_type""",
+    "a13_rollup_window": f"""WITH {RL} SELECT request_type, count(*) AS n, CAST(sum(success::INT) AS BIGINT) AS successful,
+       CAST(sum(greatest(attempts - 1, 0)) AS BIGINT) AS retries, {R('avg(elapsed_ms)', 3)} AS avg_ms, min(elapsed_ms) AS min_ms, max(elapsed_ms) AS max_ms,
+       count(DISTINCT url) AS exact_urls, true AS urls_close, true AS quantiles_close
+FROM rl WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-19' GROUP BY request_type""",
     "g10_this_week": f"""WITH {RL} SELECT request_type, count(*) AS n FROM rl
 WHERE ts >= date_trunc('week', {NOW_MID}) AND ts <= {NOW_MID} GROUP BY request_type""",
     "h8_duration_text": f"""WITH {RL}, a AS (SELECT request_id, (epoch_us({NOW}) - epoch_us(ts)) / 1e6 AS s FROM rl)

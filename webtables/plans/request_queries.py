@@ -97,6 +97,33 @@ def q_latency(spark, d):
     return R.latency_summary(D.request_log(spark, d))
 
 
+@query("a13_rollup_window")
+def q_rollup_window(spark, d):
+    """A rollup written for all days, then two of them anew; the figures of two weeks of it,
+    its estimates beside the exact values."""
+    import datetime as dt
+    import uuid
+
+    from webtables.operators import rollups as RU
+    from webtables.session import checkpoint_dir
+
+    log = D.request_log(spark, d)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
+    RU.update_rollup(log, path)
+    RU.update_rollup(log, path, [dt.date(2024, 1, 8), dt.date(2024, 1, 9)])
+    got = RU.window_figures(spark.read.parquet(path), "2024-01-05", "2024-01-19")
+    rows = log.where((F.col("ts") >= "2024-01-05") & (F.col("ts") < "2024-01-19")).join(got.select("request_type", "p50_ms", "p95_ms"), "request_type")
+    exact = rows.groupBy("request_type").agg(
+        F.count_distinct("url").alias("exact_urls"),
+        *[F.avg((F.col("elapsed_ms") <= F.col(c)).cast("int")).alias(f"_{c}") for c in ("p50_ms", "p95_ms")],
+    )
+    return got.join(exact, "request_type").select(
+        "request_type", "n", "successful", "retries", "avg_ms", "min_ms", "max_ms", "exact_urls",
+        (F.abs(F.col("urls") - F.col("exact_urls")) <= 0.05 * F.col("exact_urls")).alias("urls_close"),
+        (F.col("_p50_ms").between(0.46, 0.54) & F.col("_p95_ms").between(0.91, 0.99)).alias("quantiles_close"),
+    )
+
+
 @query("g10_this_week")
 def q_week(spark, d):
     log = D.request_log(spark, d)
