@@ -122,7 +122,8 @@ def details(log: DataFrame, live_store: DataFrame, answers: DataFrame | None = N
     "no longer cached" with ``cache_expired``, or "key not available"."""
     # pages are cut to the preview before they meet the log
     cut = F.when(F.col("content").isNotNull(), preview(F.col("content"), PREVIEW_CHARS))
-    store = live_store.select("cache_key", F.col("url").alias("stored_url"), cut.alias("stored"))
+    kept = F.to_json("metadata") if "metadata" in live_store.columns else F.lit(None).cast("string")
+    store = live_store.select("cache_key", cut.alias("stored"), kept.alias("stored_metadata"))
     j = log.join(store, "cache_key", "left")
     if answers is not None:
         j = j.join(answers, "request_id", "left")
@@ -154,19 +155,22 @@ def details(log: DataFrame, live_store: DataFrame, answers: DataFrame | None = N
         F.when(~is_answer & hit, pv["full_content_length"]).alias("full_content_length"),
         F.when(~is_answer & has_key & ~hit, F.lit(True)).alias("cache_expired"),
         unavailable.alias("details_unavailable"),
+        F.when(~is_answer, F.col("stored_metadata")).alias("cached_metadata"),
     )
 
 
 def reduced_view(detail: DataFrame, view: str) -> DataFrame:
-    """Id list, full, content only, metadata only."""
+    """The views of :func:`details`: ``ids`` (the list of requests), ``full``,
+    ``content`` (the stored content or the answer's, empty without one) and ``metadata``
+    (with the stored fetch metadata as JSON, where there is some)."""
     if view == "ids":
-        return detail.select("request_id", "timestamp")
+        return detail.select("request_id", "url", "timestamp", "request_type", "success", "cache_key")
     if view == "full":
         return detail
     if view == "content":
-        return detail.select("request_id", F.coalesce("cached_content", F.col("answer.content")).alias("content"))
+        return detail.select("request_id", F.coalesce("cached_content", F.col("answer.content"), F.lit("")).alias("content"))
     if view == "metadata":
-        return detail.select("request_id", "url", "status_code", "elapsed_ms", "attempts", "success", "error")
+        return detail.select("request_id", "url", "timestamp", "request_type", "success", "status_code", "elapsed_ms", "attempts", "error", "cached_metadata")
     raise ValueError(view)
 
 

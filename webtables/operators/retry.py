@@ -26,8 +26,9 @@ def is_retried(error: Column) -> Column:
 
 
 def number_attempts(tries: DataFrame) -> DataFrame:
-    """``attempt_no`` = 1, 2, ... per request in time order."""
-    w = Window.partitionBy("request_id").orderBy("attempt_ts")
+    """``attempt_no`` = 1, 2, ... per request in time order; of equal times failures
+    first (a request ends with its success), then by error text."""
+    w = Window.partitionBy("request_id").orderBy("attempt_ts", "ok", F.asc_nulls_last("error"))
     return tries.withColumn("attempt_no", F.row_number().over(w))
 
 
@@ -38,7 +39,7 @@ def resolve_retries(tries: DataFrame, max_retries: int = 3, retry_delay: float =
     # only the first max_retries+1 tries matter: an exact salted top-k, so
     # even a request with a huge try log is never ranked in one task
     numbered = top_k_per_group(
-        tries, ["request_id"], [F.col("attempt_ts"), F.col("error")], max_retries + 1,
+        tries, ["request_id"], [F.col("attempt_ts"), F.col("ok"), F.asc_nulls_last("error")], max_retries + 1,
         "attempt_ts", salts=16, rank_col="attempt_no",
     )
     stop = F.col("ok") | ~is_retried(F.coalesce(F.col("error"), F.lit("")))

@@ -137,7 +137,8 @@ SELECT CAST(ttl_s AS INTEGER) AS ttl_s, CAST(sum(CASE WHEN label = 'served' THEN
 s AS (SELECT count(*) AS entry_count, CAST(coalesce(sum(strlen(content)), 0) AS BIGINT) AS size_bytes FROM store),
 h AS (SELECT CAST(sum(CASE WHEN label = 'served' THEN 1 ELSE 0 END) AS BIGINT) AS hits,
              CAST(sum(CASE WHEN label = 'fetch' THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM lab)
-SELECT entry_count, size_bytes, CAST(1073741824 AS BIGINT) AS size_limit_bytes, 1024.0 AS size_limit_mb,
+SELECT entry_count, size_bytes, {R('size_bytes / 1048576', 2)} AS size_mb, {R('size_bytes / 1073741824 * 100', 2)} AS utilization_percent,
+       CAST(1073741824 AS BIGINT) AS size_limit_bytes, 1024.0 AS size_limit_mb,
        size_bytes >= 943718400 AS size_warning, hits, misses,
        CASE WHEN hits + misses > 0 THEN {R('hits / (hits + misses)', 4)} ELSE 0.0 END AS hit_rate
 FROM s, h""",
@@ -196,7 +197,41 @@ ORACLES["p9_preview"] = """
 SELECT page_id, CAST(length(substring(html, 1, 5000)) AS INT) AS preview_chars,
        CASE WHEN length(html) > 5000 THEN true END AS content_truncated,
        CASE WHEN length(html) > 5000 THEN CAST(length(html) AS INT) END AS full_content_length FROM pages"""
-ORACLES["p11_metadata_view"] = f"WITH {RL} SELECT request_id, url, status_code, elapsed_ms, attempts, success, error FROM rl"
+DETAILS = f"""{FOLD},
+live AS (SELECT * FROM store WHERE fetched_at <= {NOW_MID} AND {NOW_MID} < fetched_at + to_seconds(ttl_s)),
+q AS (SELECT rl.* REPLACE (CASE WHEN request_id % 10 <> 0 THEN cache_key END AS cache_key) FROM rl),
+d AS (SELECT q.*, q.request_type = 'answer' AS is_answer, live.content, {ISO.replace('ts', 'q.ts')} AS timestamp,
+             CASE WHEN live.content IS NOT NULL THEN '{{"ttl_s":' || CAST(live.ttl_s AS INT) || ',"stored_at":"' || rtrim(rtrim(strftime(live.fetched_at, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') || '"}}' END AS meta,
+             CASE WHEN q.request_type = 'answer' AND request_id % 3 = 0 THEN 'answer ' || request_id END AS answer
+      FROM q LEFT JOIN live ON live.cache_key = q.cache_key)"""
+ORACLES["p11_metadata_view"] = f"""WITH RECURSIVE {DETAILS}
+SELECT request_id, url, timestamp, request_type, success, status_code, elapsed_ms, attempts, error, CASE WHEN NOT is_answer THEN meta END AS cached_metadata FROM d"""
+ORACLES["p11_id_list"] = f"""WITH RECURSIVE {DETAILS}
+SELECT request_id, url, timestamp, request_type, success, CASE WHEN NOT is_answer THEN cache_key END AS cache_key FROM d"""
+ORACLES["p11_content_view"] = f"""WITH RECURSIVE {DETAILS},
+c AS (SELECT request_id, coalesce(CASE WHEN NOT is_answer THEN substring(content, 1, 5000) END, answer, '') AS c FROM d)
+SELECT request_id, CAST(length(c) AS INT) AS chars, md5(c) AS digest FROM c"""
+ORACLES["p10_details_unavailable"] = f"""WITH RECURSIVE {DETAILS}
+SELECT request_id, answer, CASE WHEN is_answer THEN CASE WHEN answer IS NULL THEN 'Perplexity response data not captured' END
+            WHEN cache_key IS NULL THEN 'Cache key not available' WHEN content IS NULL THEN 'Content no longer cached' END AS details_unavailable,
+       CASE WHEN NOT is_answer AND cache_key IS NOT NULL AND content IS NULL THEN true END AS cache_expired,
+       CASE WHEN NOT is_answer AND length(content) > 5000 THEN true END AS content_truncated FROM d"""
+ORACLES["a6_full_report"] = f"""WITH RECURSIVE {FOLD}, c AS (SELECT {COUNTERS} FROM rl),
+s AS (SELECT count(*) AS entry_count, CAST(coalesce(sum(strlen(content)), 0) AS BIGINT) AS size_bytes FROM store),
+h AS (SELECT CAST(sum(CASE WHEN label = 'served' THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN label = 'fetch' THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM lab),
+r AS (SELECT * FROM rl ORDER BY ts DESC, request_id DESC LIMIT 100), e AS (SELECT * FROM rl WHERE NOT success ORDER BY ts DESC, request_id DESC LIMIT 50)
+SELECT total, successful, failed, CASE WHEN total = 0 THEN 0.0 ELSE {R('100.0 * successful / total', 2)} END AS success_rate, entry_count, size_bytes, hits, misses,
+       CASE WHEN hits + misses > 0 THEN {R('hits / (hits + misses)', 4)} ELSE 0.0 END AS hit_rate,
+       (SELECT string_agg(request_id, ',' ORDER BY ts DESC, request_id DESC) FROM r) AS recent_ids,
+       (SELECT string_agg(url, ',' ORDER BY ts DESC, request_id DESC) FROM r) AS recent_urls,
+       (SELECT string_agg(request_id, ',' ORDER BY ts DESC, request_id DESC) FROM e) AS error_ids,
+       (SELECT string_agg(status_code, ',' ORDER BY ts DESC, request_id DESC) FROM e) AS error_codes
+FROM c, s, h"""
+ORACLES["s10_store_save_and_load"] = f"""WITH RECURSIVE {FOLD}
+SELECT count(*) AS entries, CAST(sum(strlen(content)) AS BIGINT) AS bytes, count(DISTINCT cache_key) AS keys, CAST(0 AS BIGINT) AS after_clear FROM store"""
+ORACLES["s8_log_append"] = f"""WITH {RL}
+SELECT CAST(ts AS DATE) AS date, count(*) AS n, min(request_id) AS first_id, CAST(sum(elapsed_ms) AS DECIMAL(20,2)) AS ms FROM rl GROUP BY 1"""
+ORACLES["h15_comma_list"] = f"""WITH {RL} SELECT request_id, CAST(4 AS INT) AS n, request_type || '||' || request_id || '|x' AS items FROM rl"""
 ORACLES["s9_json_export"] = f"""WITH {RL}
 SELECT request_id, '{{"request_id":' || request_id || ',"url":"' || url || '","success":' || CASE WHEN success THEN 'true' ELSE 'false' END
        || ',"status_code":' || status_code || ',"attempts":' || attempts

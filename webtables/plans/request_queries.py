@@ -195,7 +195,86 @@ def q_r2_hits(spark, d):
 @query("a7_store_stats")
 def q_store_stats(spark, d):
     labelled = label_fetches(D.request_log(spark, d))
-    return S.stats_from_totals(D.store_totals(spark, d, labelled)).drop("size_mb", "utilization_percent")
+    return S.stats_from_totals(D.store_totals(spark, d, labelled))
+
+
+@query("a6_full_report")
+def q_full_report(spark, d):
+    """The report with the store's statistics; the lists by their requests, newest first."""
+    log = D.request_log(spark, d)
+    r = R.stats_report(log, S.stats_from_totals(D.store_totals(spark, d, label_fetches(log))))
+    of = lambda c, x: F.array_join(F.transform(c, lambda s: s[x].cast("string")), ",")
+    return r.select(
+        "total", "successful", "failed", "success_rate", "entry_count", "size_bytes", "hits", "misses", "hit_rate",
+        of("recent_requests", "request_id").alias("recent_ids"), of("recent_requests", "url").alias("recent_urls"),
+        of("recent_errors", "request_id").alias("error_ids"), of("recent_errors", "status_code").alias("error_codes"),
+    )
+
+
+@query("s10_store_save_and_load")
+def q_save_load(spark, d):
+    """The store saved, read back, emptied (S6) and read again."""
+    import uuid
+
+    from webtables.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    S.save_store(D.page_store(spark, d), path)
+    back = S.load_store(spark, path)
+    S.save_store(S.store_clear(back), path + "-empty")
+    left = S.load_store(spark, path + "-empty").agg(F.count(F.lit(1)).alias("after_clear"))
+    return side_by_side(back.agg(F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("content")).alias("bytes"), F.count_distinct("cache_key").alias("keys")), left)
+
+
+@query("s8_log_append")
+def q_log_append(spark, d):
+    """The log appended in two halves to a table partitioned by date and read back."""
+    import uuid
+
+    from webtables.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    log = D.request_log(spark, d)
+    for half in (0, 1):
+        R.append_log(log.where(F.col("request_id") % 2 == half), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("first_id"), F.sum("elapsed_ms").cast("decimal(20,2)").alias("ms"))
+
+
+@query("p11_id_list")
+def q_ids(spark, d):
+    return R.reduced_view(_details(spark, d), "ids")
+
+
+@query("p11_content_view")
+def q_content(spark, d):
+    return R.reduced_view(_details(spark, d), "content").select("request_id", F.length("content").alias("chars"), F.md5("content").alias("digest"))
+
+
+def _details(spark, d):
+    """Details of all requests against the copies live at NOW_MID, with their fetch records
+    (of page ``user_id``) and the answers (request n answers as conversation n % 7 does)."""
+    log = D.request_log(spark, d)
+    st = D.page_store(spark, d)
+    live = st.where((F.col("fetched_at") <= F.lit(NOW_MID).cast("timestamp_ntz")) & S.is_live(NOW_MID))
+    live = live.withColumn("metadata", F.struct(F.col("ttl_s"), _ntz(F.col("fetched_at")).cast("string").alias("stored_at")))
+    answers = log.where((F.col("request_type") == "answer") & (F.col("request_id") % 3 == 0)).select("request_id", F.struct(F.concat(F.lit("answer "), F.col("request_id").cast("string")).alias("content")).alias("answer"))
+    return R.details(log.withColumn("cache_key", F.when(F.col("request_id") % 10 != 0, F.col("cache_key"))), live, answers)
+
+
+@query("p10_details_unavailable")
+def q_unavailable(spark, d):
+    return _details(spark, d).select("request_id", "details_unavailable", F.col("answer.content").alias("answer"), "cache_expired", "content_truncated")
+
+
+@query("h15_comma_list")
+def q_comma_list(spark, d):
+    from webtables.functions.text import comma_list
+
+    log = D.request_log(spark, d)
+    listed = F.concat_ws(" ,", F.col("request_type"), F.lit(""), F.concat(F.lit(" "), F.col("request_id").cast("string")), F.lit("\tx "))
+    items = comma_list(listed)
+    return log.select("request_id", F.size(items).alias("n"), F.array_join(items, "|").alias("items"))
 
 
 @query("s3_store_latest")
@@ -289,10 +368,7 @@ def q_preview(spark, d):
 
 @query("p11_metadata_view")
 def q_view(spark, d):
-    log = D.request_log(spark, d)
-    st = D.page_store(spark, d)
-    live = st.where((F.col("fetched_at") <= F.lit(NOW_MID).cast("timestamp_ntz")) & S.is_live(NOW_MID))
-    return R.reduced_view(R.details(log, live), "metadata")
+    return R.reduced_view(_details(spark, d), "metadata")
 
 
 @query("s9_json_export")
