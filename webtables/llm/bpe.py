@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, slices
-from .wordcache import WordIds, read_tokenizer
+from .wordcache import TEXT_BYTES, WordIds, read_tokenizer
 
 #: No merge, no limit.
 NEVER = np.int64(1 << 40)
@@ -372,10 +372,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             _MADE[key] = encoder, names
         encoder, names = _MADE[key]
         decoder = encoder.library.decoder
-        for b in slices(batches, "text"):
-            data = encoder.encode(b.column(1).to_pylist())
-            ids = np.frombuffer(b"".join(data), "<u4").astype(np.int32)
-            ends = np.cumsum([0] + [len(x) // 4 for x in data])
+        for b in slices(batches, "text", TEXT_BYTES):
+            ids, ends = encoder.encode_column(b.column(1))
+            ids = ids.astype(np.int32)
             at = ends.tolist()
             tokens = names[ids].tolist()
             if decoder is None:
@@ -393,7 +392,7 @@ def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens and SHA-256 of the decimal ids and of the decoded text."""
     return encoded.select(
         id_col,
-        F.size("ids").alias("n_tokens"),
+        F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, ready, shared_path, slices
-from .wordcache import read_tokenizer, word_ids
+from .wordcache import TEXT_BYTES, read_tokenizer, word_ids
 
 MAGIC = b"DAC1"
 CHUNK = 8
@@ -157,16 +157,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     table gives an empty list."""
     spark = ready(docs.sparkSession)
     content = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = word_ids(content.value), TaskContext.get()
         ids, lengths, tokens = [], [], []
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TEXT_BYTES):
             ids.append(b.column(0).fill_null(NO_ID).to_numpy())
-            data = [x + tail for x in encoder.encode(b.column(1).to_pylist())]
-            lengths.append(np.array([len(x) // 4 for x in data], np.int64))
-            tokens.append(np.frombuffer(b"".join(data), "<u4").astype(np.uint16 if encoder.library.get_vocab_size() <= 1 << 16 else np.uint32))
+            data, at = encoder.encode_column(b.column(1))
+            if end_id is not None:
+                data = np.insert(data, at[1:], end_id)
+            lengths.append(np.diff(at) + (end_id is not None))
+            tokens.append(data.astype(np.uint16 if encoder.library.get_vocab_size() <= 1 << 16 else np.uint32))
         if not ids:
             return
         ends = np.cumsum(np.concatenate(lengths))

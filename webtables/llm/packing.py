@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, ready, slices
-from .wordcache import read_tokenizer, word_ids
+from .wordcache import TEXT_BYTES, read_tokenizer, word_ids
 
 CAPACITY = 2048
 END_ID = 0
@@ -135,10 +135,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(content.value)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TEXT_BYTES):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, data in enumerate(encoder.encode(b.column(1).to_pylist())):
-                data += tail
+            flat, ends = encoder.encode_column(b.column(1))
+            every, ends = flat.astype("<u4").tobytes(), (4 * ends).tolist()
+            for row, (z, e) in enumerate(zip(ends, ends[1:], strict=False)):
+                data = every[z:e] + tail
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append(row)
