@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from webtables.plans.oracles import DECODE, HOST, ORIGIN, SCHEME, _text_sql
+from webtables.sources.derived import AUDIT_CASES
 
 T = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 TITLE = DECODE.format(x=T)
@@ -221,3 +222,71 @@ p(type, pat) AS (VALUES
 m AS (SELECT page_id, type, unnest(regexp_extract_all(text, pat)) AS value FROM t, p)
 SELECT page_id, type, value, count(*) AS count FROM m
 WHERE NOT (type = 'phone' AND regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) GROUP BY ALL"""
+
+
+# --- pages that hold the audits' cases ----------------------------------------------
+
+def _added(at: str) -> str:
+    """The markup that AUDIT_CASES add to a page, as SQL."""
+    return " || ".join("CASE WHEN page_id % {} = {} THEN '{}' ELSE '' END".format(m, r, x.replace("'", "''")) for place, m, r, x in AUDIT_CASES if place == at)
+
+
+CASES = f"""ap AS (SELECT page_id, url, page_id AS p, html AS plain, html LIKE '%</head>%' AS has_head, html LIKE '%</article>%' AS has_body,
+  replace(replace(html, '</head>', {_added('head')} || '</head>'), '</article>', {_added('body')} || '</article>') AS html FROM pages)"""
+
+
+def _n(pattern: str) -> str:
+    return f"CAST(len(regexp_extract_all(html, '{pattern}')) AS INT)"
+
+
+DESC = "CASE WHEN p % 2 = 0 THEN repeat('plain words ', 13) WHEN p % 4 = 1 THEN 'short' END"
+SEO = {
+    "title_present": "title <> ''", "title_length_ok": "length(title) BETWEEN 50 AND 60",
+    "description_present": "p % 2 = 0 OR p % 4 = 1", "description_length_ok": "p % 2 = 0",
+    "canonical": "p % 7 = 0", "robots": "p % 5 = 0",
+    "og_title": "p % 4 = 0", "og_description": "p % 4 = 0", "og_image": "p % 4 = 0",
+    "twitter_card": "p % 6 = 0", "twitter_title": "p % 6 = 0", "twitter_description": "p % 6 = 0",
+    "single_h1": "len(regexp_extract_all(html, '<h1>')) = 1",
+    "heading_order": "NOT (p % 2 = 1)", "image_alt": "NOT (p % 3 = 1)",
+    "internal_links": "len(regexp_extract_all(plain, '<a\\s[^>]*href=')) > 0 OR p % 5 = 2",
+    "https": SCHEME.format(u="url") + " = 'https'", "viewport": "p % 3 = 0",
+}
+ORACLES["g1_seo_audit_cases"] = f"""WITH {CASES}, t AS (SELECT *, {TITLE} AS title FROM ap),
+c AS (SELECT page_id, {', '.join(f'({v}) AS {k}' for k, v in SEO.items())} FROM t)
+SELECT *, CAST({' + '.join(f'{k}::INT' for k in SEO)} AS INT) AS passed, {len(SEO)} AS checks,
+       round(100.0 * ({' + '.join(f'{k}::INT' for k in SEO)}) / {len(SEO)}, 2) AS score FROM c"""
+ORACLES["g2_link_audit_cases"] = f"""WITH {CASES}, c AS (SELECT page_id, p, {_n('<a\\s[^>]*href=')} AS links,
+  CAST(len(regexp_extract_all(plain, '<a\\s[^>]*href=')) AS INT) AS own, CAST(len(regexp_extract_all(plain, '<a\\s[^>]*href="[^"]*"[^>]*>\\s*</a>')) AS INT) AS bare FROM ap)
+SELECT page_id, links, CAST(own + (p % 5 = 2)::INT AS INT) AS internal, CAST((p % 5 IN (1, 2))::INT AS INT) AS external,
+       CAST(bare + (p % 5 = 2)::INT AS INT) AS missing_text, CAST((p % 5 = 1)::INT AS INT) AS nofollow, p % 5 IN (1, 2) AS excessive_external FROM c"""
+ORACLES["g3_metadata_check_cases"] = f"""WITH {CASES}
+SELECT page_id, {TITLE} <> '' AS title, p % 2 = 0 OR p % 4 = 1 AS description, p % 3 = 0 AS viewport, html LIKE '%<meta charset=%' AS charset, p % 5 = 0 AS robots,
+       p % 7 = 0 AS canonical, p % 7 = 1 AS alternate, p % 4 = 0 AS open_graph, p % 6 = 0 AS twitter, p % 9 = 0 AS json_ld, p % 8 = 0 AS schema_org FROM ap"""
+ORACLES["g4_accessibility_cases"] = f"""WITH {CASES},
+t AS (SELECT *, regexp_extract_all(plain, '<a\\s[^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1) AS texts FROM ap)
+SELECT page_id, CAST((p % 3 = 1)::INT AS INT) AS images_without_alt,
+       CAST(len(list_filter(texts, lambda x: lower(trim(x)) IN ('click here', 'here', 'read more', 'more', 'link', 'this', 'click'))) + (p % 5 = 1)::INT AS INT) AS generic_link_text,
+       CAST((p % 4 = 0)::INT AS INT) AS inputs_without_label, CAST((p % 2 = 1)::INT AS INT) AS heading_skips, p % 5 = 2 AS skip_link,
+       html LIKE '%<nav%' AS has_nav, html LIKE '%<main%' AS has_main, html LIKE '%<footer%' AS has_footer FROM t"""
+PROFILE = f"""SELECT page_id, url,
+  {_n('<p>')} + {_n('<h1>')} + {_n('<h3>')} + {_n('<article>')} AS main_content, {_n('<nav>')} + {_n('<a ')} AS navigation,
+  {_n('<meta ')} + {_n('<title>')} + {_n('<link ')} AS metadata, {_n('<img ')} + {_n('<video ')} AS media,
+  {_n('<form>')} + {_n('<label')} + {_n('<input ')} + {_n('<button>')} AS forms FROM ap"""
+ORACLES["g6_page_profile_cases"] = f"WITH {CASES} SELECT * EXCLUDE (url) FROM ({PROFILE})"
+ORACLES["g8_competitor_matrix_cases"] = f"""WITH {CASES}, f AS ({PROFILE}),
+s AS (SELECT *, regexp_extract({HOST.format(u='url')}, '([^.]+\\.[^.]+)$', 1) AS site FROM f),
+u AS (UNPIVOT (SELECT * EXCLUDE (url, page_id) FROM s) ON main_content, navigation, metadata, media, forms INTO NAME aspect VALUE value)
+SELECT aspect, CAST(sum(value) FILTER (WHERE site = 'example.com') AS BIGINT) AS example_com, CAST(sum(value) FILTER (WHERE site = 'example.net') AS BIGINT) AS example_net,
+       CAST(sum(value) FILTER (WHERE site NOT IN ('example.com', 'example.net')) AS BIGINT) AS other FROM u GROUP BY aspect"""
+ORACLES["h4_page_metadata_cases"] = f"""WITH {CASES}
+SELECT page_id, CAST(1 + (p % 2 = 0 OR p % 4 = 1)::INT + (p % 3 = 0)::INT + (p % 5 = 0)::INT + 3 * (p % 4 = 0)::INT + 3 * (p % 6 = 0)::INT + (p % 8 = 0)::INT AS INT) AS n_keys,
+       {DESC} AS description, CASE WHEN p % 4 = 0 THEN '/i.png' END AS og_image, CASE WHEN p % 6 = 0 THEN 'summary' END AS card FROM ap"""
+ORACLES["p12_selector_then_metadata_cases"] = f"""WITH {CASES}
+SELECT page_id, CAST((p % 8 = 0)::INT + 3 * (p % 6 = 0)::INT AS INT) AS n_keys, CASE WHEN p % 8 = 0 THEN 'A' END AS author, CASE WHEN p % 6 = 0 THEN 'T' END AS twitter_title FROM ap"""
+ORACLES["a15_linked_domains_cases"] = f"""WITH {CASES}, l AS (SELECT page_id, url, 'other.example' AS host FROM ap WHERE p % 5 = 1 UNION ALL SELECT page_id, url, 'third.example' FROM ap WHERE p % 5 = 2)
+SELECT host, count(*) AS links, count(DISTINCT page_id) AS pages FROM l GROUP BY host"""
+ORACLES["c2_answer_outcomes_cases"] = """
+WITH e AS (SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) % 4 AS k FROM events)
+SELECT CASE WHEN event_type = 'purchase' THEN 'answer' ELSE 'scraper' END AS request_type,
+       CAST(CASE WHEN event_type <> 'error' THEN 200 WHEN k = 0 THEN 429 WHEN k = 1 THEN 400 WHEN k = 2 THEN 503 ELSE 500 END AS INT) AS status, count(*) AS n
+FROM e GROUP BY ALL"""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from webtables.functions.urls import host, host_matches_rules
 from webtables.operators import audits as G
 from webtables.operators import chat as C
+from webtables.operators import requests as R
+from webtables.operators.parse import parse_pages
 from webtables.plans.queries import _parsed, query
 from webtables.sources import derived as D
 from webtables.sources.tables import pages, read_table
@@ -28,6 +30,78 @@ def q_link_audit(spark, d):
     return G.link_audit(_parsed(spark, d), max_external=100)
 
 
+# --- the audits over pages that hold their cases ----------------------------------
+
+def _cases(spark, d):
+    return parse_pages(D.audit_pages(spark, d), keep_html=False)
+
+
+@query("g1_seo_audit_cases")
+def q_seo_cases(spark, d):
+    return G.seo_audit(_cases(spark, d)).drop("url")
+
+
+@query("g2_link_audit_cases")
+def q_link_audit_cases(spark, d):
+    return G.link_audit(_cases(spark, d), max_external=0)
+
+
+@query("g3_metadata_check_cases")
+def q_meta_cases(spark, d):
+    return G.metadata_check(_cases(spark, d)).drop("url")
+
+
+@query("g4_accessibility_cases")
+def q_a11y_cases(spark, d):
+    return G.accessibility_check(_cases(spark, d))
+
+
+@query("g6_page_profile_cases")
+def q_profile_cases(spark, d):
+    return G.page_profile(_cases(spark, d)).drop("url")
+
+
+@query("g8_competitor_matrix_cases")
+def q_matrix_cases(spark, d):
+    m = G.competitor_matrix(G.page_profile(_cases(spark, d)), SITES[:2])
+    for s in SITES[:2]:
+        m = m.withColumnRenamed(s, s.replace(".", "_"))
+    return m
+
+
+@query("h4_page_metadata_cases")
+def q_h4_cases(spark, d):
+    from webtables.operators.content import page_metadata
+
+    m = page_metadata("nodes")
+    return _cases(spark, d).select("page_id", F.size(m).alias("n_keys"), m["description"].alias("description"), m["og:image"].alias("og_image"), m["twitter:card"].alias("card"))
+
+
+@query("p12_selector_then_metadata_cases")
+def q_p12_cases(spark, d):
+    from webtables.operators.content import page_metadata
+    from webtables.operators.selectors import selected_subtrees
+
+    m = page_metadata(selected_subtrees("nodes", "article, head > meta[name^=twitter]"))
+    return _cases(spark, d).select("page_id", F.size(m).alias("n_keys"), m["author"].alias("author"), m["twitter:title"].alias("twitter_title"))
+
+
+@query("a15_linked_domains_cases")
+def q_domains_cases(spark, d):
+    own = pages(spark, d).select("page_id", F.col("url").alias("src_url"))
+    links = G.link_rows(_cases(spark, d)).join(own, "page_id")
+    return G.linked_domains(links.select(F.col("page_id").alias("src_page_id"), "src_url", F.col("url").alias("dst_url")))
+
+
+@query("c2_answer_outcomes_cases")
+def q_outcomes_cases(spark, d):
+    """Errors of every class: the log's error texts replaced by those of the service."""
+    k = F.col("k") % 4
+    said = F.when(k == 0, "Rate limit exceeded: slow down").when(k == 1, "Bad request: no model").when(k == 2, "Answer service not available").otherwise(F.col("error"))
+    log = D.request_log(spark, d).withColumn("error", F.when(F.col("error").isNotNull(), said))
+    return log.groupBy(R.outcome_class(F.col("error")).alias("status"), "request_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("j3_broken_links")
 def q_broken(spark, d):
     return G.broken_links(D.graph_links(spark, d), pages(spark, d)).select("src_page_id", "dst_url", "reason")

@@ -24,6 +24,41 @@ HOST_RULES = [".example.org", "example.net", "spam-farm.example.org"]
 GONE_URL = "https://gone.example.com/"
 
 
+# What the audit cases add to a page, by page number: (place, modulus, remainder, markup).
+# The pages have few tags; these give each audit check pages that pass and pages that fail.
+AUDIT_CASES = [
+    ("head", 2, 0, '<meta name="description" content="' + "plain words " * 13 + '">'),
+    ("head", 4, 1, '<meta name="description" content="short">'),
+    ("head", 3, 0, '<meta name="viewport" content="width=device-width">'),
+    ("head", 5, 0, '<meta name="robots" content="noindex">'),
+    ("head", 7, 0, '<link rel="canonical" href="/c">'),
+    ("head", 7, 1, '<link rel="alternate" hreflang="de" href="/de">'),
+    ("head", 4, 0, '<meta property="og:title" content="T"><meta property="og:description" content="D"><meta property="og:image" content="/i.png">'),
+    ("head", 6, 0, '<meta name="twitter:card" content="summary"><meta name="twitter:title" content="T"><meta name="twitter:description" content="D">'),
+    ("head", 9, 0, '<script type="application/ld+json">{"@type": "Article"}</script>'),
+    ("body", 2, 1, "<h3>Far below</h3>"),
+    ("body", 3, 1, '<img src="/bare.png">'),
+    ("body", 3, 2, '<img src="/named.png" alt="Named">'),
+    ("body", 4, 0, '<form><label>Name <input name="n"></label><label for="m">Mail</label><input id="m"><input name="lost"><input type="hidden"></form>'),
+    ("body", 5, 1, '<a href="https://other.example/x" rel="nofollow">here</a><a href="mailto:desk@other.example">Desk</a>'),
+    ("body", 5, 2, '<a href="https://third.example/"> </a><a href="#main">Skip to content</a>'),
+    ("body", 8, 0, '<div itemscope itemtype="https://schema.org/Person"><meta name="author" content="A"></div>'),
+    ("body", 10, 0, '<video src="/v.mp4"></video><button>Go</button>'),
+]
+
+
+def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``audit_pages(page_id, url, html)``: the pages with the markup of AUDIT_CASES before
+    the end of their head and of their article."""
+    added = {
+        at: F.concat(*[F.when(F.col("page_id") % m == r, F.lit(x)).otherwise(F.lit("")) for place, m, r, x in AUDIT_CASES if place == at])
+        for at in ("head", "body")
+    }
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    html = F.replace("html", F.lit("</head>"), F.concat(added["head"], F.lit("</head>")))
+    return pages.withColumn("html", F.replace(html, F.lit("</article>"), F.concat(added["body"], F.lit("</article>"))))
+
+
 def request_log_from_events(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
