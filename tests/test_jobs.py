@@ -178,6 +178,23 @@ def test_similar_pages_of_a_large_group(spark):
     assert members.where("page_id <> class_id").count() == (n - 1) // 3 and links.count() == 0
 
 
+def test_fetch_records(spark, tmp_path):
+    """Lines that are no records, absent fields and fields of another kind stay alone."""
+    from webtables.operators.pages import batch_convert
+    from webtables.sources.fetches import fetched_pages, read_fetches
+
+    lines = ['{"page_id": 1, "url": "https://a.example/", "html": "<p>x", "status_code": 200, "metadata": {"attempts": 3, "headers": {"etag": "e"}, "more": [1, {"deep": 2}]}}',
+             "not a record", '{"page_id": 2, "url": "https://b.example/", "error": "Timeout: 3"}',
+             '{"page_id": 3, "url": "https://c.example/", "html": "<b>y</b>", "metadata": {"attempts": "many", "final_url": "https://d.example/"}}']
+    (tmp_path / "part.json").write_text("\n".join(lines))
+    assert read_fetches(spark, str(tmp_path)).schema["metadata"].dataType.simpleString() == "variant"
+    got = {r.page_id: r for r in batch_convert(fetched_pages(spark, str(tmp_path)), "text", include_headers=True).collect()}
+    assert (got[1].content, got[1].metadata.attempts, got[1].metadata.headers, got[1].status_code) == ("x", 3, {"etag": "e"}, 200)
+    assert (got[2].success, got[2].error) == (False, "Timeout: 3")
+    assert (got[3].content, got[3].metadata.attempts, got[3].final_url) == ("y", None, "https://d.example/")
+    assert got[None].error.startswith("ValueError: ") and not got[None].success
+
+
 def test_a_list_of_urls(spark):
     from webtables.operators.audits import compare_list, compare_pairs
 

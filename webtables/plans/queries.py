@@ -16,6 +16,7 @@ from webtables.functions.urls import is_http_url
 from webtables.operators import pages as P
 from webtables.operators.content import DEFAULT_TEXT_STRIP
 from webtables.operators.parse import parse_pages
+from webtables.schema import FETCH_META
 from webtables.sources import derived as D
 from webtables.sources.tables import pages
 
@@ -50,6 +51,35 @@ def q_page_scan(spark, d):
     )
 
 
+def _records(spark, d):
+    """The fetch records of the pages, written as JSON lines to the shared folder."""
+    from webtables.session import checkpoint_dir
+    from webtables.sources import fetches
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fetches-{uuid.uuid4().hex}"
+    fetches.write_fetches(D.fetch_results(spark, d), path)
+    return path
+
+
+@query("s1_fetch_records")
+def q_fetch_records(spark, d):
+    """Saved fetch records read back and scanned: metadata out of its VARIANT."""
+    from webtables.sources import fetches
+
+    got = P.scan_pages(fetches.fetched_pages(spark, _records(spark, d)))
+    return got.select("page_id", "url", F.length("content").alias("content_chars"), "status_code", "content_type",
+                      "metadata.elapsed_ms", "metadata.attempts", "metadata.final_url", F.col("metadata.headers")["x-k"].alias("x_k"))
+
+
+@query("p4_clean_metadata_records")
+def q_clean_records(spark, d):
+    from webtables.sources import fetches
+
+    got = fetches.fetched_pages(spark, _records(spark, d))
+    m = P.clean_metadata(P.full_metadata(F.col("metadata"), FETCH_META.fieldNames()), include_headers=False)
+    return got.select("page_id", F.to_json(m).alias("json"))
+
+
 @query("p1_scheme_filter")
 def q_scheme(spark, d):
     return pages(spark, d).select("page_id", is_http_url("url").alias("supported"))
