@@ -281,7 +281,8 @@ def fresh_copy(requests: DataFrame, store: DataFrame, content: bool = False, ttl
     the store has (at most ``WIDTHS`` of them). The joins carry keys and
     times only; content is looked up once per answered request. ``ttls`` names
     the values that ``ttl_s`` takes, which saves a pass over the store; a copy
-    with another one is an error."""
+    with another one is an error. Requests with a column ``ttl_s`` of their own (the
+    TTL that their key's copies have) look into one bucket only."""
     second = 1_000_000
     f_us = F.unix_micros(F.col("fetched_at").cast("timestamp"))
     ttl = F.col("ttl_s").cast("long")
@@ -291,15 +292,18 @@ def fresh_copy(requests: DataFrame, store: DataFrame, content: bool = False, ttl
     width = (F.pow(F.lit(2.0), F.col("level")) * second).cast("long")
     first, last = F.floor(F.col("f_us") / width), F.floor((F.col("e_us") - 1) / width)
     copies = copies.withColumn("bucket", F.explode(F.when(F.col("e_us").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first.cast("long"), last.cast("long")))))
-    if ttls is None:
+    own = "ttl_s" in requests.columns
+    if own:
+        found = []
+    elif ttls is None:
         found = [r["level"] for r in store.select(level.alias("level")).distinct().collect()]  # at most WIDTHS + 1 numbers
     else:
         found = [WIDTHS if t is None else min((max(t, 1) - 1).bit_length(), WIDTHS - 1) for t in ttls]
         wrong = F.raise_error(F.concat(F.lit("fresh_copy: ttls does not name the TTL of key "), F.col("cache_key")))
         copies = copies.withColumn("level", F.when(F.col("level").isin(*found), F.col("level")).otherwise(wrong.cast("int")))
-    held = F.lit(sorted(set(found)) or [0]).cast("array<int>")
+    held = level if own else F.explode(F.lit(sorted(set(found)) or [0]).cast("array<int>"))
     ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
-    req = requests.select("request_id", "cache_key", ts_us.alias("ts_us"), F.explode(held).alias("level"))
+    req = requests.select("request_id", "cache_key", ts_us.alias("ts_us"), held.alias("level"))
     req = req.withColumn("bucket", F.when(F.col("level") == WIDTHS, F.lit(0).cast("long")).otherwise(F.floor(F.col("ts_us") / width).cast("long")))
     live = req.join(copies, ["cache_key", "level", "bucket"]).where("f_us <= ts_us AND (e_us IS NULL OR ts_us < e_us)")
     best = live.groupBy("request_id").agg(F.max("fetched_at").alias("fetched_at"))

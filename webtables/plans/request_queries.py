@@ -313,7 +313,7 @@ def q_delete(spark, d):
 def q_fresh(spark, d):
     log = D.request_log(spark, d)
     st = D.page_store(spark, d)
-    fc = fresh_copy(log.select("request_id", "cache_key", "ts"), st, ttls=[300, 3600, 86400])
+    fc = fresh_copy(log.select("request_id", "cache_key", "ts", U.ttl_for_url(F.col("url")).alias("ttl_s")), st)
     return fc.select("request_id", _ntz(F.col("fetched_at")).alias("fetched_at"))
 
 
