@@ -1,9 +1,11 @@
 """N-gram Jaccard join with prefix filters under several global orders (operator 4).
 
 Two documents can only link if they share a token among the first few of each, in any
-global order of the shingles. Counts over all documents in a sketch of fixed size order
-the shingles: the first order goes from rare to frequent, the others are random but for
-frequent shingles, which come last. So common lines and phrases make no long lists.
+global order of the shingles. In the first order the shingles that occur once come first:
+each task sends the distinct shingles of its texts, packed by hash range, and is told which
+of them occur elsewhere. So a text whose own shingles fill its prefix leaves at once, and
+what is left of the prefixes goes from rare to frequent by a sketch of all counts. The
+other orders are random but for frequent shingles, which come last.
 
 Equal sets are one class, and one text stands for each. A class's home is the longest
 list it is in; a home is cut into blocks of bounded size. Two blocks meet in a group if
@@ -21,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ready, slices
+from .common import cut, partitions, ready, shared_path, slices
 from .components import components
+from .dac import file_system
 from .words import Words, mix
 
 SIZE = 4
@@ -40,6 +44,8 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 CELLS = 0x082EFA98EC4E6C89
 #: Sets and shingles of a block, about.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
+#: Bits of a shingle's hash that tell whether it occurs once, and of its range.
+ONCE_BITS, RANGE_BITS = 40, 10
 #: Columns of shingles that a group's task multiplies at a time.
 COLUMNS = 4096
 #: Bits of the filter that spares most texts the shuffle (exact joins follow).
@@ -115,34 +121,172 @@ def cell_levels(seen: DataFrame) -> np.ndarray:
     return np.clip(2 * (counts - mean) / max(mean, 1.0) ** 0.5 + LOW_LEVEL, 0, 63).astype(np.uint8)
 
 
-def _prefixes(size: int, percent: int, levels, orders: list[int], wanted=None):
+def _tails(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of ONCE_BITS of the hashes, where each hash's is, and how many
+    hashes have it."""
+    return np.unique(h >> np.uint64(64 - ONCE_BITS), return_inverse=True, return_counts=True)
+
+
+def _send(size: int):
+    """Of each step of texts its distinct shingles by range: part, nth (step), crc (of all the
+    step's), range, n, packed (differences, byte plane by byte plane), again (bits: in
+    several texts of the step)."""
+    names = ["part", "nth", "crc", "range", "n", "packed", "again"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        bounds = np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(ONCE_BITS - RANGE_BITS)
+        for nth, b in enumerate(slices(batches, "text")):
+            h, _ = shingle_sets(b.column(1), size)
+            values, _, counts = _tails(h)
+            at = np.searchsorted(values, bounds)
+            ranges = np.flatnonzero(np.diff(at))
+            low = (values & np.uint64((1 << ONCE_BITS - RANGE_BITS) - 1)).astype(np.uint32)
+            again = counts > 1
+            packed, bits = [], []
+            for a, z in zip(at[ranges].tolist(), at[ranges + 1].tolist(), strict=True):
+                packed.append(np.diff(low[a:z], prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+                bits.append(np.packbits(again[a:z]).tobytes())
+            n, crc = len(ranges), zlib.crc32(values.tobytes())
+            same = lambda v, kind, n=n: pa.array(np.full(n, v), kind)
+            yield pa.RecordBatch.from_arrays([same(part, pa.int32()), same(nth, pa.int32()), same(crc, pa.int64()), pa.array(ranges.astype(np.int32)), pa.array(np.diff(at)[ranges].astype(np.int32)), pa.array(packed, pa.binary()), pa.array(bits, pa.binary())], names=names)
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the rows of one range after another: which of the sent shingles occur again."""
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        sent = []
+        for *_, n, packed, _ in rows:
+            planes = np.frombuffer(packed, np.uint8).reshape(4, n)
+            sent.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32))
+        again = np.concatenate([np.unpackbits(np.frombuffer(r[-1], np.uint8), count=r[4]) for r in rows]).astype(bool)
+        _, of, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        shared = (counts > 1) | (np.bincount(of, again, len(counts)) > 0)
+        ends = np.cumsum([0] + [r[4] for r in rows]).tolist()
+        bits = [np.packbits(shared[of[a:z]]).tobytes() for a, z in zip(ends, ends[1:], strict=False)]
+        cols = list(zip(*rows, strict=True))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], pa.array(bits, pa.binary())], names=["part", "nth", "crc", "range", "n", "shared"])
+
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            if held and held[0][3] != row[3]:
+                yield told(held)
+                held = []
+            held.append(row)
+    if held:
+        yield told(held)
+
+
+def _keep(folder: str):
+    """One file for each task of the first pass, from rows sorted by part, nth and range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}  # steps of the part at hand: crc, bits
+
+        def write(part: int) -> pa.RecordBatch:
+            steps = [(k, crc, len(x := np.concatenate(bits)), np.packbits(x).tobytes()) for k, (crc, bits) in held.items()]
+            store, path = file_system(folder)
+            store.create_dir(path, recursive=True)
+            own = f"{path}/_{part}.{TaskContext.get().taskAttemptId()}"
+            with store.open_output_stream(own) as f, pa.ipc.new_file(f, _STEPS) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*steps, strict=True), _STEPS, strict=True)], schema=_STEPS))
+            store.move(own, f"{path}/{part}")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
+
+        now = None
+        for b in batches:
+            for part, nth, crc, _, n, shared in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if part != now:
+                    if held:
+                        yield write(now)
+                    now = part
+                    held.clear()
+                held.setdefault(nth, (crc, []))[1].append(np.unpackbits(np.frombuffer(shared, np.uint8), count=n))
+        if held:
+            yield write(now)
+
+    return run
+
+
+_STEPS = pa.schema([("nth", pa.int32()), ("crc", pa.int64()), ("n", pa.int64()), ("shared", pa.binary())])
+
+
+def tell_shared(texts: DataFrame, size: int) -> str:
+    """Find the shingles of ``texts`` (id, text) that occur in two texts or more; the folder of
+    what each task of the pass is told of its steps. The pass over the same table meets the
+    same texts in the same steps; a step that does not (its crc differs) takes all of its
+    shingles as shared, which costs time and no link."""
+    spark = texts.sparkSession
+    folder = shared_path(spark, "shared-shingles")
+    n = partitions(spark)
+    sent = texts.mapInArrow(_send(size), "part int, nth int, crc long, range int, n int, packed binary, again binary")
+    told = sent.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_answer, "part int, nth int, crc long, range int, n int, shared binary")
+    told.repartition(n, "part").sortWithinPartitions("part", "nth", "range").mapInArrow(_keep(folder), "part int").agg(F.count(F.lit(1))).first()
+    return folder
+
+
+def _told(folder: str) -> dict[int, tuple[int, np.ndarray]]:
+    """What this task's part was told: by step the crc and a boolean for each shingle."""
+    store, path = file_system(folder)
+    path = f"{path}/{TaskContext.get().partitionId()}"
+    if store.get_file_info(path).type.name != "File":
+        return {}
+    with store.open_input_file(path) as f:
+        rows = pa.ipc.open_file(f).read_all().to_pylist()
+    return {r["nth"]: (r["crc"], np.frombuffer(r["shared"], np.uint8), r["n"]) for r in rows}
+
+
+def _prefixes(size: int, percent: int, levels, orders: list[int], wanted=None, folder: str | None = None):
     """Per row (with ``wanted``: whose bit is in that filter): id, n and its prefix in each of
-    ``orders``: whole keys in the first order, 32 bits in the others."""
+    ``orders``: whole keys in the first order (without those that occur once, which no other
+    text holds), 32 bits in the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = levels.value.astype(np.uint64) << np.uint64(57)
         late = np.where(levels.value >= FREQUENT, np.uint64(1 << 63), np.uint64(0))
-        for b in slices(_wanted(batches, wanted), "text"):
+        told = _told(folder) if folder else {}
+        for step, b in enumerate(slices(_wanted(batches, wanted), "text")):
             h, off = shingle_sets(b.column(b.num_columns - 1), size)
             cells = _cells(h)
             n = np.diff(off)
             take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            ends = np.r_[0, np.cumsum(take)].astype(np.int32)
+            some = n > 0
             cols = [b.column(0), pa.array(n)]
             for nth in orders:
+                ends = np.r_[0, np.cumsum(take)].astype(np.int32)
                 keys = mix(h ^ np.uint64(ORDERS[nth]))
                 keys = keys >> np.uint64(7) | rarity[cells] if nth == 0 else keys >> np.uint64(1) | late[cells]
+                if nth == 0:
+                    keys |= _shared(h, told.get(step)).astype(np.uint64) << np.uint64(63)
                 out = np.empty(int(ends[-1]), np.uint64)
                 for a, z, k, to in zip(off[:-1].tolist(), off[1:].tolist(), take.tolist(), ends[:-1].tolist(), strict=True):
                     if k:
                         out[to : to + k] = np.partition(keys[a:z], k - 1)[:k] if k < z - a else keys[a:z]
+                if nth == 0:
+                    held = out >> np.uint64(63) == 1
+                    ends = np.r_[0, np.cumsum(held)][ends].astype(np.int32)
+                    out = out[held]
+                    some = some & (np.diff(ends) > 0)
                 flat = pa.array(out.view(np.int64)) if nth == 0 else pa.array(out.astype(np.uint32).view(np.int32))
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), flat))
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", *[f"p{k}" for k in orders]]).filter(pa.array(n > 0))
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", *[f"p{k}" for k in orders]]).filter(pa.array(some))
 
     return run
 
 
+def _shared(h: np.ndarray, told: tuple | None) -> np.ndarray:
+    """Which hashes of a step occur in two texts or more; all, where nothing fits the step."""
+    values, of, _ = _tails(h)
+    if told is None or told[2] != len(values) or told[0] != zlib.crc32(values.tobytes()):
+        return np.ones(len(h), bool)
+    return np.unpackbits(told[1], count=told[2]).astype(bool)[of]
+
+
 def _wanted(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     """The rows (id, bit, text) whose bit is in the filter, or all rows without one."""
     words = None if wanted is None else wanted.value
@@ -287,7 +431,8 @@ class _Join:
     def groups(self) -> DataFrame:
         """Which sets may link in which group: lo, hi, side, id."""
         reps = self.classes.where("n > 0 AND rep IS NOT NULL").select(F.col("rep").alias("id")).distinct()
-        found = self.texts.mapInArrow(_prefixes(self.size, self.percent, self.levels, [0]), "id long, n long, p0 array<long>")
+        folder = tell_shared(self.texts, self.size)
+        found = self.texts.mapInArrow(_prefixes(self.size, self.percent, self.levels, [0], folder=folder), "id long, n long, p0 array<long>")
         prefixes = cut(found.join(reps, "id", "left_semi"))
         posted = prefixes.select("id", F.col("n").cast("int").alias("n"), F.explode("p0").alias("token"))
         shared = posted.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
