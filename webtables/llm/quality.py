@@ -35,6 +35,8 @@ WORD_BITS, SHAPE_BITS = 10, 9
 TEXT_DIMS = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 1
 LANG_DIMS, SOURCE_DIMS, MEASURES = 16, 64, 9
 META_DIMS = LANG_DIMS + SOURCE_DIMS + MEASURES
+#: Text bytes that a step works on at a time: the views hold some arrays a byte.
+STEP = 512 << 10
 #: Score from which a document is kept.
 KEEP = 0.4
 
@@ -175,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = rows.join(F.broadcast(chosen.union(free)), "id")  # at most labelled + unlabelled ids
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", STEP):
             of, dim, value = text_view(b.column(1))
             ends = np.searchsorted(of, np.arange(b.num_rows + 1))
             meta = meta_view(*(b.column(k) for k in (1, 2, 3)))
@@ -218,7 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", STEP):
             a, c, s = _scores(sent.value, *(b.column(k) for k in (1, 2, 3)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.asarray(v, float)) for v in (a, c, s))], names=["id", "text_score", "meta_score", "score"])
 
@@ -243,7 +245,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = [names.index(c) if c in names else None for c in (text_col, "lang", "source")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, STEP):
             cols = [pa.nulls(b.num_rows, pa.string()) if k is None else b.column(k).cast(pa.string()) for k in at]
             yield b.filter(pa.array(_scores(sent.value, *cols)[2] >= keep))
 
