@@ -132,6 +132,26 @@ def test_ttl_stream_takes_rows_out_of_order(spark, tmp_path):
     assert request_log_from_events(ev).count() == len(rows)
 
 
+def test_newest_requests_over_several_runs(spark, tmp_path):
+    """Files in any order and two runs give the newest rows of all."""
+    import shutil
+
+    from webtables.sources.derived import request_log_from_events
+    from webtables.streaming import jobs as S
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    src, work = tmp_path / "in", str(tmp_path / "work")
+    src.mkdir()
+    shutil.copy(f"{SF}/events.parquet", src / "events.parquet")
+    want = [r.request_id for r in request_log_from_events(ev).orderBy(F.desc("ts"), F.desc("request_id")).limit(40).collect()]
+    assert [r.request_id for r in S.last_n_stream(spark, str(src), 40, work=work).collect()] == want
+    late = ev.where("event_id < 30").withColumn("event_id", F.col("event_id") + 100_000).withColumn("ts", F.expr("ts + INTERVAL 1 YEAR"))
+    late.coalesce(1).write.parquet(str(tmp_path / "late"))
+    shutil.copy(next((tmp_path / "late").glob("*.parquet")), src / "events-1.parquet")
+    got = S.last_n_stream(spark, str(src), 40, work=work).collect()
+    assert [r.request_id for r in got] == [100_000 + r.event_id for r in ev.where("event_id < 30").orderBy(F.desc("ts"), F.desc("event_id")).collect()] + want[:10]
+
+
 def test_similar_pages_equal_brute_force(spark):
     """Links of classes with a similarity of 0.5 or more within a host; equal pages and an
     empty one beside them."""

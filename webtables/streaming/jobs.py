@@ -11,15 +11,17 @@ same ``work`` folder a later run resumes: only new files are read.
 * T2 windowed request stats with a watermark (late rows dropped)
 * T3 TTL-bounded dedup per cache key with ``transformWithStateInPandas``: rows wait
   in list state for the watermark and leave in time order by event-time timers
-* T4 last-N requests kept across batches
+* T4 last-N requests: bounded heaps in keyed state
 * T5 page conversion (parse -> text, links) as a stateless append stream
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -62,11 +64,16 @@ def run_available(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def newest(spark: SparkSession, folder: str, prefix: str) -> str:
-    """The last folder by name under ``folder`` that begins with ``prefix``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return max(str(f.getPath()) for f in found if f.getPath().getName().startswith(prefix))
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """State in RocksDB while a query of arbitrary state runs, which needs it."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
 
 
 def _overwrite_sink(path: str):
@@ -236,10 +243,7 @@ def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day",
             .option("checkpointLocation", os.path.join(work, "ckpt")).option("path", os.path.join(work, "out"))
         )
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _rocksdb(spark):
         go()
         if close:
             mark = spark.range(1).select(
@@ -248,32 +252,62 @@ def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day",
             )
             mark.select(*s.columns).write.mode("append").parquet(ends)
             go()
-    finally:
-        spark.conf.set(provider, before)
     res = spark.read.schema(_T3_OUT).parquet(os.path.join(work, "out"))
     return res.withColumn("fetched_at", F.timestamp_micros("fetched_at_us").cast("timestamp_ntz")).drop("fetched_at_us")
 
 
-def last_n_stream(spark: SparkSession, sf_dir: str, n: int = 100, work: str | None = None) -> DataFrame:
-    """T4: the newest ``n`` requests kept across micro-batches: each batch is
-    merged with the previous top-n and cut back to n (bounded state). Batch
-    k writes generation k and reads generation k-1, so a replayed batch
-    gives the same result."""
-    work = _work_dir(spark, "t4", work)
-    def gen(k: int) -> str:
-        return os.path.join(work, f"gen-{k:012d}")
+#: Keys that share the newest rows, so that one key's heap is not met by every row.
+HEAPS = 8
+_T4_ROW = "ts_us long, request_id long, url string, success boolean"
 
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        top = batch.select("request_id", "ts", "url", "success")
-        if epoch_id > 0:  # batches are numbered from 0 in a work folder
-            top = batch.sparkSession.read.parquet(gen(epoch_id - 1)).unionByName(top)
-        top.orderBy(F.col("ts").desc(), F.col("request_id").desc()).limit(n).write.mode("overwrite").parquet(gen(epoch_id))
 
-    run_available(
-        request_stream(spark, sf_dir).writeStream.option("checkpointLocation", os.path.join(work, "ckpt"))
-        .foreachBatch(merge)
+class NewestRows(StatefulProcessor):
+    """T4 for one heap: its newest ``n`` rows, kept in list state and sent on when they
+    change. What is held is bounded by ``n`` however many rows come."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("newest", _T4_ROW)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        kept = list(held)
+        for pdf in rows:
+            new = pdf.nlargest(self.n, ["ts_us", "request_id"])  # at most n of a batch matter
+            new = zip(*(new[c].tolist() for c in ("ts_us", "request_id", "url", "success")), strict=True)
+            kept = heapq.nlargest(self.n, [*kept, *new], key=lambda r: (r[0], r[1]))
+        if kept != held:
+            self.rows.put(kept)
+            out = pd.DataFrame(kept, columns=["ts_us", "request_id", "url", "success"])
+            yield out.assign(heap=key[0])
+
+    def close(self) -> None:
+        pass
+
+
+def last_n_stream(spark: SparkSession, sf_dir: str, n: int = 100, work: str | None = None, max_files: int | None = None) -> DataFrame:
+    """T4: the newest ``n`` requests (by time, then id) kept across micro-batches. Rows are
+    dealt over HEAPS keys; each keeps a heap of its newest ``n`` in state, and a batch
+    rewrites the partitions of the heaps that it changed. The state belongs to the batch,
+    so a batch that runs again writes the same. The answer is the newest ``n`` of the heaps'
+    few rows."""
+    work = _work_dir(spark, "t4", work)
+    out = os.path.join(work, "out")
+    s = request_stream(spark, sf_dir, max_files).where("ts IS NOT NULL AND request_id IS NOT NULL")
+    rows = s.select(F.pmod(F.xxhash64("request_id"), F.lit(HEAPS)).cast("int").alias("heap"), F.unix_micros("ts").alias("ts_us"), "request_id", "url", "success")
+    newest = rows.groupBy("heap").transformWithStateInPandas(
+        NewestRows(n), outputStructType=_T4_ROW + ", heap int", outputMode="update", timeMode="none"
     )
-    return spark.read.parquet(newest(spark, work, "gen-"))
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("heap").parquet(out)
+
+    with _rocksdb(spark):
+        run_available(newest.writeStream.outputMode("update").option("checkpointLocation", os.path.join(work, "ckpt")).foreachBatch(write))
+    top = spark.read.schema(_T4_ROW).parquet(out).orderBy(F.desc("ts_us"), F.desc("request_id")).limit(n)
+    return top.select("request_id", F.timestamp_micros("ts_us").alias("ts"), "url", "success")
 
 
 def page_conversion_stream(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
