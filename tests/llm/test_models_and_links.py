@@ -2,13 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from webtables.llm import ann, quality, toxicity, url_filter
 from webtables.llm.components import components
-from webtables.llm.queries import URL_RULES
+from webtables.llm.queries import OP10_SQL, URL_RULES
 
 
 def corpus(spark, n=1200):
@@ -134,6 +135,8 @@ def test_search_small_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [0.5, 0.0]), (3, [0.5, 0.0])], "vec_id long, embedding array<double>")
     rows = ann.search(df, df.where("vec_id = 1"), k=20).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in rows] == [(2, 0.5), (3, 0.5), (3, 0.5)]
+    twice = ann.search(df, df.where("vec_id <= 2").union(df.where("vec_id = 1")), k=2)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in twice.collect()) == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3)]
     assert ann.search(df.limit(0), df).collect() == [] and ann.search(df, df.limit(0)).collect() == []
 
 
@@ -150,6 +153,22 @@ def test_scan_drops_far_rows_and_keeps_near_ones():
     assert (asked == 0).sum() == 20
 
 
+def test_scan_abandons_most_pairs_of_even_vectors_and_loses_few():
+    """Vectors that fill all dimensions: what a pair within the bound shows of its distance
+    in the first columns is beta distributed."""
+    rng = np.random.default_rng(1)
+    x, q = rng.standard_normal((4000, 65)) / 65**0.5, rng.standard_normal((60, 65)) / 65**0.5
+    d = ((x[None] - q[:, None]) ** 2).sum(2)
+    near = np.argsort(d, axis=1)[:, :20]
+    bound = np.sort(d, axis=1)[:, 60]
+    asked, rows = ann.scan(x, q, bound)
+    left = [set(rows[asked == k].tolist()) for k in range(60)]
+    assert np.mean([len(set(n.tolist()) & s) / 20 for n, s in zip(near, left, strict=True)]) >= 0.98
+    assert all((d[k][list(s)] <= bound[k] * 1.001).all() for k, s in enumerate(left))
+    shares = [ann.share(at, 65, 3.0) for at in (16, 32, 48, 65)]
+    assert shares == sorted(shares) and shares[0] < 0.5 < shares[1] < 1 and shares[-1] == 1
+
+
 PAGES = [
     (1, "http://a.example.com/x", "<link rel='canonical' href='http://b.bad.net/'>"),
     (2, "http://b.bad.net/", ""),
@@ -163,7 +182,7 @@ PAGES = [
     (None, "http://k.net/", ""), (2, "http://b.bad.net/", ""),
 ]
 WANT = {
-    1: ("a.example.com", "/x", None, "block"), 2: ("b.bad.net", "/", "net/", "block"), 3: ("c.example.com", "/x", None, "allow"),
+    1: ("a.example.com", "/x", None, "allow"), 2: ("b.bad.net", "/", "net/", "block"), 3: ("c.example.com", "/x", None, "allow"),
     4: ("e.example.com", "/y", None, "allow"), 5: ("e.example.com", "/z", None, "allow"), 6: ("www.example.net", "/en/", "example.net/en/", "allow"),
     7: ("net", "", None, "allow"), 8: ("net", "/", "net/", "block"), 9: ("", "", None, "allow"), 10: ("", "", None, "allow"),
     11: ("x.example.com", "/de/a", "example.com/de/", "block"), 12: ("x.example.com", "/de", None, "allow"), 13: ("notexample.net.org", "/", None, "allow"),
@@ -180,6 +199,19 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge_urls(pages.limit(0), URL_RULES).collect() == []
 
 
+def test_every_canonical_and_refresh_target_is_an_alias(spark):
+    """A second canonical link counts, and one without a target hides no other."""
+    pages = spark.createDataFrame([
+        (1, "http://a.example.com/", "<link rel=canonical><link rel=canonical href='http://x.example.com/'><link rel=canonical href='http://k.net/'>"),
+        (2, "http://b.example.com/", "<meta http-equiv=refresh content=5><meta http-equiv=refresh content='0; url=http://l.net/'>"),
+        (3, "http://c.example.com/", "<link rel=canonical href=''>"), (4, "http://x.example.com/", None),
+    ], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, URL_RULES).collect()} == {1: "block", 2: "block", 3: "allow", 4: "block"}
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    assert {r[0]: r[4] for r in con.execute(OP10_SQL).fetchall()} == {1: "block", 2: "block", 3: "allow", 4: "block"}
+
+
 def test_explicit_allow_takes_precedence_over_a_block_among_aliases(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, URL_RULES).collect()}

@@ -30,6 +30,10 @@ BOUND_ROWS, BLOCK_ROWS, PAIRS = 8192, 32_768, 1 << 20
 PROBED, LEAST_PROBED = 0.6, 8
 #: Columns of a block, and the test's width in standard errors.
 COLUMNS, WIDTH = 16, 3.0
+#: Queries of a list that a task searches for at most, about.
+QUERY_ROWS = 32_768
+#: Share of the pairs left below which a block is computed for those alone.
+SPARSE = 0.2
 
 
 @dataclass
@@ -107,29 +111,40 @@ def build(rows: DataFrame, seed: int = 11) -> Index | None:
     return index
 
 
+def share(at: int, dims: int, width: float) -> float:
+    """The most of a vector's squared length that its first ``at`` of ``dims`` columns hold,
+    after a random rotation, but for ``width`` standard errors: the share is beta
+    distributed with mean p = at / dims and variance 2 p (1 - p) / (dims + 2)."""
+    p = at / dims
+    return 1.0 if at >= dims else min(1.0, p + width * (2 * p * (1 - p) / (dims + 2)) ** 0.5)
+
+
 def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, width: float = WIDTH, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs whose squared distance no test put beyond the query's ``bound``.
 
-    The first column block is one matrix product for all pairs; each later block is
-    computed for the pairs that are left."""
+    Distances grow by column blocks. After each, a pair is abandoned if its partial distance
+    is more than a pair within the bound would show (see :func:`share`). While many are left
+    a block is one matrix product, later it is computed for the pairs that are left."""
     dims = x.shape[1]
-    a, b = x[:, :columns], q[:, :columns]
-    part = (b * b).sum(1)[:, None] - 2 * b @ a.T + (a * a).sum(1)
-    at = min(columns, dims)
-
-    def most(limit: np.ndarray) -> np.ndarray:
-        # the part seen is a share at / dims of the distance, give or take its standard error
-        return limit * (1 + (width / at**0.5 if at < dims else 1e-9)) ** 2 * (at / dims) + 1e-9
-
-    asked, rows = np.nonzero(part <= most(bound)[:, None])
-    part = part[asked, rows]
-    while at < dims and len(rows):
+    part, left = np.zeros((len(q), len(x))), np.ones((len(q), len(x)), bool)
+    asked = rows = None
+    at = 0
+    while at < dims:
         to = min(at + columns, dims)
-        part += ((x[rows, at:to] - q[asked, at:to]) ** 2).sum(1)
+        a, b = x[:, at:to], q[:, at:to]
+        most = bound * (share(to, dims, width) * (1 + 1e-9)) + 1e-9
+        if asked is None:
+            part += (b * b).sum(1)[:, None] - 2 * b @ a.T + (a * a).sum(1)
+            left &= part <= most[:, None]
+            if np.count_nonzero(left) < SPARSE * left.size:
+                asked, rows = np.nonzero(left)
+                part = part[asked, rows]
+        else:
+            part += ((a[rows] - b[asked]) ** 2).sum(1)
+            keep = part <= most[asked]
+            asked, rows, part = asked[keep], rows[keep], part[keep]
         at = to
-        keep = part <= most(bound[asked])
-        asked, rows, part = asked[keep], rows[keep], part[keep]
-    return asked, rows
+    return np.nonzero(left) if asked is None else (asked, rows)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probed: float = PROBED) -> DataFrame:
@@ -137,7 +152,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     query_id, rank (from 1), the row's id, score (double, on the original vectors).
 
     A query's own row (same id) is no candidate. Ties go to the smaller id; repeated rows
-    count each. With fewer than ``k`` candidates all come. Vectors (and queries) that are
+    of ``vectors`` count each, repeated query ids ask once (with the least vector). With fewer than ``k`` candidates all come. Vectors (and queries) that are
     null, zero, of another length than most, or that hold a null or non-finite component,
     and rows with a null id, take no part. Other columns are not read. Empty tables give
     no rows. Approximate: lists that are not probed, and candidates that a test drops."""
@@ -151,6 +166,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     asked = queries.select(queries[id_col].cast("long").alias("id"), queries[vector_col].cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     asked = asked.where(F.col("id").isNotNull() & F.coalesce((F.size("v") == width) & fine & F.exists("v", lambda x: x != 0), F.lit(False)))
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     sent = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +185,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     told = spark.sparkContext.broadcast(index)
     blocks = F.lit(1) + F.element_at(F.lit((sizes // BLOCK_ROWS).tolist()), F.col("list") + 1) if sizes.max() >= BLOCK_ROWS else F.lit(1)
     dealt = listed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    # a task meets a bounded part of the queries too
+    turns = 1 + int(asked.agg(F.count(F.lit(1)).alias("n")).first()["n"] * probed) // QUERY_ROWS
+    dealt = dealt.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = told.value
@@ -194,6 +213,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blk, pa.int32()), b.column(0).take(take), pa.array(bound).take(take), b.column(1).take(take)], names=["list", "block", "id", "bound", "v"])
 
     sent_queries = asked.mapInArrow(probe, "list int, block int, id long, bound double, v array<double>")
+    sent_queries = sent_queries.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int"))
 
     def look(data: pa.Table, ask: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
@@ -216,7 +236,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     out[k_th].append(v[nth < k])
         return pa.table([pa.array(np.concatenate(v)) for v in out], names=["query_id", "vec", "score"])
 
-    found = dealt.groupBy("list", "block").cogroup(sent_queries.groupBy("list", "block")).applyInArrow(look, "query_id long, vec long, score double")
+    found = dealt.groupBy("list", "block", "turn").cogroup(sent_queries.groupBy("list", "block", "turn")).applyInArrow(look, "query_id long, vec long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("vec").alias(id_col), "score")
