@@ -149,11 +149,15 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0
 FROM w LEFT JOIN g USING (doc_id)
 """
 
-#: Rules on the page's own URL, else the verdict of its aliases by canonical links.
+#: Rules on the page's own URL, else the verdict of its aliases by canonical links and
+#: refresh redirects to whole URLs.
 OP10_SQL = r"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-edges AS (
-  SELECT regexp_extract(url, '^[^#]*') AS a, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical[^>]*>'), '(?i)href\s*=\s*["'']([^"''#]*)', 1) AS b FROM pages
+tags AS (
+  SELECT regexp_extract(url, '^[^#]*') AS a, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>')) AS tag FROM pages
+), edges AS (
+  SELECT a, regexp_extract(CASE WHEN tag ILIKE '<link%' THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''>\s]*)', 1)
+                                ELSE trim(regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''>]+)', 1)) END, '^[^#]*') AS b FROM tags
 ), links AS (SELECT a, b FROM edges WHERE b LIKE '%://%' AND a <> b),
 twoway AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a, a AS b FROM twoway UNION SELECT r.a, t.b FROM reach r JOIN twoway t ON t.a = r.b),

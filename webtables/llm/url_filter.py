@@ -49,8 +49,8 @@ def node_of(url) -> F.Column:
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page's URL, and the URL that its first canonical link or refresh redirect
-    names, resolved against the page."""
+    """(a, b): a page's URL, and each URL that one of its canonical links or refresh redirects
+    names, resolved against the page; tags that name none are passed over."""
     html = F.col("html")
     pick = lambda tag, having: F.filter(F.regexp_extract_all(html, F.lit(f"(?is)<{tag}\\b[^>]*>"), F.lit(0)), lambda t: t.rlike(having))
     value = lambda t, at: F.coalesce(*[F.nullif(F.regexp_extract(t, at + q, 1), F.lit("")) for q in ("\\s*\"([^\"]*)\"", "\\s*'([^']*)'", "\\s*([^\\s\"'>;]+)")])
@@ -58,7 +58,7 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     canonical = F.transform(pick("link", rel), lambda t: value(t, r"(?is)\bhref\s*="))
     redirect = F.transform(pick("meta", refresh), lambda t: F.nullif(F.trim(F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)", 1)), F.lit("")))
     tagged = pages.select(pages[url_col].alias("url"), pages[html_col].alias("html")).where(html.rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
-    targets = tagged.select("url", F.explode(F.concat(F.slice(canonical, 1, 1), F.slice(redirect, 1, 1))).alias("to")).where("to IS NOT NULL")
+    targets = tagged.select("url", F.explode(F.array_distinct(F.concat(canonical, redirect))).alias("to")).where("to IS NOT NULL")
     return targets.select(node_of(F.col("url")).alias("a"), node_of(resolve_url(F.col("url"), F.col("to"))).alias("b"))
 
 
