@@ -309,3 +309,30 @@ def test_word_caches_leave_a_closing_sigma_to_the_library(name):
     words = ["a\u03a3", "a\u03a3.", "AB\u03a3,", "x a\u03a3; y", "a\u03a3\u03a3:", "\u03a3", "\u03a3.", "1\u03a3", "é\u03a3!"]
     want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in words]
     assert WordIds(content).encode(words) == want
+
+
+def test_shingles_that_occur_once(spark):
+    """A task is told which shingles occur in another text; a step that it was not told of
+    takes all as shared."""
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[10 * k : 10 * k + 10])) for k in range(30)] + [(100, " ".join(words[5:25])), (101, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    levels = spark.sparkContext.broadcast(np.zeros(1 << ngram_join.CELL_BITS, np.uint8))
+    kinds = "id long, n long, p0 array<long>"
+    folder = ngram_join.tell_shared(df, 4)
+    told = {r.id: r for r in df.mapInArrow(ngram_join._prefixes(4, 1, levels, [0], folder=folder), kinds).collect()}
+    blind = {r.id: r for r in df.mapInArrow(ngram_join._prefixes(4, 1, levels, [0], folder=folder + "-none"), kinds).collect()}
+    sets = {i: {" ".join((t or "").split()[k : k + 4]) for k in range(max(0, len((t or "").split()) - 3))} for i, t in rows}
+    shared = {i: sum(any(s in sets[j] for j in sets if j != i) for s in v) for i, v in sets.items()}
+    assert {i: len(r.p0) for i, r in told.items()} == {i: n for i, n in shared.items() if n}
+    assert {i: len(r.p0) for i, r in blind.items()} == {i: len(v) for i, v in sets.items() if v}
+    h, _ = ngram_join.shingle_sets(pa.array(["a b c d e"]), 4)
+    assert ngram_join._shared(h, (0, np.zeros(1, np.uint8), 2)).all()
+
+
+def test_null_ids_share_no_slice(spark):
+    df = spark.createDataFrame([(None, f"t {k}") for k in range(400)] + [(k, "x") for k in range(400)], "doc_id long, text string")
+    slices = substring_dedup._dealt(df, "doc_id", "text", 16).where("id IS NULL").groupBy("slice").count().collect()
+    assert len(slices) > 8 and max(r["count"] for r in slices) < 100

@@ -25,7 +25,7 @@ WINDOW = 50
 #: Slices and hash ranges for each shuffle partition.
 SPREAD = 2
 #: Text bytes of a slice that are hashed at a time.
-STEP = 16 << 20
+STEP = 2 << 20
 
 
 def pack_hashes(h: np.ndarray) -> bytes:
@@ -105,7 +105,10 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, n_slices: int) -> DataFr
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(splits.value, ids, side="right").astype(np.int32)), *b.columns], names=["slice", "id", "text"])
+            at = np.searchsorted(splits.value, ids, side="right")
+            none = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            at[none] = np.arange(int(none.sum())) % (len(splits.value) + 1)  # in no order with others: any slice
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *b.columns], names=["slice", "id", "text"])
 
     return rows.mapInArrow(deal, "slice int, id long, text string")
 
