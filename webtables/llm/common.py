@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from webtables.session import checkpoint_dir, ship_package
 #: What the contracts call white space.
 BLANKS = "[\\x20\\x09-\\x0D]"
 #: Text bytes that one step of a Python task works on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -55,6 +56,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             to = min(max(to, at + 1), len(col))
             yield b.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it lives on for other tasks,
+    beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
