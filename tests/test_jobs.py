@@ -132,6 +132,28 @@ def test_ttl_stream_takes_rows_out_of_order(spark, tmp_path):
     assert request_log_from_events(ev).count() == len(rows)
 
 
+def test_streams_read_tables_in_folders(spark, tmp_path):
+    """A table may be one file or a folder of part files, and a later run with the same
+    work folder reads the parts and files that came since."""
+    import shutil
+
+    from webtables.streaming import jobs as S
+
+    src, work = tmp_path / "in", str(tmp_path / "work")
+    pages = spark.createDataFrame([(k, f"https://a.example/{k}", f"<p>w{k}</p><a href='/x'>y</a>") for k in range(7)], "page_id long, url string, html string")
+    pages.where("page_id < 4").repartition(2).write.parquet(str(src / "pages.parquet"))
+    got = S.page_conversion_stream(spark, str(src), work=work).collect()
+    assert sorted((r.page_id, r.text, r.links) for r in got) == [(k, f"w{k}\ny", 1) for k in range(4)]
+    pages.where("page_id = 4").coalesce(1).write.mode("append").parquet(str(src / "pages.parquet"))
+    pages.where("page_id > 4").coalesce(1).write.parquet(str(tmp_path / "late"))
+    shutil.copy(next((tmp_path / "late").glob("*.parquet")), src / "pages-1.parquet")
+    got = S.page_conversion_stream(spark, str(src), work=work).collect()
+    assert sorted(r.page_id for r in got) == list(range(7))
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    ev.repartition(3).write.parquet(str(src / "events.parquet"))
+    assert sum(r.total for r in S.running_counters(spark, str(src)).collect()) == ev.count()
+
+
 def test_newest_requests_over_several_runs(spark, tmp_path):
     """Files in any order and two runs give the newest rows of all."""
     import shutil

@@ -1,7 +1,7 @@
 """Structured Streaming jobs.
 
-Sources are file streams over a directory (one table's files picked by
-``pathGlobFilter``); results go to parquet sinks or ``foreachBatch``
+Sources are file streams over a directory (one table's files and folders picked by
+a glob path); results go to parquet sinks or ``foreachBatch``
 overwrites under the shared checkpoint folder, never to the driver-memory
 sink. ``run_available`` drives a query with ``trigger(availableNow=True)``
 so a test or a scheduled job processes everything present and stops. With the
@@ -42,14 +42,15 @@ def _work_dir(spark: SparkSession, name: str, work: str | None) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A file stream of one table: ``name.parquet`` and files that arrive later as
-    ``name-*.parquet`` (schema taken from the first)."""
+    """A file stream of one table: ``name.parquet``, a file or a folder of part files, and
+    what arrives later as ``name-*.parquet`` or in the folder (schema taken from the first)."""
     configure(spark)
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    root = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    return r.parquet(f"{root}/{name}*.parquet")
 
 
 def request_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
