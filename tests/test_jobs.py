@@ -209,6 +209,27 @@ def test_similar_pages_equal_brute_force(spark):
     assert len(found) >= 0.95 * len(want) and found <= {w[:2] for w in want}
 
 
+def test_similar_pages_misses_no_link(spark, monkeypatch):
+    """600 pairs at exactly one half, of which MinHash bands missed some; sizes from 2 to 600
+    words, a null group, a repeated id and classes in many cells."""
+    from webtables.operators import audits
+
+    monkeypatch.setattr(audits, "CELL_CLASSES", 50)
+    rows, want = [], set()
+    for k in range(600):
+        same = [f"s{k}x{i}" for i in range(2 * (1 + k % 10))]
+        for j in (0, 1):
+            rows.append((2 * k + j, "g" if k % 3 else None, same + [f"o{k}x{j}x{i}" for i in range(len(same) // 2)]))
+        want.add((2 * k, 2 * k + 1, len(same), 0.5))
+    big = [f"b{i}" for i in range(600)]
+    rows += [(5000, "g", big), (5001, "g", big[:300]), (5002, "g", big[:299]), (5003, None, big), (5004, "h", []), (5005, "h", None)]
+    rows += [(5001, "g", ["again", "and"]), (5006, "g", ["again", "and", "more"])]
+    want |= {(5000, 5001, 300, 0.5), (5001, 5002, 299, 0.9967), (5001, 5006, 2, 0.6667)}
+    f = spark.createDataFrame([(i, "https://a.example/", g, w) for i, g, w in rows], "page_id long, url string, g string, words array<string>")
+    links, _ = audits.similar_pages(f, 0.5, group=F.col("g"))
+    assert sorted((r.class_a, r.class_b, r.shared, r.jaccard) for r in links.collect()) == sorted(want)
+
+
 def test_similar_pages_of_a_large_group(spark):
     """100,000 pages of one host, a third of them alike: candidates stay few."""
     from webtables.operators.audits import similar_pages

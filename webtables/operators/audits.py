@@ -10,13 +10,18 @@ the number of pairs is linear in the pages.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webtables.functions.overlap import overlapping
 from webtables.functions.text import _c
 from webtables.functions.urls import host, host_suffixes, scheme
 from webtables.operators.content import node_text, page_links, page_metadata, text_lines
 from webtables.operators.parse import has_ancestor, parse_pages
+from webtables.session import checkpoint_dir
 
 # SEO length windows (characters), link-text phrases that say
 # nothing, landmark tags, and the profile tag groups.
@@ -465,44 +470,60 @@ def compare_pairs(pages: DataFrame, urls) -> DataFrame:
     )
 
 
-#: MinHash bands and the rows of each: of two sets with similarity 0.5 or more, 99.9 in a
-#: hundred share a band.
-BANDS, BAND_ROWS = 32, 3
+#: What one cell of a comparison holds at most, about: words and classes.
+CELL_WORDS, CELL_CLASSES = 6_000_000, 24_000
+
+
+def _overlapping(at_least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from overlapping(pa.Table.from_batches(list(batches)), at_least)
+
+    return run
 
 
 def similar_pages(features: DataFrame, at_least: float = 0.5, group: Column | None = None,
-                  bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
+                  bands: int | None = None, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """G7 over large groups: pages of one ``group`` (default: the host) whose words have a
     Jaccard similarity of ``at_least`` or more, as (links, members).
 
     Pages with equal words are one class: ``members`` has (page_id, class_id), the least
-    page_id. ``links`` has (group, class_a, class_b, shared, jaccard) of two classes. The
-    candidates are classes that agree in a whole band of MinHash values, met once each (in
-    the first band that they share) and then compared exactly, so no link is wrong, and one
-    is missed with probability (1 - s^rows)^bands at similarity s. Work grows with the
-    pages and with the pairs that share a band, not with the pairs of a group. Pages
-    without words are alike."""
+    page_id. ``links`` has (group, class_a, class_b, shared, jaccard) of two classes. All
+    links are found: a group's classes are cut, by size, into cells of bounded content, and
+    every two cells whose sizes allow a link meet in a task, which bounds the shared words
+    of all their pairs by matrix products over hashed words and counts those that may link
+    word by word, by 64-bit hashes (functions/overlap.py). Only links become rows.
+    ``bands`` and ``rows`` (of the MinHash filter that this replaces, which missed some)
+    change nothing. Pages without words are alike."""
     key = host(F.col("url")) if group is None else group
     one = features.select("page_id", key.alias("group"), F.array_sort("words").alias("words"))
     one = one.withColumn("digest", F.sha2(F.array_join("words", " "), 256))
-    classes = one.groupBy("group", "digest").agg(F.min("page_id").alias("class_id"), F.first("words").alias("words"))
+    hashed = F.transform("words", lambda w: F.xxhash64(w)).alias("items")
+    classes = one.select("page_id", "group", "digest", hashed).groupBy("group", "digest").agg(F.min("page_id").alias("class_id"), F.first("items").alias("items"))
+    checkpoint_dir(features.sparkSession)
+    classes = classes.checkpoint()  # parsed once, read several times
     members = one.join(classes.select("group", "digest", "class_id"), ["group", "digest"]).select("page_id", "class_id")
-    value = lambda k: F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(k))))
-    band = [F.xxhash64("group", F.lit(b), *[value(b * rows + r) for r in range(rows)]) for b in range(bands)]
-    signed = classes.where(F.size("words") > 0).withColumn("bands", F.array(*band))
-    dealt = signed.select("group", "class_id", "bands", F.posexplode("bands").alias("nth", "band"))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    met = a.join(b, (F.col("a.nth") == F.col("b.nth")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.class_id") < F.col("b.class_id")))
-    same = F.zip_with("a.bands", "b.bands", lambda x, y: x == y)
-    met = met.where((F.array_position(same, True) == F.col("a.nth") + 1) & (F.col("a.group").eqNullSafe(F.col("b.group"))))
-    met = met.select(F.col("a.group").alias("group"), F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b"))
-    words = classes.select("class_id", "words")
-    both = met.join(words.select(F.col("class_id").alias("class_a"), F.col("words").alias("_a")), "class_a")
-    both = both.join(words.select(F.col("class_id").alias("class_b"), F.col("words").alias("_b")), "class_b")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    union = F.size("_a") + F.size("_b") - shared
-    links = both.withColumn("shared", shared).where(shared >= F.lit(at_least) * union)
-    return links.select("group", "class_a", "class_b", "shared", _jaccard("_a", "_b").alias("jaccard")), members
+    sized = classes.select("group", "class_id", "items", F.size("items").alias("n")).where("n > 0 AND class_id IS NOT NULL")
+    # sizes in order fill cells; a size that fills one alone has cells of its own
+    sizes = sized.groupBy("group", "n").agg(F.count(F.lit(1)).alias("_all"))
+    sizes = sizes.withColumn("_fill", F.col("_all") * (F.col("n") / CELL_WORDS + F.lit(1 / CELL_CLASSES)))
+    before = F.sum("_fill").over(Window.partitionBy("group").orderBy("n")) - F.col("_fill")
+    alone = F.when(F.col("_fill") >= 1, F.col("n"))
+    cells = sizes.select("group", "n", "_fill", F.floor(before).alias("_nth"), alone.alias("_alone")).groupBy("group", "_nth", "_alone").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.ceil(F.when(F.col("_alone").isNull(), 1).otherwise(F.max("_fill"))).cast("int").alias("parts"))
+    cells = cells.groupBy(F.col("group").alias("_group")).agg(F.collect_list(F.struct("lo", "hi", "parts")).alias("cells"))
+    dealt = sized.join(cells, F.col("group").eqNullSafe(F.col("_group")))
+    dealt = dealt.withColumn("own", F.element_at(F.filter("cells", lambda c: F.col("n").between(c["lo"], c["hi"])), 1))
+    near = F.filter("cells", lambda c: (c["lo"] * at_least <= F.col("own.hi")) & (F.col("own.lo") * at_least <= c["hi"]))
+    cell = lambda lo, part: F.struct(lo.alias("lo"), part.cast("int").alias("part"))
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda k: cell(c["lo"], k))))
+    dealt = dealt.select("group", "class_id", "items", cell(F.col("own.lo"), F.pmod(F.xxhash64("class_id"), F.col("own.parts"))).alias("me"), F.explode(others).alias("you"))
+    dealt = dealt.select("group", "class_id", "items", F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b"), (F.col("me") <= F.col("you")).alias("left"))
+    tasks = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), 96)  # few bytes, much work: not to be merged
+    types = {f.name: f.dataType.simpleString() for f in sized.schema}
+    pairs = dealt.repartition(tasks, "group", "a", "b").groupBy("group", "a", "b").applyInArrow(
+        _overlapping(at_least), f"group {types['group']}, one {types['class_id']}, other {types['class_id']}, shared int, union int")
+    links = pairs.select("group", F.least("one", "other").alias("class_a"), F.greatest("one", "other").alias("class_b"), "shared", F.round(F.col("shared") / F.col("union"), 4).alias("jaccard"))
+    return links.where("class_a < class_b"), members
 
 
 def merge_lists(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

@@ -186,10 +186,9 @@ def q_compare_pairs(spark, d):
 
 @query("g7_similar_pages")
 def q_similar(spark, d):
-    """Pages of one registrable domain with half of their words in common or more; at that
-    similarity 64 bands of two values miss one pair in 10^8."""
+    """Pages of one registrable domain with half of their words in common or more."""
     site = F.regexp_extract(host(F.col("url")), r"([^.]+\.[^.]+)$", 1)
-    return G.similar_pages(G.page_features(_parsed(spark, d)), 0.5, group=site, bands=64, rows=2)[0].select("class_a", "class_b", "shared", "jaccard")
+    return G.similar_pages(G.page_features(_parsed(spark, d)), 0.5, group=site)[0].select("class_a", "class_b", "shared", "jaccard")
 
 
 @query("l4_top_sources")
