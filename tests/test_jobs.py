@@ -174,6 +174,17 @@ def test_newest_requests_over_several_runs(spark, tmp_path):
     assert [r.request_id for r in got] == [100_000 + r.event_id for r in ev.where("event_id < 30").orderBy(F.desc("ts"), F.desc("event_id")).collect()] + want[:10]
 
 
+def test_linked_domains_count_own_links(spark, tmp_path):
+    """Every linked host, a page's own one too, with what comes from other hosts beside."""
+    import __spark_entry__ as E
+
+    pages = spark.createDataFrame([(k, f"https://{'a' if k < 2 else 'b'}.example/{k}", '<a href="/x">x</a><a href="/y">y</a>') for k in range(3)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    # 1 -> 10 % 3 = 1 and 2 -> 17 % 3 = 2, each its own host; 0 -> a gone page
+    graph = {tuple(r) for r in E.queries()["a15_linked_domains"](spark, str(tmp_path)).collect()}
+    assert graph == {("a.example", 1, 1, 0, 0), ("b.example", 1, 1, 0, 0), ("gone.example.com", 1, 1, 1, 1)}
+
+
 def test_similar_pages_equal_brute_force(spark):
     """Links of classes with a similarity of 0.5 or more within a host; equal pages and an
     empty one beside them."""

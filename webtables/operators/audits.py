@@ -215,16 +215,20 @@ def orphan_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
     return pg.join(targets, "_n", "left_anti").drop("_n")
 
 
-def linked_domains(links: DataFrame, approx: bool = False) -> DataFrame:
+def linked_domains(links: DataFrame, approx: bool = False, own: bool = False) -> DataFrame:
     """Hosts that http(s) links lead to, with link counts and distinct linking
-    pages; links that stay on the page's own host (``src_url``, if given) do not count."""
-    cd = F.approx_count_distinct("src_page_id") if approx else F.countDistinct("src_page_id")
+    pages; links that stay on the page's own host (``src_url``, if given) do not count.
+    With ``own`` they do, and ``external_links`` and ``external_pages`` tell the others."""
+    distinct = F.approx_count_distinct if approx else F.countDistinct
     links = links.where(is_http_link("dst_url"))
+    found = [F.count(F.lit(1)).alias("links"), distinct("src_page_id").alias("pages")]
     if "src_url" in links.columns:
-        links = links.where(~host(F.col("dst_url")).eqNullSafe(host(F.col("src_url"))))
-    return links.groupBy(host(F.col("dst_url")).alias("host")).agg(
-        F.count(F.lit(1)).alias("links"), cd.alias("pages")
-    )
+        away = ~host(F.col("dst_url")).eqNullSafe(host(F.col("src_url")))
+        if own:
+            found += [F.count(F.when(away, 1)).alias("external_links"), distinct(F.when(away, F.col("src_page_id"))).alias("external_pages")]
+        else:
+            links = links.where(away)
+    return links.groupBy(host(F.col("dst_url")).alias("host")).agg(*found)
 
 
 def match_host_rules(df: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:

@@ -23,6 +23,8 @@ def NORM(u: str) -> str:
     return f"({SCHEME.format(u=u)} || '://' || {HOST.format(u=u)} || {rest})"
 
 
+AWAY = f"WHERE {HOST.format(u='dst_url')} IS DISTINCT FROM {HOST.format(u='src_url')}"
+
 ANSWERS = """
 np2 AS (SELECT count(*) AS n FROM pages),
 asst AS (
@@ -58,8 +60,9 @@ t AS (SELECT DISTINCT {NORM('gl.dst_url')} AS n FROM gl JOIN pages s ON s.page_i
       WHERE {NORM('gl.dst_url')} <> {NORM('s.url')})
 SELECT page_id FROM pages WHERE {NORM('url')} NOT IN (SELECT n FROM t)""",
     "a15_linked_domains": f"""WITH {GRAPH.strip()}
-SELECT {HOST.format(u='dst_url')} AS host, count(*) AS links, count(DISTINCT src_page_id) AS pages
-FROM gl WHERE {HOST.format(u='dst_url')} <> {HOST.format(u='src_url')} GROUP BY 1""",
+SELECT {HOST.format(u='dst_url')} AS host, count(*) AS links, count(DISTINCT src_page_id) AS pages,
+       count(*) FILTER ({AWAY}) AS external_links, count(DISTINCT src_page_id) FILTER ({AWAY}) AS external_pages
+FROM gl GROUP BY 1""",
     "j6_host_rule_join": f"""
 WITH r(rule) AS (VALUES ('.example.org'), ('example.net'), ('spam-farm.example.org')),
 h AS (SELECT page_id, {HOST.format(u='url')} AS host FROM pages)

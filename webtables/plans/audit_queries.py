@@ -114,7 +114,7 @@ def q_orphans(spark, d):
 
 @query("a15_linked_domains")
 def q_domains(spark, d):
-    return G.linked_domains(D.graph_links(spark, d))
+    return G.linked_domains(D.graph_links(spark, d), own=True)
 
 
 @query("j6_host_rule_join")
