@@ -180,6 +180,8 @@ def test_linked_domains_count_own_links(spark, tmp_path):
 
     pages = spark.createDataFrame([(k, f"https://{'a' if k < 2 else 'b'}.example/{k}", '<a href="/x">x</a><a href="/y">y</a>') for k in range(3)], "page_id long, url string, html string")
     pages.write.parquet(str(tmp_path / "pages.parquet"))
+    crawl = {tuple(r) for r in E.queries()["a15_linked_domains_crawl"](spark, str(tmp_path)).collect()}
+    assert crawl == {("a.example", 4, 2, 0, 0), ("b.example", 2, 1, 0, 0)}
     # 1 -> 10 % 3 = 1 and 2 -> 17 % 3 = 2, each its own host; 0 -> a gone page
     graph = {tuple(r) for r in E.queries()["a15_linked_domains"](spark, str(tmp_path)).collect()}
     assert graph == {("a.example", 1, 1, 0, 0), ("b.example", 1, 1, 0, 0), ("gone.example.com", 1, 1, 1, 1)}

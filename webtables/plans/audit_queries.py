@@ -263,7 +263,7 @@ def q_orphans_crawl(spark, d):
 
 @query("a15_linked_domains_crawl")
 def q_domains_crawl(spark, d):
-    return G.linked_domains(_crawl_links(spark, d))
+    return G.linked_domains(_crawl_links(spark, d), own=True)
 
 
 @query("g5_extract_pages")
