@@ -1,6 +1,7 @@
 """Retry resolution, counters, the TTL fold and the store (FIXTURES.md cases)."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 
@@ -146,6 +147,24 @@ def test_expiry_edge_and_store_ops(spark, tmp_path):
     assert S.load_store(spark, path).count() == 2  # persistence across sessions
 
 
+def test_store_write_chooses_before_contents_are_joined(spark):
+    """The newest row of a key is chosen by times below the join that brings contents; ties
+    go to the new row, then to the content that sorts last; times may be null."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("a", 1, at(0)), ("a", 2, at(5)), ("b", 1, at(1)), ("b", 2, at(1)), ("b", 2, at(1)), ("c", 3, None), ("d", 3, None), ("d", 1, at(0)), (None, 1, at(9))]
+    keys = spark.createDataFrame(rows, "cache_key string, page long, fetched_at timestamp_ntz")
+    texts = spark.createDataFrame([(1, "one"), (2, "two"), (3, None)], "page long, content string")
+    new = keys.join(texts.hint("merge"), "page").select("cache_key", F.lit("u").alias("url"), "content", "fetched_at", F.lit(60).alias("ttl_s"))
+    old = spark.createDataFrame([("a", "u", "old", at(5), 1), ("c", "u", "kept", at(-9), 1), ("e", "u", "e", None, None)], "cache_key string, url string, content string, fetched_at timestamp_ntz, ttl_s int")
+    latest = S.store_write(old, new)
+    assert latest.columns == old.columns
+    by_digest = max(("one", "two"), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    want = [("a", "two", at(5), 60), ("b", by_digest, at(1), 60), ("c", "kept", at(-9), 1), ("d", "one", at(0), 60), ("e", "e", None, None)]
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in latest.collect()) == want
+    plan = S.store_write(new.limit(0), new)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join Inner") < plan.index("Join LeftSemi")
+
+
 def test_retention_budget_matches_running_sum(spark):
     rows = [(f"k{i}", "u", "x" * (10 + i), T0 + dt.timedelta(minutes=17 * i), 60) for i in range(40)]
     st = spark.createDataFrame(rows, "cache_key string, url string, content string, fetched_at timestamp_ntz, ttl_s int")

@@ -37,14 +37,19 @@ def is_live(now) -> Column:
 
 def store_write(store: DataFrame, new_rows: DataFrame) -> DataFrame:
     """S3: last write per key wins (by ``fetched_at``; on a tie the new row, and of
-    several new rows the one whose content sorts last). The winner is chosen by times and
-    a digest; contents pass through one join."""
+    several new rows the one whose content sorts last). The newest rows are chosen by times
+    alone, and that choice holds before their contents are read or joined; contents move
+    once, those of the newest, where a digest settles what is left of a tie."""
     cols = store.columns
-    side = lambda df, new: df.select(*cols).withColumn("_new", F.lit(new))
-    both = side(store, 0).unionByName(side(new_rows, 1))
-    both = both.withColumn("_o", F.struct("fetched_at", "_new", F.sha2(F.coalesce(F.col("content"), F.lit("")), 256).alias("h")))
-    best = both.groupBy("cache_key").agg(F.max("_o").alias("_o"))
-    return both.join(best, ["cache_key", "_o"], "left_semi").select(*cols).dropDuplicates(["cache_key"])
+    order = lambda new: F.struct("fetched_at", F.lit(new).alias("_new"))
+    times = store.select("cache_key", order(0).alias("_o")).unionByName(new_rows.select("cache_key", order(1).alias("_o")))
+    kind = times.schema["_o"].dataType  # of both sides' times
+    best = times.groupBy(F.col("cache_key").alias("_key")).agg(F.max("_o").alias("_best"))
+    # each side for itself: Spark moves the choice below a side's own joins, not below a union
+    side = lambda df, new: df.select(*cols).join(best, (F.col("cache_key") == F.col("_key")) & (order(new).cast(kind) == F.col("_best")), "left_semi")
+    newest = side(store, 0).unionByName(side(new_rows, 1))
+    won = newest.groupBy("cache_key").agg(F.max_by(F.struct(*cols), F.sha2(F.coalesce(F.col("content"), F.lit("")), 256)).alias("_row"))
+    return won.select("_row.*")
 
 
 def store_get(store: DataFrame, keys: DataFrame, now, default: str | None = None) -> DataFrame:
