@@ -132,6 +132,81 @@ def test_ttl_stream_takes_rows_out_of_order(spark, tmp_path):
     assert request_log_from_events(ev).count() == len(rows)
 
 
+def test_ttl_state_holds_many_keys():
+    """One state serves a group of keys: calls grow with the batches, not the keys; labels
+    are those of each key's fold, and state and timers end."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from webtables.streaming.jobs import TtlDedup, fold_times
+
+    class Held:
+        rows, calls = [], 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = list(rows), self.calls + 1
+
+        def appendList(self, rows):
+            self.put([*self.rows, *rows])
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, Held())
+
+        def listTimers(self):
+            return iter(list(self.timers))
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    rng, second = random.Random(3), 1_000_000
+    keys = [None, "", *[f"k{i}" for i in range(300)]]
+    rows = [(rng.choice(keys), i, rng.random() < 0.7, rng.randrange(100_000) * second, 3600 * second) for i in range(6000)]
+    handle, work, got = Handle(), TtlDedup(), []
+    work.init(handle)
+    for mark in (0, 30_000, 60_000, 200_000):  # rows come when their time is near the watermark
+        part = [r for r in rows if r[3] < (mark + 30_000) * second and r[3] >= (mark if mark else 0) * second] if mark < 200_000 else []
+        if mark == 60_000:
+            part += [r for r in rows if r[3] >= 90_000 * second]
+        pdf = pd.DataFrame([*part, (None, None, False, 0, 0)], columns=["cache_key", "request_id", "success", "ts_us", "ttl_us"])
+        if mark:
+            got += [tuple(r) for out in work.handleExpiredTimer((7,), Times(mark * 1000), None) for r in out.itertuples(index=False)]
+        list(work.handleInputRows((7,), iter([pdf[:2500], pdf[2500:]]), Times(mark * 1000)))
+        assert len(handle.timers) == (mark < 200_000)
+    want = set()
+    for k in keys:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[3], r[1]))
+        ids, ok, ts, ttl = (np.array(c) for c in zip(*[r[1:] for r in mine], strict=True))
+        served, fetched, has, _ = fold_times(ts, ok, ttl, None)
+        want |= {(i, k, "served" if s else "fetch", int(f) if h else None) for i, s, f, h in zip(ids.tolist(), served, fetched, has, strict=True)}
+    assert len(got) == len(rows) and {(i, k, x, None if pd.isna(f) else int(f)) for i, k, x, f in got} == want
+    assert not any(st.rows for st in handle.states.values()) and sum(st.calls for st in handle.states.values()) < 12
+
+
 def test_streams_read_tables_in_folders(spark, tmp_path):
     """A table may be one file or a folder of part files, and a later run with the same
     work folder reads the parts and files that came since."""

@@ -9,8 +9,8 @@ same ``work`` folder a later run resumes: only new files are read.
 
 * T1 running counters per request type (complete state, rewritten per batch)
 * T2 windowed request stats with a watermark (late rows dropped)
-* T3 TTL-bounded dedup per cache key with ``transformWithStateInPandas``: rows wait
-  in list state for the watermark and leave in time order by event-time timers
+* T3 TTL-bounded dedup per cache key with ``transformWithStateInPandas``, keys in groups:
+  rows wait in list state for the watermark and leave in time order by event-time timers
 * T4 last-N requests: bounded heaps in keyed state
 * T5 page conversion (parse -> text, links) as a stateless append stream
 """
@@ -25,6 +25,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -148,19 +149,38 @@ def fold_times(ts: np.ndarray, ok: np.ndarray, ttl: np.ndarray, live: tuple[int,
     return served, fetched, has, live
 
 
+#: Groups of cache keys that share a state; stays the same as long as a work folder is used.
+KEY_GROUPS = 4096
+_T3_ROWS = pa.schema([("cache_key", pa.dictionary(pa.int32(), pa.string())), ("request_id", pa.int64()), ("success", pa.bool_()), ("ts_us", pa.int64()), ("ttl_us", pa.int64())])
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """Rows as one value of the state: an Arrow stream, each key once."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows.unify_dictionaries().combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(values: Iterator[tuple]) -> pa.Table:
+    parts = [pa.ipc.open_stream(v[0]).read_all() for v in values]
+    return pa.concat_tables([pa.Table.from_batches([], _T3_ROWS), *parts]).unify_dictionaries().combine_chunks()
+
+
 class TtlDedup(StatefulProcessor):
-    """T3 for one key. Rows wait in list state until the watermark has passed them, so that
-    no earlier one can still come, and leave in time order through the fold. One event-time
-    timer stands at the first waiting row, or at the live copy's expiry, when it and the
-    key's state end."""
+    """T3 for one group of keys: a state of its own for each key costs more calls than its
+    few rows. Rows wait in list state, a value for each part that came, until the watermark
+    has passed them, so that no earlier one can still come, and leave in time order through
+    the fold of their key. One event-time timer stands at the first waiting row or the first
+    expiry of a live copy, when it ends."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "request_id long, success boolean, ts_us long, ttl_us long")
-        self.live = handle.getValueState("live", "stored_us long, expiry_us long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.live = handle.getListState("live", "cache_key string, stored_us long, expiry_us long")
 
     def _wake(self, at_us: int) -> None:
-        """Set the key's one timer, unless it stands earlier."""
+        """Set the group's one timer, unless it stands earlier."""
         at, set_for = -(-at_us // 1000), list(self.handle.listTimers())
         if not set_for or at < min(set_for):
             for t in set_for:
@@ -168,45 +188,67 @@ class TtlDedup(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = []
+        first, parts = [], []
         for pdf in rows:
             pdf = pdf[pdf["request_id"].notna()]  # the end marker is no request
             if len(pdf):
-                self.waiting.appendList([(int(r), bool(o), int(t), int(w)) for r, o, t, w in zip(pdf["request_id"], pdf["success"], pdf["ts_us"], pdf["ttl_us"], strict=True)])
+                pdf = pdf[["cache_key", "request_id", "success", "ts_us", "ttl_us"]].assign(success=[bool(x) for x in pdf["success"]])
+                plain = pa.schema([(f.name, pa.string() if f.name == "cache_key" else f.type) for f in _T3_ROWS])
+                part = pa.Table.from_pandas(pdf, plain, preserve_index=False)
+                parts.append((_packed(part.set_column(0, _T3_ROWS.field(0), part["cache_key"].dictionary_encode())),))
                 first.append(int(pdf["ts_us"].min()))
         if first:
+            self.waiting.appendList(parts)
             self._wake(min(first))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: (r[2], r[0])) if self.waiting.exists() else []
-        n = int(np.searchsorted(np.array([r[2] for r in rows], np.int64), passed, side="right"))
-        live = tuple(self.live.get()) if self.live.exists() else None
-        if n:
-            ids, ok, ts, ttl = (np.array(c) for c in zip(*rows[:n], strict=True))
-            served, fetched, has, live = fold_times(ts, ok, ttl, live)
-            yield pd.DataFrame({
-                "request_id": ids,
-                "cache_key": [key[0]] * n,
-                "label": np.where(served, "served", "fetch"),
-                "fetched_at_us": pd.Series(pd.array(fetched, dtype="Int64")).mask(~has),
-            })
-        if n == len(rows):
-            self.waiting.clear()
-        elif n:
-            self.waiting.put([tuple(r) for r in rows[n:]])
-        if live is not None and live[1] > passed:
-            self.live.update(live)
+        rows = _unpacked(self.waiting.get() if self.waiting.exists() else iter([]))
+        live = {r[0]: (r[1], r[2]) for r in self.live.get()} if self.live.exists() else {}
+        ts = rows["ts_us"].to_numpy()
+        if (ts <= passed).any():
+            out, live = self._fold(rows.filter(pa.array(ts <= passed)), live)
+            yield out
+            rows = rows.filter(pa.array(ts > passed))
+            if len(rows):
+                self.waiting.put([(_packed(rows),)])
+            else:
+                self.waiting.clear()
+        live = {k: c for k, c in live.items() if c[1] > passed}
+        if live:
+            self.live.put([(k, *c) for k, c in live.items()])
         else:
-            live = None
             self.live.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if n < len(rows):
-            self._wake(rows[n][2])
-        elif live is not None:
-            self._wake(live[1])
+        ends = [c[1] for c in live.values()] + [int(t) for t in rows["ts_us"].to_numpy()]
+        if ends:
+            self._wake(min(ends))
+
+    @staticmethod
+    def _fold(rows: pa.Table, live: dict) -> tuple[pd.DataFrame, dict]:
+        """The labels of rows that the watermark has passed, key by key, and the copies
+        left."""
+        codes = rows["cache_key"].combine_chunks()
+        names, code = codes.dictionary, codes.indices.fill_null(-1).to_numpy()
+        ids, ts = rows["request_id"].to_numpy(), rows["ts_us"].to_numpy()
+        order = np.lexsort((ids, ts, code))
+        code, ids, ts = code[order], ids[order], ts[order]
+        ok, ttl = rows["success"].to_numpy()[order], rows["ttl_us"].to_numpy()[order]
+        served, fetched, has = np.zeros(len(ts), bool), np.zeros(len(ts), np.int64), np.zeros(len(ts), bool)
+        cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(ts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            k = names[int(code[a])].as_py() if code[a] >= 0 else None
+            served[a:b], fetched[a:b], has[a:b], left = fold_times(ts[a:b], ok[a:b], ttl[a:b], live.get(k))
+            if left is not None:
+                live[k] = left
+        return pd.DataFrame({
+            "request_id": ids,
+            "cache_key": rows["cache_key"].cast(pa.string()).to_numpy()[order],
+            "label": np.where(served, "served", "fetch"),
+            "fetched_at_us": pd.Series(pd.array(fetched, dtype="Int64")).mask(~has),
+        }), live
 
     def close(self) -> None:
         pass
@@ -216,8 +258,9 @@ def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day",
                      max_files: int | None = None, close: bool | None = None) -> DataFrame:
     """Label each request ``fetch`` or ``served`` per cache key, as R2 does, over a
     stream whose rows come up to ``watermark`` out of order (later ones are dropped, as
-    Spark does). A row's label comes out when the watermark has passed it. State per key:
-    the rows that still wait and one live copy; both end by timer.
+    Spark does). A row's label comes out when the watermark has passed it. State: the rows
+    that still wait and one live copy a key, kept for KEY_GROUPS groups of keys; both end
+    by timer.
 
     ``close`` ends the stream: a marker far in the future lets the last rows go, and what
     comes later is late. Without it (the default with a ``work`` folder) they wait in the
@@ -234,7 +277,8 @@ def ttl_dedup_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 day",
     none = spark.createDataFrame([], s.schema)
     none.write.mode("append").parquet(ends)
     both = s.unionByName(spark.readStream.schema(s.schema).parquet(ends)).withWatermark("ts", watermark)
-    out = both.groupBy("cache_key").transformWithStateInPandas(
+    keyed = both.withColumn("key_group", F.pmod(F.xxhash64("cache_key"), F.lit(KEY_GROUPS)).cast("int"))
+    out = keyed.groupBy("key_group").transformWithStateInPandas(
         TtlDedup(), outputStructType=_T3_OUT, outputMode="append", timeMode="eventTime"
     )
 
